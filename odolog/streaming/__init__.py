@@ -1,0 +1,5 @@
+"""No streaming operators exist in this product.
+
+New files are picked up by content hash (the same bytes under a new name are skipped), which a
+path-tracking stream source cannot do, so pick-up is the incremental batch job in ``plans.ingest``.
+"""
