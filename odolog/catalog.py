@@ -83,6 +83,20 @@ STAT_GROUPS = {
 
 SPEED_COLUMNS = ["gpsspeedkmh", "speedobdkmh", "speedgpskmh"]
 
+_TYPES = {
+    "long": T.LongType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "timestamp": T.TimestampType(),
+    "boolean": T.BooleanType(),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    pairs = (field.split() for field in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 LOGS_SCHEMA = T.StructType(
     [
         T.StructField("fileid", T.LongType()),
@@ -93,30 +107,30 @@ LOGS_SCHEMA = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in SENSORS]
 )
 
-FILES_SCHEMA = T.StructType.fromDDL(
+FILES_SCHEMA = _schema(
     "fileid long, startid long, endid long, csvfile string, csvhash string, "
     "import_date timestamp, trip_start timestamp, trip_end timestamp, trip_duration double, "
     "readtime double, sendtime double, startlon double, startlat double, endlon double, "
     "endlat double, sent_rows long"
 )
 
-PLACES_SCHEMA = T.StructType.fromDDL(
+PLACES_SCHEMA = _schema(
     "place_id long, lat double, lon double, count long, label string"
 )
 
-SPEEDS_SCHEMA = T.StructType.fromDDL(
+SPEEDS_SCHEMA = _schema(
     "fileid long, gpsspeedkmh double, speedobdkmh double, speedgpskmh double, gpstime timestamp"
 )
 
-FILESTATS_SCHEMA = T.StructType.fromDDL(
+FILESTATS_SCHEMA = _schema(
     "fileid long, column string, nulls long, null_ratio double"
 )
 
-COLUMNSTATS_SCHEMA = T.StructType.fromDDL(
+COLUMNSTATS_SCHEMA = _schema(
     "column_name string, rows long, nulls long, null_ratio double, mostly_null boolean"
 )
 
-TRIPS_SCHEMA = T.StructType.fromDDL(
+TRIPS_SCHEMA = _schema(
     "id long, fileid long, csvfile string, csvhash string, distance long, fuelcost long, "
     "fuelused long, distancewhilstconnectedtoobd long, tripdate timestamp, profile string, "
     "time long"

@@ -216,7 +216,7 @@ def place_leaders(points: DataFrame, box: Box, local_rows: int = 200_000) -> Dat
         if n == 0:
             break
         if n <= local_rows:
-            found.append(left.groupBy(F.lit(0)).applyInPandas(_finish_leaders(box), schema))
+            found.append(left.groupBy(F.lit("all")).applyInPandas(_finish_leaders(box), schema))
             break
         first = F.min_by(F.struct("_rank", "_lat", "_lon"), "_rank")
         candidates = left.groupBy("_cy", "_cx").agg(first.alias("_c")).select("_cy", "_cx", "_c.*")

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from odolog.catalog import LOG_COLUMNS
+from odolog.functions.cells import clean_line
 from odolog.functions.names import alias_name, canonical_name
-from odolog.functions.times import parse_time, seconds_between
+from odolog.functions.times import parse_time
 from odolog.operators import quality, registry
 from odolog.operators.places import LIVE_BOX, Box, assign_places
 from odolog.operators.stats import rows_per_file
@@ -130,7 +131,7 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
     store.stage("logs", rows.filter(F.col("gpstime").isNotNull()), version)
     sent = durable(rows_per_file(store.staged("logs", version), "fileid"))
 
-    tables = {"logs": False, "files": True}
+    tables = {"logs": False, "files": False}
     ends = fresh
     for kind, table in (("start", "startpos"), ("end", "endpos")):
         matched, places = assign_places(
@@ -150,8 +151,7 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
             }
         )
     )
-    snapshot = known.unionByName(entries.select([c for c in known.columns if c in entries.columns]), allowMissingColumns=True)
-    store.stage("files", snapshot, version)
+    store.stage("files", entries, version)
     store.commit(version, tables)
     stored = fresh.select("path", "fileid").join(sent, "fileid").select("path", "sent_rows")
     return quality.ingest_report(
@@ -162,8 +162,6 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
 
 def repair_report(lines: DataFrame, key: str = "path", line: str = "line") -> DataFrame:
     """Per file: whether it can be repaired (one header) and how many lines the repair changes."""
-    from odolog.functions.cells import clean_line
-
     changed = F.count_if(clean_line(F.col(line)) != F.col(line)).alias("changed_lines")
     checked = quality.header_line_counts(lines, [key], line)
     return checked.join(lines.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), changed), key).withColumn(
@@ -176,8 +174,6 @@ def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_
 
     Written as a table with its source file in a column; inputs are never overwritten.
     """
-    from odolog.functions.cells import clean_line
-
     rule = alias_name if use_aliases else canonical_name
     fixed = F.array_join(F.transform(F.split("header", ","), rule), ",")
     damaged = quality.header_line_counts(lines, [key]).filter("damaged").select(key)
@@ -187,8 +183,3 @@ def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_
         .withColumn("line", F.when(F.rtrim("line") == F.col("header"), F.col("_fixed")).otherwise(clean_line(F.col("line"))))
         .select(key, "block_start", "seq", "line")
     )
-
-
-def trip_durations(files: DataFrame) -> DataFrame:
-    """Seconds of each registered trip."""
-    return files.select("fileid", seconds_between(F.col("trip_start"), F.col("trip_end")).alias("trip_duration"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from odolog.catalog import CORE_SENSORS, SPEED_COLUMNS, SUMMARY_SENSORS
 from odolog.operators import stats
@@ -59,8 +59,3 @@ def trip_report(store: TripStore) -> DataFrame:
 def store_counts(store: TripStore) -> DataFrame:
     """Trips, files and log rows in the store."""
     return stats.table_counts(store.read("trips"), store.read("files"), store.read("logs"))
-
-
-def unplaced_files(store: TripStore) -> DataFrame:
-    """Registered files without a start or end place."""
-    return store.read("files").filter((F.col("startid") == 0) | (F.col("endid") == 0))
