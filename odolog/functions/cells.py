@@ -33,11 +33,6 @@ CELL_MARKERS = {
 BUFFER_MARKERS = {"-": "0", "∞": "0", "NaN": "0", "6.125082077234252e+38": "0"}
 
 
-def cell_value(cell: Column) -> Column:
-    """Double of a raw cell; markers, blanks and unreadable text become null."""
-    return F.when(~F.trim(cell).isin(NULL_MARKERS), F.trim(cell).try_cast("double"))
-
-
 def is_bad_cell(cell: Column) -> Column:
     """True where a cell holds text that is neither a marker nor a number."""
     text = F.trim(cell)
@@ -88,12 +83,13 @@ def fill_missing(df: DataFrame, columns: list[str] | None = None, value: float =
     numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
     floating = {"double", "float"}
     kinds = dict(df.dtypes)
-    picked = [c for c in (columns or df.columns) if kinds[c] in numeric]
-    filled = {}
-    for c in picked:
-        base = F.nanvl(c, F.lit(value)) if kinds[c] in floating else F.col(c)
-        filled[c] = F.coalesce(base, F.lit(value).cast(kinds[c]))
-    return df.withColumns(filled) if filled else df
+    picked = {c for c in (columns or df.columns) if kinds[c] in numeric}
+
+    def filled(c: str) -> str:
+        base = f"nanvl(`{c}`, {value}D)" if kinds[c] in floating else f"`{c}`"
+        return f"coalesce({base}, cast({value} as {kinds[c]})) as `{c}`"
+
+    return df.selectExpr(*[filled(c) if c in picked else f"`{c}`" for c in df.columns])
 
 
 def drop_bad_columns(df: DataFrame) -> DataFrame:

@@ -77,10 +77,12 @@ def box_join(
     how: str = "inner",
     condition: Column | None = None,
     hot_rows: int | None = HOT_CELL_ROWS,
+    box_of_place: bool = False,
 ) -> DataFrame:
     """Points with every place in their box; each pair once. ``how``: inner, left, left_semi, left_anti.
 
     Column names of the two sides must differ. ``condition`` is a further test on the pair.
+    ``box_of_place`` lays the box around the place instead, which differs by rounding at its bounds.
     """
     cy, cx = box.cell(F.col(lat), F.col(lon))
     left = points.withColumns({"_cy": cy, "_cx": cx})
@@ -105,7 +107,8 @@ def box_join(
         left = left.drop("_salts")
         on.append("_salt")
     right = right.withColumnsRenamed({c: f"{c}_r" for c in on})
-    test = box.matches(F.col(lat), F.col(lon), F.col(place_lat), F.col(place_lon))
+    point, place = (F.col(lat), F.col(lon)), (F.col(place_lat), F.col(place_lon))
+    test = box.matches(*place, *point) if box_of_place else box.matches(*point, *place)
     for c in on:
         test = test & (F.col(c) == F.col(f"{c}_r"))
     if condition is not None:
@@ -220,17 +223,14 @@ def place_leaders(points: DataFrame, box: Box, local_rows: int = 200_000) -> Dat
             break
         first = F.min_by(F.struct("_rank", "_lat", "_lon"), "_rank")
         candidates = left.groupBy("_cy", "_cx").agg(first.alias("_c")).select("_cy", "_cx", "_c.*")
-        nearby = _around(
-            candidates.select(
-                F.col("_rank").alias("_crank"), F.col("_lat").alias("_clat"), F.col("_lon").alias("_clon"),
-                F.col("_cy").alias("_y"), F.col("_cx").alias("_x"),
-            ),
-            F.col("_y"), F.col("_x"),
+        later = candidates.select(
+            F.col("_rank").alias("_crank"), F.col("_lat").alias("_clat"), F.col("_lon").alias("_clon")
         )
         blocked = (
-            left.join(nearby, ["_cy", "_cx"])
-            .filter(F.col("_rank") < F.col("_crank"))
-            .filter(box.matches(F.col("_clat"), F.col("_clon"), F.col("_lat"), F.col("_lon")))
+            box_join(
+                left.drop("_cy", "_cx"), later, box, "_lat", "_lon", "_clat", "_clon",
+                condition=F.col("_rank") < F.col("_crank"), box_of_place=True,
+            )
             .select(F.col("_crank").alias("_rank"))
             .distinct()
         )
@@ -273,20 +273,18 @@ def assign_places(
     Assignments: (key, place_id, matches, outcome). Trips without a position are not matched.
     ``order`` must tell all trips apart.
     """
-    ranked = durable(
-        dense_ids(
-            trips.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-                key, *[c for c in order if c != key], F.col(lat).alias("_lat"), F.col(lon).alias("_lon")
-            ),
-            order,
-            "_rank",
-        ).select(key, "_rank", "_lat", "_lon")
-    )
+    ranked = dense_ids(
+        trips.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+            key, *[c for c in order if c != key], F.col(lat).alias("_lat"), F.col(lon).alias("_lon")
+        ),
+        order,
+        "_rank",
+    ).select(key, "_rank", "_lat", "_lon")
     known = _named_places(places)
     lonely = box_join(ranked, known, box, "_lat", "_lon", "_plat", "_plon", "left_anti")
     leaders = place_leaders(lonely, box, local_rows)
     top = places.agg(F.max("place_id")).first()[0] or 0
-    opened = durable(dense_ids(leaders, ["_rank"], "place_id", start=int(top) + 1))
+    opened = dense_ids(leaders, ["_rank"], "place_id", start=int(top) + 1)
 
     candidates = known.select("place_id", "_plat", "_plon", F.lit(0).cast("long").alias("_since")).unionByName(
         opened.select(

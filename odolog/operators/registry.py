@@ -8,14 +8,17 @@ from odolog.operators.ordered import dense_ids
 
 
 def new_files(found: DataFrame, registry: DataFrame, content_hash: str = "csvhash", name: str = "csvfile") -> DataFrame:
-    """Found files whose content is not registered; of equal contents the first by name."""
-    unseen = found.join(registry.select(content_hash), content_hash, "left_anti")
-    first = unseen.groupBy(content_hash).agg(F.min(name).alias(name))
-    return unseen.join(first, [content_hash, name], "left_semi")
+    """Found files whose content is not registered; of equal contents the first by name.
+
+    Copies are reduced to one before the hash is shuffled, however many there are.
+    """
+    first = found.groupBy(content_hash).agg(F.min(name).alias(name))
+    fresh = first.join(registry.select(content_hash), content_hash, "left_anti")
+    return found.join(fresh, [content_hash, name], "left_semi")
 
 
 def known_files(found: DataFrame, registry: DataFrame, row_counts: DataFrame, key: str = "fileid", content_hash: str = "csvhash") -> DataFrame:
-    """Found files that are registered, with their id and stored rows."""
+    """Found files that are registered, with their id and stored rows. A content is registered once."""
     return (
         found.join(registry.select(key, content_hash), content_hash)
         .join(row_counts, key, "left")
@@ -36,9 +39,9 @@ def repeated_starts(found: DataFrame, registry: DataFrame, start: str = "trip_st
 
 def fresh_starts(found: DataFrame, registry: DataFrame, name: str, start: str = "trip_start") -> DataFrame:
     """Trips whose start time is not registered; of equal starts the first by name."""
-    unseen = found.join(registry.select(start).distinct(), start, "left_anti")
-    first = unseen.groupBy(start).agg(F.min(name).alias(name))
-    return unseen.join(first, [start, name], "left_semi")
+    first = found.groupBy(start).agg(F.min(name).alias(name))
+    fresh = first.join(registry.select(start), start, "left_anti")
+    return found.join(fresh, [start, name], "left_semi")
 
 
 def file_rows(files: DataFrame, logs: DataFrame, key: str = "fileid", how: str = "inner") -> DataFrame:

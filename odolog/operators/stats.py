@@ -13,6 +13,8 @@ from odolog.functions.cells import fill_missing
 from odolog.session import durable
 
 MOSTLY_NULL = 0.9
+# A trip of a day at one row per second stays below this.
+MEDIAN_ROWS = 100_000
 
 
 def _value_columns(df: DataFrame, columns: list[str] | None, excluded: list[str]) -> list[str]:
@@ -83,17 +85,30 @@ def file_stats(
 # -- profiles --------------------------------------------------------------------------------------
 
 
-def _select_ranks(
-    values: DataFrame, group: list[str], max_group: int, buckets: int = 1024
-) -> DataFrame:
+BROADCAST_GROUPS = 100_000
+
+
+def _with_state(values: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
+    """Values inside the bracket of their group. Few brackets (counted) are broadcast, so the values
+    are not shuffled; many are joined by key."""
+    few = state.count() <= BROADCAST_GROUPS
+    joined = values.join(F.broadcast(state) if few else state, group)
+    return joined.filter(F.col("value").between(F.col("lo"), F.col("hi")))
+
+
+def _select_ranks(values: DataFrame, group: list[str], max_group: int, buckets: int = 1024) -> DataFrame:
     """Exact medians of ``value`` per ``group`` for groups too large to hold in one task.
 
     Narrows a bracket around the middle values. Each pass counts the bracket in equal-width
-    buckets, so at most ``buckets`` rows per group are shuffled, and keeps the bucket that holds
-    the middle. Brackets that fit ``max_group`` rows are finished by sorting what lies in them.
+    buckets, so at most ``buckets`` rows per group and task are shuffled, and keeps the bucket that
+    holds the middle. Brackets that fit ``max_group`` rows are finished by sorting what lies in them.
     """
     top = 1.7976931348623157e308
-    clamp = lambda c: F.greatest(F.least(c, F.lit(top)), F.lit(-top)) / 4
+
+    def quarter(c: str) -> Column:
+        # widths of any bracket stay finite
+        return F.greatest(F.least(c, F.lit(top)), F.lit(-top)) / 4
+
     state = durable(
         values.groupBy(*group)
         .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -107,11 +122,11 @@ def _select_ranks(
         largest = state.agg(F.max("inside")).first()[0]
         if largest is None or largest <= max_group:
             break
-        inside = values.join(state, group).filter(F.col("value").between(F.col("lo"), F.col("hi")))
-        share = (clamp(F.col("value")) - clamp(F.col("lo"))) / (clamp(F.col("hi")) - clamp(F.col("lo")))
+        share = (quarter("value") - quarter("lo")) / (quarter("hi") - quarter("lo"))
         bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
         counted = (
-            inside.withColumn("bucket", bucket)
+            _with_state(values, state, group)
+            .withColumn("bucket", bucket)
             .groupBy(*group, "n", "below", "bucket")
             .agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi"))
         )
@@ -137,30 +152,46 @@ def _select_ranks(
                 F.col("cnt").alias("inside"),
             )
         )
-    rest = values.join(state, group).filter(F.col("value").between(F.col("lo"), F.col("hi")))
+
+    def at(rank: Column) -> Column:
+        return F.get("v", (F.floor(rank) - F.col("below")).cast("int"))
+
+    out = solved[0]
+    for part in solved[1:]:
+        out = out.unionByName(part)
+    if largest is None:
+        return out
+    rest = _with_state(values, state, group)
     rest = rest.groupBy(*group, "n", "below").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    at = lambda rank: F.get("v", (F.floor(rank) - F.col("below")).cast("int"))
-    small = rest.select(*group, ((at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2).alias("median"))
-    for part in solved:
-        small = small.unionByName(part)
-    return small
+    return out.unionByName(
+        rest.select(*group, ((at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2).alias("median"))
+    )
 
 
-def exact_medians(df: DataFrame, keys: list[str], columns: list[str], max_group: int = 1_000_000) -> DataFrame:
+def exact_medians(df: DataFrame, keys: list[str], columns: list[str], max_group: int = MEDIAN_ROWS) -> DataFrame:
     """(keys, column, median): exact medians however large a group is.
 
-    One counting pass finds the largest group. Up to ``max_group`` rows Spark's ``median`` does it
-    in one aggregate; it keeps a group's values in one task, so beyond that ranks are selected.
+    One counting pass finds the groups above ``max_group`` rows. All others go to Spark's
+    ``median``, which keeps a group's values in one task; the large ones are solved by selection.
     """
     kinds = dict(df.dtypes)
     clean = {c: _no_nan(c, kinds).cast("double") for c in columns}
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_group:
-        wide = df.groupBy(*keys).agg(*[F.median(v).alias(f"median__{c}") for c, v in clean.items()])
-        return unpivot_measures(wide, keys, columns, ["median"], "column")
-    pairs = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in clean.items()]
-    values = df.select(*keys, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
-    return _select_ranks(values, [*keys, "column"], max_group)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = durable(counts.filter(F.col("_rows") > max_group).select(*keys, "_rows")).drop("_rows") if keys else None
+    n_large = large.count() if keys else int((counts.first()[0] or 0) > max_group)
+    small_rows, large_rows = df, df
+    if keys and n_large:
+        side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+        small_rows, large_rows = df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
+    parts = []
+    if keys or not n_large:
+        wide = small_rows.groupBy(*keys).agg(*[F.median(v).alias(f"median__{c}") for c, v in clean.items()])
+        parts.append(unpivot_measures(wide, keys, columns, ["median"], "column"))
+    if n_large:
+        pairs = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in clean.items()]
+        values = large_rows.select(*keys, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+        parts.append(_select_ranks(values, [*keys, "column"], max_group))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def column_profile(
@@ -170,7 +201,7 @@ def column_profile(
     limit: int | None = None,
     order: list | None = None,
     approximate: bool = False,
-    max_group: int = 1_000_000,
+    max_group: int = MEDIAN_ROWS,
 ) -> DataFrame:
     """Per column (and per trip with ``keys``): nulls, rows per null, min, median, mean, max.
 
@@ -304,10 +335,10 @@ def trip_wide(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def table_counts(trips: DataFrame, files: DataFrame, logs: DataFrame) -> DataFrame:
     """One row: number of trips, files and log rows."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return (
-        count(trips, "trips").join(count(files, "files"), F.lit(True)).join(count(logs, "logs"), F.lit(True))
-    )
+    tables = {"trips": trips, "files": files, "logs": logs}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t, df in tables.items()]
+    rows = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return rows.agg(*[F.max(F.when(F.col("t") == t, F.col("n"))).alias(t) for t in tables])
 
 
 def rows_per_file(df: DataFrame, key: str) -> DataFrame:

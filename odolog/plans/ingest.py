@@ -24,6 +24,7 @@ from odolog.sources import files as sources
 from odolog.sources.logs import layouts, parse_lines, read_log_rows
 
 LISTED_PATHS = 10_000
+BROADCAST_FILES = 50_000
 
 
 @dataclass(frozen=True)
@@ -41,25 +42,27 @@ class LoadOptions:
 
 
 def _new_lines(store: TripStore, root: str, batch: DataFrame, options: LoadOptions, n_files: int) -> DataFrame:
-    """Lines of the batch's files. Few files are read by name, many by scanning ``root``."""
+    """Lines of the batch's files; few files are read by name, many by scanning ``root`` (the join
+    with the batch's layouts then leaves out the lines of other files)."""
     if n_files <= LISTED_PATHS:
         paths = [r[0] for r in batch.select("path").collect()]
         lines = sources.read_lines(store.spark, paths)
     else:
         lines = sources.read_lines(store.spark, root, options.pattern)
-    return lines.join(batch.select("path"), "path", "left_semi")
+    return lines
 
 
-def gate(lines: DataFrame, batch: DataFrame, known: DataFrame, options: LoadOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+def gate(
+    lines: DataFrame, batch: DataFrame, known: DataFrame, options: LoadOptions, broadcast: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, summaries of accepted files, rejects) per path, from a narrow pass over the lines.
 
     Gates in order: no timed row, repeated header in a gap over 60 s, longer than a day, start
     already registered (or, within the batch, taken by an earlier file name).
     """
     narrow = ["gpstime", "latitude", "longitude"]
-    raw = parse_lines(
-        lines, layouts(batch.select("path", "header"), narrow, options.use_aliases), "path", ["block_start", "seq"], narrow
-    )
+    layout = layouts(batch.select("path", "header"), options.use_aliases)
+    raw = parse_lines(lines, layout, "path", ["block_start", "seq"], narrow, broadcast=broadcast)
     header = quality.is_header_cell(F.col("gpstime"))
     counts = raw.groupBy("path").agg(
         F.count_if(~header).alias("rows"),
@@ -96,7 +99,8 @@ def gate(lines: DataFrame, batch: DataFrame, known: DataFrame, options: LoadOpti
 def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions()) -> DataFrame:
     """Load the new logs below ``root``; returns one report row per new file.
 
-    Loading the same files again changes nothing. Rejected files are not registered, so they are
+    A first load of millions of files runs best in batches (``limit`` up to ``BROADCAST_FILES``): the
+    wide lines of such a batch are never shuffled. Loading the same files again changes nothing. Rejected files are not registered, so they are
     looked at again next time.
     """
     spark = store.spark
@@ -112,21 +116,23 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
             [], "path string, rows long, dropped_rows long, header_rows long, reason string, reasons long, sent_rows long"
         )
     lines = _new_lines(store, root, batch, options, n_files)
-    counts, accepted, rejects = gate(lines, batch, known, options)
-    fresh = durable(
-        registry.with_new_ids(accepted.join(batch.select("path", "csvhash", "header"), "path"), known, ["path"])
-    )
+    # one small layout row per file: up to this many are broadcast, so that lines are not shuffled
+    broadcast = n_files <= BROADCAST_FILES
+    counts, accepted, rejects = gate(lines, batch, known, options, broadcast)
+    fresh = registry.with_new_ids(accepted.join(batch.select("path", "csvhash", "header"), "path"), known, ["path"])
 
     version = store.version() + 1
     rows = read_log_rows(
-        lines.join(fresh.select("path", "fileid"), "path"),
-        fresh.select("path", "header"),
+        lines,
+        fresh.select("path", "header", "fileid"),
         "path",
-        ["fileid", "block_start", "seq"],
+        ["block_start", "seq"],
         LOG_COLUMNS,
         options.device_zone,
         options.missing,
         options.use_aliases,
+        carry=("fileid",),
+        broadcast=broadcast,
     )
     store.stage("logs", rows.filter(F.col("gpstime").isNotNull()), version)
     sent = durable(rows_per_file(store.staged("logs", version), "fileid"))
@@ -175,7 +181,7 @@ def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_
     Written as a table with its source file in a column; inputs are never overwritten.
     """
     rule = alias_name if use_aliases else canonical_name
-    fixed = F.array_join(F.transform(F.split("header", ","), rule), ",")
+    fixed = F.array_join(F.transform(F.split("header", ","), lambda label: rule(label)), ",")
     damaged = quality.header_line_counts(lines, [key]).filter("damaged").select(key)
     return (
         lines.join(damaged, key, "left_anti")

@@ -1081,7 +1081,7 @@ def _(spark, d):
 
 FOUND = """found as (select doc_id, source || '/' || lpad(doc_id::varchar, 12, '0') as csvfile, md5(text) as csvhash,
   octet_length(encode(text)) as size from documents where octet_length(encode(text)) > 3000),
-reg as (select doc_id as fileid, md5(text) as csvhash from documents where lang = 'fr'),
+reg as (select min(doc_id) as fileid, md5(text) as csvhash from documents where lang = 'fr' group by md5(text)),
 fresh as (select f.* from found f where csvhash not in (select csvhash from reg)
   qualify row_number() over (partition by csvhash order by csvfile) = 1)"""
 
@@ -1094,7 +1094,8 @@ def found_documents(spark, d):
 
 
 def document_registry(spark, d):
-    return documents(spark, d).filter("lang = 'fr'").select(F.col("doc_id").alias("fileid"), F.md5("text").alias("csvhash"))
+    french = documents(spark, d).filter("lang = 'fr'")
+    return french.groupBy(F.md5("text").alias("csvhash")).agg(F.min("doc_id").alias("fileid")).select("fileid", "csvhash")
 
 
 @query("found_files", f"with {FOUND} select * from found")

@@ -12,6 +12,7 @@ def get_session(app: str = "odolog", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    local = (master or "").startswith("local")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -19,6 +20,9 @@ def get_session(app: str = "odolog", master: str | None = None, **conf: str) ->
         "spark.ui.enabled": "false",
         **conf,
     }
+    if not local:
+        # many small shuffle partitions to begin with; adaptive execution merges what is too small
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8192")
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -38,10 +38,8 @@ def read_legacy_trips(spark: SparkSession, root: str) -> DataFrame:
     """
     folder = F.regexp_extract("path", f"/([^/]{{{FOLDER_LENGTH}}})/[^/]+$", 1)
     profiles = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "profile.properties")
-        .option("recursiveFileLookup", "true")
-        .text(root)
+        spark.read.option("pathGlobFilter", "profile.properties")
+        .text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
         .withColumn("folder", folder)
         .filter(F.col("folder") != "")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from odolog.catalog import LOG_COLUMNS, TIME_COLUMNS
-from odolog.functions.cells import cell_value, fill_missing
+from odolog.functions.cells import NULL_MARKERS, fill_missing
 from odolog.functions.names import alias_name, canonical_name
 from odolog.functions.times import parse_time
 from odolog.operators.quality import is_header_cell
@@ -18,10 +18,10 @@ from odolog.operators.quality import is_header_cell
 
 def _names(header: Column, use_aliases: bool) -> Column:
     rule = alias_name if use_aliases else canonical_name
-    return F.transform(F.split(header, ","), rule)
+    return F.transform(F.split(header, ","), lambda label: rule(label))
 
 
-def layouts(headers: DataFrame, columns: list[str], use_aliases: bool = False) -> DataFrame:
+def layouts(headers: DataFrame, use_aliases: bool = False) -> DataFrame:
     """``headers`` with ``names`` (canonical header names) instead of ``header``."""
     return headers.withColumn("names", _names(F.col("header"), use_aliases)).drop("header")
 
@@ -60,37 +60,49 @@ def parse_lines(
     columns: list[str] | None = None,
     line: str = "line",
     repeats: int | None = None,
+    carry: tuple[str, ...] = (),
+    broadcast: bool = False,
 ) -> DataFrame:
     """Raw text cells of each line by canonical column: (file, keep.., one text column each).
 
     Missing columns are null, short lines are padded with null, extra fields are cut. When several
     header columns share a canonical name the first one that holds a value counts. ``fields`` and
-    ``width`` give the number of fields of the line and of its header.
+    ``width`` give the number of fields of the line and of its header. ``carry`` names columns of
+    ``layout`` to add. With ``broadcast`` (for a layout table of checked size) lines are not shuffled.
     """
     columns = columns or LOG_COLUMNS
     repeats = repeats or widest_repeat(layout)
     places = layout.select(
         file,
+        *carry,
         F.size("names").alias("width"),
         *[_positions(columns, n).alias(f"_at{n}") for n in range(repeats)],
     )
-    cells = lines.join(places, file).withColumn("_cells", F.split(line, ","))
+    cells = lines.join(F.broadcast(places) if broadcast else places, file).withColumn("_cells", F.split(line, ","))
 
-    def cell(i: int) -> Column:
-        texts = [F.trim(F.get("_cells", F.get(f"_at{n}", F.lit(i)))) for n in range(repeats)]
+    # SQL text, as a hundred columns of nested Column objects would take seconds to build
+    def cell(i: int) -> str:
+        texts = [f"trim(get(_cells, get(_at{n}, {i})))" for n in range(repeats)]
         if repeats == 1:
             return texts[0]
-        return F.coalesce(*[F.when(~t.isin("", "-", "∞"), t) for t in texts], texts[0])
+        values = [f"nullif({_no_marker(t)}, '')" for t in texts]
+        return f"coalesce({', '.join(values)}, {texts[0]})"
 
     return cells.select(
         file,
         *keep,
+        *carry,
         F.size("_cells").alias("fields"),
         "width",
-        *[cell(i).alias(c) for i, c in enumerate(columns)],
+        *[F.expr(cell(i)).alias(c) for i, c in enumerate(columns)],
     )
 
 
+def _no_marker(text: str) -> str:
+    markers = ", ".join(f"'{m}'" for m in NULL_MARKERS)
+    return f"case when {text} not in ({markers}) then {text} end"
+
+
 def typed_rows(
     raw: DataFrame,
     keep: list[str],
@@ -107,7 +119,7 @@ def typed_rows(
     rows = raw.select(
         *keep,
         *[parse_time(F.col(c), device_zone).alias(c) for c in times],
-        *[cell_value(F.col(c)).alias(c) for c in numbers],
+        *[F.expr(f"try_cast({_no_marker(c)} as double)").alias(c) for c in numbers],
     )
     return fill_missing(rows, numbers) if missing == "zero" else rows
 
@@ -121,9 +133,13 @@ def read_log_rows(
     device_zone: str = "UTC",
     missing: str = "null",
     use_aliases: bool = False,
+    carry: tuple[str, ...] = (),
+    broadcast: bool = False,
 ) -> DataFrame:
     """Typed rows of log lines, header lines left out: one pass from text to the catalog's columns."""
     columns = columns or LOG_COLUMNS
-    raw = parse_lines(lines, layouts(headers, columns, use_aliases), file, keep, columns)
+    raw = parse_lines(
+        lines, layouts(headers, use_aliases), file, keep, columns, carry=carry, broadcast=broadcast
+    )
     data = raw.filter(~is_header_cell(F.col(TIME_COLUMNS[0])))
-    return typed_rows(data, [file, *keep], columns, device_zone, missing)
+    return typed_rows(data, [file, *keep, *carry], columns, device_zone, missing)
