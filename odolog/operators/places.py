@@ -168,6 +168,16 @@ def ambiguity_report(
     )
 
 
+def ambiguous_places(
+    points: DataFrame, places: DataFrame, box: Box, key: list[str], lat: str, lon: str,
+    hot_rows: int | None = HOT_CELL_ROWS,
+) -> DataFrame:
+    """Long relation (key, place_id, label) of the places in the box of points that have several."""
+    pairs = box_join(points, _named_places(places), box, lat, lon, "_plat", "_plon", hot_rows=hot_rows)
+    several = pairs.groupBy(*key).count().filter(F.col("count") > 1).select(*key)
+    return pairs.join(several, key, "left_semi").select(*key, "place_id", F.col("_label").alias("label"))
+
+
 def unlabelled_hits(matched: DataFrame, places: DataFrame) -> DataFrame:
     """One row: points matched to a place without a label."""
     bare = places.filter(F.col("label").isNull()).select("place_id")
@@ -329,14 +339,17 @@ def assign_places(
     return assignments, registry
 
 
-def count_exact_positions(trips: DataFrame, places: DataFrame, lat: str, lon: str) -> DataFrame:
+def count_exact_positions(trips: DataFrame, places: DataFrame, lat: str, lon: str, order: str) -> DataFrame:
     """Registry after trips counted by exact position: known positions gain their visits, unknown
-    ones become places with ids behind the known (place_id null until ``dense_ids`` gives one)."""
-    visits = trips.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count(F.lit(1)).alias("_visits"))
-    return places.join(visits, ["lat", "lon"], "full_outer").select(
-        "place_id",
-        "lat",
-        "lon",
-        (F.coalesce("count", F.lit(0)) + F.coalesce("_visits", F.lit(0))).alias("count"),
-        "label",
+    ones become places, numbered by their first trip along ``order``."""
+    visits = trips.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(
+        F.count(F.lit(1)).alias("_visits"), F.min(order).alias("_first")
+    )
+    known = places.join(visits.drop("_first"), ["lat", "lon"], "left").select(
+        "place_id", "lat", "lon", (F.col("count") + F.coalesce("_visits", F.lit(0))).alias("count"), "label"
+    )
+    top = places.agg(F.max("place_id")).first()[0] or 0
+    opened = dense_ids(visits.join(places, ["lat", "lon"], "left_anti"), ["_first"], "place_id", start=int(top) + 1)
+    return known.unionByName(
+        opened.select("place_id", "lat", "lon", F.col("_visits").alias("count"), F.lit(None).cast("string").alias("label"))
     )

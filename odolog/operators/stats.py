@@ -75,10 +75,22 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, excluded: tupl
 
 
 def file_stats(
-    df: DataFrame, key: str, columns: list[str] | None = None, excluded: tuple = ("gpstime", "devicetime")
+    df: DataFrame,
+    key: str,
+    columns: list[str] | None = None,
+    excluded: tuple = ("gpstime", "devicetime"),
+    files: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Per (file, column): nulls and their share. Files without rows do not appear."""
+    """Per (file, column): nulls and their share. Files without rows do not appear.
+
+    ``limit`` takes the first so many of ``files`` by key.
+    """
     picked = _value_columns(df, columns, [key, *excluded])
+    if limit is not None:
+        if files is None:
+            raise ValueError("a limit needs the files it counts")
+        df = df.join(F.broadcast(files.select(key).orderBy(key).limit(limit)), key, "left_semi")
     return _null_stats(df, [key], picked, "column").select(key, "column", "nulls", "null_ratio")
 
 

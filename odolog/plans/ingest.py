@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from odolog.catalog import LOG_COLUMNS
 from odolog.functions.cells import clean_line
@@ -21,6 +22,7 @@ from odolog.operators.stats import rows_per_file
 from odolog.plans.store import TripStore
 from odolog.session import durable
 from odolog.sources import files as sources
+from odolog.sources.legacy import read_legacy_trips
 from odolog.sources.logs import layouts, parse_lines, read_log_rows
 
 LISTED_PATHS = 10_000
@@ -189,3 +191,48 @@ def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_
         .withColumn("line", F.when(F.rtrim("line") == F.col("header"), F.col("_fixed")).otherwise(clean_line(F.col("line"))))
         .select(key, "block_start", "seq", "line")
     )
+
+
+def _written(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """Keys that an output of repaired or transferred lines already holds."""
+    try:
+        return spark.read.parquet(out).select(key).distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], f"{key} string")
+
+
+def repair_logs(spark: SparkSession, root: str, out: str, pattern: str = "trackLog-*.csv") -> DataFrame:
+    """Append the repaired lines of the logs below ``root`` to the Parquet folder ``out``.
+
+    Files that ``out`` already holds are skipped, damaged files are only reported. Returns the
+    report (path, header_lines, damaged, lines, changed_lines, status) of the files looked at.
+    """
+    done = _written(spark, out, "path")
+    lines = sources.read_lines(spark, root, pattern).join(done, "path", "left_anti")
+    heads = sources.read_headers(spark, root, pattern).join(done, "path", "left_anti")
+    report = durable(repair_report(lines))
+    repaired_lines(lines, heads).write.mode("append").parquet(out)
+    return report
+
+
+def transfer_legacy(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """Append the logs of the old folder layout to the Parquet folder ``out`` under their new names.
+
+    Rows are (csvfile, block_start, seq, line). Names that ``out`` already holds are skipped.
+    Returns the trip folders with what became of them in ``status``.
+    """
+    done = _written(spark, out, "csvfile").withColumn("_done", F.lit(True))
+    trips = durable(
+        read_legacy_trips(spark, root)
+        .join(done, "csvfile", "left")
+        .withColumn(
+            "status",
+            F.when(F.col("tripdate").isNull(), "no date").when(F.col("log_path").isNull(), "no log")
+            .when(F.col("_done") | ~F.col("hand_over"), "exists").otherwise("transferred"),
+        )
+        .select("folder", "tripdate", "csvfile", "log_path", "status")
+    )
+    moved = trips.filter(F.col("status") == "transferred").select(F.col("log_path").alias("path"), "csvfile")
+    lines = sources.read_lines(spark, root, "trackLog.csv").join(moved, "path")
+    lines.select("csvfile", "block_start", "seq", "line").write.mode("append").parquet(out)
+    return trips

@@ -235,6 +235,23 @@ def _(spark, d):
     return stats.file_stats(logs(spark, d), "fileid", LOG_VALUES)
 
 
+FIRST_FILES = "(select s_suppkey from supplier order by s_suppkey limit 7)"
+
+
+@query(
+    "file_stats_limited",
+    f"with {LOGS} "
+    + " union all ".join(
+        f"""select fileid, '{c}' as "column", count(*) filter (where {c} is null) as nulls,
+count(*) filter (where {c} is null) / count(*) as null_ratio from logs where fileid in {FIRST_FILES} group by fileid"""
+        for c in LOG_VALUES
+    ),
+)
+def _(spark, d):
+    files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("fileid"))
+    return stats.file_stats(logs(spark, d), "fileid", LOG_VALUES, files=files, limit=7)
+
+
 def profile_sql(source: str, columns: list[str], key: str | None = None) -> str:
     by = f"{key}, " if key else ""
     tail = f" group by {key}" if key else ""
@@ -1348,6 +1365,17 @@ def _(spark, d):
     )
 
 
+@query(
+    "ambiguous_places",
+    f"""with {positions_sql()}, {COUNTS} select t.c_custkey, p.place_id, p.label from pos t join places p on {box_sql(places.LIVE_BOX)}
+join c on c.c_custkey = t.c_custkey and c.matches > 1""",
+)
+def _(spark, d):
+    return places.ambiguous_places(
+        customer_positions(spark, d), supplier_places(spark, d), places.LIVE_BOX, ["c_custkey"], "lat", "lon"
+    )
+
+
 @query(
     "unlabelled_hits",
     f"""with {positions_sql()}, {COUNTS} select count(*) as unlabelled_hits from c join places p on p.place_id = c.one
@@ -1389,14 +1417,15 @@ def _(spark, d):
 
 @query(
     "exact_position_counts",
-    f"""with {GRID}, v as (select lat, lon, count(*) as n from pos group by all)
-select p.place_id, coalesce(p.lat, v.lat) as lat, coalesce(p.lon, v.lon) as lon,
-coalesce(p."count", 0) + coalesce(v.n, 0) as "count", null::varchar as label
-from places p full join v on v.lat = p.lat and v.lon = p.lon""",
+    f"""with {GRID}, v as (select lat, lon, count(*) as n, min(c_custkey) as f from pos group by all),
+fresh as (select * from v where not exists (select 1 from places p where p.lat = v.lat and p.lon = v.lon))
+select p.place_id, p.lat, p.lon, p."count" + coalesce(v.n, 0) as "count", null::varchar as label
+from places p left join v on v.lat = p.lat and v.lon = p.lon
+union all select (select max(place_id) from places) + row_number() over (order by f), lat, lon, n, null from fresh""",
 )
 def _(spark, d):
     trips, known = grid_tables(spark, d)
-    return places.count_exact_positions(trips, known, "lat", "lon")
+    return places.count_exact_positions(trips, known, "lat", "lon", "c_custkey")
 
 
 def sequential_sql(box: places.Box, lat_scale: str, lon_scale: str, result: str) -> str:

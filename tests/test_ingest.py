@@ -6,10 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from odolog.plans import statistics
-from odolog.plans.ingest import LoadOptions, load_logs, repaired_lines
+from odolog.plans.ingest import LoadOptions, load_logs, repair_logs, transfer_legacy
 from odolog.plans.store import TripStore
 from odolog.sources.files import discover, read_headers, read_lines
-from odolog.sources.legacy import read_legacy_trips
 from tests.logfiles import HEADER, T0, row, trip, write
 
 
@@ -210,12 +209,17 @@ def test_statistics_jobs(spark, store, logs):
     assert store.read("logs").count() == 0 and store.read("files").count() == 0
 
 
-def test_repaired_lines(spark, logs):
+def test_repair(spark, logs, tmp_path):
     write(logs, "trackLog-1.csv", ["a,-,-,b", "-,∞,c"], "GPS Time,Speed (OBD)(km/h),x,CO₂")
     write(logs, "trackLog-2.csv", ["1", "gps,2"], "gps")
-    lines, heads = read_lines(spark, str(logs)), read_headers(spark, str(logs))
-    got = [r["line"] for r in repaired_lines(lines, heads).orderBy("path", "seq").collect()]
+    out = str(tmp_path / "repaired")
+    status = {r["path"][-5]: (r["status"], r["changed_lines"]) for r in repair_logs(spark, str(logs), out).collect()}
+    assert status == {"1": ("ok", 2), "2": ("error", 0)}
+    got = [r["line"] for r in spark.read.parquet(out).orderBy("path", "seq").collect()]
     assert got == ["gpstime,speedobdkmh,x,co", "a,0,0,b", "0,0,c"]
+    again = repair_logs(spark, str(logs), out)
+    assert [r["path"][-5] for r in again.collect()] == ["2"]
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_legacy_layout(spark, tmp_path):
@@ -234,10 +238,15 @@ def test_legacy_layout(spark, tmp_path):
     folder("1656526335003", "yesterday")
     folder("1656526335004", "Thu Jun 30 18:12:15 GMT 2022", log=False)
     folder("short", "Thu Jun 30 18:12:15 GMT 2022")
-    got = {r["folder"][-1]: r for r in read_legacy_trips(spark, str(root)).collect()}
+    out = str(tmp_path / "moved")
+    got = {r["folder"][-1]: r for r in transfer_legacy(spark, str(root), out).collect()}
     assert set(got) == {"0", "1", "2", "3", "4"}
     assert got["0"]["csvfile"] == got["1"]["csvfile"] == "trackLog-2022-Jun-29_18-12-15.csv"
-    assert {k: v["hand_over"] for k, v in got.items()} == {"0": True, "1": False, "2": False, "3": False, "4": False}
+    status = {k: v["status"] for k, v in got.items()}
+    assert status == {"0": "transferred", "1": "exists", "2": "no date", "3": "no date", "4": "no log"}
+    assert spark.read.parquet(out).count() == 61
+    assert transfer_legacy(spark, str(root), out).filter("status = 'transferred'").count() == 0
+    assert spark.read.parquet(out).count() == 61
     assert got["2"]["tripdate"] is None and got["3"]["tripdate"] is None
 
 
