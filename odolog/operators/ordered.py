@@ -125,13 +125,17 @@ class MarkerRuns:
             ),
         )
 
-    def _chunk_edges(self) -> DataFrame:
-        """Per chunk: markers, first and last timed row, and the gap carried in from before."""
+    def _chunk_edges(self, is_break: Column | None = None) -> DataFrame:
+        """Per chunk: first and last timed row, the gap carried in from before (``_gap``), and the
+        sum of the gaps (``_gaps``) and the number of breaks (``_breaks``) inside."""
         opening = F.col("_t").isNotNull() & F.col("_pv").isNull()
+        inner_break = F.lit(False) if is_break is None else is_break
         edges = self.rows.groupBy(*self.group).agg(
             F.sum(F.col("_marker").cast("long")).alias("_markers"),
             F.first(F.when(opening, F.struct("_n", "_t", "_m")), ignorenulls=True).alias("_fv"),
             F.max(F.when(F.col("_t").isNotNull(), F.struct("_n", "_t", "_m"))).alias("_lv"),
+            F.sum("_gap").alias("_gaps"),
+            F.count_if(inner_break).alias("_breaks"),
         )
         before = (
             Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -166,32 +170,29 @@ class MarkerRuns:
         """
         if mode not in ("each", "total"):
             raise ValueError(f"unknown mode {mode}")
-        is_break = F.col("_gap").isNotNull() if mode == "total" else F.coalesce(F.col("_gap") > max_gap, F.lit(False))
+        gap = F.col("_gap")
+        is_break = gap.isNotNull() if mode == "total" else F.coalesce(gap > max_gap, F.lit(False))
         w = Window.partitionBy(*self.group).orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        along = Window.partitionBy(*self.keys).orderBy(_CHUNK)
-        before = along.rowsBetween(Window.unboundedPreceding, -1)
-        inner = self.rows.withColumn("_break", is_break.cast("long"))
-        rows = inner.withColumn("_b", F.sum("_break").over(w))
-        breaks = inner.groupBy(*self.group).agg(
-            F.sum("_break").alias("_breaks"), F.sum("_gap").alias("_gaps")
-        )
-        edges = self._chunk_edges().withColumn("_break0", is_break.cast("long")).join(breaks, self.group)
-        offset = F.coalesce(F.sum(F.col("_breaks") + F.col("_break0")).over(before), F.lit(0))
-        total = F.coalesce(
-            F.sum(F.coalesce("_gaps", F.lit(0.0)) + F.coalesce("_gap", F.lit(0.0))).over(
-                Window.partitionBy(*self.keys)
-            ),
-            F.lit(0.0),
+        rows = self.rows.withColumn("_b", F.sum(is_break.cast("long")).over(w))
+
+        before = (
+            Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         )
+        edges = self._chunk_edges(is_break).withColumn("_break0", is_break.cast("long"))
+        sums = F.coalesce("_gaps", F.lit(0.0)) + F.coalesce(gap, F.lit(0.0))
         carried = edges.select(
-            *self.group, offset.alias("_offset"), "_break0", F.col("_fv._n").alias("_from"), total.alias("_total")
+            *self.group,
+            "_break0",
+            F.col("_fv._n").alias("_from"),
+            F.coalesce(F.sum(F.col("_breaks") + F.col("_break0")).over(before), F.lit(0)).alias("_offset"),
+            F.sum(sums).over(Window.partitionBy(*self.keys)).alias("_total"),
         )
         joined = rows.filter(~F.col("_marker")).join(carried, self.group)
         carried_break = F.when(F.col("_n") >= F.col("_from"), F.col("_break0")).otherwise(F.lit(0))
         number = F.col("_offset") + F.col("_b") + carried_break
         if mode == "total":
             number = F.when(F.col("_total") > max_gap, number).otherwise(F.lit(0))
-        helpers = [_CHUNK, "_marker", "_n", "_m", "_t", "_pair", "_pv", "_gap", "_break", "_b"]
+        helpers = [_CHUNK, "_marker", "_n", "_m", "_t", "_pair", "_pv", "_gap", "_b"]
         return joined.withColumn(name, number.cast("long")).drop(
             *helpers, "_offset", "_break0", "_from", "_total"
         )

@@ -90,7 +90,8 @@ def box_join(
     right = _around(places, py, px)
     on = ["_cy", "_cx"]
     if hot_rows:
-        hot = (
+        # at most (points / hot_rows) cells can be hot, which bounds the broadcast
+        hot = F.broadcast(
             left.groupBy("_cy", "_cx")
             .count()
             .filter(F.col("count") > hot_rows)

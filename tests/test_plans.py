@@ -13,12 +13,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
-def test_no_cross_join(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 @pytest.mark.parametrize(
     "name", ["trip_speeds", "column_stats", "file_stats", "trip_statistics", "trip_wide", "start_end_positions", "bounding_box"]
 )
