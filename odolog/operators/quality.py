@@ -131,12 +131,16 @@ def trip_summary(
     )
 
 
+def is_header_line(line: Column) -> Column:
+    """True where the first four characters of a line hold ``gps``."""
+    return F.contains(F.lower(F.substring(line, 1, 4)), F.lit("gps"))
+
+
 def header_line_counts(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """Per file: lines whose first four characters hold ``gps``; more than one means damaged."""
-    hit = F.contains(F.lower(F.substring(F.col(line), 1, 4)), F.lit("gps"))
+    """Per file: header lines; more than one means damaged."""
     return (
         lines.groupBy(*keys)
-        .agg(F.count_if(hit).alias("header_lines"))
+        .agg(F.count_if(is_header_line(F.col(line))).alias("header_lines"))
         .withColumn("damaged", F.col("header_lines") > 1)
     )
 

@@ -108,12 +108,15 @@ def _with_state(values: DataFrame, state: DataFrame, group: list[str]) -> DataFr
     return joined.filter(F.col("value").between(F.col("lo"), F.col("hi")))
 
 
-def _select_ranks(values: DataFrame, group: list[str], max_group: int, buckets: int = 1024) -> DataFrame:
+def _select_ranks(
+    values: DataFrame, group: list[str], max_group: int, ranges: DataFrame | None = None, buckets: int = 1024
+) -> DataFrame:
     """Exact medians of ``value`` per ``group`` for groups too large to hold in one task.
 
     Narrows a bracket around the middle values. Each pass counts the bracket in equal-width
     buckets, so at most ``buckets`` rows per group and task are shuffled, and keeps the bucket that
     holds the middle. Brackets that fit ``max_group`` rows are finished by sorting what lies in them.
+    ``ranges`` has (group, n, lo, hi) where these are already known.
     """
     top = 1.7976931348623157e308
 
@@ -121,10 +124,12 @@ def _select_ranks(values: DataFrame, group: list[str], max_group: int, buckets:
         # widths of any bracket stay finite
         return F.greatest(F.least(c, F.lit(top)), F.lit(-top)) / 4
 
+    if ranges is None:
+        ranges = values.groupBy(*group).agg(
+            F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        )
     state = durable(
-        values.groupBy(*group)
-        .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")})
+        ranges.filter(F.col("n") > 0).withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")})
     )
     solved = []
     while True:
@@ -180,17 +185,24 @@ def _select_ranks(values: DataFrame, group: list[str], max_group: int, buckets:
     )
 
 
-def exact_medians(df: DataFrame, keys: list[str], columns: list[str], max_group: int = MEDIAN_ROWS) -> DataFrame:
+def exact_medians(
+    df: DataFrame, keys: list[str], columns: list[str], max_group: int = MEDIAN_ROWS, ranges: DataFrame | None = None
+) -> DataFrame:
     """(keys, column, median): exact medians however large a group is.
 
     One counting pass finds the groups above ``max_group`` rows. All others go to Spark's
     ``median``, which keeps a group's values in one task; the large ones are solved by selection.
+    Without keys, ``ranges`` (column, rows, n, lo, hi) saves the passes that find them.
     """
     kinds = dict(df.dtypes)
     clean = {c: _no_nan(c, kinds).cast("double") for c in columns}
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = durable(counts.filter(F.col("_rows") > max_group).select(*keys, "_rows")).drop("_rows") if keys else None
-    n_large = large.count() if keys else int((counts.first()[0] or 0) > max_group)
+    if keys:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        large = durable(counts.filter(F.col("_rows") > max_group).select(*keys))
+        n_large = large.count()
+    else:
+        rows = df.count() if ranges is None else ranges.agg(F.max("rows")).first()[0]
+        n_large = int((rows or 0) > max_group)
     small_rows, large_rows = df, df
     if keys and n_large:
         side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
@@ -202,7 +214,8 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str], max_group:
     if n_large:
         pairs = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in clean.items()]
         values = large_rows.select(*keys, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
-        parts.append(_select_ranks(values, [*keys, "column"], max_group))
+        known = None if keys or ranges is None else ranges.select("column", "n", "lo", "hi")
+        parts.append(_select_ranks(values, [*keys, "column"], max_group, known))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -242,7 +255,13 @@ def column_profile(
     wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *exprs)
     out = unpivot_measures(wide, [*keys, "rows"], columns, measures, "column")
     if not approximate:
-        out = out.join(exact_medians(df, keys, columns, max_group), [*keys, "column"], "left")
+        ranges = None
+        if not keys:  # one row per column
+            out = durable(out)
+            ranges = out.select(
+                "column", "rows", (F.col("rows") - F.col("nulls")).alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi")
+            )
+        out = out.join(exact_medians(df, keys, columns, max_group, ranges), [*keys, "column"], "left")
     per_null = F.when(F.col("nulls") > 0, F.col("rows") / F.col("nulls")).otherwise(F.lit(0.0))
     return out.select(
         *keys, "column", "rows", "nulls", per_null.alias("rows_per_null"), "min", "median", "mean", "max"

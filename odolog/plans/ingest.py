@@ -170,10 +170,16 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
 
 def repair_report(lines: DataFrame, key: str = "path", line: str = "line") -> DataFrame:
     """Per file: whether it can be repaired (one header) and how many lines the repair changes."""
-    changed = F.count_if(clean_line(F.col(line)) != F.col(line)).alias("changed_lines")
-    checked = quality.header_line_counts(lines, [key], line)
-    return checked.join(lines.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), changed), key).withColumn(
-        "status", F.when(F.col("damaged"), "error").otherwise("ok")
+    text = F.col(line)
+    return (
+        lines.groupBy(key)
+        .agg(
+            F.count_if(quality.is_header_line(text)).alias("header_lines"),
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if(clean_line(text) != text).alias("changed_lines"),
+        )
+        .withColumn("damaged", F.col("header_lines") > 1)
+        .withColumn("status", F.when(F.col("damaged"), "error").otherwise("ok"))
     )
 
 
