@@ -61,7 +61,8 @@ def _around(df: DataFrame, cy: Column, cx: Column) -> DataFrame:
     return (
         df.withColumn("_dy", F.explode(steps))
         .withColumn("_dx", F.explode(steps))
-        .withColumns({"_cy": cy + F.col("_dy"), "_cx": cx + F.col("_dx")})
+        # null beyond the last cell, where absurd coordinates end up
+        .withColumns({"_cy": F.try_add(cy, F.col("_dy")), "_cx": F.try_add(cx, F.col("_dx"))})
         .drop("_dy", "_dx")
     )
 
@@ -284,8 +285,9 @@ def assign_places(
     Assignments: (key, place_id, matches, outcome). Trips without a position are not matched.
     ``order`` must tell all trips apart.
     """
+    located = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     ranked = dense_ids(
-        trips.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+        trips.filter(located).select(
             key, *[c for c in order if c != key], F.col(lat).alias("_lat"), F.col(lon).alias("_lon")
         ),
         order,

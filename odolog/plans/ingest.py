@@ -25,8 +25,7 @@ from odolog.sources import files as sources
 from odolog.sources.legacy import read_legacy_trips
 from odolog.sources.logs import layouts, parse_lines, read_log_rows
 
-LISTED_PATHS = 10_000
-BROADCAST_FILES = 50_000
+BATCH_FILES = 50_000
 
 
 @dataclass(frozen=True)
@@ -46,8 +45,8 @@ class LoadOptions:
 def _new_lines(store: TripStore, root: str, batch: DataFrame, options: LoadOptions, n_files: int) -> DataFrame:
     """Lines of the batch's files; few files are read by name, many by scanning ``root`` (the join
     with the batch's layouts then leaves out the lines of other files)."""
-    if n_files <= LISTED_PATHS:
-        paths = [r[0] for r in batch.select("path").collect()]
+    if n_files <= BATCH_FILES:
+        paths = [r[0] for r in batch.select("location").collect()]
         lines = sources.read_lines(store.spark, paths)
     else:
         lines = sources.read_lines(store.spark, root, options.pattern)
@@ -66,14 +65,14 @@ def gate(
     layout = layouts(batch.select("path", "header"), options.use_aliases)
     raw = parse_lines(lines, layout, "path", ["block_start", "seq"], narrow, broadcast=broadcast)
     header = quality.is_header_cell(F.col("gpstime"))
+    time = parse_time(F.col("gpstime"), options.device_zone)
     counts = raw.groupBy("path").agg(
         F.count_if(~header).alias("rows"),
-        F.count_if(~quality.has_value(F.col("gpstime"))).alias("dropped_rows"),
-        (F.count_if(header) - 1).alias("header_rows"),
+        F.count_if(~header & time.isNull()).alias("dropped_rows"),
+        F.greatest(F.count_if(header) - 1, F.lit(0)).alias("header_rows"),
     )
     timed = quality.rows_with_time(raw).select(
-        "path", "block_start", "seq", header.alias("marker"),
-        parse_time(F.col("gpstime"), options.device_zone).alias("gpstime"),
+        "path", "block_start", "seq", header.alias("marker"), time.alias("gpstime"),
         F.col("latitude").try_cast("double").alias("latitude"),
         F.col("longitude").try_cast("double").alias("longitude"),
     )
@@ -99,9 +98,10 @@ def gate(
 
 
 def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions()) -> DataFrame:
-    """Load the new logs below ``root``; returns one report row per new file.
+    """Load the new logs below ``root``; returns one report row per new file (and per file too
+    large to be hashed).
 
-    A first load of millions of files runs best in batches (``limit`` up to ``BROADCAST_FILES``): the
+    A first load of millions of files runs best in batches (``limit`` up to ``BATCH_FILES``): the
     wide lines of such a batch are never shuffled. Loading the same files again changes nothing. Rejected files are not registered, so they are
     looked at again next time.
     """
@@ -113,13 +113,14 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
         batch = batch.orderBy("path").limit(options.limit)
     batch = durable(batch)
     n_files = batch.count()
+    huge = sources.oversize(spark, root, options.pattern).selectExpr(
+        "path", "0L as rows", "0L as dropped_rows", "0L as header_rows", "'too large' as reason", "1L as reasons", "0L as sent_rows"
+    )
     if n_files == 0:
-        return spark.createDataFrame(
-            [], "path string, rows long, dropped_rows long, header_rows long, reason string, reasons long, sent_rows long"
-        )
+        return huge
     lines = _new_lines(store, root, batch, options, n_files)
     # one small layout row per file: up to this many are broadcast, so that lines are not shuffled
-    broadcast = n_files <= BROADCAST_FILES
+    broadcast = n_files <= BATCH_FILES
     counts, accepted, rejects = gate(lines, batch, known, options, broadcast)
     fresh = registry.with_new_ids(accepted.join(batch.select("path", "csvhash", "header"), "path"), known, ["path"])
 
@@ -165,7 +166,7 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
     return quality.ingest_report(
         batch.select("path").join(counts, "path", "left").na.fill(0, ["rows", "dropped_rows", "header_rows"]),
         stored, rejects, "path",
-    )
+    ).unionByName(huge)
 
 
 def repair_report(lines: DataFrame, key: str = "path", line: str = "line") -> DataFrame:

@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MIN_SIZE = 3000
+MAX_SIZE = 2**31 - 1 - 1024  # one value of Spark's binary reader
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .load(root)
+    )
 
 
 def discover(
     spark: SparkSession, root: str, pattern: str = "trackLog*.csv", min_size: int = MIN_SIZE, inclusive: bool = False
 ) -> DataFrame:
-    """Files below ``root``: (path, csvfile, size, csvhash, header).
+    """Files below ``root``: (path, location, csvfile, size, csvhash, header).
+
+    ``path`` is the name ``read_lines`` gives the file's lines, ``location`` the path to read it by.
 
     Size bounds are pushed into the listing, so small files are never opened. The hash is the md5
-    of the whole content. ``inclusive`` also takes files of exactly ``min_size`` bytes.
+    of the whole content. ``inclusive`` also takes files of exactly ``min_size`` bytes. Files too
+    large to be hashed are listed by ``oversize``.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
     size = F.col("length")
-    return found.filter(size >= min_size if inclusive else size > min_size).select(
-        "path",
+    wanted = (size >= min_size if inclusive else size > min_size) & (size <= MAX_SIZE)
+    return _listed(spark, root, pattern).filter(wanted).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace("path", r"([\[\]{}*?])", r"\\$1").alias("location"),
         F.element_at(F.split("path", "/"), -1).alias("csvfile"),
         size.alias("size"),
         F.md5("content").alias("csvhash"),
@@ -31,6 +40,13 @@ def discover(
     )
 
 
+def oversize(spark: SparkSession, root: str, pattern: str = "trackLog*.csv") -> DataFrame:
+    """Paths of files that cannot be hashed in one piece; their content is not read."""
+    return _listed(spark, root, pattern).filter(F.col("length") > MAX_SIZE).select(
+        F.col("_metadata.file_path").alias("path")
+    )
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """Lines of text files: (path, block_start, seq, line).
 

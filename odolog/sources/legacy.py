@@ -50,7 +50,7 @@ def read_legacy_trips(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "trackLog.csv")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path")
+        .select(F.col("_metadata.file_path").alias("path"))
         .withColumn("folder", folder)
         .filter(F.col("folder") != "")
         .withColumnRenamed("path", "log_path")

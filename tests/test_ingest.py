@@ -1,6 +1,7 @@
 """The load job on log files, from discovery to registry and places."""
 
 from datetime import timedelta
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,18 +40,18 @@ def logs(tmp_path):
 
 
 def report(df):
-    return {r["path"].split("/")[-1]: r.asDict() for r in df.collect()}
+    return {unquote(r["path"].split("/")[-1]): r.asDict() for r in df.collect()}
 
 
 def test_load_and_reload(spark, store, logs):
     write(logs, "a/trackLog-1.csv", trip())
-    write(logs, "b/trackLog-2.csv", trip(T0 + timedelta(days=1), lon=10.00001))
+    write(logs, "b c/trackLog-2 [x] å.csv", trip(T0 + timedelta(days=1), lon=10.00001))
     write(logs, "b/other.csv", trip(T0 + timedelta(days=2)))
     out = report(load_logs(store, str(logs)))
-    assert {k: v["sent_rows"] for k, v in out.items()} == {"trackLog-1.csv": 60, "trackLog-2.csv": 60}
+    assert {k: v["sent_rows"] for k, v in out.items()} == {"trackLog-1.csv": 60, "trackLog-2 [x] å.csv": 60}
     assert all(v["reason"] is None and v["dropped_rows"] == 0 and v["header_rows"] == 0 for v in out.values())
     files = {r["csvfile"]: r for r in store.read("files").collect()}
-    first, second = files["trackLog-1.csv"], files["trackLog-2.csv"]
+    first, second = files["trackLog-1.csv"], files["trackLog-2 [x] å.csv"]
     assert (first["fileid"], second["fileid"]) == (1, 2)
     assert first["trip_duration"] == 59.0 and first["sent_rows"] == 60
     assert (first["startlat"], first["startlon"]) == (50.0, 10.0)
@@ -83,6 +84,7 @@ def test_gates(spark, store, logs):
     write(logs, "trackLog-same.csv", [*twin, row(day(7) + timedelta(seconds=70))])
     some = trip(day(8))
     some[3] = "-" + some[3][28:]
+    some[5] = "yesterday" + some[5][28:]
     write(logs, "trackLog-some.csv", [*some, HEADER])
     out = report(load_logs(store, str(logs)))
     reasons = {k[9:-4]: v["reason"] for k, v in out.items()}
@@ -91,7 +93,7 @@ def test_gates(spark, store, logs):
         "same": None, "twin1": "known start", "some": None,
     }
     assert out["trackLog-ok60.csv"]["sent_rows"] == 60 and out["trackLog-ok60.csv"]["header_rows"] == 1
-    assert out["trackLog-some.csv"]["dropped_rows"] == 1 and out["trackLog-some.csv"]["sent_rows"] == 59
+    assert out["trackLog-some.csv"]["dropped_rows"] == 2 and out["trackLog-some.csv"]["sent_rows"] == 58
     # rejected files are not registered and come up again; accepted and known ones do not come back as new rows
     again = report(load_logs(store, str(logs)))
     assert set(k[9:-4] for k in again) == {"bad61", "long", "notime", "twin1"}

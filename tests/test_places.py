@@ -96,6 +96,16 @@ def test_box_join_equals_brute_force(spark, hot_rows):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_absurd_positions(spark):
+    box = Box(1.0, 1.0)
+    points = [(1, 3.4e38, 0.0), (2, 3.4e38, 0.5), (3, -3.4e38, 0.0), (4, float("nan"), 0.0), (5, 0.0, 0.0)]
+    p, k = tables(spark, points, [])
+    got, registry = assign_places(p, k, box, "trip", "lat", "lon", ["trip"], local_rows=0)
+    want = {1: (1, 0, "new"), 2: (1, 1, "matched"), 3: (2, 0, "new"), 5: (3, 0, "new")}
+    assert {r["trip"]: (r["place_id"], r["matches"], r["outcome"]) for r in got.collect()} == want
+    assert registry.count() == 3
+
+
 def test_preset_tolerances():
     assert match_box(0.00002) == Box(0.0000510 + 0.00002, 0.0001221 + 0.00002)
     assert start_box() == Box(0.0001010 + 0.00004, 0.0001421 + 0.00004)
