@@ -100,24 +100,34 @@ def file_stats(
 BROADCAST_GROUPS = 100_000
 
 
-def _with_state(values: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
-    """Values inside the bracket of their group. Few brackets (counted) are broadcast, so the values
-    are not shuffled; many are joined by key."""
-    few = state.count() <= BROADCAST_GROUPS
-    joined = values.join(F.broadcast(state) if few else state, group)
-    return joined.filter(F.col("value").between(F.col("lo"), F.col("hi")))
-
-
 def _select_ranks(
-    values: DataFrame, group: list[str], max_group: int, ranges: DataFrame | None = None, buckets: int = 1024
+    df: DataFrame,
+    keys: list[str],
+    clean: dict[str, Column],
+    max_group: int,
+    ranges: DataFrame | None = None,
+    buckets: int = 1024,
 ) -> DataFrame:
-    """Exact medians of ``value`` per ``group`` for groups too large to hold in one task.
+    """Exact medians per (keys, column) for groups too large to hold in one task.
 
     Narrows a bracket around the middle values. Each pass counts the bracket in equal-width
     buckets, so at most ``buckets`` rows per group and task are shuffled, and keeps the bucket that
     holds the middle. Brackets that fit ``max_group`` rows are finished by sorting what lies in them.
-    ``ranges`` has (group, n, lo, hi) where these are already known.
+    A pass reads only the columns that are not solved yet. ``ranges`` has (column, n, lo, hi) where
+    these are already known.
     """
+    group = [*keys, "column"]
+
+    def values(columns: list[str]) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("column"), clean[c].alias("value")) for c in columns]
+        return df.select(*keys, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+
+    def in_brackets() -> DataFrame:
+        # few brackets (counted) are broadcast, so the values are not shuffled
+        side = F.broadcast(state) if sum(o["groups"] for o in open_columns) <= BROADCAST_GROUPS else state
+        joined = values([o["column"] for o in open_columns]).join(side, group)
+        return joined.filter(F.col("value").between(F.col("lo"), F.col("hi")))
+
     top = 1.7976931348623157e308
 
     def quarter(c: str) -> Column:
@@ -125,24 +135,27 @@ def _select_ranks(
         return F.greatest(F.least(c, F.lit(top)), F.lit(-top)) / 4
 
     if ranges is None:
-        ranges = values.groupBy(*group).agg(
-            F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        ranges = durable(
+            values(list(clean))
+            .groupBy(*group)
+            .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         )
-    state = durable(
-        ranges.filter(F.col("n") > 0).withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")})
-    )
+    state = ranges.filter(F.col("n") > 0).withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")})
     solved = []
     while True:
         done = F.col("lo") == F.col("hi")
         solved.append(state.filter(done).select(*group, F.col("lo").alias("median")))
         state = state.filter(~done)
-        largest = state.agg(F.max("inside")).first()[0]
-        if largest is None or largest <= max_group:
+        # one row per column
+        open_columns = (
+            state.groupBy("column").agg(F.max("inside").alias("largest"), F.count(F.lit(1)).alias("groups")).collect()
+        )
+        if max((o["largest"] for o in open_columns), default=0) <= max_group:
             break
         share = (quarter("value") - quarter("lo")) / (quarter("hi") - quarter("lo"))
         bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
         counted = (
-            _with_state(values, state, group)
+            in_brackets()
             .withColumn("bucket", bucket)
             .groupBy(*group, "n", "below", "bucket")
             .agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi"))
@@ -176,10 +189,9 @@ def _select_ranks(
     out = solved[0]
     for part in solved[1:]:
         out = out.unionByName(part)
-    if largest is None:
+    if not open_columns:
         return out
-    rest = _with_state(values, state, group)
-    rest = rest.groupBy(*group, "n", "below").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    rest = in_brackets().groupBy(*group, "n", "below").agg(F.sort_array(F.collect_list("value")).alias("v"))
     return out.unionByName(
         rest.select(*group, ((at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2).alias("median"))
     )
@@ -212,10 +224,8 @@ def exact_medians(
         wide = small_rows.groupBy(*keys).agg(*[F.median(v).alias(f"median__{c}") for c, v in clean.items()])
         parts.append(unpivot_measures(wide, keys, columns, ["median"], "column"))
     if n_large:
-        pairs = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in clean.items()]
-        values = large_rows.select(*keys, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
         known = None if keys or ranges is None else ranges.select("column", "n", "lo", "hi")
-        parts.append(_select_ranks(values, [*keys, "column"], max_group, known))
+        parts.append(_select_ranks(large_rows, keys, clean, max_group, known))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -47,8 +47,7 @@ def random_case(seed, n=400, spread=8.0):
     return points, known
 
 
-@pytest.mark.parametrize("local_rows", [0, 50, 100_000])
-@pytest.mark.parametrize("every", [False, True])
+@pytest.mark.parametrize("local_rows,every", [(0, False), (50, True), (100_000, False)])
 def test_assignment_equals_loop(spark, local_rows, every):
     box = Box(1.0, 0.5)
     points, known = random_case(7)
