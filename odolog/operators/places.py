@@ -191,6 +191,7 @@ def unlabelled_hits(matched: DataFrame, places: DataFrame) -> DataFrame:
 
 def _finish_leaders(box: Box):
     """Sequential pass over the few positions left: who opens a place, in order."""
+    lat_tol, lon_tol = box.lat_tol, box.lon_tol  # plain numbers, so tasks need nothing of this package
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_rank")
@@ -199,7 +200,7 @@ def _finish_leaders(box: Box):
         for i, (y, x, lat, lon) in enumerate(zip(rows["_cy"], rows["_cx"], rows["_lat"], rows["_lon"])):
             near = (p for dy in (-1, 0, 1) for dx in (-1, 0, 1) for p in by_cell.get((y + dy, x + dx), ()))
             if not any(
-                lat - box.lat_tol <= a <= lat + box.lat_tol and lon - box.lon_tol <= b <= lon + box.lon_tol
+                lat - lat_tol <= a <= lat + lat_tol and lon - lon_tol <= b <= lon + lon_tol
                 for a, b in near
             ):
                 by_cell.setdefault((y, x), []).append((lat, lon))
