@@ -23,3 +23,43 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or (letters >= 20 and 10 * capitals > 6 * letters)
     or (n_words >= 50 and 10 * len(list_distinct(ws)) < n_words)) as kept
 from v"""
+
+
+def _secret_kind(rank: int, name: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""select doc_id, source, {rank} as rank, '{name}' as kind, {least} as least,
+  regexp_extract_all(t, '{p}') as ms, regexp_extract_all(t, '{p}', {group}) as vs, string_split_regex(t, '{p}') as ps
+  from d"""
+
+
+_SECRET_KINDS = [
+    (0, "assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    (1, "access", r"AKIA[A-Z0-9]+", 0, 16),
+    (2, "hex", r"[0-9a-f]+", 0, 32),
+    (3, "pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
+    (4, "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    (5, "prefixed", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]{16,}", 0, 1),
+]
+
+ORACLES["op2_secret_scan"] = f"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+k as ({' union all '.join(_secret_kind(*k) for k in _SECRET_KINDS)}),
+m as (select doc_id, source, rank, kind, least, ms[i] as m, vs[i] as v,
+    list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as s
+  from (select *, unnest(range(1, len(ms) + 1)) as i from k)),
+f as (select doc_id, source, rank, kind, s::bigint as s, (s + length(m))::bigint as e, v from m where length(v) >= least),
+o as (select v, count(distinct doc_id) as repos, count(distinct source) as owners from f group by v),
+c as (select f.*, owners >= 3 or repos >= 8 as copied,
+    len(list_distinct(string_split(f.v, ''))) >= 8 and regexp_matches(f.v, '[0-9]')
+      and not regexp_matches(f.v, '(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0123456|1234567|abcdef') as random
+  from f join o on f.v = o.v),
+g as (select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access,
+    count(*) filter (rank = 2) as n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < 3) as base,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans,
+    count(*) filter (not copied and random) as n_live, count(*) filter (copied) as n_copied,
+    count(*) filter (not copied and not random) as n_weak from c group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live,
+  coalesce(n_copied, 0) as n_copied, coalesce(n_weak, 0) as n_weak
+from d left join g on d.doc_id = g.doc_id"""
