@@ -63,3 +63,22 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live,
   coalesce(n_copied, 0) as n_copied, coalesce(n_weak, 0) as n_weak
 from d left join g on d.doc_id = g.doc_id"""
+
+ORACLES["op9_histogram_sort"] = """
+with t as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)),
+    lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as crcs),
+d as (select doc_id, coalesce(text, '') as text, strlen(coalesce(text, '')) + 16 as size from documents),
+h as (select doc_id, size, hex(encode(text)) as x from d),
+b as (select doc_id, size, list_transform(regexp_extract_all(x, '..'), lambda y: ('0x' || y)::bigint) as bytes from h),
+k as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, bytes),
+    lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1])), 4294967295::bigint) as text_crc32 from b, t),
+s as (select *, sum(size) over (order by doc_id) as upto from k),
+total as (select sum(size) as b from k),
+cuts as (select i, b * i // 320 as target from total, (select unnest(range(1, 320)) as i)),
+low as (select i, target, (select coalesce(max(upto), 0) from s where upto < target) as l from cuts),
+both_ as (select i, target, l, (select min(upto) from s where upto >= target) as h from low),
+best as (select i, case when target - l <= h - target then l else h end as cut from both_),
+shards as (select row_number() over (order by cut) as shard, cut from best where i % 8 = 0),
+placed as (select s.*, (select count(*) from shards where cut < s.upto) as shard from s)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot,
+  null as grown_shard from placed"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from odolog.llm import quality_rules, secret_scan
+from odolog.llm import quality_rules, secret_scan, sharding
 from odolog.llm.common import table
 from odolog.llm.oracles import ORACLES
 
@@ -23,6 +23,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+@query
+def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
