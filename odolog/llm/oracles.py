@@ -82,3 +82,10 @@ shards as (select row_number() over (order by cut) as shard, cut from best where
 placed as (select s.*, (select count(*) from shards where cut < s.upto) as shard from s)
 select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot,
   null as grown_shard from placed"""
+
+ORACLES["op3_warc"] = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, p.payload_digest, case when page_id != first then 'revisit' else 'response' end as record_type,
+  case when page_id != first then first end as refers_to
+from p left join f on p.payload_digest = f.payload_digest and payload_bytes >= 100"""
