@@ -89,3 +89,19 @@ f as (select payload_digest, min(page_id) as first from p where payload_bytes >=
 select page_id, payload_bytes, p.payload_digest, case when page_id != first then 'revisit' else 'response' end as record_type,
   case when page_id != first then first end as refers_to
 from p left join f on p.payload_digest = f.payload_digest and payload_bytes >= 100"""
+
+ORACLES["op7_minhash"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: ws[i : i + 4])
+    when len(ws) > 0 then [ws] else [] end) as shingle from w),
+s as (select distinct doc_id, hash(shingle) as x, shingle from g),
+n as (select doc_id, count(*) as n from s group by doc_id),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.shingle = b.shingle
+  and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from both_ join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+two as (select a, b from links union all select b, a from links),
+reach as (select doc_id as v, doc_id as r from documents union select two.a, reach.r from reach join two on reach.v = two.b),
+low as (select v, min(r) as component_id from reach group by v)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join low on d.doc_id = v left join n on n.doc_id = d.doc_id"""
