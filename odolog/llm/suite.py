@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from odolog.llm import minhash, packing, quality_rules, secret_scan, sharding, surrogates, warc
+from odolog.llm import minhash, packing, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
 from odolog.llm.common import table
 from odolog.llm.oracles import ORACLES
 
@@ -56,6 +56,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), 40)
