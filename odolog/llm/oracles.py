@@ -105,3 +105,15 @@ reach as (select doc_id as v, doc_id as r from documents union select two.a, rea
 low as (select v, min(r) as component_id from reach group by v)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join low on d.doc_id = v left join n on n.doc_id = d.doc_id"""
+
+ORACLES["op4_multi_index"] = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+  and len(list_filter(e, lambda x: x != 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from ok a join ok b
+  on a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+n as (select a, count(*) as n from links group by a),
+reach as (select vec_id as v, vec_id as r from v union select links.a, reach.r from reach join links on reach.v = links.b),
+low as (select v, min(r) as component_id from reach group by v)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from v join low on low.v = vec_id left join n on n.a = vec_id"""

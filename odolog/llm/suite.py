@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from odolog.llm import minhash, packing, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
+from odolog.llm import minhash, multi_index, packing, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
 from odolog.llm.common import table
 from odolog.llm.oracles import ORACLES
 
@@ -45,6 +45,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
