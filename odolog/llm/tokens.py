@@ -1,57 +1,66 @@
-"""Token ids of whole texts with a byte-level BPE of the ``tokenizers`` library.
+"""Token ids of whole texts, as a tokenizer file of the ``tokenizers`` library defines them.
 
-Merges never cross a single space between two characters that are not white space: there the
-tokenizer's own splitting begins a new piece. So a text is cut at these spaces, and the ids of a piece
-are looked up among those already encoded in the task. Ids are the same as for the whole text.
+A byte-level BPE whose merges are numbered in their order is the same function as ``tiktoken`` with
+the file's vocabulary as ranks, which is about three times as fast; it is used where the file
+allows it. Other files, and texts that spell out an added token, go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
-import re
+import json
 
 import numpy as np
 
-_ODD = re.compile(r"\s | \s|^ | $")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The splitting rule of byte-level BPE (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Pieces(dict):
-    """Ids of a piece with its leading space, as little-endian 16-bit (or 32-bit) integers."""
+def _byte_of() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for: printable ones for themselves,
+    the others, in order, for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.encode(" " + piece)
-        return ids
+def ranks(path: str) -> dict[bytes, int] | None:
+    """Vocabulary of a byte-level BPE file as bytes and ranks, or None where ids are not merge ranks."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
+        return None
+    if spec.get("normalizer") or not split.get("use_regex", True) or model.get("ignore_merges"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [model["vocab"].get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+        return None
+    byte_of, added = _byte_of(), {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
 
 
 class Encoder:
     """``path`` is a tokenizer file. ``end_id`` is appended to every document."""
 
-    KEEP = 400_000  # pieces remembered at a time; a larger table is only slower to start anew
-
     def __init__(self, path: str, end_id: int):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.pieces = _Pieces(self._encode)
+        self.fast = None
+        if (found := ranks(path)) is not None:
+            import tiktoken
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            self.fast = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=found, special_tokens={})
 
     def document(self, text: str | None) -> bytes:
-        """Ids of ``text`` and the end id."""
+        """Ids of ``text`` and the end id, as little-endian integers."""
         if not text:
             return self.end
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        if len(self.pieces) > self.KEEP:
-            self.pieces.clear()
-        first = self._encode(parts[0])
-        return first + b"".join(map(self.pieces.__getitem__, parts[1:])) + self.end
+        if self.fast is not None and not any(t in text for t in self.added):
+            ids = np.array(self.fast.encode_ordinary(text))
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return ids.astype(self.dtype).tobytes() + self.end
