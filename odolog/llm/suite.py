@@ -6,27 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from odolog.llm import minhash, multi_index, packing, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
-from odolog.llm.common import table
+import corpus_pipeline
+from odolog.llm import minhash, mixing, multi_index, packing, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
+from odolog.llm.common import SECRET, table, tokenizer_path
 from odolog.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-SECRET = "surrogates of the query suite"  # a production job takes its own from its configuration
-
-
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -56,6 +48,12 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(docs, SECRET, count="n_replaced")
 
 
+@query
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "_mix.tokens", "_mix.copy", "_mix.block", "_mix.mix_key")
+
+
 @query
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,4 +75,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 __all__ = ["ORACLES", "QUERIES"]
