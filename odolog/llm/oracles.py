@@ -117,3 +117,36 @@ reach as (select vec_id as v, vec_id as r from v union select links.a, reach.r f
 low as (select v, min(r) as component_id from reach group by v)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
 from v join low on low.v = vec_id left join n on n.a = vec_id"""
+
+ORACLES["op6_temperature_mixing"] = r"""
+with recursive d as (select doc_id, source, md5(coalesce(text, '')) as m,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as t from documents),
+h as (select doc_id, source, t, ('0x' || md5(concat_ws('|', 'mix', coalesce(doc_id::text, 'null'), m))[1:15])::bigint as h from d),
+s as (select source, sum(t) as t from h group by source),
+total as (select sum(t) as b from s),
+bisect(lo, hi) as (select -1, 262144 union all
+  select case when r <= 1.25 then lo else mid end, case when r <= 1.25 then mid else hi end
+  from (select lo, hi, (lo + hi) // 2 as mid, (select b from total) / sum(power(t, ((lo + hi) // 2) / 262144.0::double))
+      * max(power(t, ((lo + hi) // 2) / 262144.0::double - 1)) as r
+    from bisect, s where hi - lo > 1 and t > 0 group by lo, hi)),
+alpha as (select min(hi) / 262144.0::double as alpha from bisect),
+z as (select sum(power(t, alpha)) as z from s, alpha where t > 0),
+p as (select source, t, greatest(1, ceil(t / 65536.0))::bigint as blocks, floor(power(t, alpha) / z * b)::bigint as budget
+  from s, alpha, z, total),
+q as (select source, blocks, case when t > 0 then budget // t else 1 end as whole, case when t > 0 then budget % t else 0 end as rest from p),
+e as (select h.*, q.blocks, q.whole, q.rest, h.h % q.blocks as block,
+    ('0x' || md5(concat_ws('|', 'mix', coalesce(h.source, 'null'), q.whole::text, (h.h % q.blocks)::text))[1:15])::bigint as place
+  from h join q on h.source is not distinct from q.source),
+b as (select source, block, place, rest, sum(t) as n from e group by all),
+c as (select *, rest - coalesce(sum(n) over (partition by source order by place, block
+    rows between unbounded preceding and 1 preceding), 0) as left_ from b),
+ends as (select source, block, place, left_ from c where left_ > 0 and left_ <= n),
+f as (select e.*, ends.block as end_block, ends.place as end_place, left_,
+    case when e.block = ends.block then coalesce(sum(case when e.block = ends.block then e.t else 0 end) over (
+      partition by e.source, e.block order by e.h range between unbounded preceding and 1 preceding), 0) end as before
+  from e left join ends on e.source is not distinct from ends.source),
+g as (select *, whole + case when place < end_place or (place = end_place and block < end_block)
+    or (block = end_block and before < left_) then 1 else 0 end as copies from f),
+x as (select *, unnest(range(copies::bigint)) as copy from g where copies > 0)
+select doc_id, source, t as tokens, copy, block,
+  ('0x' || md5(concat_ws('|', 'mix', coalesce(source, 'null'), copy::text, block::text))[1:15])::bigint as mix_key from x"""
