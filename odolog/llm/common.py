@@ -56,36 +56,33 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected ``links`` (``a``, ``b``): rows (``node``, ``component``)
     with the smallest node reachable, for every node that has a link to another one.
 
-    Each round hangs every node below its smallest smaller neighbour and passes its other links on to
-    that one. Minima are combined before the shuffle, so a node with very many links costs one row
-    per task; nodes and links never meet on the driver. A second loop shortens the paths to the root.
+    Alternates two steps until nothing changes: every node passes its larger neighbours to the
+    smallest one it knows, then its smaller ones. Both keep what is connected connected, and end
+    in stars around the smallest nodes after about as many rounds as the logarithm of the longest path.
+    Minima are combined before the shuffle, so a node with very many links costs one row per task;
+    nodes and links never meet on the driver.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     edges = durable(
         links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
     )
-    hung = None
-    while not edges.isEmpty():
-        parent = durable(edges.groupBy("b").agg(F.min("a").alias("p")))
-        hung = parent if hung is None else hung.unionByName(parent)
-        edges = durable(
-            edges.join(parent, "b")
-            .filter("a != p")
-            .select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"))
-            .distinct()
-        )
-    if hung is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # a node may have been hung in several rounds, each time below a smaller one of its component
-    up = durable(hung.groupBy("b").agg(F.min("p").alias("p")))
-    while True:
-        above = up.select(F.col("b").alias("p"), F.col("p").alias("pp"))
-        step = durable(up.join(above, "p", "left").select("b", F.coalesce("pp", "p").alias("p"), "pp"))
-        moved = step.filter(F.col("pp").isNotNull()).isEmpty()
-        up = step.select("b", "p")
-        if moved:
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
+
+    before = state(edges)
+    while before[0]:
+        ends = edges.select("a", F.col("a").alias("m")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("m")))
+        least = durable(ends.groupBy("a").agg(F.min("m").alias("m")))
+        edges = durable(edges.join(least, "a").select(F.col("m").alias("a"), "b").distinct())
+        least = durable(edges.groupBy("b").agg(F.min("a").alias("m")))
+        passed = edges.join(least, "b").filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        edges = durable(passed.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
+        after = state(edges)
+        if after == before:
             break
-    roots = up.select(F.col("p").alias("node")).distinct()
-    return up.select(F.col("b").alias("node"), F.col("p").alias("component")).unionByName(
+        before = after
+    roots = edges.select(F.col("a").alias("node")).distinct()
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )

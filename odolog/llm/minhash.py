@@ -303,7 +303,7 @@ def near_duplicates(
     )
     # an id may have several texts, in several classes: its smallest component counts for all of them
     rows_ = search.sketches.select("id", "n_shingles", "class").join(durable(of_class), "class", "left")
-    component: Column = F.coalesce("component_id", "id")
+    component: Column = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows_.select(
         F.col("id").alias(key), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),

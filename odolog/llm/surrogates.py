@@ -48,7 +48,7 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Señorita", "Госпожа"],
     "n": ["Dr", "Prof", "Доктор"],
 }
-_TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+_TITLE = "|".join(form for titles in TITLES.values() for t in titles for form in (t, t.upper()))
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
 ANY = f"{EMAIL}|{_BEFORE}{IP}{_AFTER}|{_BEFORE}{SSN}{_AFTER}|{_BEFORE}{CARD}{_AFTER}|{_BEFORE}(?:{PHONE}){_AFTER}|{PERSON}"
 
@@ -82,7 +82,7 @@ def _items(mention: Column) -> Column:
         return F.array(F.struct(F.lit(kind).alias("type"), entity.alias("entity"))).cast(_ITEM)
 
     def person(words: Column) -> Column:
-        title = F.regexp_replace(F.get(words, F.lit(0)), r"\.", "")
+        title = F.initcap(F.regexp_replace(F.get(words, F.lit(0)), r"\.", ""))
         given = F.lit("given n")
         for gender, titles in TITLES.items():
             given = F.when(title.isin(titles), F.lit(f"given {gender}")).otherwise(given)
