@@ -7,61 +7,63 @@ from pyspark.sql import types as T
 TIME_COLUMNS = ["gpstime", "devicetime"]
 
 # Sensor columns every reader knows (the names are the log format's own).
-CORE_SENSORS = """
-longitude latitude gpsspeedkmh horizontaldilutionofprecision altitude bearing gx gy gz gcalibrated
-accelerationsensortotalg accelerationsensorxaxisg accelerationsensoryaxisg accelerationsensorzaxisg
-actualenginetorque airfuelratiomeasured1 androiddevicebatterylevel
-averagetripspeedwhilstmovingonlykmh averagetripspeedwhilststoppedormovingkmh
-barometricpressurefromvehiclepsi coingkmaveragegkm coingkminstantaneousgkm
-distancetoemptyestimatedkm distancetravelledwithmilcellitkm enginecoolanttemperaturec
-enginekwatthewheelskw engineload enginerpmrpm fuelcosttripcost fuelflowratehourlhr
-fuelflowrateminuteccmin fuelrailpressurepsi fuelremainingcalculatedfromvehicleprofile
-fuelusedtripl gpsaccuracym gpsaltitudem gpsbearing gpslatitude gpslongitude gpssatellites
-gpsspeedmeterssecond gpsvsobdspeeddifferencekmh horsepoweratthewheelshp intakeairtemperaturec
-intakemanifoldpressurepsi kilometersperlitreinstantkpl kilometersperlitrelongtermaveragekpl
-litresper100kilometerinstantl100km litresper100kilometerlongtermaveragel100km massairflowrategs
-milespergalloninstantmpg milespergallonlongtermaveragempg o2sensor1widerangecurrentma
-o2bank1sensor1widerangeequivalenceratio o2bank1sensor1widerangevoltagev speedgpskmh speedobdkmh
-torquenm tripaveragekplkpl tripaveragelitres100kml100km tripaveragempgmpg tripdistancekm
-tripdistancestoredinvehicleprofilekm triptimesincejourneystarts triptimewhilstmovings
-triptimewhilststationarys turboboostvacuumgaugepsi voltageobdadapterv
-volumetricefficiencycalculated ambientairtempc costpermilekminstantkm costpermilekmtripkm
-positivekineticenergypkekmhr throttlepositionmanifold voltagecontrolmodulev
-o2sensor1widerangeequivalenceratio o2sensor1widerangevoltagev
-""".split()
+CORE_SENSORS = [
+    "longitude", "latitude", "gpsspeedkmh", "horizontaldilutionofprecision", "altitude", "bearing", "gx", "gy",
+    "gz", "gcalibrated", "accelerationsensortotalg", "accelerationsensorxaxisg", "accelerationsensoryaxisg",
+    "accelerationsensorzaxisg", "actualenginetorque", "airfuelratiomeasured1", "androiddevicebatterylevel",
+    "averagetripspeedwhilstmovingonlykmh", "averagetripspeedwhilststoppedormovingkmh",
+    "barometricpressurefromvehiclepsi", "coingkmaveragegkm", "coingkminstantaneousgkm",
+    "distancetoemptyestimatedkm", "distancetravelledwithmilcellitkm", "enginecoolanttemperaturec",
+    "enginekwatthewheelskw", "engineload", "enginerpmrpm", "fuelcosttripcost", "fuelflowratehourlhr",
+    "fuelflowrateminuteccmin", "fuelrailpressurepsi", "fuelremainingcalculatedfromvehicleprofile",
+    "fuelusedtripl", "gpsaccuracym", "gpsaltitudem", "gpsbearing", "gpslatitude", "gpslongitude", "gpssatellites",
+    "gpsspeedmeterssecond", "gpsvsobdspeeddifferencekmh", "horsepoweratthewheelshp", "intakeairtemperaturec",
+    "intakemanifoldpressurepsi", "kilometersperlitreinstantkpl", "kilometersperlitrelongtermaveragekpl",
+    "litresper100kilometerinstantl100km", "litresper100kilometerlongtermaveragel100km", "massairflowrategs",
+    "milespergalloninstantmpg", "milespergallonlongtermaveragempg", "o2sensor1widerangecurrentma",
+    "o2bank1sensor1widerangeequivalenceratio", "o2bank1sensor1widerangevoltagev", "speedgpskmh", "speedobdkmh",
+    "torquenm", "tripaveragekplkpl", "tripaveragelitres100kml100km", "tripaveragempgmpg", "tripdistancekm",
+    "tripdistancestoredinvehicleprofilekm", "triptimesincejourneystarts", "triptimewhilstmovings",
+    "triptimewhilststationarys", "turboboostvacuumgaugepsi", "voltageobdadapterv",
+    "volumetricefficiencycalculated", "ambientairtempc", "costpermilekminstantkm", "costpermilekmtripkm",
+    "positivekineticenergypkekmhr", "throttlepositionmanifold", "voltagecontrolmodulev",
+    "o2sensor1widerangeequivalenceratio", "o2sensor1widerangevoltagev",
+]
 
 # Further sensor columns of the stored log table (other units, older app versions).
-EXTRA_SENSORS = """
-airfuelratiocommanded1 airfuelrationmeasure altitudem ambientairtempf
-barometricpressurefromvehiclekpa barometricpressurefromvpsi distancetravelledsincecodesclearedkm
-dpfpressurebar dpfpressurepsi dpftemperaturec driversdemandenginetorque enginecoolanttemperaturef
-fuelpressurekpa fuelpressurepsi fuelrailpressurekpa gravityxg gravityyg gravityzg
-intakeairtemperaturef intakemanifoldpressurekpa percentageofcitydriving
-percentageofhighwaydriving percentageofidledriving torquefnm torqueftlb turboboostvacuumgaugebar
-""".split()
+EXTRA_SENSORS = [
+    "airfuelratiocommanded1", "airfuelrationmeasure", "altitudem", "ambientairtempf",
+    "barometricpressurefromvehiclekpa", "barometricpressurefromvpsi", "distancetravelledsincecodesclearedkm",
+    "dpfpressurebar", "dpfpressurepsi", "dpftemperaturec", "driversdemandenginetorque",
+    "enginecoolanttemperaturef", "fuelpressurekpa", "fuelpressurepsi", "fuelrailpressurekpa", "gravityxg",
+    "gravityyg", "gravityzg", "intakeairtemperaturef", "intakemanifoldpressurekpa", "percentageofcitydriving",
+    "percentageofhighwaydriving", "percentageofidledriving", "torquefnm", "torqueftlb",
+    "turboboostvacuumgaugebar",
+]
 
 SENSORS = CORE_SENSORS + EXTRA_SENSORS
 LOG_COLUMNS = TIME_COLUMNS + SENSORS
 
 # Sensors of the per-trip min / max / average report.
-SUMMARY_SENSORS = """
-accelerationsensortotalg accelerationsensorxaxisg accelerationsensoryaxisg accelerationsensorzaxisg
-actualenginetorque altitudem androiddevicebatterylevel averagetripspeedwhilstmovingonlykmh
-averagetripspeedwhilststoppedormovingkmh bearing coingkmaveragegkm coingkminstantaneousgkm
-costpermilekminstantkm costpermilekmtripkm distancetoemptyestimatedkm
-distancetravelledwithmilcellitkm enginecoolanttemperaturef enginekwatthewheelskw engineload
-enginerpmrpm fuelcosttripcost fuelflowratehourlhr fuelflowrateminuteccmin fuelrailpressurekpa
-fuelremainingcalculatedfromvehicleprofile fuelusedtripl gpsaccuracym gpsaltitudem gpsbearing
-gpslatitude gpslongitude gpssatellites gpsspeedkmh gpsvsobdspeeddifferencekmh gravityxg gravityyg
-gravityzg horizontaldilutionofprecision horsepoweratthewheelshp intakeairtemperaturef
-intakemanifoldpressurekpa kilometersperlitreinstantkpl kilometersperlitrelongtermaveragekpl
-latitude litresper100kilometerinstantl100km litresper100kilometerlongtermaveragel100km longitude
-massairflowrategs milespergalloninstantmpg milespergallonlongtermaveragempg speedgpskmh
-speedobdkmh torqueftlb tripaveragekplkpl tripaveragelitres100kml100km tripaveragempgmpg
-tripdistancekm tripdistancestoredinvehicleprofilekm triptimesincejourneystarts
-triptimewhilstmovings triptimewhilststationarys turboboostvacuumgaugebar voltageobdadapterv
-volumetricefficiencycalculated
-""".split()
+SUMMARY_SENSORS = [
+    "accelerationsensortotalg", "accelerationsensorxaxisg", "accelerationsensoryaxisg",
+    "accelerationsensorzaxisg", "actualenginetorque", "altitudem", "androiddevicebatterylevel",
+    "averagetripspeedwhilstmovingonlykmh", "averagetripspeedwhilststoppedormovingkmh", "bearing",
+    "coingkmaveragegkm", "coingkminstantaneousgkm", "costpermilekminstantkm", "costpermilekmtripkm",
+    "distancetoemptyestimatedkm", "distancetravelledwithmilcellitkm", "enginecoolanttemperaturef",
+    "enginekwatthewheelskw", "engineload", "enginerpmrpm", "fuelcosttripcost", "fuelflowratehourlhr",
+    "fuelflowrateminuteccmin", "fuelrailpressurekpa", "fuelremainingcalculatedfromvehicleprofile",
+    "fuelusedtripl", "gpsaccuracym", "gpsaltitudem", "gpsbearing", "gpslatitude", "gpslongitude", "gpssatellites",
+    "gpsspeedkmh", "gpsvsobdspeeddifferencekmh", "gravityxg", "gravityyg", "gravityzg",
+    "horizontaldilutionofprecision", "horsepoweratthewheelshp", "intakeairtemperaturef",
+    "intakemanifoldpressurekpa", "kilometersperlitreinstantkpl", "kilometersperlitrelongtermaveragekpl",
+    "latitude", "litresper100kilometerinstantl100km", "litresper100kilometerlongtermaveragel100km", "longitude",
+    "massairflowrategs", "milespergalloninstantmpg", "milespergallonlongtermaveragempg", "speedgpskmh",
+    "speedobdkmh", "torqueftlb", "tripaveragekplkpl", "tripaveragelitres100kml100km", "tripaveragempgmpg",
+    "tripdistancekm", "tripdistancestoredinvehicleprofilekm", "triptimesincejourneystarts",
+    "triptimewhilstmovings", "triptimewhilststationarys", "turboboostvacuumgaugebar", "voltageobdadapterv",
+    "volumetricefficiencycalculated",
+]
 
 # The wide one-row-per-trip report leaves one of them out.
 WIDE_SENSORS = [c for c in SUMMARY_SENSORS if c != "kilometersperlitreinstantkpl"]

@@ -60,8 +60,7 @@ SPECIAL_LABELS = {
     "Gravity Z(G)": "gravityzg",
 }
 
-# Labels named by the underscore rule. Families of labels that differ only in bank,
-# sensor, method and unit are generated below.
+# Labels named by the underscore rule.
 UNDERSCORE_LABELS = [
     "Accelerator PedalPosition F(%)",
     "Relative Accelerator Pedal Position(%)",
@@ -109,30 +108,51 @@ UNDERSCORE_LABELS = [
     "Exhaust Pressure(bar)",
     "Fuel Rail Pressure (relative to manifold vacuum)(kpa)",
     "Turbo Pressure Control(bar)",
-]
-UNDERSCORE_LABELS += [
-    label.format(a=a, b=b, unit=unit)
-    for label, firsts, seconds in (
-        ("Exhaust gas temp Bank {a} Sensor {b}(°{unit})", (1, 2), (1, 2, 3, 4)),
-        ("Catalyst Temperature (Bank {a} Sensor {b})(°{unit})", (1, 2), (1, 2)),
-        ("Transmission Temperature(Method {a})(°{unit})", (1, 2), (None,)),
-    )
-    for a in firsts
-    for b in seconds
-    for unit in "CF"
+    "Exhaust gas temp Bank 1 Sensor 1(°C)",
+    "Exhaust gas temp Bank 1 Sensor 1(°F)",
+    "Exhaust gas temp Bank 1 Sensor 2(°C)",
+    "Exhaust gas temp Bank 1 Sensor 2(°F)",
+    "Exhaust gas temp Bank 1 Sensor 3(°C)",
+    "Exhaust gas temp Bank 1 Sensor 3(°F)",
+    "Exhaust gas temp Bank 1 Sensor 4(°C)",
+    "Exhaust gas temp Bank 1 Sensor 4(°F)",
+    "Exhaust gas temp Bank 2 Sensor 1(°C)",
+    "Exhaust gas temp Bank 2 Sensor 1(°F)",
+    "Exhaust gas temp Bank 2 Sensor 2(°C)",
+    "Exhaust gas temp Bank 2 Sensor 2(°F)",
+    "Exhaust gas temp Bank 2 Sensor 3(°C)",
+    "Exhaust gas temp Bank 2 Sensor 3(°F)",
+    "Exhaust gas temp Bank 2 Sensor 4(°C)",
+    "Exhaust gas temp Bank 2 Sensor 4(°F)",
+    "Catalyst Temperature (Bank 1 Sensor 1)(°C)",
+    "Catalyst Temperature (Bank 1 Sensor 1)(°F)",
+    "Catalyst Temperature (Bank 1 Sensor 2)(°C)",
+    "Catalyst Temperature (Bank 1 Sensor 2)(°F)",
+    "Catalyst Temperature (Bank 2 Sensor 1)(°C)",
+    "Catalyst Temperature (Bank 2 Sensor 1)(°F)",
+    "Catalyst Temperature (Bank 2 Sensor 2)(°C)",
+    "Catalyst Temperature (Bank 2 Sensor 2)(°F)",
+    "Transmission Temperature(Method 1)(°C)",
+    "Transmission Temperature(Method 1)(°F)",
+    "Transmission Temperature(Method 2)(°C)",
+    "Transmission Temperature(Method 2)(°F)",
 ]
 
 
-def alias_name(label: Column, extra: dict[str, str] | None = None) -> Column:
-    """Name of a raw label: dictionary first (``extra`` overrides it), else the canonical rule."""
+def alias_name(label: Column, extra: dict[str, str] | None = None, known: list[str] | None = None) -> Column:
+    """Name of a raw label: dictionary first (``extra`` overrides it), else the canonical rule.
+
+    With ``known`` columns, a dictionary name that is none of them gives way to a canonical one that is."""
     label = F.trim(label)
     special = {**SPECIAL_LABELS, **(extra or {})}
     lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(special.items())])
     overridden = set(extra or {})
     by_underscore = label.isin([x for x in UNDERSCORE_LABELS if x not in overridden])
-    return F.coalesce(
-        lookup[label], F.when(by_underscore, underscore_name(label)), canonical_name(label)
-    )
+    plain = canonical_name(label)
+    named = F.coalesce(lookup[label], F.when(by_underscore, underscore_name(label)), plain)
+    if known is None:
+        return named
+    return F.when(~named.isin(known) & plain.isin(known), plain).otherwise(named)
 
 
 def merge_labels(known: DataFrame, labels: DataFrame, label: str = "label", name: str = "name") -> DataFrame:

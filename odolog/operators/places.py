@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from odolog.operators.ordered import dense_ids
 from odolog.session import durable
@@ -189,36 +189,53 @@ def unlabelled_hits(matched: DataFrame, places: DataFrame) -> DataFrame:
 # -- assignment in trip order ----------------------------------------------------------------------
 
 
-def _finish_leaders(box: Box):
-    """Sequential pass over the few positions left: who opens a place, in order."""
+TILE_BITS = 7  # a tile is 128 x 128 cells
+PER_CELL = 16  # earliest undecided points of a cell that a round looks at
+
+
+def _decide(box: Box):
+    """Who opens a place among the points of a tile, as far as the tile can tell.
+
+    Rows are the first undecided points of the tile's cells and of the cells around the tile. A point
+    stays open while an earlier point in its box is open itself, or may be among those left out."""
     lat_tol, lon_tol = box.lat_tol, box.lon_tol  # plain numbers, so tasks need nothing of this package
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_rank")
-        by_cell: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        left_out = rows["_nth"] > PER_CELL
+        horizon = {(y, x): r for y, x, r in rows.loc[left_out, ["_cy", "_cx", "_rank"]].itertuples(index=False)}
+        rows = rows[~left_out]
+        seen: dict[tuple[int, int], list[tuple[float, float, bool]]] = {}
         opened = []
-        for i, (y, x, lat, lon) in enumerate(zip(rows["_cy"], rows["_cx"], rows["_lat"], rows["_lon"])):
-            near = (p for dy in (-1, 0, 1) for dx in (-1, 0, 1) for p in by_cell.get((y + dy, x + dx), ()))
-            if not any(
-                lat - lat_tol <= a <= lat + lat_tol and lon - lon_tol <= b <= lon + lon_tol
-                for a, b in near
-            ):
-                by_cell.setdefault((y, x), []).append((lat, lon))
+        columns = ("_cy", "_cx", "_lat", "_lon", "_rank", "_own")
+        for i, (y, x, lat, lon, rank, own) in enumerate(zip(*(rows[c] for c in columns))):
+            cells = [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+            near = [
+                is_open
+                for cell in cells
+                for a, b, is_open in seen.get(cell, ())
+                if lat - lat_tol <= a <= lat + lat_tol and lon - lon_tol <= b <= lon + lon_tol
+            ]
+            if own and not all(near):
+                continue  # an earlier opener lies in its box
+            known = own and not near and all(horizon.get(cell, rank) >= rank for cell in cells)
+            seen.setdefault((y, x), []).append((lat, lon, not known))
+            if known:
                 opened.append(i)
-        return rows.iloc[opened]
+        return rows.iloc[opened][["_lat", "_lon", "_rank", "_cy", "_cx"]]
 
     return run
 
 
-def place_leaders(points: DataFrame, box: Box, local_rows: int = 200_000) -> DataFrame:
+def place_leaders(points: DataFrame, box: Box) -> DataFrame:
     """Points (_rank, _lat, _lon) that open a new place when taken one at a time by ``_rank``.
 
-    A point opens a place when no earlier opener lies in its box. Decided in rounds: per grid cell
-    the earliest undecided point is a candidate; it opens a place unless an earlier undecided point
-    lies in its box; then all points in the box of a new place are decided. Each point meets at
-    most the nine candidates around it, so a round is linear however dense a cell is, and the
-    result is exactly that of the one-at-a-time rule. Once at most ``local_rows`` points are
-    undecided, one small task finishes them.
+    A point opens a place when no earlier opener lies in its box. Decided in rounds: the earliest
+    ``PER_CELL`` undecided points of every grid cell go to the tile they lie in (and to the tiles next
+    to it), where they are taken one at a time as far as they do not depend on points of other
+    tiles; then all points in the box of a new place are decided. A tile holds a bounded number of
+    points however dense its cells are, and a chain of points that depend on each other costs a
+    round per tile it crosses. The result is exactly that of the one-at-a-time rule.
     """
     # equal positions: only the first of them can open a place
     cy, cx = box.cell(F.col("_lat"), F.col("_lon"))
@@ -227,27 +244,18 @@ def place_leaders(points: DataFrame, box: Box, local_rows: int = 200_000) -> Dat
     )
     schema = left.schema
     found: list[DataFrame] = []
-    while True:
-        n = left.count()
-        if n == 0:
-            break
-        if n <= local_rows:
-            found.append(left.groupBy(F.lit("all")).applyInPandas(_finish_leaders(box), schema))
-            break
-        first = F.min_by(F.struct("_rank", "_lat", "_lon"), "_rank")
-        candidates = left.groupBy("_cy", "_cx").agg(first.alias("_c")).select("_cy", "_cx", "_c.*")
-        later = candidates.select(
-            F.col("_rank").alias("_crank"), F.col("_lat").alias("_clat"), F.col("_lon").alias("_clon")
-        )
-        blocked = (
-            box_join(
-                left.drop("_cy", "_cx"), later, box, "_lat", "_lon", "_clat", "_clon",
-                condition=F.col("_rank") < F.col("_crank"), box_of_place=True,
-            )
-            .select(F.col("_crank").alias("_rank"))
-            .distinct()
-        )
-        opened = durable(candidates.join(blocked, "_rank", "left_anti").select(*left.columns))
+    in_order = Window.partitionBy("_cy", "_cx").orderBy("_rank")
+
+    def tiles(cell: str) -> Column:
+        """The tile of a cell and those next to it, where the cell lies at an edge."""
+        steps = [F.coalesce(F.try_add(cell, F.lit(d)), F.col(cell)) for d in (-1, 0, 1)]
+        return F.explode(F.array_distinct(F.array(*[F.shiftright(c, TILE_BITS) for c in steps])))
+
+    own = (F.col("_ty") == F.shiftright("_cy", TILE_BITS)) & (F.col("_tx") == F.shiftright("_cx", TILE_BITS))
+    while not left.isEmpty():
+        first = left.withColumn("_nth", F.row_number().over(in_order)).filter(F.col("_nth") <= PER_CELL + 1)
+        dealt = first.withColumn("_ty", tiles("_cy")).withColumn("_tx", tiles("_cx")).withColumn("_own", own)
+        opened = durable(dealt.groupBy("_ty", "_tx").applyInPandas(_decide(box), schema))
         found.append(opened)
         taken = opened.select(
             F.col("_rank").alias("_orank"), F.col("_lat").alias("_olat"), F.col("_lon").alias("_olon")
@@ -256,12 +264,10 @@ def place_leaders(points: DataFrame, box: Box, local_rows: int = 200_000) -> Dat
             box_join(
                 left.drop("_cy", "_cx"), taken, box, "_lat", "_lon", "_olat", "_olon", "left_anti",
                 condition=F.col("_orank") <= F.col("_rank"),
-            ).withColumns({"_cy": cy, "_cx": cx})
+            ).withColumns({"_cy": cy, "_cx": cx}).select(*left.columns)
         )
-    if not found:
-        return left.select("_rank", "_lat", "_lon")
-    out = found[0]
-    for part in found[1:]:
+    out = left
+    for part in found:
         out = out.unionByName(part)
     return out.select("_rank", "_lat", "_lon")
 
@@ -275,7 +281,6 @@ def assign_places(
     lon: str,
     order: list[str],
     every_match: bool = False,
-    local_rows: int = 200_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Match trips to places one after the other, in ``order``; returns (assignments, new registry).
 
@@ -296,7 +301,7 @@ def assign_places(
     ).select(key, "_rank", "_lat", "_lon")
     known = _named_places(places)
     lonely = box_join(ranked, known, box, "_lat", "_lon", "_plat", "_plon", "left_anti")
-    leaders = place_leaders(lonely, box, local_rows)
+    leaders = place_leaders(lonely, box)
     top = places.agg(F.max("place_id")).first()[0] or 0
     opened = dense_ids(leaders, ["_rank"], "place_id", start=int(top) + 1)
 

@@ -17,8 +17,10 @@ from odolog.operators.quality import is_header_cell
 
 
 def _names(header: Column, use_aliases: bool) -> Column:
-    rule = alias_name if use_aliases else canonical_name
-    return F.transform(F.split(header, ","), lambda label: rule(label))
+    """Column names of a header. Aliases never lead out of the catalog, so that no value is lost."""
+    if not use_aliases:
+        return F.transform(F.split(header, ","), canonical_name)
+    return F.transform(F.split(header, ","), lambda label: alias_name(label, known=LOG_COLUMNS))
 
 
 def layouts(headers: DataFrame, use_aliases: bool = False) -> DataFrame:
