@@ -9,9 +9,10 @@
    that it reaches the threshold is below ``miss``.
 4. Survivors are confirmed on the full sets, and links become components.
 5. A bucket that still holds several components may hide links that do not touch its leader. There,
-   and only there, members of different components are compared: first each with its likeliest
-   partner in another component, then, where that did not join them, with all of them. Buckets are
-   cut into blocks and blocks meet in pairs, so no task holds more than two blocks.
+   and only there, members of different components meet, signatures first, and the survivors are
+   confirmed in the task, each pair in the first bucket it shares. Buckets are cut into blocks of
+   bounded size and blocks meet in pairs, so no task holds more than two; a task returns the links
+   that join components, not the pairs.
 
 Texts move once for the documents in surviving pairs; signatures and sets are never collected. A
 bucket, leader or class with a third of all rows is aggregated before the shuffle, split by adaptive
@@ -191,27 +192,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return durable(both.mapInArrow(_confirm(percent), "a long, b long").distinct())
 
 
-def _across(bounds: list[tuple[int, int]], best_only: bool):
+def _across(bounds: list[tuple[int, int]], rows: int, percent: int):
+    """Confirmed links between different components in a group of a bucket's members: those of its two
+    blocks with each other or, in a group of one block, those of the block."""
+
     def across(group: pd.DataFrame) -> pd.DataFrame:
-        """Surviving pairs of different components between the two blocks of a group, or within its one."""
         group = group.sort_values("id", kind="stable").reset_index(drop=True)
         signatures, ids, labels = _matrix(group["signature"].tolist()), group["id"].to_numpy(), group["label"].to_numpy()
-        first = group["first"].to_numpy()
-        two = not (first.all() or (~first).all())
+        first, texts = group["first"].to_numpy(), group["text"]
+        band, leader = int(group["band"].iloc[0]), group["leader"].iloc[0]
+        keys = signatures.reshape(len(ids), -1, rows)[:, :band, :]  # of earlier bands
+        one, order = first.all() or not first.any(), np.arange(len(ids))
+        sets: dict[int, frozenset[int]] = {}
+        shingler = Shingler()
+
+        def shingles(i: int) -> frozenset[int]:
+            if i not in sets:
+                sets[i] = frozenset(shingler(texts.iloc[i]).tolist())
+            return sets[i]
+
         found = []
         for i in range(len(ids)):
-            others = np.flatnonzero((labels != labels[i]) & (first != first[i] if two else np.arange(len(ids)) > i))
-            if two and not first[i]:
-                continue
-            if not len(others):
-                continue
-            rows = np.broadcast_to(signatures[i], (len(others), signatures.shape[1]))
-            alive, equal = surviving(rows, signatures[others], bounds)
-            if best_only and len(alive):
-                order = np.lexsort((ids[others[alive]], -equal))
-                by_label = pd.Series(labels[others[alive]][order]).drop_duplicates().index
-                alive = alive[order[by_label]]
-            found += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in others[alive]]
+            if ids[i] == leader or not (one or first[i]):
+                continue  # its links are known; or it is met from the other block
+            others = np.flatnonzero((labels != labels[i]) & (ids != leader) & (order > i if one else ~first))
+            alive, equal = surviving(np.broadcast_to(signatures[i], (len(others), signatures.shape[1])), signatures[others], bounds)
+            left = others[alive[np.argsort(-equal, kind="stable")]]
+            left = left[~(keys[i] == keys[left]).all(axis=2).any(axis=1)]  # the others meet in an earlier band
+            for k in left.tolist():
+                if labels[k] == labels[i]:
+                    continue  # joined meanwhile
+                both = len(shingles(i) & shingles(k))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+                    found.append((ids[i], ids[k]))
+                    labels[labels == labels[k]] = labels[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return across
@@ -234,7 +248,7 @@ class Search:
     def buckets(self) -> DataFrame:
         width = 4 * self.rows
         keys = [F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(self.bands)]
-        return self.reps.select("id", F.explode(F.array(*keys)).alias("bucket"))
+        return self.reps.select("id", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
         def side(name: str) -> DataFrame:
@@ -250,38 +264,45 @@ class Search:
         )
         return durable(buckets.join(self.leaders, "bucket").filter("a != id").select("a", F.col("id").alias("b")).distinct())
 
-    def hidden(self, labels: DataFrame, best_only: bool) -> DataFrame:
-        """Surviving pairs of different components in buckets where the star cannot have seen all links."""
-        wide = self.buckets().join(self.leaders.filter("n > 2").select("bucket"), "bucket")
+    def hidden(self, labels: DataFrame) -> DataFrame:
+        """Confirmed links between different components in buckets where the star cannot have seen all links.
+
+        The members of a bucket's largest component need not meet each other: they are cut into blocks,
+        which only the blocks of the other members visit."""
+        wide = self.buckets().join(self.leaders.filter("n > 2").select("bucket", F.col("a").alias("leader")), "bucket")
         named = durable(
             wide.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-                "bucket", "id", F.coalesce("component", "id").alias("label")
+                "bucket", "band", "leader", "id", F.coalesce("component", "id").alias("label")
             )
         )
-        mixed = durable(
-            named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-            .filter("lo != hi").select("bucket", F.ceil(F.col("n") / F.lit(self.block)).cast("int").alias("blocks"))
+        sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        layout = durable(
+            sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+            .filter(F.col("top.n") < F.col("all"))
+            .select(
+                "bucket", F.col("top.label").alias("largest"),
+                F.ceil((F.col("all") - F.col("top.n")) / F.lit(self.block)).cast("int").alias("few"),
+                F.ceil(F.col("top.n") / F.lit(self.block)).cast("int").alias("many"),
+            )
         )
-        members = named.join(mixed, "bucket")
-        own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-        members = members.withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        met = members.select("*", other.alias("other")).select(
-            "bucket", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first")
+        in_largest, h = F.col("label") == F.col("largest"), F.xxhash64("id", F.lit(5))
+        own = F.when(in_largest, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int")
+        last = F.when(in_largest, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+        met = named.join(layout, "bucket").select(
+            "bucket", "band", "leader", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other")
+        ).select(
+            "bucket", "band", "leader", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+            (F.col("own") <= F.col("other")).alias("first"),
         )
-        filled = met.join(self.reps, "id")
-        pairs = filled.groupBy("bucket", "lo", "hi").applyInPandas(_across(self.bounds, best_only), "a long, b long")
-        return durable(pairs.distinct())
+        members = met.select("id").distinct()
+        texts = stored(self.reps.join(members, "id").join(self.docs.join(members, "id", "left_semi").dropDuplicates(["id"]), "id"))
+        groups = met.join(texts, "id").groupBy("bucket", "lo", "hi")
+        return durable(groups.applyInPandas(_across(self.bounds, self.rows, self.percent), "a long, b long"))
 
     def links(self) -> DataFrame:
         """Confirmed links that connect everything that is connected."""
         found = confirmed(self.pruned(self.stars()), self.docs, self.percent)
-        for best_only in (True, False):
-            more = self.hidden(components(found), best_only)
-            if more.isEmpty():
-                break
-            found = durable(found.unionByName(confirmed(more, self.docs, self.percent)))
-        return found
+        return found.unionByName(self.hidden(components(found)))
 
 
 def near_duplicates(
@@ -293,7 +314,7 @@ def near_duplicates(
     rows: int = 5,
     batch: int = 25,
     miss: float = 1e-6,
-    block: int = 1024,
+    block: int = 256,
 ) -> DataFrame:
     """Per row: its id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` (it is that one)."""
     search = Search(docs, key, text, percent, bands, rows, batch, miss, block)
