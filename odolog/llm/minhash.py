@@ -192,6 +192,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return durable(both.mapInArrow(_confirm(percent), "a long, b long").distinct())
 
 
+def _sets():
+    """Shingle sets as bytes, computed once per document."""
+    schema = pa.schema([("id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                rows = batch.slice(first, 512)
+                found = [shingler(t).astype("<u8").tobytes() for t in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("id"), rows.column("signature"), pa.array(found, pa.binary())], schema=schema
+                )
+
+    return sets
+
+
 def _across(bounds: list[tuple[int, int]], rows: int, percent: int):
     """Confirmed links between different components in a group of a bucket's members: those of its two
     blocks with each other or, in a group of one block, those of the block."""
@@ -199,16 +216,15 @@ def _across(bounds: list[tuple[int, int]], rows: int, percent: int):
     def across(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable").reset_index(drop=True)
         signatures, ids, labels = _matrix(group["signature"].tolist()), group["id"].to_numpy(), group["label"].to_numpy()
-        first, texts = group["first"].to_numpy(), group["text"]
+        first, stored_sets = group["first"].to_numpy(), group["shingles"]
         band, leader = int(group["band"].iloc[0]), group["leader"].iloc[0]
         keys = signatures.reshape(len(ids), -1, rows)[:, :band, :]  # of earlier bands
         one, order = first.all() or not first.any(), np.arange(len(ids))
         sets: dict[int, frozenset[int]] = {}
-        shingler = Shingler()
 
         def shingles(i: int) -> frozenset[int]:
             if i not in sets:
-                sets[i] = frozenset(shingler(texts.iloc[i]).tolist())
+                sets[i] = frozenset(np.frombuffer(stored_sets.iloc[i], "<u8").tolist())
             return sets[i]
 
         found = []
@@ -295,8 +311,9 @@ class Search:
             (F.col("own") <= F.col("other")).alias("first"),
         )
         members = met.select("id").distinct()
-        texts = stored(self.reps.join(members, "id").join(self.docs.join(members, "id", "left_semi").dropDuplicates(["id"]), "id"))
-        groups = met.join(texts, "id").groupBy("bucket", "lo", "hi")
+        texts = self.docs.join(members, "id", "left_semi").dropDuplicates(["id"])
+        sets = stored(self.reps.join(texts, "id").mapInArrow(_sets(), "id long, signature binary, shingles binary"))
+        groups = met.join(sets, "id").groupBy("bucket", "lo", "hi")
         return durable(groups.applyInPandas(_across(self.bounds, self.rows, self.percent), "a long, b long"))
 
     def links(self) -> DataFrame:
