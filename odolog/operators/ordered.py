@@ -6,13 +6,14 @@ A trip (or user, or supplier) may hold a large share of all rows, so a plain
 blocks of a text file. Windows run per (key, chunk); one small row per chunk then carries what the
 next chunk needs. The big rows are shuffled once, by (key, chunk).
 
-Keys must not be null. ``chunk`` must never decrease along ``order``.
+A null key is a key like any other. ``chunk`` must never decrease along ``order``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from odolog.functions.joins import null_safe_join
 from odolog.session import durable
 
 _CHUNK = "_chunk"
@@ -28,12 +29,15 @@ def time_chunk(time: Column, seconds: int) -> Column:
 def pick_chunk_seconds(df: DataFrame, keys: list[str], time: str, max_rows: int = 2_000_000) -> int:
     """Coarsest slice length whose fullest (key, slice) holds at most ``max_rows`` rows.
 
-    Each try is one map-side combined count that returns a single number. When even one-second
-    slices are fuller, one second is used: such a slice sorts with spilling, nothing is dropped.
+    Rows without a time do not count, as no slice length divides them. One scan counts the rows per
+    second; longer slices are sums of these counts. When even one-second slices are fuller, one
+    second is used: such a slice sorts with spilling, nothing is dropped.
     """
+    slices = [time_chunk(F.col(time), s).alias(f"_s{s}") for s in CHUNK_SECONDS]
+    counts = df.filter(F.col(time).isNotNull()).select(*keys, *slices).groupBy(*keys, *[f"_s{s}" for s in CHUNK_SECONDS])
+    counts = durable(counts.agg(F.count(F.lit(1)).alias("_rows")))
     for seconds in CHUNK_SECONDS:
-        counts = df.groupBy(*keys, time_chunk(F.col(time), seconds).alias(_CHUNK)).count()
-        fullest = counts.agg(F.max("count")).first()[0]
+        fullest = counts.groupBy(*keys, f"_s{seconds}").agg(F.sum("_rows").alias("n")).agg(F.max("n")).first()[0]
         if (fullest or 0) <= max_rows:
             break
     return seconds
@@ -57,7 +61,7 @@ def row_numbers(
         .select(*group, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        local.join(offsets, group)
+        null_safe_join(local, offsets, group)
         .withColumn(name, F.col("_n") + F.col("_offset") + F.lit(start - 1))
         .drop(_CHUNK, "_n", "_offset")
     )
@@ -84,7 +88,7 @@ def neighbours(df: DataFrame, keys: list[str], chunk: Column, order: list, colum
     carried = edges.select(
         *group, F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after")
     )
-    out = local.join(carried, group).withColumns(
+    out = null_safe_join(local, carried, group).withColumns(
         {
             "_prev": F.coalesce("_prev", "_before"),
             "_next": F.coalesce("_next", "_after"),
@@ -189,7 +193,7 @@ class MarkerRuns:
             F.coalesce(F.sum(F.col("_breaks") + F.col("_break0")).over(before), F.lit(0)).alias("_offset"),
             F.sum(sums).over(Window.partitionBy(*self.keys)).alias("_total"),
         )
-        joined = rows.filter(~F.col("_marker")).join(carried, self.group)
+        joined = null_safe_join(rows.filter(~F.col("_marker")), carried, self.group)
         carried_break = F.when(F.col("_n") >= F.col("_from"), F.col("_break0")).otherwise(F.lit(0))
         number = F.col("_offset") + F.col("_b") + carried_break
         if mode == "total":

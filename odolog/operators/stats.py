@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from odolog.catalog import PROFILE_EXCLUDED, STAT_GROUPS
 from odolog.functions.cells import fill_missing
+from odolog.functions.joins import null_safe_join
 from odolog.session import durable
 
 MOSTLY_NULL = 0.9
@@ -125,7 +126,7 @@ def _select_ranks(
     def in_brackets() -> DataFrame:
         # few brackets (counted) are broadcast, so the values are not shuffled
         side = F.broadcast(state) if sum(o["groups"] for o in open_columns) <= BROADCAST_GROUPS else state
-        joined = values([o["column"] for o in open_columns]).join(side, group)
+        joined = null_safe_join(values([o["column"] for o in open_columns]), side, group)
         return joined.filter(F.col("value").between(F.col("lo"), F.col("hi")))
 
     top = 1.7976931348623157e308
@@ -171,7 +172,7 @@ def _select_ranks(
         start = F.col("upto") - F.col("cnt")
         holder = counted.filter((start <= first_rank) & (first_rank < F.col("upto")))
         apart = second_rank >= F.col("upto")
-        middle = (F.col("b_hi") + F.col("next_lo")) / 2
+        middle = F.col("b_hi") / 2 + F.col("next_lo") / 2  # a sum could overflow
         state = durable(
             holder.select(
                 *group,
@@ -193,7 +194,7 @@ def _select_ranks(
         return out
     rest = in_brackets().groupBy(*group, "n", "below").agg(F.sort_array(F.collect_list("value")).alias("v"))
     return out.unionByName(
-        rest.select(*group, ((at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2).alias("median"))
+        rest.select(*group, (at((F.col("n") - 1) / 2) / 2 + at(F.col("n") / 2) / 2).alias("median"))
     )
 
 
@@ -218,7 +219,7 @@ def exact_medians(
     small_rows, large_rows = df, df
     if keys and n_large:
         side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
-        small_rows, large_rows = df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
+        small_rows, large_rows = (null_safe_join(df, side, keys, how) for how in ("left_anti", "left_semi"))
     parts = []
     if keys or not n_large:
         wide = small_rows.groupBy(*keys).agg(*[F.median(v).alias(f"median__{c}") for c, v in clean.items()])
@@ -271,7 +272,7 @@ def column_profile(
             ranges = out.select(
                 "column", "rows", (F.col("rows") - F.col("nulls")).alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi")
             )
-        out = out.join(exact_medians(df, keys, columns, max_group, ranges), [*keys, "column"], "left")
+        out = null_safe_join(out, exact_medians(df, keys, columns, max_group, ranges), [*keys, "column"], "left")
     per_null = F.when(F.col("nulls") > 0, F.col("rows") / F.col("nulls")).otherwise(F.lit(0.0))
     return out.select(
         *keys, "column", "rows", "nulls", per_null.alias("rows_per_null"), "min", "median", "mean", "max"

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from odolog.catalog import LOG_COLUMNS
@@ -19,7 +18,7 @@ from odolog.functions.times import parse_time
 from odolog.operators import quality, registry
 from odolog.operators.places import LIVE_BOX, Box, assign_places
 from odolog.operators.stats import rows_per_file
-from odolog.plans.store import TripStore
+from odolog.plans.store import TripStore, read_or_empty
 from odolog.session import durable
 from odolog.sources import files as sources
 from odolog.sources.legacy import read_legacy_trips
@@ -202,10 +201,7 @@ def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_
 
 def _written(spark: SparkSession, out: str, key: str) -> DataFrame:
     """Keys that an output of repaired or transferred lines already holds."""
-    try:
-        return spark.read.parquet(out).select(key).distinct()
-    except AnalysisException:
-        return spark.createDataFrame([], f"{key} string")
+    return read_or_empty(spark, out, f"{key} string").distinct()
 
 
 def repair_logs(spark: SparkSession, root: str, out: str, pattern: str = "trackLog-*.csv") -> DataFrame:

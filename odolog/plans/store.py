@@ -15,6 +15,16 @@ from odolog.catalog import TABLES
 _COMMITS = "version long, table string, full boolean, committed_at timestamp"
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet folder, or no rows where it does not exist. Any other failure is one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class TripStore:
     """Tables ``logs`` (append) and the dimension / statistics tables (a full snapshot per version)."""
 
@@ -23,10 +33,7 @@ class TripStore:
         self.root = root.rstrip("/")
 
     def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
-        except AnalysisException:
-            return self.spark.createDataFrame([], _COMMITS)
+        return read_or_empty(self.spark, f"{self.root}/commits", _COMMITS)
 
     def version(self) -> int:
         """Last committed version, 0 when there is none."""
