@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def get_session(app: str = "odolog", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     if not local:
@@ -28,14 +30,12 @@ def get_session(app: str = "odolog", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder, so a lost executor does not lose it.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own; elsewhere a missing setting is an error,
-    because a machine-local folder would not survive the machine.
+    Only a local session without that setting gets a folder of its own; elsewhere a missing setting is
+    an error, because a machine-local folder would not survive the machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,4 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="odolog-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder, so a lost executor does not lose it."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder below the shared one."""
+    return f"{_checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
