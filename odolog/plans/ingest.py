@@ -97,8 +97,7 @@ def gate(
 
 
 def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions()) -> DataFrame:
-    """Load the new logs below ``root``; returns one report row per new file (and per file too
-    large to be hashed).
+    """Load the new logs below ``root``; returns one report row per new file.
 
     A first load of millions of files runs best in batches (``limit`` up to ``BATCH_FILES``): the
     wide lines of such a batch are never shuffled. Loading the same files again changes nothing. Rejected files are not registered, so they are
@@ -106,17 +105,16 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
     """
     spark = store.spark
     known = store.read("files")
-    found = sources.discover(spark, root, options.pattern, options.min_size, options.inclusive)
+    found = durable(sources.discover(spark, root, options.pattern, options.min_size, options.inclusive))
     batch = registry.new_files(found, known, name="path")
     if options.limit:
         batch = batch.orderBy("path").limit(options.limit)
     batch = durable(batch)
     n_files = batch.count()
-    huge = sources.oversize(spark, root, options.pattern).selectExpr(
-        "path", "0L as rows", "0L as dropped_rows", "0L as header_rows", "'too large' as reason", "1L as reasons", "0L as sent_rows"
-    )
     if n_files == 0:
-        return huge
+        return spark.createDataFrame(
+            [], "path string, rows long, dropped_rows long, header_rows long, reason string, reasons long, sent_rows long"
+        )
     lines = _new_lines(store, root, batch, options, n_files)
     # one small layout row per file: up to this many are broadcast, so that lines are not shuffled
     broadcast = n_files <= BATCH_FILES
@@ -165,7 +163,7 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
     return quality.ingest_report(
         batch.select("path").join(counts, "path", "left").na.fill(0, ["rows", "dropped_rows", "header_rows"]),
         stored, rejects, "path",
-    ).unionByName(huge)
+    )
 
 
 def repair_report(lines: DataFrame, key: str = "path", line: str = "line") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MIN_SIZE = 3000
-MAX_SIZE = 2**31 - 1 - 1024  # one value of Spark's binary reader
+RANGE_BYTES = 64 << 20
 
 
 def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -17,33 +20,67 @@ def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
+def _digests(range_bytes: int):
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The md5 of one range of a file per row and, of the first range, the first line."""
+        import hashlib
+        from urllib.parse import quote
+
+        from pyarrow.fs import FileSystem
+
+        for rows in batches:
+            found, heads = [], []
+            for path, n in zip(rows["path"], rows["n"]):
+                store, name = FileSystem.from_uri(quote(path, safe="%/:@!$&'()*+,;=~"))  # Spark leaves letters beyond ASCII
+                digest, head, at, end = hashlib.md5(), b"", n * range_bytes, (n + 1) * range_bytes
+                with store.open_input_file(name) as file:
+                    while at < end and (block := file.read_at(min(1 << 20, end - at), at)):
+                        digest.update(block)
+                        if n == 0 and b"\n" not in head:
+                            head += block
+                        at += len(block)
+                found.append(digest.hexdigest())
+                heads.append(head.split(b"\n", 1)[0].decode("utf-8", "replace") if n == 0 else None)
+            yield pd.DataFrame({"path": rows["path"], "n": rows["n"], "digest": found, "head": heads})
+
+    return digests
+
+
 def discover(
-    spark: SparkSession, root: str, pattern: str = "trackLog*.csv", min_size: int = MIN_SIZE, inclusive: bool = False
+    spark: SparkSession,
+    root: str,
+    pattern: str = "trackLog*.csv",
+    min_size: int = MIN_SIZE,
+    inclusive: bool = False,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Files below ``root``: (path, location, csvfile, size, csvhash, header).
 
     ``path`` is the name ``read_lines`` gives the file's lines, ``location`` the path to read it by.
 
-    Size bounds are pushed into the listing, so small files are never opened. The hash is the md5
-    of the whole content. ``inclusive`` also takes files of exactly ``min_size`` bytes. Files too
-    large to be hashed are listed by ``oversize``.
+    Size bounds are pushed into the listing, which reads no content. Files are cut into ranges that
+    are dealt out evenly and hashed where they land, so one very long file is read by many tasks. The
+    hash is the md5 of the content, or of the ranges' md5s in order where there are several; files of
+    any size are found. ``inclusive`` also takes files of exactly ``min_size`` bytes.
     """
     size = F.col("length")
-    wanted = (size >= min_size if inclusive else size > min_size) & (size <= MAX_SIZE)
-    return _listed(spark, root, pattern).filter(wanted).select(
+    listed = _listed(spark, root, pattern).filter(size >= min_size if inclusive else size > min_size).select(
         F.col("_metadata.file_path").alias("path"),
         F.regexp_replace("path", r"([\[\]{}*?])", r"\\$1").alias("location"),
         F.element_at(F.split("path", "/"), -1).alias("csvfile"),
         size.alias("size"),
-        F.md5("content").alias("csvhash"),
-        F.rtrim(F.substring_index(F.col("content").cast("string"), "\n", 1)).alias("header"),
     )
-
-
-def oversize(spark: SparkSession, root: str, pattern: str = "trackLog*.csv") -> DataFrame:
-    """Paths of files that cannot be hashed in one piece; their content is not read."""
-    return _listed(spark, root, pattern).filter(F.col("length") > MAX_SIZE).select(
-        F.col("_metadata.file_path").alias("path")
+    last = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.lit(range_bytes)).cast("long")
+    ranges = listed.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n")).repartition("path", "n")
+    hashed = ranges.mapInPandas(_digests(range_bytes), "path string, n long, digest string, head string")
+    per_file = hashed.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("_parts"), F.max("head").alias("_head")
+    )
+    digests = F.transform("_parts", lambda p: p["digest"])
+    return listed.join(per_file, "path").select(
+        "path", "location", "csvfile", "size",
+        F.when(F.size("_parts") == 1, F.get(digests, F.lit(0))).otherwise(F.md5(F.array_join(digests, ""))).alias("csvhash"),
+        F.rtrim("_head").alias("header"),
     )
 
 

@@ -258,3 +258,22 @@ def test_parse_failures_do_not_raise(spark):
     texts = ["29-Jun-2022 18:12:1x", "Wed Xxx 29 18:12:15 GMT 2022", "", None, "GPS Time", "2022-13-29 18:12:15.661000"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.select(parse_time(F.col("t")).alias("x")).filter("x is not null").count() == 0
+
+
+def test_files_are_hashed_in_ranges(spark, tmp_path):
+    """A file of several ranges has the md5 of its ranges' md5s, whatever task reads them."""
+    import hashlib
+
+    from odolog.sources.files import discover
+
+    content = ("GPS Time,Länge \n" + "x" * 5000).encode()
+    for name in ("trackLog-a b[1]%.csv", "trackLog-copy.csv"):
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "trackLog-other.csv").write_bytes(content[:-1] + b"y")
+    whole = {r["csvfile"]: r for r in discover(spark, str(tmp_path)).collect()}
+    assert {r["csvhash"] for n, r in whole.items() if n != "trackLog-other.csv"} == {hashlib.md5(content).hexdigest()}
+    assert whole["trackLog-copy.csv"]["header"] == "GPS Time,Länge" and len(whole) == 3
+    parts = [hashlib.md5(content[i : i + 700]).hexdigest() for i in range(0, len(content), 700)]
+    cut = {r["csvfile"]: r["csvhash"] for r in discover(spark, str(tmp_path), range_bytes=700).collect()}
+    assert cut["trackLog-a b[1]%.csv"] == cut["trackLog-copy.csv"] == hashlib.md5("".join(parts).encode()).hexdigest()
+    assert cut["trackLog-other.csv"] != cut["trackLog-copy.csv"]
