@@ -190,7 +190,7 @@ def unlabelled_hits(matched: DataFrame, places: DataFrame) -> DataFrame:
 
 
 TILE_BITS = 7  # a tile is 128 x 128 cells
-PER_CELL = 16  # earliest undecided points of a cell that a round looks at
+PER_CELL = 64  # earliest undecided points of a cell that a round looks at
 
 
 def _decide(box: Box):

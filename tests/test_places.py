@@ -62,7 +62,7 @@ def test_more_points_per_cell_than_a_round_looks_at(spark):
     """Dense cells in a row, visited in turns, so that rounds end at points left out."""
     box = Box(1.0, 1.0)
     rnd = random.Random(5)
-    points = [(i, 127.5 + (i * 7 % 9) * 0.45 + rnd.random() * 0.3, rnd.uniform(0, 3)) for i in range(900)]
+    points = [(i, 127.5 + (i * 7 % 9) * 0.45 + rnd.random() * 0.3, rnd.uniform(0, 3)) for i in range(1500)]
     p, k = tables(spark, points, [])
     got, _ = assign_places(p, k, box, "trip", "lat", "lon", ["trip"])
     want, _ = loop(points, [], box)
