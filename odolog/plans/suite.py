@@ -156,11 +156,18 @@ places as (select place_id, s_nationkey / {lat_scale} as lat, bal / {lon_scale}
     count(*) as n, min(s_name) as name from supplier group by all))"""
 
 
+# The tolerances of the boxes, written out so that a wrong preset shows.
+BOX_TOLERANCES = {
+    places.LIVE_BOX: ("(0.0000510::double + 0.00002::double)", "(0.0001221::double + 0.00002::double)"),
+    places.match_box(): ("(0.0000510::double + 0.00004::double)", "(0.0001221::double + 0.00004::double)"),
+    places.start_box(): ("(0.0001010::double + 0.00004::double)", "(0.0001421::double + 0.00004::double)"),
+    places.REFRESH_BOX: ("0.05::double", "0.05::double"),
+}
+
+
 def box_sql(box: places.Box) -> str:
-    return (
-        f"p.lat between t.lat - {box.lat_tol!r}::double and t.lat + {box.lat_tol!r}::double and "
-        f"p.lon between t.lon - {box.lon_tol!r}::double and t.lon + {box.lon_tol!r}::double"
-    )
+    lat, lon = BOX_TOLERANCES[box]
+    return f"p.lat between t.lat - {lat} and t.lat + {lat} and p.lon between t.lon - {lon} and t.lon + {lon}"
 
 
 # -- speeds, null counts, profiles -----------------------------------------------------------------
@@ -402,11 +409,10 @@ def _(spark, d):
     return stats.bounding_box(logs(spark, d), "latitude", "longitude", ["fileid"])
 
 
-START_END_SQL = f"""with {LOGS}, x as (select *, min(gpstime) over (partition by fileid) as f,
-max(gpstime) over (partition by fileid) as l from logs)
-select fileid, min(latitude) filter (where gpstime = f) as latmin, min(longitude) filter (where gpstime = f) as lonmin,
-min(latitude) filter (where gpstime = l) as latmax, min(longitude) filter (where gpstime = l) as lonmax
-from x group by fileid"""
+START_END_SQL = f"""with {LOGS}, ends as (select fileid, min(gpstime) as began, max(gpstime) as ended from logs group by fileid),
+firsts as (select e.fileid, min(latitude) as latmin, min(longitude) as lonmin from ends e join logs g on g.fileid = e.fileid and gpstime = began group by e.fileid),
+lasts as (select e.fileid, min(latitude) as latmax, min(longitude) as lonmax from ends e join logs g on g.fileid = e.fileid and gpstime = ended group by e.fileid)
+select fileid, latmin, lonmin, latmax, lonmax from ends left join firsts using (fileid) left join lasts using (fileid)"""
 
 
 def start_ends(spark, d):
