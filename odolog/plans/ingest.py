@@ -192,7 +192,7 @@ def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_
     return (
         lines.join(damaged, key, "left_anti")
         .join(headers.select(key, "header", fixed.alias("_fixed")), key)
-        .withColumn("line", F.when(F.rtrim("line") == F.col("header"), F.col("_fixed")).otherwise(clean_line(F.col("line"))))
+        .withColumn("line", F.when(F.rtrim("line") == F.rtrim("header"), F.col("_fixed")).otherwise(clean_line(F.col("line"))))
         .select(key, "block_start", "seq", "line")
     )
 

@@ -66,7 +66,11 @@ class TripStore:
         typed.write.mode("overwrite").parquet(self._path(table, version))
 
     def commit(self, version: int, tables: dict[str, bool]) -> None:
-        """Make a version count. ``tables``: name -> True for a full write, False for an append."""
+        """Make a version count. ``tables``: name -> True for a full write, False for an append.
+
+        A version another job has committed meanwhile is refused; the job has to run again."""
+        if self.version() >= version:
+            raise RuntimeError(f"version {version} was committed by another job")
         rows = [(version, name, full) for name, full in tables.items()]
         self.spark.createDataFrame(rows, "version long, table string, full boolean").withColumn(
             "committed_at", F.current_timestamp()
