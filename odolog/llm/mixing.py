@@ -28,7 +28,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from odolog.llm.common import word_array
+from odolog.llm.common import stored, word_array
 from odolog.session import durable
 
 GRID = 1 << 18  # steps of the exponent between 0 and 1
@@ -134,7 +134,7 @@ def plan(
         .groupBy("_source", "_end", "_end_place").agg(F.max("_h").alias("_end_h"))
         .withColumnRenamed("_source", "_s2")
     )
-    return durable(
+    return stored(  # a table of known size: Spark broadcasts it where it is small, and the texts stay in place
         budgets.join(cut, F.col("_source").eqNullSafe(F.col("_s2")), "left").select(
             F.col("_source").alias("_mix_source"), "t", "budget", "blocks", "whole", "rest", "_end", "_end_place", "_end_h"
         )
