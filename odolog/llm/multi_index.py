@@ -2,16 +2,21 @@
 
 Vectors are scaled to length 1 and cut into two halves. Each half has a codebook of its own (k-means
 on a bounded sample), and the pairs of codewords form a grid of cells; every vector is filed in one.
-A query walks through the cells in the order of increasing distance, the sum of the distances of its
-halves to the two codewords (multi-sequence traversal: a heap holds the frontier of the grid). How
-many cells it visits is measured, not guessed: sampled queries are compared with *all* vectors, the
-places of their true partners in their walks give the number that reaches the target recall, and
-that number is doubled. Everything in the visited cells is verified in double precision.
+A query goes to every cell that can hold a partner, by an exact bound: vectors with the cosine c are
+at the squared distance 2 - 2c, which the halves share, and a half filed under a codeword lies on that
+codeword's side of the plane midway to the codeword nearest to the query. The sum of the squared
+distances of the query's halves to those planes is at most the distance to anything in the cell.
+Everything reached is verified in double precision, so no link is lost, whatever the data.
+
+Cells in the order of their numbers form blocks. A pair of vectors meets once: in the block of one of
+them, or when the one in the lower block visits the other's; its link counts for both. Vectors whose
+halves lie close to everything (no clusters, or a low cosine) reach most blocks, and the comparisons
+grow with the square of the vectors; they are matrix products of blocks.
 
 Equal vectors form a class that is indexed once and counts with its size. A task compares a block of
-a cell's vectors with a block of its visitors; it returns a count per visitor and a spanning forest of
-the links, never the pairs, so a cell or cluster with a third of all vectors costs more tasks, not
-larger ones. Codebooks and the sampled queries are bounded by parameters.
+vectors with as many visitors; it returns counts per vector and a spanning forest of the links, never
+the pairs, so a cell or cluster with a third of all vectors costs more tasks, not larger ones.
+Codebooks are bounded by parameters, the list of cells by the codebooks.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or whose dimension is
 not the commonest one link with nothing, and neither do rows without an id; repeated rows count as
@@ -33,8 +38,8 @@ from odolog.llm.common import components, stored
 from odolog.session import durable
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("<f8")
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -56,7 +61,8 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def walk(first: np.ndarray, second: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """The ``n`` cells with the smallest sums ``first[i] + second[j]``, in that order."""
+    """The ``n`` cells with the smallest sums ``first[i] + second[j]``, in that order (multi-sequence
+    traversal). ``Layout.reached`` takes the cells up to a sum without their order."""
     rows, columns = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     a, b = first[rows], second[columns]
     heap, seen, out = [(a[0] + b[0], 0, 0)], {(0, 0)}, []
@@ -91,13 +97,57 @@ class Index:
         a, b = self.halves(x)
         return a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)
 
-    def visits(self, x: np.ndarray, n: int) -> list[list[int]]:
+    def least(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds of the squared distances from the halves to all that is filed under each codeword."""
+
+        def planes(d: np.ndarray, centres: np.ndarray) -> np.ndarray:
+            gaps = np.sqrt(_distances(centres, centres))[d.argmin(axis=1)]
+            apart = gaps > 1e-6  # rounding decides between closer codewords
+            return np.square(np.divide(d - d.min(axis=1, keepdims=True), 2 * gaps, out=np.zeros_like(d), where=apart))
+
         a, b = self.halves(x)
-        return [[i * len(self.second) + j for i, j in walk(p, q, n)] for p, q in zip(a, b)]
+        return planes(a, self.first), planes(b, self.second)
+
+
+class Layout:
+    """Blocks of about ``size`` vectors: consecutive cells, or one cell with more."""
+
+    def __init__(self, index: Index, cells: np.ndarray, counts: np.ndarray, size: int):
+        self.index, self.cells, self.block = index, cells, np.zeros(len(cells), np.int64)
+        number = used = 0
+        for k, n in enumerate(counts.tolist()):
+            if used and used + n > size:
+                number, used = number + 1, 0
+            self.block[k], used = number, used + n
+        self.n_blocks = number + 1 if len(cells) else 0
+        first, second = np.divmod(cells, len(index.second))
+        starts = np.flatnonzero(np.r_[True, (np.diff(first) != 0) | (np.diff(self.block) != 0)]) if len(cells) else []
+        ends = [*starts[1:], len(cells)]
+        self.parts = [(int(self.block[s]), int(first[s]), second[s:e]) for s, e in zip(starts, ends)]
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        return self.block[np.searchsorted(self.cells, self.index.cells(x))]
+
+    def reached(self, x: np.ndarray, cosine: float) -> np.ndarray:
+        """Per vector and block: whether a cell of the block can hold a vector with at least this cosine."""
+        limit = 2 - 2 * cosine + 1e-7
+        a, b = self.index.least(x)
+        out = np.zeros((len(x), self.n_blocks), bool)
+        for block, i, js in self.parts:
+            rows = np.flatnonzero(~out[:, block] & (a[:, i] <= limit))
+            if len(rows):
+                out[rows, block] = a[rows, i] + b[np.ix_(rows, js)].min(axis=1) <= limit
+        return out
+
+
+def _kind(vectors: DataFrame, embedding: str) -> str:
+    """How components are kept: as in the column where these are floats."""
+    return "<f4" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "<f8"
 
 
 def _valid(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """Rows with an id and a usable vector, as bytes of doubles, with the class of equal ones."""
+    """Rows with an id and a usable vector, as bytes of its components, with the class of equal ones."""
+    kind = _kind(vectors, embedding)
     x = F.col(embedding).cast("array<double>")
     usable = (
         F.col(key).isNotNull()
@@ -116,7 +166,7 @@ def _valid(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
         for batch in batches:
             lists = batch.column("x")
             flat = lists.flatten().to_numpy(zero_copy_only=False) + 0.0  # -0.0 becomes 0.0
-            raw = [r.tobytes() for r in flat.astype("<f8").reshape(batch.num_rows, -1)] if batch.num_rows else []
+            raw = [r.tobytes() for r in flat.astype(kind).reshape(batch.num_rows, -1)] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())],
                 schema=schema,
@@ -125,79 +175,67 @@ def _valid(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return rows.mapInArrow(pack, "id long, class binary, vector binary")
 
 
-def _visits_needed(reps: DataFrame, index: Index, queries: np.ndarray, ids: np.ndarray, cosine: float, recall: float) -> int:
-    """Cells of a walk that hold at least ``recall`` of the true partners of the queries, found among all vectors."""
-    schema = pa.schema([("query", pa.int64()), ("cell", pa.int64())])
+def _cells(index: Index, kind: str):
+    schema = pa.schema([("cell", pa.int64())])
 
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = _unit(batch.column("vector").to_pylist())
-                q, r = np.nonzero((queries @ x.T >= cosine) & (ids[:, None] != batch.column("id").to_numpy()[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(index.cells(x)[r])], schema=schema)
+            for first in range(0, batch.num_rows, 2048):
+                x = _unit(batch.column("vector").slice(first, 2048).to_pylist(), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(index.cells(x))], schema=schema)
 
-    found = reps.mapInArrow(partners, "query long, cell long").groupBy("query", "cell").count().collect()
-    if not found:
-        return 1
-    walks = index.visits(queries, len(index.first) * len(index.second))
-    place = [{c: i for i, c in enumerate(w)} for w in walks]
-    ranks = np.repeat([place[r["query"]][r["cell"]] for r in found], [r["count"] for r in found])
-    return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+    return cells
 
 
-def _file(index: Index, visits: int):
+def _file(layout: Layout, kind: str, cosine: float):
+    """Vectors with their block and the blocks from there on that they reach."""
     schema = pa.schema(
-        [("id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("cell", pa.int64()), ("visits", pa.list_(pa.int64()))]
+        [("id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("block", pa.int64()), ("visits", pa.list_(pa.int64()))]
     )
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 2048):
                 rows = batch.slice(first, 2048)
-                x = _unit(rows.column("vector").to_pylist())
+                x = _unit(rows.column("vector").to_pylist(), kind)
+                own, reached = layout.own(x), layout.reached(x, cosine)
+                visits = [p + np.flatnonzero(r[p:]) for p, r in zip(own.tolist(), reached)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("id"), rows.column("n"), rows.column("vector"), pa.array(index.cells(x)),
-                        pa.array(index.visits(x, visits), pa.list_(pa.int64())),
-                    ],
+                    [rows.column("id"), rows.column("n"), rows.column("vector"), pa.array(own), pa.array(visits, pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
     return file
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the links (a, b) connect, one fewer than nodes per component."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = v = root[root[v]]
-        return v
-
-    kept = []
-    for u, v in zip(a.tolist(), b.tolist()):
-        ru, rv = find(u), find(v)
-        if ru != rv:
-            root[ru] = rv
-            kept.append((u, v))
-    return kept
-
-
-def _verify(cosine: float):
+def _verify(kind: str, cosine: float):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
+        """Counts of the links between a block's vectors and its visitors, and a spanning forest of them."""
         filed, visitors = group[~group["visits"]], group[group["visits"]]
         columns = ["id", "links", "other"]
         if not len(filed) or not len(visitors):
             return pd.DataFrame(columns=columns)
-        ids, sizes, own = filed["id"].to_numpy(), filed["n"].to_numpy(), visitors["id"].to_numpy()
-        close = _unit(visitors["vector"].tolist()) @ _unit(filed["vector"].tolist()).T >= cosine
-        close &= own[:, None] != ids[None, :]
-        links = close @ sizes
+        ids, own, home = filed["id"].to_numpy(), visitors["id"].to_numpy(), visitors["home"].to_numpy()
+        sizes, own_sizes = filed["n"].to_numpy(), visitors["n"].to_numpy()
+        x, y = _unit(visitors["vector"].tolist(), kind), _unit(filed["vector"].tolist(), kind)
+        nodes, where = np.unique(np.r_[own, ids], return_inverse=True)
+        of_own, of_filed, label = where[: len(own)], where[len(own) :], np.arange(len(nodes))
+        links, found, step = np.zeros(len(nodes), np.int64), [], max(1, 4_000_000 // len(ids))
+        for first in range(0, len(own), step):
+            part = slice(first, first + step)
+            close = x[part] @ y.T >= cosine
+            # inside a block each vector visits the others: the smaller id counts
+            close &= ~home[part, None] | (own[part, None] < ids[None, :])
+            for k in np.flatnonzero(close.any(axis=1)):
+                q, r = first + k, np.flatnonzero(close[k])
+                links[of_own[q]] += sizes[r].sum()
+                links[of_filed[r]] += own_sizes[q]
+                while len(r := r[label[of_filed[r]] != label[of_own[q]]]):
+                    found.append((own[q], ids[r[0]]))
+                    label[label == label[of_filed[r[0]]]] = label[of_own[q]]
         some = links > 0
-        counts = pd.DataFrame({"id": own[some], "links": links[some], "other": pd.array([None] * some.sum(), "Int64")})
-        q, r = np.nonzero(close)
-        edges = pd.DataFrame(_forest(own[q], ids[r]), columns=["id", "other"]).assign(links=0)
+        counts = pd.DataFrame({"id": nodes[some], "links": links[some], "other": pd.array([None] * some.sum(), "Int64")})
+        edges = pd.DataFrame(found, columns=["id", "other"], dtype="int64").assign(links=0)
         return pd.concat([counts, edges[columns].astype({"other": "Int64"})])
 
     return verify
@@ -208,49 +246,49 @@ def near_vectors(
     key: str = "vec_id",
     embedding: str = "embedding",
     cosine: float = 0.95,
-    recall: float = 0.9999,
     per_cell: int = 32,
     max_codewords: int = 1024,
     sample: int = 20_000,
-    queries: int = 512,
-    least_visits: int = 4,
-    block: int = 512,
+    block: int = 4096,
 ) -> DataFrame:
     """Per row: its id, ``n_links`` (other vectors linked), ``component_id`` (smallest id reachable), ``kept``."""
+    kind = _kind(vectors, embedding)
     packed = stored(_valid(vectors, key, embedding))
     reps = stored(
         packed.groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
     )
     total = reps.count()
-    picked = reps.orderBy(F.xxhash64("class"), "id").select("id", "vector").limit(sample).collect()
+    picked = reps.orderBy(F.xxhash64("class"), "id").select("vector").limit(sample).collect()
     if not picked:
-        index, visits = Index(np.zeros((1, 1)), np.zeros((1, 1))), 1
+        index, size = Index(np.zeros((1, 1)), np.zeros((1, 1))), block
     else:
-        x = _unit([bytes(r["vector"]) for r in picked])
+        x = _unit([bytes(r["vector"]) for r in picked], kind)
         index = Index.fit(x, int(np.clip(round((total / per_cell) ** 0.5), 1, max_codewords)))
-        asked = np.array([r["id"] for r in picked[:queries]])
-        needed = _visits_needed(reps, index, x[:queries], asked, cosine, recall)
-        visits = min(max(least_visits, 2 * needed), len(index.first) * len(index.second))
+        # larger blocks are copied less often; 8 give enough tasks, and a task holds two of them
+        size = int(np.clip(min(total // 8, 8_000_000 // x.shape[1]), block, 8 * block))
+    counts = reps.select("vector").mapInArrow(_cells(index, kind), "cell long").groupBy("cell").count().toPandas().sort_values("cell")
+    layout = Layout(index, counts["cell"].to_numpy("int64"), counts["count"].to_numpy("int64"), size)
     filed = stored(
-        reps.select("id", "n", "vector").mapInArrow(_file(index, visits), "id long, n long, vector binary, cell long, visits array<long>")
+        reps.select("id", "n", "vector").mapInArrow(_file(layout, kind, cosine), "id long, n long, vector binary, block long, visits array<long>")
     )
-    guests = filed.select("id", F.explode("visits").alias("cell"))
+    guests = filed.select("id", F.explode("visits").alias("block"))
     blocks = durable(
-        filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("rows"))
-        .join(guests.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("columns")), "cell")
+        filed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("rows"))
+        .join(guests.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("columns")), "block")
     )
 
     def dealt(rows: DataFrame, own: str, other: str, visiting: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("id", F.lit(visiting)), F.col(own)).cast("int")
-        return rows.join(blocks, "cell").select(
-            "id", "n", "vector", "cell", F.lit(visiting).alias("visits"), mine.alias(own),
+        return rows.join(F.broadcast(blocks), "block").select(
+            "id", "n", "vector", "home", "block", F.lit(visiting).alias("visits"), mine.alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other),
-        ).select("id", "n", "vector", "visits", "cell", "rows", "columns")
+        ).select("id", "n", "vector", "home", "visits", "block", "rows", "columns")
 
-    members = dealt(filed.select("id", "n", "vector", "cell"), "rows", "columns", False)
-    visitors = dealt(filed.select("id", "n", "vector", F.explode("visits").alias("cell")), "columns", "rows", True)
+    members = dealt(filed.select("id", "n", "vector", F.lit(True).alias("home"), "block"), "rows", "columns", False)
+    visitors = filed.select("id", "n", "vector", F.col("block").alias("_own"), F.explode("visits").alias("block"))
+    visitors = dealt(visitors.withColumn("home", F.col("_own") == F.col("block")), "columns", "rows", True)
     found = stored(
-        members.unionByName(visitors).groupBy("cell", "rows", "columns").applyInPandas(_verify(cosine), "id long, links long, other long")
+        members.unionByName(visitors).groupBy("block", "rows", "columns").applyInPandas(_verify(kind, cosine), "id long, links long, other long")
     )
     counts = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -151,6 +151,41 @@ def test_vectors_against_brute_force(spark):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+def planted(n, copies, seed, dims=64):
+    """Random unit vectors, and for the first ``copies`` a partner at a cosine of 0.952."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(copies, dims))
+    off -= (off * x[:copies]).sum(1)[:, None] * x[:copies]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return np.vstack([x, 0.952 * x[:copies] + (1 - 0.952**2) ** 0.5 * off])
+
+
+def test_vectors_without_partners_among_the_first(spark):
+    x = planted(6000, 12, 3)  # so few that a sample of the vectors holds about one of them
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in multi_index.near_vectors(df, block=512).collect()}
+    assert [i for i in got if got[i]["n_links"]] and sorted(i for i in got if got[i]["n_links"]) == [*range(12), *range(6000, 6012)]
+    assert all(got[6000 + i]["component_id"] == i and got[6000 + i]["n_links"] == 1 for i in range(12))
+
+
+def test_blocks_reached_hold_all_partners():
+    x = planted(3000, 3000, 4, 16)
+    index = multi_index.Index.fit(x, 12)
+    cells, counts = np.unique(index.cells(x), return_counts=True)
+    layout = multi_index.Layout(index, cells, counts, 100)
+    reached, own = layout.reached(x, 0.95), layout.own(x)
+    assert layout.n_blocks > 30 and not reached.all()
+    i, j = np.nonzero(x @ x.T >= 0.95)
+    assert len(i) >= 12_000 and reached[i, own[j]].all()
+    # each first codeword's part is what the walk takes in up to the same sum
+    a, b = index.least(x[:1])
+    sums = [a[0, u] + b[0, v] for u, v in multi_index.walk(a[0], b[0], 144)]
+    near = {u * 12 + v for (u, v), s in zip(multi_index.walk(a[0], b[0], 144), sums) if s <= 0.1 + 1e-7}
+    assert set(np.flatnonzero(reached[0])) == set(layout.block[np.isin(cells, list(near))])
+
+
 def test_walk_visits_the_nearest_cells_first():
     rng = np.random.default_rng(2)
     a, b = rng.random(7), rng.random(9)
