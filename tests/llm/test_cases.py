@@ -170,6 +170,14 @@ def test_vectors_without_partners_among_the_first(spark):
     assert all(got[6000 + i]["component_id"] == i and got[6000 + i]["n_links"] == 1 for i in range(12))
 
 
+def test_links_count_for_both_ends(spark):
+    x = planted(6000, 16, 12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([x, x[:3]]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_vectors(df).collect()}
+    assert [got[i] for i in range(16)] == [2] * 3 + [1] * 13
+    assert [got[6000 + i] for i in range(19)] == [2] * 3 + [1] * 13 + [2] * 3
+
+
 def test_blocks_reached_hold_all_partners():
     x = planted(3000, 3000, 4, 16)
     index = multi_index.Index.fit(x, 12)
