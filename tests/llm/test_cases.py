@@ -401,3 +401,36 @@ def test_pipeline_stages(spark, docs):
         now = out
     assert 0 < sizes[0] < N and sizes[1] < sizes[0] and sizes[2] == sizes[1]
     assert packing.pack(docs, tokenizer_path()).count() > 0
+
+
+def near_copies():
+    """Texts of 100 words with copies at similarities from 0.7 to 1, many of them between 0.8 and 0.85."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(60):
+        words = rng.choice(3000, 100).tolist()
+        other = list(words)
+        for k in range(i % 5):  # each changed word costs five shingles of 96
+            other[7 + 18 * k] = 5000 + k
+        texts += [" ".join(map(str, words)), " ".join(map(str, other))]
+    return texts
+
+
+def linked(sets, percent):
+    """Smallest index reachable by links, by brute force."""
+    label = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_pipeline_drops_copies_from_a_similarity_of_80_percent(spark):
+    texts = near_copies()
+    sets = [shingles(t) for t in texts]
+    between = sum(80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.distinct(spark, docs, "")
+    assert between >= 10 and kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(linked(sets, 80)))
