@@ -35,6 +35,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 CARD = r"\d(?:[ -]?\d){12,18}"
+#: Digits with single or repeated separators; ``_run_pieces`` finds the cards and other numbers in it.
+RUN = r"\d[\d -]{11,}\d"
+#: How cards are written: unbroken, or in the groups of their issuers with one separator.
+GROUPED = r"\d{13,19}|" + "|".join(f"\\d{{4}}{s}" + s.join(rest) for s in " -" for rest in ([r"\d{4}"] * 3, [r"\d{6}", r"\d{4,5}"]))
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = (
     r"(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
@@ -50,7 +54,7 @@ TITLES = {
 }
 _TITLE = "|".join(form for titles in TITLES.values() for t in titles for form in (t, t.upper()))
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
-ANY = f"{EMAIL}|{_BEFORE}{IP}{_AFTER}|{_BEFORE}{SSN}{_AFTER}|{_BEFORE}{CARD}{_AFTER}|{_BEFORE}(?:{PHONE}){_AFTER}|{PERSON}"
+ANY = f"{EMAIL}|{_BEFORE}{IP}{_AFTER}|{_BEFORE}{SSN}{_AFTER}|{_BEFORE}{RUN}{_AFTER}|{_BEFORE}(?:{PHONE}){_AFTER}|{PERSON}"
 
 _ITEM = "array<struct<type:string,entity:string>>"
 _LATIN = ("bdfgklmnprstvz", "aeiou", {"m": "on", "f": "ia", "n": "e", "family": "er"})
@@ -231,11 +235,79 @@ def render(mention: Column, kind: Column, surrogates: Column) -> Column:
     )
 
 
+def _piece(gap: Column, mention: Column) -> Column:
+    return F.struct(gap.alias("gap"), mention.cast("string").alias("mention"))
+
+
+def _run_pieces(run: Column) -> Column:
+    """A run of digits cut into its numbers. Where they overlap, cards written as cards are are taken first, then social
+    security and telephone numbers, then other cards: groups of three digits and more, or as far as the run is one."""
+
+    def spans(tokens: Column) -> Column:  # digits and separators in turn
+        last = F.size(tokens) - 1
+
+        def ranked(text: Column, s: Column, e: Column) -> Column:
+            digits = _digits(text)
+            card = text.rlike(f"^{CARD}$") & (luhn_sum(digits) % 10 == 0)
+            whole = (s == 0) & ((e == last) | (F.length(digits) + F.length(F.get(tokens, e + 2)) > 19))
+            other = text.rlike(f"^(?:{SSN}|{PHONE})$") & ~F.coalesce(F.get(tokens, e + 1) == "-", F.lit(False))
+            rank = (
+                F.when(text.rlike(f"^(?:{GROUPED})$") & card, 0).when(other, 1)
+                .when((whole | ~text.rlike(r"(?:^|[ -])\d{1,2}(?:[ -]|$)")) & card, 2)
+            )
+            return F.struct(rank.alias("rank"), s.alias("s"), (-e).alias("_e"), e.alias("e"), text.alias("text"))
+
+        def windows(s: Column) -> Column:
+            ends = F.sequence(s, F.least(last, s + 36), F.lit(2))
+            return F.transform(ends, lambda e: let(F.array_join(F.slice(tokens, s + 1, e - s + 1), ""), lambda t: ranked(t, s, e)))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(2)), windows))
+        sorted_ = F.array_sort(F.filter(every, lambda c: c["rank"].isNotNull()))
+        none = F.filter(sorted_, lambda c: F.lit(False))
+        free = lambda taken, c: ~F.exists(taken, lambda t: (t["s"] <= c["e"]) & (c["s"] <= t["e"]))
+        taken = F.aggregate(sorted_, none, lambda taken, c: F.when(free(taken, c), F.concat(taken, F.array(c))).otherwise(taken))
+        return F.array_sort(F.transform(taken, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["text"].alias("text"))))
+
+    def cut(tokens: Column) -> Column:
+        def between(first: Column, end: Column) -> Column:
+            return F.array_join(F.slice(tokens, first + 1, F.greatest(end - first, F.lit(0))), "")
+
+        def pieces(found: Column) -> Column:
+            after = lambda i: F.coalesce(F.get(found, i - 1)["e"] + 1, F.lit(0))
+            numbers = F.transform(found, lambda c, i: _piece(between(after(i), c["s"]), c["text"]))
+            return F.concat(numbers, F.array(_piece(between(after(F.size(found)), F.size(tokens)), F.lit(None))))
+
+        return let(spans(tokens), pieces)
+
+    return let(F.regexp_extract_all(run, F.lit(r"\d+|[ -]+"), F.lit(0)), cut)
+
+
+def _pieces(text: Column) -> Column:
+    """``text`` in order: what stands before each mention, and the mention; null where there is only text."""
+
+    def cut(found: Column, between: Column) -> Column:
+        def parts(m: Column, i: Column) -> Column:
+            clear = ~m.rlike(f"^{RUN}$") | (m.rlike(f"^(?:{GROUPED})$") & (luhn_sum(_digits(m)) % 10 == 0))
+            inside = F.concat(F.array(_piece(F.get(between, i), F.lit(None))), _run_pieces(m))
+            return F.when(clear, F.array(_piece(F.get(between, i), m))).otherwise(inside)
+
+        end = F.array(_piece(F.get(between, F.size(found)), F.lit(None)))
+        return F.concat(F.flatten(F.transform(found, parts)), end)
+
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return let(
+        found,
+        lambda f: F.when(F.size(f) == 0, F.array(_piece(text, F.lit(None)))).otherwise(
+            let(F.split(text, ANY, -1), lambda between: cut(f, between))
+        ),
+    )
+
+
 def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per mention and entity in it: ``_key``, ``_hash`` of the text, number of the match, the mention
+    """One row per mention and entity in it: ``_key``, ``_hash`` of the text, number of the piece, the mention
     and the item."""
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    found = rows.select("_key", "_hash", F.explode(F.array_distinct(_numbered(F.col("_text")))).alias("_m"))
+    found = rows.select("_key", "_hash", F.explode(_numbered(F.col("_text"))).alias("_m"))
     return found.select(
         "_key", "_hash", F.col("_m.i").alias("i"), F.col("_m.mention").alias("mention"),
         F.posexplode(_items(F.col("_m.mention"))).alias("j", "_item"),
@@ -243,30 +315,21 @@ def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _numbered(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0))
-    return F.transform(found, lambda m, i: F.struct(i.alias("i"), m.alias("mention")))
+    pieces = F.transform(_pieces(F.coalesce(text, F.lit(""))), lambda p, i: F.struct(i.alias("i"), p["mention"].alias("mention")))
+    return F.filter(pieces, lambda p: p["mention"].isNotNull())
 
 
 def _replaced(text: Column, new: Column) -> Column:
-    """``text`` with its matches replaced: ``new`` is an array of (number of the match, replacement), sorted."""
+    """``text`` with its mentions replaced: ``new`` is an array of (number of the piece, replacement), sorted."""
 
     def build(x: Column) -> Column:
-        kept = F.transform(
-            x["found"], lambda m, i: F.coalesce(F.get(F.filter(x["new"], lambda n: n["i"] == i), F.lit(0))["by"], m)
-        )
-        aligned = F.size(x["new"]) == F.size(x["found"])
-        by = F.when(aligned, F.transform(x["new"], lambda n: n["by"])).otherwise(kept)
-        return let(
-            by,
-            lambda b: F.array_join(
-                F.transform(x["between"], lambda p, i: F.concat(p, F.coalesce(F.get(b, i), F.lit("")))), ""
-            ),
-        )
+        by = lambda p, i: F.coalesce(F.get(F.filter(x["new"], lambda n: n["i"] == i), F.lit(0))["by"], p["mention"], F.lit(""))
+        aligned = F.size(x["new"]) == F.size(x["pieces"]) - 1  # every piece but the end
+        return F.when(
+            aligned, F.array_join(F.transform(x["pieces"], lambda p, i: F.concat(p["gap"], F.coalesce(F.get(x["new"], i)["by"], F.lit("")))), "")
+        ).otherwise(F.array_join(F.transform(x["pieces"], lambda p, i: F.concat(p["gap"], by(p, i))), ""))
 
-    parts = F.struct(
-        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"), F.split(text, ANY, -1).alias("between"), new.alias("new")
-    )
-    return let(parts, build)
+    return let(F.struct(_pieces(text).alias("pieces"), new.alias("new")), build)
 
 
 def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:

@@ -236,6 +236,27 @@ def test_surrogates_keep_form_and_identity(spark):
     assert other[5]["text"] != t[5]
 
 
+def test_surrogates_of_numbers_beside_numbers(spark):
+    texts = [
+        "4111 1111 1111 1111 12/27", "4111 1111 1111 1111 123", "555-123-4567 2023", "1024 212-555-0147",  # of the advice
+        "1024 4111 1111 1111 1111", "2024 123-45-6789", "212-555-0147 4111-1111-1111-1111 4111111111111111 7", "4952 935900253052 12345678",
+        "4111 1111 1111 1112 12", "1 2 3 4 5 6 7 8 9 10 11 12 13", "card 3782-822463-10005, 3782 822463 10005 99", "4111111111111111",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(surrogates.replace(df, "key", count="n"))
+    t = [got[i]["text"] for i in range(len(texts))]
+    card, phone = t[11], re.sub("-", "", t[3][5:])
+    assert luhn(card) and card != texts[11] and phone != "2125550147"
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    assert t[:2] == [f"{spaced} 12/27", f"{spaced} 123"] and t[4] == f"1024 {spaced}"
+    assert re.fullmatch(r"\d{3}-\d{3}-\d{4} 2023", t[2]) and "555-123-4567" not in t[2] and t[3].startswith("1024 ")
+    assert re.fullmatch(r"2024 9\d\d-\d\d-\d{4}", t[5])
+    assert t[6] == f"{t[3][5:]} {spaced.replace(' ', '-')} {card} 7"
+    assert t[7].endswith(" 12345678") and t[7][:17] != texts[7][:17] and t[8:10] == texts[8:10]
+    assert t[10].endswith(" 99") and "822463" not in t[10]
+    assert [got[i]["n"] for i in range(len(texts))] == [1, 1, 1, 1, 1, 1, 3, 1, 0, 0, 2, 1]
+
+
 def test_surrogates_are_distinct(spark):
     # two-letter addresses and names of three syllables collide at the first attempt
     rows = [(i, f"{a}{b}@x.org") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
