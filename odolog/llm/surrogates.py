@@ -1,7 +1,8 @@
 """Surrogates for personal data (operator 5).
 
 E-mail addresses, IP addresses, card numbers (with a right check digit), social security numbers,
-telephone numbers and names after a title are found in whole texts and replaced by made-up ones of
+telephone numbers and names after a title are found in whole texts, with every other mention of a text's
+own names (whole words with a capital initial), and replaced by made-up ones of
 the same type and look: digits keep their separators, cards their length, issuer digit and check
 digit, letters their script and case, given names the gender of the title.
 
@@ -223,9 +224,8 @@ def render(mention: Column, kind: Column, surrogates: Column) -> Column:
     first = F.get(surrogates, F.lit(0))
 
     def named(words: Column) -> Column:
-        return F.array_join(
-            F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(_cased(w, F.get(surrogates, i - F.lit(1))))), " "
-        )
+        titled = F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(_cased(w, F.get(surrogates, i - F.lit(1)))))
+        return F.when(F.size(words) == 1, _cased(mention, first)).otherwise(F.array_join(titled, " "))
 
     return (
         F.when(kind == "email", F.when(mention == F.upper(mention), F.upper(first)).otherwise(first))
@@ -235,8 +235,10 @@ def render(mention: Column, kind: Column, surrogates: Column) -> Column:
     )
 
 
-def _piece(gap: Column, mention: Column) -> Column:
-    return F.struct(gap.alias("gap"), mention.cast("string").alias("mention"))
+def _piece(gap: Column, mention: Column, name: Column | None = None) -> Column:
+    """``name``: given name or family name, for a mention without a title."""
+    name = F.lit(None) if name is None else name
+    return F.struct(gap.alias("gap"), mention.cast("string").alias("mention"), name.cast("string").alias("name"))
 
 
 def _run_pieces(run: Column) -> Column:
@@ -285,22 +287,43 @@ def _run_pieces(run: Column) -> Column:
 def _pieces(text: Column) -> Column:
     """``text`` in order: what stands before each mention, and the mention; null where there is only text."""
 
-    def cut(found: Column, between: Column) -> Column:
+    def cut(found: Column, between: Column, names: Column) -> Column:
         def parts(m: Column, i: Column) -> Column:
+            gap = F.get(between, i)
+            bare = m.rlike(r"^\p{L}[\p{L}'-]*$")
             clear = ~m.rlike(f"^{RUN}$") | (m.rlike(f"^(?:{GROUPED})$") & (luhn_sum(_digits(m)) % 10 == 0))
-            inside = F.concat(F.array(_piece(F.get(between, i), F.lit(None))), _run_pieces(m))
-            return F.when(clear, F.array(_piece(F.get(between, i), m))).otherwise(inside)
+            kind = F.get(F.filter(names, lambda n: n["entity"] == F.lower(m)), F.lit(0))["type"]
+            inside = F.concat(F.array(_piece(gap, F.lit(None))), _run_pieces(m))
+            return F.when(bare, F.array(_piece(gap, m, kind))).when(clear, F.array(_piece(gap, m))).otherwise(inside)
 
         end = F.array(_piece(F.get(between, F.size(found)), F.lit(None)))
         return F.concat(F.flatten(F.transform(found, parts)), end)
 
+    def again(names: Column) -> Column:
+        """The pattern with the text's own names, as whole words with a capital initial."""
+        words = F.array_join(F.transform(F.reverse(F.array_sort(F.transform(names, lambda n: n["entity"]))), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|")
+        bare = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?iu:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+        found = F.regexp_extract_all(text, bare, F.lit(0))
+        return let(found, lambda f: let(F.split(text, bare, -1), lambda between: cut(f, between, names)))
+
+    def pieces(found: Column) -> Column:
+        names = _names(found)
+        plain = let(F.split(text, ANY, -1), lambda between: cut(found, between, F.array().cast(_ITEM)))
+        return let(names, lambda n: F.when(F.size(n) == 0, plain).otherwise(again(n)))
+
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return let(
-        found,
-        lambda f: F.when(F.size(f) == 0, F.array(_piece(text, F.lit(None)))).otherwise(
-            let(F.split(text, ANY, -1), lambda between: cut(f, between))
-        ),
-    )
+    return let(found, lambda f: F.when(F.size(f) == 0, F.array(_piece(text, F.lit(None)))).otherwise(pieces(f)))
+
+
+def _names(found: Column) -> Column:
+    """Distinct names after titles among the matches, also without a genitive ``'s``."""
+    titled = F.filter(found, lambda m: m.rlike(r"^\p{L}") & ~m.contains("@"))
+    items = F.flatten(F.transform(titled, _items))
+
+    def short(x: Column) -> Column:
+        return F.struct(x["type"].alias("type"), F.regexp_replace(x["entity"], "('s|')$", "").alias("entity"))
+
+    return F.array_distinct(F.concat(items, F.transform(items, short)).cast(_ITEM))
 
 
 def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -310,12 +333,17 @@ def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = rows.select("_key", "_hash", F.explode(_numbered(F.col("_text"))).alias("_m"))
     return found.select(
         "_key", "_hash", F.col("_m.i").alias("i"), F.col("_m.mention").alias("mention"),
-        F.posexplode(_items(F.col("_m.mention"))).alias("j", "_item"),
+        F.posexplode(
+            F.when(
+                F.col("_m.name").isNotNull(),
+                F.array(F.struct(F.col("_m.name").alias("type"), F.lower("_m.mention").alias("entity"))).cast(_ITEM),
+            ).otherwise(_items(F.col("_m.mention")))
+        ).alias("j", "_item"),
     ).select("_key", "_hash", "i", "mention", "j", "_item.type", "_item.entity")
 
 
 def _numbered(text: Column) -> Column:
-    pieces = F.transform(_pieces(F.coalesce(text, F.lit(""))), lambda p, i: F.struct(i.alias("i"), p["mention"].alias("mention")))
+    pieces = F.transform(_pieces(F.coalesce(text, F.lit(""))), lambda p, i: F.struct(i.alias("i"), p["mention"].alias("mention"), p["name"].alias("name")))
     return F.filter(pieces, lambda p: p["mention"].isNotNull())
 
 

@@ -257,6 +257,23 @@ def test_surrogates_of_numbers_beside_numbers(spark):
     assert [got[i]["n"] for i in range(len(texts))] == [1, 1, 1, 1, 1, 1, 3, 1, 0, 0, 2, 1]
 
 
+def test_surrogates_of_names_without_a_title(spark):
+    texts = [
+        "Then Lovelace left Ms. Ada Lovelace wrote. Ada Lovelace said so, LOVELACE added, but ada did not.",
+        "Mr. Bo O'Hara-Lee's dog. O'Hara-Lee ran; Bo's hat, Bob.", "Ada Lovelace wrote, 4111 1111 1111 1111 12", "Госпожа Анна Иванова. Анна и Иванова ушли",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(surrogates.replace(df, "key", count="n"))
+    t = [got[i]["text"] for i in range(len(texts))]
+    ada, name = re.search(r"Ms\. (\w+) (\w+) wrote", t[0]).groups()
+    assert ada != "Ada" and name != "Lovelace"
+    assert t[0] == f"Then {name} left Ms. {ada} {name} wrote. {ada} {name} said so, {name.upper()} added, but ada did not."
+    assert "Hara" not in t[1] and not re.search(r"\bBo\b", t[1]) and t[1].endswith(" hat, Bob.")
+    assert t[2].startswith("Ada Lovelace wrote, ") and "4111" not in t[2]  # no title in this text
+    assert "Анна" not in t[3] and "Иванова" not in t[3] and got[0]["n"] == 5
+    assert re.fullmatch(r"Госпожа (\w+) (\w+)\. \1 и \2 ушли", t[3])
+
+
 def test_surrogates_are_distinct(spark):
     # two-letter addresses and names of three syllables collide at the first attempt
     rows = [(i, f"{a}{b}@x.org") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
