@@ -150,3 +150,29 @@ g as (select *, whole + case when place < end_place or (place = end_place and bl
 x as (select *, unnest(range(copies::bigint)) as copy from g where copies > 0)
 select doc_id, source, t as tokens, copy, block,
   ('0x' || md5(concat_ws('|', 'mix', coalesce(source, 'null'), copy::text, block::text))[1:15])::bigint as mix_key from x"""
+
+ORACLES["op11_periodic_runs"] = r"""
+with t as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)),
+    lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as crcs),
+d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    list_transform(string_split(doc_id::text, ''), lambda x: ord(x)::bigint) as bytes from documents),
+h as (select doc_id, ws, len(ws) as n, xor(list_reduce(list_prepend(4294967295::bigint, bytes),
+    lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1])), 4294967295::bigint) as h from d, t),
+a as (select *, h // 10 as g, case when h % 10 = 0 and n > 0 then (h // 10) % n else n end as a from h),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+w as (select doc_id, n, list_transform(range(n), lambda i: case when i >= a then ws[1 + a + (i - a) % p] else ws[i + 1] end) as ws from p),
+e as (select doc_id, n, unnest(ws) as word, unnest(range(n)) as i from w),
+m as (select x.doc_id, y.i - x.i as q, y.i from e x join e y
+  on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+o as (select *, i - row_number() over (partition by doc_id, q order by i) as island from m),
+f as (select doc_id, q, min(i) - q as s, count(*) + q as len from o group by doc_id, q, island
+  having count(*) + q >= greatest(6, 4 * q)),
+r as (select doc_id, s, len, min(q) as q from f group by doc_id, s, len),
+b as (select doc_id, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as listed,
+    first({'s': s, 'len': len, 'q': q} order by len / q desc, s, q) as best from r group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + len)) as i from r),
+k as (select e.doc_id, string_agg(word, ' ' order by e.i) as text from e left join gone
+  on e.doc_id = gone.doc_id and e.i = gone.i where gone.i is null group by e.doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.len as length, best.q as period,
+  1000 * best.len // best.q as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from d left join b on d.doc_id = b.doc_id left join k on d.doc_id = k.doc_id"""

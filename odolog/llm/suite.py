@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from odolog.llm import minhash, mixing, multi_index, packing, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
+from odolog.llm import minhash, mixing, multi_index, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
 from odolog.llm.common import SECRET, table, tokenizer_path
 from odolog.llm.oracles import ORACLES
 
@@ -75,6 +75,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=True))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 
 __all__ = ["ORACLES", "QUERIES"]
