@@ -176,3 +176,23 @@ k as (select e.doc_id, string_agg(word, ' ' order by e.i) as text from e left jo
 select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.len as length, best.q as period,
   1000 * best.len // best.q as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
 from d left join b on d.doc_id = b.doc_id left join k on d.doc_id = k.doc_id"""
+
+ORACLES["op13_collocations"] = r"""
+with d as (select coalesce(lang, 'und') as lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps
+  from documents),
+p as (select lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') as ws from d),
+n as (select lang, sum(len(ws))::bigint as n from p group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) as phrase
+  from p, (select unnest(range(1, 6)) as k) where len(ws) >= k),
+f as (select lang, k, phrase, count(*)::bigint as f from g group by lang, k, phrase having count(*) >= 100),
+c as (select lang, k, phrase, string_split(phrase, ' ') as ws, f as a from f where k > 1),
+u as (select lang, phrase, ws, a, unnest(range(1, k)) as cut from c),
+s as (select u.lang, u.phrase, a, cut, l.f as l, r.f as r, n, (1000::hugeint * a * n) // (l.f::hugeint * r.f) as score
+  from u join f l on l.lang = u.lang and l.phrase = array_to_string(ws[1 : cut], ' ')
+  join f r on r.lang = u.lang and r.phrase = array_to_string(ws[cut + 1 :], ' ') join n on n.lang = u.lang),
+low as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+kept as (select * from low where not exists (select 1 from c where c.lang = low.lang and c.phrase != low.phrase
+  and contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' ') and 100 * c.a >= 100 * low.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000"""
