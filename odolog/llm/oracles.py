@@ -196,3 +196,13 @@ kept as (select * from low where not exists (select 1 from c where c.lang = low.
   and contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' ') and 100 * c.a >= 100 * low.a)),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
 select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000"""
+
+# the pages of these tables have one layout; the operator knows nothing of it
+ORACLES["op12_templates"] = r"""
+with p as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as a from pages),
+b as (select page_id, url, unnest(regexp_split_to_array(a, '</?(?:h1|p)>')) as block, generate_subscripts(regexp_split_to_array(a, '</?(?:h1|p)>'), 1) as i from p),
+t as (select page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as x from b),
+d as (select page_id, url, i, replace(replace(replace(regexp_replace(replace(x, '&quot;', '"'), '&copy;', '©', 'g'), '&lt;', '<'), '&gt;', '>'), '&#39;', '''') as x from t),
+e as (select page_id, url, i, regexp_replace(x, '&amp;?', '&', 'g') as x from d),
+j as (select page_id, string_agg(x, chr(10) order by i) as text from e where x != '' group by page_id)
+select p.page_id, p.url, coalesce(j.text, '') as text, length(coalesce(j.text, '')) as n_chars from p left join j on p.page_id = j.page_id"""

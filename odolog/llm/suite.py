@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from odolog.llm import minhash, mixing, multi_index, packing, periodic_runs, phrases, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
+from odolog.llm import minhash, mixing, multi_index, packing, page_templates, periodic_runs, phrases, quality_classifier, quality_rules, secret_scan, sharding, surrogates, warc
 from odolog.llm.common import SECRET, table, tokenizer_path
 from odolog.llm.oracles import ORACLES
 
@@ -80,6 +80,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=True))
 
 
+@query
+def op12_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_templates.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
