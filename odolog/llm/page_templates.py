@@ -84,7 +84,7 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, *, held_by: float = HELD_BY) -> DataFrame:
     """Template of each host: ``host``, ``pages``, ``different`` (pages) and ``tokens``, a list of the tokens that more than ``held_by`` of
-    its pages hold, with ``class`` (hash of the vector), ``total``, ``chars`` and mean ``place``.
+    its pages hold, with ``class`` (hash of the vector), ``once`` (a page), ``chars`` and mean ``place``.
 
     Tokens are combined per task, then by host and token, so a host with a third of all pages is spread by its tokens. Only what
     most pages hold is brought together by host: a page's worth.
