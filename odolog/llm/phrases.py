@@ -5,11 +5,12 @@ counted from the first step on. A longer phrase becomes active in the step after
 its last and without its first word) have reached the threshold, wherever the cycle stands then, and is
 counted for exactly one full cycle, so each of its occurrences counts once. Steps end when no phrase is active.
 
-Which phrases have reached the threshold is told to the tasks by a filter of bounded size (a Bloom filter, ``filter_bytes``).
-It only gains phrases, and step ``t`` counts what both subphrases in the filter of step ``t`` activate, unless the filter of a cycle
-earlier did so already. A phrase let in by chance is therefore counted for one full cycle as well: its
-count is exact, only not needed. Counts that decide are summed by 64-bit hash, which can only activate more;
-the counts returned are summed by the phrases themselves.
+Shards hold the texts as 64-bit hashes of words, so a step neither splits nor decodes text, and phrases are counted by
+hash. Which phrases have reached the threshold is told to the tasks by a filter of bounded size (a Bloom filter,
+``filter_bytes``). It only gains phrases; step ``t`` counts what both subphrases in the filter of step ``t`` activate,
+unless the filter of a cycle earlier did so already. A phrase let in by chance, by the filter or by equal hashes, is
+counted for one full cycle as well: chance can activate more, never less. A last scan of the texts counts the phrases
+of the last filter by their words, and only those counts are returned.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from odolog.llm.common import shared_folder, stored
@@ -29,32 +31,49 @@ from odolog.llm.common import shared_folder, stored
 LONGEST = 5
 LEAST_COUNT = 100
 SHARDS = 2
-FILTER_BYTES = 1 << 23  # of the filter that every task holds twice; larger ones prune better, none changes the result
-BUFFER_WORDS = 1 << 21
+FILTER_BYTES = (1 << 16, 1 << 25)  # least and most of the filter that every task holds twice; no size changes the result
+BUFFER_WORDS = 1 << 21  # words a task counts at a time
+BLOCK_WORDS = 1 << 16  # words in a row of a shard
 SLICE_BYTES = 1 << 23
 LEAST_SCORES = 2000
 
-_LOWER = bytes(range(ord("A"), ord("Z") + 1))
+_UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes.maketrans(_LOWER + _ENDS, _LOWER.lower() + b"\xff" * len(_ENDS))  # \xff occurs in no UTF-8 text
+_TABLE = bytes.maketrans(_UPPER + _ENDS, _UPPER.lower() + b"\xff" * len(_ENDS))  # \xff occurs in no UTF-8 text
 
 
 def _words(text: str) -> Iterator[list[bytes]]:
-    """The words of a text in order, with ``\\xff`` where a piece ends, some megabytes at a time."""
+    """The words of a text in order, with ``\xff`` where a piece ends, some megabytes at a time."""
     raw = text.encode().translate(_TABLE)
     at = 0
     while at < len(raw):
-        end = min(len(raw), at + SLICE_BYTES)
-        if end < len(raw):  # not within a word
+        end = at
+        while True:  # not within a word, however long
+            end = min(len(raw), end + SLICE_BYTES)
             stop = max(raw.rfind(b" ", at, end), raw.rfind(b"\t", at, end), raw.rfind(b"\xff", at, end)) + 1
-            while stop <= at and end < len(raw):  # a word longer than the slice
-                end = min(len(raw), end + SLICE_BYTES)
-                stop = max(raw.rfind(b" ", at, end), raw.rfind(b"\t", at, end), raw.rfind(b"\xff", at, end)) + 1
-            end = stop if stop > at else end
+            if end == len(raw) or stop > at:
+                break
+        end = end if end == len(raw) else stop
         yield raw[at:end].replace(b"\xff", b" \xff ").split()
         at = end
 
 
+class _Hashes(dict):
+    """64-bit hash of each word of a language, computed once; 0 stands for the end of a piece only."""
+
+    def __init__(self, lang: str):
+        self.salt = hashlib.blake2b(lang.encode(), digest_size=16).digest()
+        self[b"\xff"] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.salt).digest(), "little") or 1
+        if len(self) > 1 << 20:
+            self.clear()
+            self[b"\xff"] = 0
+        self[word] = value
+        return value
+
+
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hashes of phrases from those of all but the last word and of the last word (unsigned 64-bit)."""
     x = left * np.uint64(0x9E3779B97F4A7C15) + right
@@ -63,135 +82,178 @@ def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    """The five bits of a phrase within its word of the filter."""
-    one = np.uint64(1)
-    masks = (one << ((h >> np.uint64(s)) & np.uint64(63)) for s in (32, 38, 44, 50, 56))
-    return reduce(np.bitwise_or, masks)
+_PLACES = (32, 38, 44, 50, 56)  # of the hash bits that choose the five bits of a phrase in its word of the filter
 
 
 def _holds(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    need = _bits(h)
+    need = reduce(np.bitwise_or, (np.uint64(1) << ((h >> np.uint64(s)) & np.uint64(63)) for s in _PLACES))
     return (bloom[(h & np.uint64(len(bloom) - 1)).astype(np.int64)] & need) == need
 
 
 def _filter_bits(h: Column) -> Column:
-    """``_bits`` as a column."""
-    return reduce(
-        lambda a, b: a.bitwiseOR(b),
-        [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (32, 38, 44, 50, 56)],
-    )
+    """The five bits as a column."""
+    places = [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int") for s in _PLACES]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places])
 
 
-class _Counter:
-    """Counts the active phrases in a stream of words of one language."""
-
-    def __init__(self, lang: str, now: np.ndarray, before: np.ndarray, longest: int, with_words: bool):
-        self.lang, self.now, self.before, self.longest, self.with_words = lang, now, before, longest, with_words
-        self.salt = lang.encode()
-        self.kept: list[np.ndarray] = []
-        self.reset([])
-
-    def reset(self, words: list[bytes]) -> None:
-        self.numbers: defaultdict = defaultdict(itertools.count().__next__)
-        self.numbers[b"\xff"]
-        self.kept = [self.numbered(words)]
-        self.size = len(words)
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-
-    def add(self, words: list[bytes]) -> None:
-        self.kept.append(self.numbered(words))
-        self.size += len(words)
-
-    def counts(self, last: bool) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-        """(length, phrases, hashes, counts) of all that starts in the words held, but for the last few if more follow."""
-        a = np.concatenate(self.kept)
-        words = list(self.numbers)
-        cut = len(a) if last else max(0, len(a) - self.longest + 1)
-        h1 = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8, key=self.salt[:64]).digest() for w in words), np.uint64)
-        if self.with_words:
-            n = np.bincount(a[:cut], minlength=len(words))
-            n[0] = 0
-            seen = np.flatnonzero(n)
-            yield 1, [words[i] for i in seen.tolist()], h1[seen], n[seen]
-        now, before = _holds(self.now, h1), _holds(self.before, h1)
-        now[0] = before[0] = False
-        active, done = now[a], before[a]  # per position: the phrase of the length before is frequent, was a cycle ago
-        h, name = h1[a], a
-        phrases = words
-        for length in range(2, self.longest + 1):
-            at = np.flatnonzero(active[:-1] & active[1:] & (np.arange(len(active) - 1) + length <= len(a))) if len(a) > 1 else np.empty(0, np.int64)
+def _deal(rows: DataFrame, longest: int) -> DataFrame:
+    """``lang``, ``text``, ``shard`` as blocks of word hashes: ``shard``, ``words`` (little-endian) and ``own``, the number of
+    words at which phrases of this block begin; what follows them belongs to the next block of a long text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages: dict[str, _Hashes] = {}
+        held: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+        sizes: defaultdict[int, int] = defaultdict(int)
+
+        def block(shard: int, words: np.ndarray, own: int) -> pa.RecordBatch:
+            cells = [pa.array([shard], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([own], pa.int32())]
+            return pa.RecordBatch.from_arrays(cells, names=["shard", "words", "own"])
+
+        for batch in batches:
+            for lang, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
+                if lang not in languages:
+                    if len(languages) >= 64:
+                        languages.clear()
+                    languages[lang] = _Hashes(lang)
+                number = languages[lang]
+                for words in _words(text):
+                    held[shard].append(np.fromiter((number[w] for w in words), np.uint64, len(words)))
+                    sizes[shard] += len(words)
+                    if sizes[shard] >= 2 * BLOCK_WORDS:
+                        all_words = np.concatenate(held[shard])
+                        at = 0
+                        while len(all_words) - at >= 2 * BLOCK_WORDS:
+                            yield block(shard, all_words[at : at + BLOCK_WORDS + longest - 1], BLOCK_WORDS)
+                            at += BLOCK_WORDS
+                        held[shard], sizes[shard] = [all_words[at:]], len(all_words) - at
+                held[shard].append(np.zeros(1, np.uint64))
+                sizes[shard] += 1
+        for shard, parts in held.items():
+            yield block(shard, np.concatenate(parts), sizes[shard])
+
+    return rows.select("lang", "text", "shard").mapInArrow(run, "shard int, words binary, own int")
+
+
+def _active_counts(
+    words: np.ndarray, own: np.ndarray, now: np.ndarray, before: np.ndarray, longest: int, with_words: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of the active phrases that begin at an ``own`` word, by length."""
+    at = np.flatnonzero(words)
+    if with_words:
+        yield np.unique(words[at[own[at]]], return_counts=True)
+    h = words
+    at = at[_holds(now, words[at])]  # where the phrase of the length before is frequent
+    done = _holds(before, h[at])  # and was so a cycle ago
+    for length in range(2, longest + 1):
+        follows = at[1:] == at[:-1] + 1
+        complete = (done[1:] & done[:-1])[follows]
+        at = at[:-1][follows]
+        full = np.zeros(len(words), np.uint64)
+        hashes = _mixed(h[at], words[at + length - 1])
+        counted = hashes[~complete & own[at]]
+        if len(counted):
+            yield np.unique(counted, return_counts=True)
+        again = _holds(now, hashes)
+        at, hashes = at[again], hashes[again]
+        if not len(at) or length == longest:
+            return
+        done = _holds(before, hashes)
+        full[at] = hashes
+        h = full
+
+
+def _scan(shard: DataFrame, now: Broadcast, before: Broadcast, longest: int, with_words: bool) -> DataFrame:
+    """Counts ``c`` of the active phrases in blocks of words by hash ``h``, summed as far as a task's memory is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old = now.value, before.value
+        parts, owns, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for h, c in _active_counts(np.concatenate(parts), np.concatenate(owns), new, old, longest, with_words):
+                for i in range(0, len(h), 1 << 17):
+                    cells = [pa.array(h[i : i + (1 << 17)].view(np.int64)), pa.array(c[i : i + (1 << 17)].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cells, names=["h", "c"])
+
+        for batch in batches:
+            for raw, n in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = np.frombuffer(raw.as_buffer(), np.uint64)
+                parts += [words.copy(), np.zeros(1, np.uint64)]
+                owns.append(np.arange(len(words) + 1) < n)
+                size += len(words) + 1
+                if size > BUFFER_WORDS:
+                    yield from flush()
+                    parts, owns, size = [], [], 0
+        if parts:
+            yield from flush()
+
+    return shard.select("words", "own").mapInArrow(run, "h long, c long")
+
+
+def _named(rows: DataFrame, known: Broadcast, longest: int) -> DataFrame:
+    """Counts of the phrases of ``known`` in ``rows`` (``lang``, ``text``), by ``lang``, ``length`` and ``phrase``; length 0 counts all words."""
+    names = ["lang", "length", "phrase", "c"]
+
+    def counted(lang: str, texts: list[list[bytes]], last: bool) -> tuple[list[pa.RecordBatch], list[list[bytes]]]:
+        """Counts in the texts held, and what must be kept as the beginning of the next ones."""
+        words = list(itertools.chain.from_iterable(texts))
+        cut = len(words) if last else max(0, len(words) - longest + 1)
+        numbers: defaultdict = defaultdict(itertools.count().__next__)
+        numbers[b"\xff"]
+        a = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        hashes, phrases = _Hashes(lang), list(numbers)
+        h1 = np.fromiter((hashes[w] for w in phrases), np.uint64, len(phrases))
+        out = [pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int((a[:cut] > 0).sum())])], names=names)]
+        often = _holds(known.value, h1)
+        often[0] = False
+        at = np.flatnonzero(often[a])
+        name, h = a, h1[a]
+        vocabulary = phrases
+        for length in range(1, longest + 1):
+            if length > 1:
+                at = at[:-1][at[1:] == at[:-1] + 1]
+                hashed = _mixed(h[at], h1[a[at + length - 1]])
+                again = _holds(known.value, hashed)
+                at, hashed = at[again], hashed[again]
+                _, first, inverse = np.unique(name[at] * len(vocabulary) + a[at + length - 1], return_index=True, return_inverse=True)
+                pairs = zip(name[at[first]].tolist(), a[at[first] + length - 1].tolist())
+                phrases = [phrases[p] + b" " + vocabulary[w] for p, w in pairs]
+                name, h = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
+                name[at], h[at] = inverse, hashed
             if not len(at):
                 break
-            complete = done[at] & done[at + 1]
-            hashes = _mixed(h[at], h1[a[at + length - 1]])
-            again = _holds(self.now, hashes)
-            wanted = again | ~complete
-            at, complete, hashes, again = at[wanted], complete[wanted], hashes[wanted], again[wanted]
-            key = name[at] * len(words) + a[at + length - 1]
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            count = np.bincount(inverse[(at < cut) & ~complete], minlength=len(first))
-            kept = np.flatnonzero(again[first] | (count > 0))
-            built = [None] * len(first)
-            for i, p, w in zip(kept.tolist(), name[at[first[kept]]].tolist(), a[at[first[kept]] + length - 1].tolist()):
-                built[i] = phrases[p] + b" " + words[w]
-            counted = np.flatnonzero(count)
-            if len(counted):
-                yield length, [built[i] for i in counted.tolist()], hashes[first[counted]], count[counted]
-            if length == self.longest:
-                break
-            phrases = built
-            active, done = np.zeros(len(a), bool), np.zeros(len(a), bool)
-            active[at] = again
-            done[at] = again & _holds(self.before, hashes)
-            name, full = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
-            name[at], full[at] = inverse, hashes
-            h = full
-        if not last:
-            self.reset([words[i] for i in a[cut:].tolist()])
-
-
-def _scan(rows: DataFrame, now: np.ndarray, before: np.ndarray, longest: int, with_words: bool) -> DataFrame:
-    """Counts of the active phrases in ``rows`` (``lang``, ``text``), summed per task as far as its memory is bounded."""
-    context = rows.sparkSession.sparkContext
-    filters = context.broadcast((now, before))
+            count = np.bincount(name[at[at < cut]], minlength=len(phrases))
+            seen = np.flatnonzero(count)
+            for i in range(0, len(seen), 50_000):
+                some = seen[i : i + 50_000]
+                found = pa.array([phrases[j] for j in some.tolist()], pa.binary()).cast(pa.string())
+                cells = [pa.array([lang] * len(some)), pa.array([length] * len(some), pa.int32()), found, pa.array(count[some].astype(np.int64))]
+                out.append(pa.RecordBatch.from_arrays(cells, names=names))
+        return out, [words[cut:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = filters.value
-        held: dict[str, _Counter] = {}
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            for lang, counter in held.items():
-                for length, phrases, hashes, count in counter.counts(last):
-                    for i in range(0, len(phrases), 50_000):
-                        some = phrases[i : i + 50_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([lang] * len(some), pa.string()),
-                                pa.array([length] * len(some), pa.int32()),
-                                pa.array(some, pa.binary()).cast(pa.string()),
-                                pa.array(hashes[i : i + 50_000].view(np.int64)),
-                                pa.array(count[i : i + 50_000].astype(np.int64)),
-                            ],
-                            names=["lang", "length", "phrase", "h", "c"],
-                        )
-            if last:
-                held.clear()
-
+        held: dict[str, list[list[bytes]]] = {}
+        size = 0
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang not in held:
-                    held[lang] = _Counter(lang, new, old, longest, with_words)
+                texts = held.setdefault(lang, [])
                 for words in _words(text):
-                    held[lang].add(words)
-                    if sum(c.size for c in held.values()) > BUFFER_WORDS:
-                        yield from flush(False)
-                held[lang].add([b"\xff"])
-        yield from flush(True)
-
-    return rows.mapInArrow(run, "lang string, length int, phrase string, h long, c long")
+                    texts.append(words)
+                    size += len(words)
+                    if size > BUFFER_WORDS:
+                        for other in list(held):
+                            out, rest = counted(other, held[other], other != lang)
+                            yield from out
+                            if other == lang:
+                                held[other] = texts = rest
+                            else:
+                                del held[other]
+                        size = sum(map(len, texts))
+                texts.append([b"\xff"])
+        for lang, texts in held.items():
+            yield from counted(lang, texts, True)[0]
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, length int, phrase string, c long")
 
 
 def _added(bloom: np.ndarray, hashes: DataFrame) -> np.ndarray:
@@ -204,7 +266,7 @@ def _added(bloom: np.ndarray, hashes: DataFrame) -> np.ndarray:
 
 
 def frequent_phrases(
-    docs: DataFrame, *, least_count: int = LEAST_COUNT, longest: int = LONGEST, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES
+    docs: DataFrame, *, least_count: int = LEAST_COUNT, longest: int = LONGEST, shards: int = SHARDS, filter_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least_count`` times in a language, as rows (``lang``, ``length``,
     ``phrase``, ``f``), and the words of each language (``lang``, ``n``).
@@ -213,51 +275,47 @@ def frequent_phrases(
     line ends, pieces into words at blanks and tabs; a phrase lies within a piece. A null text is empty, a null
     language is ``und``; repeated rows count each; no rows give no phrases.
 
-    The texts are written once, by shard; each step reads one shard. A step's counts are written too;
-    what is shuffled is a hash and a count per phrase. ``filter_bytes`` (a power of two) bounds the broadcast.
+    The texts are read twice, to write them as hashes by shard and for the last counts; each step reads one shard.
+    What is shuffled is a hash and a count per phrase and step. ``filter_bytes`` (a power of two) is what tasks and driver hold; unless given
+    it follows the number of words within ``FILTER_BYTES``.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"), F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
-    rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards")
-    dealt = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
-    filters = [np.zeros(filter_bytes // 8, np.uint64)]  # by step
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    shard = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    _deal(rows.withColumn("shard", shard), longest).write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards")
+    dealt = spark.read.schema("words binary, own int, shard int").parquet(f"{folder}/shards")
+    if filter_bytes is None:
+        n_words = dealt.agg(F.sum("own")).first()[0] or 0
+        filter_bytes = min(FILTER_BYTES[1], max(FILTER_BYTES[0], 1 << (n_words // 64).bit_length()))
+    bloom = np.zeros(filter_bytes // 8, np.uint64)
+    filters = {0: spark.sparkContext.broadcast(bloom)}  # by step
     state = None
-    steps: list[str] = []
-    news: list[bool] = []
+    last_new = -shards  # the last step after which a phrase was new in the filter
     step = 0
-    while step < shards or any(news[-shards:]):
-        before = filters[step - shards] if step >= shards else filters[0]
-        part = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-        path = f"{folder}/counts/step={step}"
-        _scan(part, filters[step], before, longest, step < shards).write.option("compression", "zstd").parquet(path)
-        steps.append(path)
-        counted = spark.read.schema("lang string, length int, phrase string, h long, c long").parquet(path)
-        # what decides: sums by hash, as far as a phrase may still be counted
-        fresh = counted.where(F.col("length") < longest).select("h", "c", F.lit(0).cast("long").alias("old"), F.lit(step).alias("first"))
-        both = fresh if state is None else fresh.unionByName(state.select("h", F.col("c"), F.col("c").alias("old"), "first"))
-        state = stored(
-            both.groupBy("h").agg(F.sum("c").alias("c"), F.sum("old").alias("old"), F.min("first").alias("first"))
-            .where((F.col("c") >= least_count) & (F.col("old") < least_count) | (F.col("first") + shards > step + 1))
-        )
-        filters.append(_added(filters[step], state.where((F.col("c") >= least_count) & (F.col("old") < least_count)).select("h")))
-        news.append(not np.array_equal(filters[-1], filters[-2]))
+    reached = (F.col("c") >= least_count) & (F.col("old") < least_count)
+    while step < shards or step - last_new <= shards:
+        part = dealt.where(F.col("shard") == step % shards)
+        fresh = _scan(part, filters[step], filters[max(0, step - shards)], longest, step < shards)
+        both = fresh.select("h", "c", F.lit(0).cast("long").alias("old"), F.lit(step).alias("first"))
+        if state is not None:  # what may still be counted, and so far
+            open_ = state.where(F.col("first") + shards > step)
+            both = both.unionByName(open_.select("h", "c", F.col("c").alias("old"), "first"))
+        sums = both.groupBy("h").agg(F.sum("c").alias("c"), F.sum("old").alias("old"), F.min("first").alias("first"))
+        state = stored(sums.where(reached | (F.col("first") + shards > step + 1)))
+        more = _added(bloom, state.where(reached).select("h"))
+        if not np.array_equal(more, bloom):
+            last_new = step
+        bloom = more
         if step >= shards:
-            filters[step - shards] = None  # no longer needed
+            filters.pop(step - shards).destroy()
         step += 1
-    counted = spark.read.schema("lang string, length int, phrase string, h long, c long").parquet(*steps)
-    totals = counted.where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
-    bloom = filters[-1]
-    full = np.flatnonzero(bloom)
-    # at most one row per word of the filter: a broadcast of bounded size
-    known = spark.createDataFrame(pa.table({"i": full.astype(np.int64), "m": bloom[full].view(np.int64)}))
-    bits = _filter_bits(F.col("h"))
-    able = counted.where(F.col("length") < longest).join(
-        F.broadcast(known), (F.col("h").bitwiseAND(F.lit(len(bloom) - 1)) == F.col("i")) & (F.col("m").bitwiseAND(bits) == bits), "left_semi"
-    ).unionByName(counted.where(F.col("length") == longest))
-    found = able.groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least_count)
-    return stored(found), totals
+        filters[step] = spark.sparkContext.broadcast(bloom)
+    named = _named(rows, filters[step], longest).groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f"))
+    found = stored(named.where((F.col("f") >= least_count) | (F.col("length") == 0)))
+    for sent in filters.values():
+        sent.destroy()
+    return found.where("length > 0"), found.where("length = 0").select("lang", F.col("f").alias("n"))
 
 
 def _part(phrase: Column, start: Column | int, size: Column) -> Column:
