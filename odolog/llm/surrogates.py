@@ -8,10 +8,14 @@ digit, letters their script and case, given names the gender of the title.
 
 Surrogates are keyed hashes of the *entity*, not of the mention, so the same entity has the same
 surrogate in the whole corpus, however it is written (``555-123-4567`` and ``(555) 123 4567``; ``Mr. Ada
-Lo`` and ``Ms. Lo`` share the family name). Two entities never share a surrogate, and no surrogate is
+Lo`` and ``Ms. Lo`` share the family name). Within a text a name is one entity, whatever its titles and place: a given name
+if it stands before another name anywhere, of the gender its titles agree on. Two entities never share a surrogate, and no surrogate is
 an entity of the corpus: candidates that collide are drawn again with the next attempt number, until
 none is left. That is done on the table of distinct entities, which is aggregated before any shuffle.
 
+Not found: names without any title in their text (the titles are a short list), street addresses, birth dates, IPv6
+addresses and bank account numbers; a private IP address may become a public one.
+
 Everything is column expressions. Texts without a find are never shuffled; the others are joined once
 with their replacements. A hot entity is one row of the entity table; the join of mentions with it
 splits over tasks (adaptive skew join).
@@ -27,13 +31,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from odolog.llm.common import let
+from odolog.llm.common import let, stored
 from odolog.session import durable
 
 _BEFORE = r"(?<![\p{L}\p{N}+.])"
 _AFTER = r"(?![\p{L}\p{N}]|[.-]\d)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+#: The repeated group is possessive: Java matches it in a loop, others by recursion, which long texts would end.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 CARD = r"\d(?:[ -]?\d){12,18}"
 #: Digits with single or repeated separators; ``_run_pieces`` finds the cards and other numbers in it.
@@ -80,8 +85,14 @@ def luhn_sum(digits: Column) -> Column:
     )
 
 
+def _bare(word: Column) -> Column:
+    """A name without the ending of a genitive."""
+    return F.regexp_replace(word, "('[sS]|')$", "")
+
+
 def _items(mention: Column) -> Column:
-    """Type and entity of what a mention names; several for a person, none for a false alarm."""
+    """Type and entity of what a mention names; several for a person, none for a false alarm. The types of names tell
+    what one mention says (``only``: one word after a title); ``_settled`` decides for the text."""
 
     def one(kind: str, entity: Column) -> Column:
         return F.array(F.struct(F.lit(kind).alias("type"), entity.alias("entity"))).cast(_ITEM)
@@ -96,7 +107,8 @@ def _items(mention: Column) -> Column:
             F.transform(
                 words,
                 lambda w, i: F.struct(
-                    F.when(i == last, F.lit("family")).otherwise(given).alias("type"), F.lower(w).alias("entity"), i.alias("i")
+                    F.when((i == last) & (i == 1), F.concat(F.lit("only "), given)).when(i == last, F.lit("family")).otherwise(given).alias("type"),
+                    _bare(F.lower(w)).alias("entity"), i.alias("i"),
                 ),
             ),
             lambda x: x["i"] > 0,
@@ -200,7 +212,7 @@ def assign(entities: DataFrame, key: str, attempts: int = 50) -> DataFrame:
 
 def _cased(mention: Column, surrogate: Column) -> Column:
     upper = (mention == F.upper(mention)) & (F.length(mention) > 1)
-    return F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    return F.concat(F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate)), F.regexp_extract(mention, "('[sS]|')$", 0))
 
 
 def _redigit(mention: Column, digits: Column) -> Column:
@@ -235,44 +247,83 @@ def render(mention: Column, kind: Column, surrogates: Column) -> Column:
     )
 
 
-def _piece(gap: Column, mention: Column, name: Column | None = None) -> Column:
-    """``name``: given name or family name, for a mention without a title."""
-    name = F.lit(None) if name is None else name
-    return F.struct(gap.alias("gap"), mention.cast("string").alias("mention"), name.cast("string").alias("name"))
+def _piece(gap: Column, mention: Column, name: bool = False) -> Column:
+    """``name``: a name without a title."""
+    return F.struct(gap.alias("gap"), mention.cast("string").alias("mention"), F.lit(name).alias("name"))
+
+
+#: A window of 1 to 19 numbers as a letter; ``.`` where no window begins. The pattern takes, from left to right, each window
+#: that begins after the last one taken: a regular expression walks through in one pass where a fold copies its state at each step.
+_LETTERS = "ABCDEFGHIJKLMNOPQRS"
+_WALK = "|".join(f"{c}[A-S.]{{{k}}}" for k, c in enumerate(_LETTERS)) + r"|\."
+
+
+def _first_free(codes: Column) -> Column:
+    """``codes`` with a letter only where a window is taken."""
+    covered = lambda x: F.concat(F.array(F.left(x, F.lit(1))), F.array_repeat(F.lit("."), F.length(x) - 1))
+    return F.flatten(F.transform(F.regexp_extract_all(F.array_join(codes, ""), F.lit(_WALK), F.lit(0)), covered))
+
+
+def _joined(tokens: Column, first: Column, last: Column) -> Column:
+    """The tokens from first to last as one text. (``slice`` would copy all tokens first.)"""
+    return F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(tokens, i)), "")
 
 
 def _run_pieces(run: Column) -> Column:
-    """A run of digits cut into its numbers. Where they overlap, cards written as cards are are taken first, then social
-    security and telephone numbers, then other cards: groups of three digits and more, or as far as the run is one."""
+    """A run of digits cut into its numbers. Cards written as cards are are taken first, then, in what is left between, social
+    security and telephone numbers, then other cards: groups of three digits and more, or as far as the run is one. Of those
+    that overlap the first is taken, the longest of equal starts. Each start has few windows, so long runs take time in proportion."""
 
     def spans(tokens: Column) -> Column:  # digits and separators in turn
         last = F.size(tokens) - 1
 
-        def ranked(text: Column, s: Column, e: Column) -> Column:
-            digits = _digits(text)
-            card = text.rlike(f"^{CARD}$") & (luhn_sum(digits) % 10 == 0)
-            whole = (s == 0) & ((e == last) | (F.length(digits) + F.length(F.get(tokens, e + 2)) > 19))
-            other = text.rlike(f"^(?:{SSN}|{PHONE})$") & ~F.coalesce(F.get(tokens, e + 1) == "-", F.lit(False))
-            rank = (
-                F.when(text.rlike(f"^(?:{GROUPED})$") & card, 0).when(other, 1)
-                .when((whole | ~text.rlike(r"(?:^|[ -])\d{1,2}(?:[ -]|$)")) & card, 2)
-            )
-            return F.struct(rank.alias("rank"), s.alias("s"), (-e).alias("_e"), e.alias("e"), text.alias("text"))
-
-        def windows(s: Column) -> Column:
-            ends = F.sequence(s, F.least(last, s + 36), F.lit(2))
-            return F.transform(ends, lambda e: let(F.array_join(F.slice(tokens, s + 1, e - s + 1), ""), lambda t: ranked(t, s, e)))
-
-        every = F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(2)), windows))
-        sorted_ = F.array_sort(F.filter(every, lambda c: c["rank"].isNotNull()))
-        none = F.filter(sorted_, lambda c: F.lit(False))
-        free = lambda taken, c: ~F.exists(taken, lambda t: (t["s"] <= c["e"]) & (c["s"] <= t["e"]))
-        taken = F.aggregate(sorted_, none, lambda taken, c: F.when(free(taken, c), F.concat(taken, F.array(c))).otherwise(taken))
-        return F.array_sort(F.transform(taken, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["text"].alias("text"))))
+        def is_card(text: Column, s: Column, e: Column) -> Column:
+            return text.rlike(f"^{CARD}$") & (luhn_sum(_digits(text)) % 10 == 0)
+
+        def grouped(text: Column, s: Column, e: Column) -> Column:
+            return text.rlike(f"^(?:{GROUPED})$") & is_card(text, s, e)
+
+        def other(text: Column, s: Column, e: Column) -> Column:
+            return text.rlike(f"^(?:{SSN}|{PHONE})$") & ~F.coalesce(F.get(tokens, e + 1) == "-", F.lit(False))
+
+        def loose(text: Column, s: Column, e: Column) -> Column:
+            whole = (s == 0) & ((e == last) | (F.length(_digits(text)) + F.length(F.get(tokens, e + 2)) > 19))
+            return (whole | ~text.rlike(r"(?:^|[ -])\d{1,2}(?:[ -]|$)")) & is_card(text, s, e)
+
+        def found(first: Column, end: Column, lengths: tuple[int, ...], wanted) -> Column:  # in tokens first to end
+            def code(s: Column) -> Column:  # of the longest window
+                def fits(n: Column) -> Column:
+                    e = s + n
+                    return F.when(e <= end, let(_joined(tokens, s, e), lambda t: (F.length(t) <= 37) & wanted(t, s, e))).otherwise(F.lit(False))
+
+                n = F.get(F.filter(F.array(*[F.lit(n) for n in lengths]), fits), F.lit(0))
+                return F.coalesce(F.substr(F.lit(_LETTERS), (n / 2).cast("int") + 1, F.lit(1)), F.lit("."))
+
+            def window(c: Column, i: Column) -> Column:
+                s = first + i * 2
+                e = s + (F.instr(F.lit(_LETTERS), c) - 1) * 2
+                return F.when(c != ".", F.struct(s.alias("s"), e.alias("e"), _joined(tokens, s, e).alias("text")))
+
+            starts = F.when(first <= end, F.sequence(first, F.greatest(first, end), F.lit(2))).otherwise(F.array().cast("array<int>"))
+            return F.filter(F.transform(_first_free(F.transform(starts, code)), window), lambda c: c.isNotNull())
+
+        def with_rest(taken: Column, lengths: tuple[int, ...], wanted) -> Column:  # and what is found between them
+            def rest(c: Column, i: Column) -> Column:
+                first = F.coalesce(F.get(taken, i - 1)["e"] + 2, F.lit(0))
+                between = found(first, c["s"] - 2, lengths, wanted)
+                return F.when(c["text"].isNull(), between).otherwise(F.concat(between, F.array(c)))
+
+            end = F.struct((last + 2).alias("s"), (last + 2).alias("e"), F.lit(None).cast("string").alias("text"))
+            return F.flatten(F.transform(F.concat(taken, F.array(end)), rest))
+
+        def seconds(cards: Column) -> Column:
+            return let(with_rest(cards, (6, 4), other), lambda some: with_rest(some, tuple(range(36, -1, -2)), loose))
+
+        return let(found(F.lit(0), last, (6, 4, 0), grouped), seconds)
 
     def cut(tokens: Column) -> Column:
         def between(first: Column, end: Column) -> Column:
-            return F.array_join(F.slice(tokens, first + 1, F.greatest(end - first, F.lit(0))), "")
+            return F.when(first < end, _joined(tokens, first, F.greatest(first, end - 1))).otherwise(F.lit(""))
 
         def pieces(found: Column) -> Column:
             after = lambda i: F.coalesce(F.get(found, i - 1)["e"] + 1, F.lit(0))
@@ -287,84 +338,114 @@ def _run_pieces(run: Column) -> Column:
 def _pieces(text: Column) -> Column:
     """``text`` in order: what stands before each mention, and the mention; null where there is only text."""
 
-    def cut(found: Column, between: Column, names: Column) -> Column:
+    def cut(found: Column, between: Column) -> Column:
         def parts(m: Column, i: Column) -> Column:
             gap = F.get(between, i)
             bare = m.rlike(r"^\p{L}[\p{L}'-]*$")
             clear = ~m.rlike(f"^{RUN}$") | (m.rlike(f"^(?:{GROUPED})$") & (luhn_sum(_digits(m)) % 10 == 0))
-            kind = F.get(F.filter(names, lambda n: n["entity"] == F.lower(m)), F.lit(0))["type"]
             inside = F.concat(F.array(_piece(gap, F.lit(None))), _run_pieces(m))
-            return F.when(bare, F.array(_piece(gap, m, kind))).when(clear, F.array(_piece(gap, m))).otherwise(inside)
+            return F.when(bare, F.array(_piece(gap, m, True))).when(clear, F.array(_piece(gap, m))).otherwise(inside)
 
         end = F.array(_piece(F.get(between, F.size(found)), F.lit(None)))
         return F.concat(F.flatten(F.transform(found, parts)), end)
 
     def again(names: Column) -> Column:
         """The pattern with the text's own names, as whole words with a capital initial."""
-        words = F.array_join(F.transform(F.reverse(F.array_sort(F.transform(names, lambda n: n["entity"]))), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|")
+        words = F.array_join(F.transform(F.reverse(F.array_sort(names)), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|")
         bare = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?iu:"), words, F.lit(r")(?![\p{L}\p{N}])"))
         found = F.regexp_extract_all(text, bare, F.lit(0))
-        return let(found, lambda f: let(F.split(text, bare, -1), lambda between: cut(f, between, names)))
+        return let(found, lambda f: let(F.split(text, bare, -1), lambda between: cut(f, between)))
 
     def pieces(found: Column) -> Column:
-        names = _names(found)
-        plain = let(F.split(text, ANY, -1), lambda between: cut(found, between, F.array().cast(_ITEM)))
-        return let(names, lambda n: F.when(F.size(n) == 0, plain).otherwise(again(n)))
+        plain = let(F.split(text, ANY, -1), lambda between: cut(found, between))
+        return let(_names(found), lambda n: F.when(F.size(n) == 0, plain).otherwise(again(n)))
 
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return let(found, lambda f: F.when(F.size(f) == 0, F.array(_piece(text, F.lit(None)))).otherwise(pieces(f)))
+    return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces)
 
 
 def _names(found: Column) -> Column:
-    """Distinct names after titles among the matches, also without a genitive ``'s``."""
+    """Distinct names after titles among the matches, in lower case."""
     titled = F.filter(found, lambda m: m.rlike(r"^\p{L}") & ~m.contains("@"))
-    items = F.flatten(F.transform(titled, _items))
-
-    def short(x: Column) -> Column:
-        return F.struct(x["type"].alias("type"), F.regexp_replace(x["entity"], "('s|')$", "").alias("entity"))
-
-    return F.array_distinct(F.concat(items, F.transform(items, short)).cast(_ITEM))
-
-
-def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per mention and entity in it: ``_key``, ``_hash`` of the text, number of the piece, the mention
-    and the item."""
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    found = rows.select("_key", "_hash", F.explode(_numbered(F.col("_text"))).alias("_m"))
-    return found.select(
-        "_key", "_hash", F.col("_m.i").alias("i"), F.col("_m.mention").alias("mention"),
-        F.posexplode(
-            F.when(
-                F.col("_m.name").isNotNull(),
-                F.array(F.struct(F.col("_m.name").alias("type"), F.lower("_m.mention").alias("entity"))).cast(_ITEM),
-            ).otherwise(_items(F.col("_m.mention")))
-        ).alias("j", "_item"),
-    ).select("_key", "_hash", "i", "mention", "j", "_item.type", "_item.entity")
+    return F.array_distinct(F.flatten(F.transform(titled, lambda m: F.transform(_items(m), lambda x: x["entity"]))))
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    """``found`` with one type per name and text: a given name if any mention has it before another word, else a family
+    name; its gender is that of the titles, none if they differ."""
+    kind = F.regexp_replace("type", "^only ", "")
+    name = F.col("type").rlike("^(?:only |given |family|name)")
+    votes = (
+        found.where(name)
+        .groupBy("_key", "_hash", "entity")
+        .agg(
+            F.max(F.col("type").startswith("given ")).alias("given"),
+            F.max(kind == "given m").alias("m"),
+            F.max(kind == "given f").alias("f"),
+        )
+    )
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    settled = votes.select(
+        F.col("_key").alias("_key2"), F.col("_hash").alias("_hash2"), F.col("entity").alias("_entity2"),
+        F.when(F.col("given"), F.concat(F.lit("given "), gender)).otherwise("family").alias("_type2"),
+    )
+    same = F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_hash") == F.col("_hash2")) & (F.col("entity") == F.col("_entity2"))
+    names = found.where(name).join(settled, same).withColumn("type", F.col("_type2")).select(*found.columns)
+    return found.where(~name).unionByName(names)
+
+
+def mentions(pieces: DataFrame) -> DataFrame:
+    """One row per mention and entity in it, out of (``_key``, ``_hash`` of the text, ``_pieces``): the number of the piece
+    ``i``, the mention, the number ``j`` of the item, its type and entity. Repeated texts of a key count once."""
+    numbered = F.transform("_pieces", lambda p, i: F.struct(i.alias("i"), p["mention"].alias("mention"), p["name"].alias("name")))
+    found = pieces.select("_key", "_hash", F.explode(F.filter(numbered, lambda p: p["mention"].isNotNull())).alias("_m"))
+    mention = F.col("_m.mention")
+    bare = F.array(F.struct(F.lit("name").alias("type"), F.lower(mention).alias("entity"))).cast(_ITEM)
+    found = found.select(
+        "_key", "_hash", F.col("_m.i").alias("i"), mention.alias("mention"),
+        F.posexplode(F.when(F.col("_m.name"), bare).otherwise(_items(mention))).alias("j", "_item"),
+    )
+    rows = found.select("_key", "_hash", "i", "mention", "j", "_item.type", "_item.entity")
+    return _settled(durable(rows.dropDuplicates(["_key", "_hash", "i", "j"])))
 
 
-def _numbered(text: Column) -> Column:
-    pieces = F.transform(_pieces(F.coalesce(text, F.lit(""))), lambda p, i: F.struct(i.alias("i"), p["mention"].alias("mention"), p["name"].alias("name")))
-    return F.filter(pieces, lambda p: p["mention"].isNotNull())
+def _replaced(pieces: Column, new: Column) -> Column:
+    """The text of ``pieces`` with mentions replaced: ``new`` is an array of (number of the piece, replacement), sorted."""
 
+    def dense(new: Column) -> Column:  # the replacement of every piece up to the last one replaced, null for most
+        def upto(n: Column, k: Column) -> Column:
+            skipped = n["i"] - F.coalesce(F.get(new, k - 1)["i"], F.lit(-1)) - 1
+            return F.concat(F.array_repeat(F.lit(None).cast("string"), skipped), F.array(n["by"]))
 
-def _replaced(text: Column, new: Column) -> Column:
-    """``text`` with its mentions replaced: ``new`` is an array of (number of the piece, replacement), sorted."""
+        return F.flatten(F.transform(new, upto))
 
-    def build(x: Column) -> Column:
-        by = lambda p, i: F.coalesce(F.get(F.filter(x["new"], lambda n: n["i"] == i), F.lit(0))["by"], p["mention"], F.lit(""))
-        aligned = F.size(x["new"]) == F.size(x["pieces"]) - 1  # every piece but the end
-        return F.when(
-            aligned, F.array_join(F.transform(x["pieces"], lambda p, i: F.concat(p["gap"], F.coalesce(F.get(x["new"], i)["by"], F.lit("")))), "")
-        ).otherwise(F.array_join(F.transform(x["pieces"], lambda p, i: F.concat(p["gap"], by(p, i))), ""))
+    def build(by: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda p, i: F.concat(p["gap"], F.coalesce(F.get(by, i), p["mention"], F.lit("")))), "")
 
-    return let(F.struct(_pieces(text).alias("pieces"), new.alias("new")), build)
+    return let(dense(new), build)
 
 
 def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced. ``secret`` keys the surrogates. ``count``
-    names a column for the number of mentions replaced."""
+    names a column for the number of mentions replaced.
+
+    Each text is searched once: the rows are written with the pieces of those that have a find, and read again for the mentions
+    and for the result."""
     columns = docs.columns
-    found = durable(mentions(docs, key, text).dropDuplicates(["_key", "_hash", "i", "j"]))
+    own = "_"  # what no column of the input begins with
+    while any(c.lower().startswith(own) for c in columns):
+        own += "_"
+    found_in, hash_of = f"{own}pieces", f"{own}hash"
+    marked = stored(
+        docs.withColumns(
+            {
+                found_in: F.when(F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(ANY), _pieces(F.col(f"`{text}`"))),
+                hash_of: F.xxhash64(f"`{text}`"),
+            }
+        )
+    )
+    hit = marked.where(F.col(found_in).isNotNull())
+    found = mentions(hit.select(F.col(f"`{key}`").alias("_key"), F.col(hash_of).alias("_hash"), F.col(found_in).alias("_pieces")))
+    found = durable(found)
     chosen = assign(durable(found.select("type", "entity").distinct()), secret)
     per_mention = (
         found.join(chosen, ["type", "entity"])
@@ -377,15 +458,13 @@ def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text
         .groupBy("_key", "_hash")
         .agg(F.array_sort(F.collect_list("_n")).alias("_new"))
     )
-    per_text = per_text.select(F.col("_key").alias("_key2"), F.col("_hash").alias("_hash2"), "_new")
-    hit = F.coalesce(F.col(text), F.lit("")).rlike(ANY)
-    extra = [] if count is None else [F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias(count)]
-    touched = (
-        docs.filter(hit)
-        .withColumn("_hash1", F.xxhash64(text))
-        .join(per_text, (F.col("_hash1") == F.col("_hash2")) & F.col(key).eqNullSafe(F.col("_key2")), "left")
-    )
-    new_text = F.when(F.col("_new").isNull(), F.col(text)).otherwise(_replaced(F.col(text), F.col("_new")))
-    touched = touched.select(*[new_text.alias(c) if c == text else F.col(c) for c in columns], *extra)
-    others = docs.filter(~hit).select(*columns, *([] if count is None else [F.lit(0).cast("long").alias(count)]))
+    per_text = per_text.select(F.col("_key").alias(f"{own}key2"), F.col("_hash").alias(f"{own}hash2"), F.col("_new").alias(f"{own}new"))
+    new = F.col(f"{own}new")
+    touched = hit.join(per_text, (F.col(hash_of) == F.col(f"{own}hash2")) & F.col(f"`{key}`").eqNullSafe(F.col(f"{own}key2")), "left")
+    new_text = F.when(new.isNull(), F.col(f"`{text}`")).otherwise(_replaced(F.col(found_in), new))
+    number = F.coalesce(F.size(new), F.lit(0)).cast("long")
+    extra = [] if count is None else [number.alias(count)]
+    touched = touched.select(*[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *extra)
+    others = marked.where(F.col(found_in).isNull())
+    others = others.select(*[F.col(f"`{c}`") for c in columns], *([] if count is None else [F.lit(0).cast("long").alias(count)]))
     return touched.unionByName(others)

@@ -274,6 +274,76 @@ def test_surrogates_of_names_without_a_title(spark):
     assert re.fullmatch(r"Госпожа (\w+) (\w+)\. \1 и \2 ушли", t[3])
 
 
+def test_surrogates_of_one_name_under_many_titles(spark):
+    texts = [
+        "Ms. Ada Lovelace came. Dr. Ada Lovelace sat. Ms. Ada left. Ada stayed. Ada's hat.", "Dr. Kim Lo. Mr. Kim. KIM's, Kim", "Mr. Bo Lo, Ms. Bo Lo",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = [r["text"] for r in surrogates.replace(df, "key").orderBy("doc_id").collect()]
+    ada, name = re.match(r"Ms\. (\w+) (\w+) came", t[0]).groups()
+    assert t[0] == f"Ms. {ada} {name} came. Dr. {ada} {name} sat. Ms. {ada} left. {ada} stayed. {ada}'s hat." and ada.endswith("ia")
+    kim, lo = re.match(r"Dr\. (\w+) (\w+)\.", t[1]).groups()
+    assert t[1] == f"Dr. {kim} {lo}. Mr. {kim}. {kim.upper()}'S, {kim}".replace("'S", "'s") and kim.endswith("on")
+    assert re.fullmatch(r"Mr\. (\w+e) (\w+), Ms\. \1 \2", t[2])  # titles that differ tell no gender
+
+
+def test_surrogates_of_very_long_mentions(spark):
+    long = "x@" + "a." * 100_000 + "a"
+    numbers = "555-123-4567 " * 40_000
+    df = spark.createDataFrame([(0, long), (1, numbers), (2, "0000 " * 50_000), (3, "1-" * 50_000)], "doc_id long, text string")
+    got = by_id(surrogates.replace(df, "key", count="n"))
+    assert got[0]["n"] == 1 and got[1]["n"] == 40_000 and "555-123-4567" not in got[1]["text"] and len(got[1]["text"]) == len(numbers)
+
+
+def test_surrogates_leave_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "call 212-555-0147", "a", "b", "c")], "doc_id long, text string, _hash1 string, `_pieces` string, `__key2` string")
+    got = surrogates.replace(df, "key").first()
+    assert (got["_hash1"], got["_pieces"], got["__key2"]) == ("a", "b", "c") and "0147" not in got["text"]
+
+
+def test_planted_entities_against_brute_force(spark):
+    """Planted mentions are replaced one to one over all texts, and nothing else changes."""
+    rng = np.random.default_rng(21)
+    people = [(f"Given{a}", f"Family{b}") for a in "abcdefgh" for b in "uvwxyz"]
+
+    def mention():
+        kind, i = rng.choice(["email", "ip", "ssn", "phone", "card", "person"]), int(rng.integers(0, 40))
+        if kind == "email":
+            return kind, i, [f"user{chr(97 + i % 26)}{chr(97 + i // 26)}@mail.example", f"USER{chr(65 + i % 26)}{chr(65 + i // 26)}@MAIL.EXAMPLE"][i % 2]
+        if kind == "ip":
+            return kind, i, f"10.{i}.7.9"
+        if kind == "ssn":
+            return kind, i, f"{200 + i}-45-6789"
+        if kind == "phone":
+            return kind, i, str(rng.choice([f"(212) 555-{1000 + i}", f"212-555-{1000 + i}", f"+1 212 555 {1000 + i}"]))
+        if kind == "card":
+            number = next(n for n in (f"4{i:02d}111111111111{c}" for c in range(10)) if luhn(n))
+            return kind, i, str(rng.choice([number, "-".join(number[k : k + 4] for k in range(0, 16, 4))]))
+        given, family = people[i % len(people)]
+        return kind, i, f"Mr. {given} {family}"
+
+    plain = "the quick 12 brown, fox: 1999; jumped (over) 3.5 lazy dogs".split(" ")
+    rows, parts = [], []
+    for d in range(120):
+        items = [mention() if rng.random() < 0.3 else (None, None, str(rng.choice(plain))) for _ in range(int(rng.integers(0, 40)))]
+        rows.append((d, " | ".join(x[2] for x in items)))
+        parts.append(items)
+    got = by_id(surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key", count="n"))
+    seen, back = {}, {}
+    for d, items in enumerate(parts):
+        out = got[d]["text"].split(" | ") if items else []
+        assert len(out) == len(items) and got[d]["n"] == sum(k is not None for k, _, _ in items)
+        for (kind, i, before), after in zip(items, out):
+            if kind is None:
+                assert after == before
+                continue
+            assert after != before and re.sub(r"\w", "", after) == re.sub(r"\w", "", before) or kind in ("email", "ip")
+            form = after.lower() if kind in ("email", "ip", "person") else re.sub(r"\D", "", after)[-10 if kind == "phone" else 0 :]
+            assert seen.setdefault((kind, i if kind != "person" else before), form) == form
+            assert back.setdefault((kind, form), i if kind != "person" else before) == (i if kind != "person" else before)
+    assert len(seen) > 100
+
+
 def test_surrogates_are_distinct(spark):
     # two-letter addresses and names of three syllables collide at the first attempt
     rows = [(i, f"{a}{b}@x.org") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
