@@ -91,6 +91,7 @@ _TYPES = {
     "string": T.StringType(),
     "timestamp": T.TimestampType(),
     "boolean": T.BooleanType(),
+    "strings": T.ArrayType(T.StringType()),
 }
 
 
@@ -138,7 +139,25 @@ TRIPS_SCHEMA = _schema(
     "time long"
 )
 
+# files seen, with what they held when they were hashed
+MANIFEST_SCHEMA = _schema("path string, size long, modified timestamp, csvhash string, header string")
+
+# data file (below the store) and rows of each trip in it
+LOGINDEX_SCHEMA = _schema("fileid long, path string, rows long")
+
+# lines with a cell that is neither missing nor a number
+QUARANTINE_SCHEMA = _schema("fileid long, block_start long, seq long, line string, bad_cells long")
+
+LOADREPORT_SCHEMA = _schema(
+    "version long, path string, rows long, dropped_rows long, header_rows long, reason string, reasons long, sent_rows long, "
+    "bad_rows long, bad_cells long, unknown_columns strings, status string"
+)
+
 TABLES = {
+    "manifest": MANIFEST_SCHEMA,
+    "logindex": LOGINDEX_SCHEMA,
+    "quarantine": QUARANTINE_SCHEMA,
+    "loadreport": LOADREPORT_SCHEMA,
     "logs": LOGS_SCHEMA,
     "files": FILES_SCHEMA,
     "startpos": PLACES_SCHEMA,

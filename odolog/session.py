@@ -56,3 +56,10 @@ def durable(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The name of a new folder below the shared one."""
     return f"{_checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: computed once, and not lost with an executor."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

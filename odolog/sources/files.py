@@ -3,47 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from odolog.session import durable
+
 MIN_SIZE = 3000
-RANGE_BYTES = 64 << 20
+WHOLE_BYTES = 128 << 20  # files up to this size are hashed from one row, larger ones piece by piece, to the same hash
+READ_PATHS = 10_000  # new files read by name at a time
 
+def list_files(spark: SparkSession, root: str, pattern: str, min_size: int = MIN_SIZE, inclusive: bool = False) -> DataFrame:
+    """Files below ``root``: (path, location, csvfile, size, modified). Reads no content; size bounds are pushed into the listing.
 
-def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    ``path`` is the name ``read_lines`` gives the file's lines, ``location`` the path to read it by.
+    """
+    return _listed(spark, root, pattern, min_size, inclusive).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace("path", r"([\[\]{}*?])", r"\\$1").alias("location"),
+        F.element_at(F.split("path", "/"), -1).alias("csvfile"),
+        F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified"),
+    )
+
+
+def _listed(spark: SparkSession, paths: str | list[str], pattern: str, min_size: int, inclusive: bool) -> DataFrame:
+    size = F.col("length")
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .load(root)
+        .load(paths)
+        .filter(size >= min_size if inclusive else size > min_size)
     )
 
 
-def _digests(range_bytes: int):
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The md5 of one range of a file per row and, of the first range, the first line."""
-        import hashlib
-        from urllib.parse import quote
-
-        from pyarrow.fs import FileSystem
+def _hashed(files: DataFrame) -> DataFrame:
+    """Hash and first line of files up to ``WHOLE_BYTES``, read by Spark's own reader."""
+    return files.filter(F.col("length") <= WHOLE_BYTES).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.md5("content").alias("csvhash"),
+        F.rtrim(F.make_valid_utf8(F.substring_index(F.col("content").cast("string"), "\n", 1))).alias("header"),
+    )
 
-        for rows in batches:
-            found, heads = [], []
-            for path, n in zip(rows["path"], rows["n"]):
-                store, name = FileSystem.from_uri(quote(path, safe="%/:@!$&'()*+,;=~"))  # Spark leaves letters beyond ASCII
-                digest, head, at, end = hashlib.md5(), b"", n * range_bytes, (n + 1) * range_bytes
-                with store.open_input_file(name) as file:
-                    while at < end and (block := file.read_at(min(1 << 20, end - at), at)):
-                        digest.update(block)
-                        if n == 0 and b"\n" not in head:
-                            head += block
-                        at += len(block)
-                found.append(digest.hexdigest())
-                heads.append(head.split(b"\n", 1)[0].decode("utf-8", "replace") if n == 0 else None)
-            yield pd.DataFrame({"path": rows["path"], "n": rows["n"], "digest": found, "head": heads})
 
-    return digests
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for larger files, a megabyte at a time."""
+    import hashlib
+    from urllib.parse import quote
+
+    from pyarrow.fs import FileSystem
+
+    for rows in batches:
+        found, heads = [], []
+        for path in rows["path"]:
+            uri = quote(path, safe="%/:@!$&'()*+,;=~")  # Spark leaves letters beyond ASCII
+            scheme, _, rest = uri.partition(":")
+            scheme = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "s3": "s3", "file": "file"}.get(scheme)
+            if scheme is None:
+                raise ValueError(f"files above {WHOLE_BYTES} bytes can be read from file, hdfs, s3a and gs stores only: {path}")
+            store, name = FileSystem.from_uri(f"{scheme}:{rest}")
+            digest, head, whole = hashlib.md5(), b"", False
+            with store.open_input_stream(name) as file:
+                while block := file.read(1 << 20):
+                    digest.update(block)
+                    if not whole:
+                        head += block
+                        whole = b"\n" in block
+            found.append(digest.hexdigest())
+            heads.append(head.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip(" "))
+        yield pd.DataFrame({"path": rows["path"], "csvhash": found, "header": heads})
+
+
+def _in_batches(paths: DataFrame) -> Iterator[list[str]]:
+    batch: list[str] = []
+    for (path,) in paths.toLocalIterator():
+        batch.append(path)
+        if len(batch) == READ_PATHS:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
 
 
 def discover(
@@ -52,36 +93,41 @@ def discover(
     pattern: str = "trackLog*.csv",
     min_size: int = MIN_SIZE,
     inclusive: bool = False,
-    range_bytes: int = RANGE_BYTES,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
-    """Files below ``root``: (path, location, csvfile, size, csvhash, header).
+    """Files below ``root``: (path, location, csvfile, size, csvhash, header), and with a ``manifest`` also (modified, fresh).
 
-    ``path`` is the name ``read_lines`` gives the file's lines, ``location`` the path to read it by.
+    ``csvhash`` is the md5 of the content, at every size. ``inclusive`` also takes files of exactly ``min_size`` bytes.
 
-    Size bounds are pushed into the listing, which reads no content. Files are cut into ranges that
-    are dealt out evenly and hashed where they land, so one very long file is read by many tasks. The
-    hash is the md5 of the content, or of the ranges' md5s in order where there are several; files of
-    any size are found. ``inclusive`` also takes files of exactly ``min_size`` bytes.
+    ``manifest`` (path, size, modified, csvhash, header) tells what earlier calls have hashed: files listed with the
+    same size and time are not opened; the others are ``fresh``. Fresh files are read by name, ``READ_PATHS`` at a time, or all in one scan
+    where they are most of the files. Any store Spark reads will do; files above ``WHOLE_BYTES`` need one of file, hdfs, s3a or gs.
     """
-    size = F.col("length")
-    listed = _listed(spark, root, pattern).filter(size >= min_size if inclusive else size > min_size).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.regexp_replace("path", r"([\[\]{}*?])", r"\\$1").alias("location"),
-        F.element_at(F.split("path", "/"), -1).alias("csvfile"),
-        size.alias("size"),
-    )
-    last = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.lit(range_bytes)).cast("long")
-    ranges = listed.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n")).repartition("path", "n")
-    hashed = ranges.mapInPandas(_digests(range_bytes), "path string, n long, digest string, head string")
-    per_file = hashed.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("_parts"), F.max("head").alias("_head")
-    )
-    digests = F.transform("_parts", lambda p: p["digest"])
-    return listed.join(per_file, "path").select(
-        "path", "location", "csvfile", "size",
-        F.when(F.size("_parts") == 1, F.get(digests, F.lit(0))).otherwise(F.md5(F.array_join(digests, ""))).alias("csvhash"),
-        F.rtrim("_head").alias("header"),
-    )
+    listed = list_files(spark, root, pattern, min_size, inclusive)
+    if manifest is None:
+        fresh, content = listed, [_listed(spark, root, pattern, min_size, inclusive)]
+    else:
+        # the last entry of a path counts
+        last = manifest.groupBy("path").agg(F.max_by(F.struct(*[c for c in manifest.columns if c != "path"]), "modified").alias("m"))
+        known = last.select("path", F.col("m.size").alias("_size"), F.col("m.modified").alias("_modified"), "m.csvhash", "m.header")
+        same = F.coalesce((F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified")), F.lit(False))
+        seen = durable(listed.join(known, "path", "left").withColumn("fresh", ~same))
+        fresh = seen.filter("fresh").select(*listed.columns)
+        n_fresh = fresh.count()
+        unchanged = seen.filter("not fresh").select(*listed.columns, "csvhash", "header", "fresh")
+        if n_fresh == 0:
+            return unchanged
+        if 2 * n_fresh >= seen.count():
+            content = [_listed(spark, root, pattern, min_size, inclusive)]
+        else:
+            content = [_listed(spark, paths, pattern, min_size, inclusive) for paths in _in_batches(fresh.select("location"))]
+    hashed = reduce(DataFrame.unionByName, [_hashed(c) for c in content])
+    large = fresh.filter(F.col("size") > WHOLE_BYTES).select("path").repartition("path")
+    hashed = hashed.unionByName(large.mapInPandas(_streamed, "path string, csvhash string, header string"))
+    out = fresh.join(hashed, "path")
+    if manifest is None:
+        return out.select("path", "location", "csvfile", "size", "csvhash", "header")
+    return unchanged.unionByName(out.withColumn("fresh", F.lit(True)).select(*unchanged.columns))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:

@@ -31,19 +31,20 @@ def parse_profiles(profiles: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_legacy_trips(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, tripdate, csvfile, log_path, hand_over) for each trip folder below ``root``.
+    """(folder, directory, tripdate, csvfile, log_path, hand_over) for each trip folder below ``root``.
 
+    A log belongs to the properties in the same ``directory``; ``folder`` is its last name, which several may have.
     ``csvfile`` is the name of the log in the present layout. ``hand_over`` is false when the date
-    is unreadable, the log is missing, or an earlier folder already has that name.
+    is unreadable, the log is missing, or an earlier directory already has that name.
     """
+    directory = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
     folder = F.regexp_extract("path", f"/([^/]{{{FOLDER_LENGTH}}})/[^/]+$", 1)
     profiles = (
         spark.read.option("pathGlobFilter", "profile.properties")
         .text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .withColumn("folder", folder)
-        .filter(F.col("folder") != "")
-        .drop("path")
+        .filter(folder != "")
+        .select(directory.alias("directory"), "text")
     )
     logs = (
         spark.read.format("binaryFile")
@@ -51,16 +52,16 @@ def read_legacy_trips(spark: SparkSession, root: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(root)
         .select(F.col("_metadata.file_path").alias("path"))
-        .withColumn("folder", folder)
-        .filter(F.col("folder") != "")
-        .withColumnRenamed("path", "log_path")
+        .filter(folder != "")
+        .select(directory.alias("directory"), F.col("path").alias("log_path"))
     )
-    trips = logs.join(parse_profiles(profiles), "folder", "full_outer")
+    trips = logs.join(parse_profiles(profiles), "directory", "full_outer")
     first = (
         trips.filter(F.col("csvfile").isNotNull() & F.col("log_path").isNotNull())
         .groupBy("csvfile")
-        .agg(F.min("folder").alias("_first"))
+        .agg(F.min("directory").alias("_first"))
     )
     return trips.join(first, "csvfile", "left").select(
-        "folder", "tripdate", "csvfile", "log_path", F.coalesce(F.col("folder") == F.col("_first"), F.lit(False)).alias("hand_over")
+        F.element_at(F.split("directory", "/"), -1).alias("folder"), "directory", "tripdate", "csvfile", "log_path",
+        F.coalesce(F.col("directory") == F.col("_first"), F.lit(False)).alias("hand_over"),
     )

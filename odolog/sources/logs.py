@@ -105,14 +105,20 @@ def _no_marker(text: str) -> str:
     return f"case when {text} not in ({markers}) then {text} end"
 
 
+def _bad(text: str) -> str:
+    return f"(coalesce(nullif({_no_marker(text)}, ''), '0') != '0' and try_cast({text} as double) is null)"
+
+
 def typed_rows(
     raw: DataFrame,
     keep: list[str],
     columns: list[str] | None = None,
     device_zone: str = "UTC",
     missing: str = "null",
+    bad: str | None = None,
 ) -> DataFrame:
-    """Timestamps and doubles from raw cells. ``missing="zero"`` turns missing numbers into 0."""
+    """Timestamps and doubles from raw cells. ``missing="zero"`` turns missing numbers into 0. ``bad`` names a column for the number
+    of cells that are neither missing nor a number."""
     if missing not in ("null", "zero"):
         raise ValueError(f"unknown policy {missing}")
     columns = columns or LOG_COLUMNS
@@ -122,6 +128,7 @@ def typed_rows(
         *keep,
         *[parse_time(F.col(c), device_zone).alias(c) for c in times],
         *[F.expr(f"try_cast({_no_marker(c)} as double)").alias(c) for c in numbers],
+        *([] if bad is None else [F.expr(" + ".join(f"cast({_bad(c)} as int)" for c in numbers)).cast("long").alias(bad)]),
     )
     return fill_missing(rows, numbers) if missing == "zero" else rows
 
@@ -137,11 +144,12 @@ def read_log_rows(
     use_aliases: bool = False,
     carry: tuple[str, ...] = (),
     broadcast: bool = False,
+    bad: str | None = None,
 ) -> DataFrame:
-    """Typed rows of log lines, header lines left out: one pass from text to the catalog's columns."""
+    """Typed rows of log lines, header lines left out: one pass from text to the catalog's columns. ``bad`` as in ``typed_rows``."""
     columns = columns or LOG_COLUMNS
     raw = parse_lines(
         lines, layouts(headers, use_aliases), file, keep, columns, carry=carry, broadcast=broadcast
     )
     data = raw.filter(~is_header_cell(F.col(TIME_COLUMNS[0])))
-    return typed_rows(data, [file, *keep, *carry], columns, device_zone, missing)
+    return typed_rows(data, [file, *keep, *carry], columns, device_zone, missing, bad)

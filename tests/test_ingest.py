@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from odolog.plans import statistics
 from odolog.plans.ingest import LoadOptions, load_logs, repair_logs, transfer_legacy
 from odolog.plans.store import TripStore
-from odolog.sources.files import discover, read_headers, read_lines
+from odolog.sources import files as sources
+from odolog.sources.files import discover, list_files, read_headers, read_lines
 from tests.logfiles import HEADER, T0, row, trip, write
 
 
@@ -131,7 +132,7 @@ def test_size_bounds_and_hash(spark, logs):
     names = lambda df: sorted(r["csvfile"] for r in df.select("csvfile").collect())
     assert names(discover(spark, str(logs))) == ["trackLog-3001.csv"]
     assert names(discover(spark, str(logs), "*.csv", inclusive=True)) == ["trackLog-3000.csv", "trackLog-3001.csv"]
-    plan = discover(spark, str(logs))._jdf.queryExecution().executedPlan().toString()
+    plan = list_files(spark, str(logs), "trackLog*.csv")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(length,3000)" in plan
 
 
@@ -260,20 +261,109 @@ def test_parse_failures_do_not_raise(spark):
     assert df.select(parse_time(F.col("t")).alias("x")).filter("x is not null").count() == 0
 
 
-def test_files_are_hashed_in_ranges(spark, tmp_path):
-    """A file of several ranges has the md5 of its ranges' md5s, whatever task reads them."""
+def test_one_hash_at_every_size(spark, tmp_path, monkeypatch):
+    """The hash is the md5 of the content, whether a file is read whole or piece by piece."""
     import hashlib
 
-    from odolog.sources.files import discover
-
     content = ("GPS Time,Länge \n" + "x" * 5000).encode()
     for name in ("trackLog-a b[1]%.csv", "trackLog-copy.csv"):
         (tmp_path / name).write_bytes(content)
     (tmp_path / "trackLog-other.csv").write_bytes(content[:-1] + b"y")
-    whole = {r["csvfile"]: r for r in discover(spark, str(tmp_path)).collect()}
-    assert {r["csvhash"] for n, r in whole.items() if n != "trackLog-other.csv"} == {hashlib.md5(content).hexdigest()}
-    assert whole["trackLog-copy.csv"]["header"] == "GPS Time,Länge" and len(whole) == 3
-    parts = [hashlib.md5(content[i : i + 700]).hexdigest() for i in range(0, len(content), 700)]
-    cut = {r["csvfile"]: r["csvhash"] for r in discover(spark, str(tmp_path), range_bytes=700).collect()}
-    assert cut["trackLog-a b[1]%.csv"] == cut["trackLog-copy.csv"] == hashlib.md5("".join(parts).encode()).hexdigest()
-    assert cut["trackLog-other.csv"] != cut["trackLog-copy.csv"]
+    (tmp_path / "trackLog-long.csv").write_bytes(content * 700)  # several megabytes
+    for limit in (sources.WHOLE_BYTES, 4000, 6000):
+        monkeypatch.setattr(sources, "WHOLE_BYTES", limit)
+        found = {r["csvfile"]: r for r in discover(spark, str(tmp_path)).collect()}
+        assert len(found) == 4 and found["trackLog-copy.csv"]["header"] == "GPS Time,Länge"
+        for name, row in found.items():
+            assert row["csvhash"] == hashlib.md5((tmp_path / name).read_bytes()).hexdigest()
+
+
+def test_known_files_are_not_opened(spark, store, logs, monkeypatch):
+    import os
+
+    for i in range(4):
+        write(logs, f"trackLog-{i}.csv", trip(T0 + timedelta(days=i)))
+    assert load_logs(store, str(logs)).count() == 4 and store.read("manifest").count() == 4
+    version = store.version()
+    # same size and time, other bytes: nobody looks
+    path = logs / "trackLog-2.csv"
+    before, times = path.read_bytes(), path.stat()
+    path.write_bytes(before.replace(b"30.5", b"99.9"))
+    os.utime(path, ns=(times.st_atime_ns, times.st_mtime_ns))
+    opened = []
+    monkeypatch.setattr(sources, "_hashed", lambda files, inner=sources._hashed: opened.append(1) or inner(files))
+    assert load_logs(store, str(logs)).count() == 0 and not opened and store.version() == version
+    # a copy under a new name is hashed, found known, and remembered
+    (logs / "trackLog-copy.csv").write_bytes((logs / "trackLog-1.csv").read_bytes())
+    assert load_logs(store, str(logs)).count() == 0 and opened == [1] and store.read("manifest").count() == 5
+    assert load_logs(store, str(logs)).count() == 0 and opened == [1]
+    # a changed file is hashed again, and only it
+    write(logs, "trackLog-3.csv", trip(T0 + timedelta(days=30), n=70))
+    out = report(load_logs(store, str(logs)))
+    assert set(out) == {"trackLog-3.csv"} and out["trackLog-3.csv"]["sent_rows"] == 70
+    found = discover(spark, str(logs), manifest=store.read("manifest"))
+    assert found.filter("fresh").count() == 0 and found.count() == 5
+
+
+def test_new_files_are_read_by_name_in_batches(spark, logs, monkeypatch):
+    monkeypatch.setattr(sources, "READ_PATHS", 2)
+    for i in range(14):
+        write(logs, f"x[{i}] y/trackLog-{i}.csv", trip(T0 + timedelta(days=i)))
+    whole = discover(spark, str(logs))
+    seen = list_files(spark, str(logs), "trackLog*.csv").join(whole.select("path", "csvhash", "header"), "path")
+    manifest = seen.select("path", "size", "modified", "csvhash", "header")
+    some = discover(spark, str(logs), manifest=manifest.filter("path not like '%trackLog-1%'"))
+    assert some.filter("fresh").count() == 5
+    key = lambda df: sorted(map(tuple, df.select("csvfile", "size", "csvhash", "header").collect()))
+    assert key(some) == key(whole)
+
+
+def test_bad_rows_are_set_aside(spark, store, logs):
+    lines = trip(n=80)
+    lines[3] = row(T0 + timedelta(seconds=3), lat="fifty")
+    lines[7] = row(T0 + timedelta(seconds=7), obd="x", cost="1,5")
+    write(logs, "trackLog-1.csv", lines)
+    write(logs, "trackLog-2.csv", trip(T0 + timedelta(days=1)), HEADER.replace("GPS Speed(km/h)", "My Gauge (x)"))
+    write(logs, "trackLog-3.csv", [row(T0 + timedelta(days=2, seconds=i), lon="?") for i in range(70)])
+    first = load_logs(store, str(logs))
+    out = report(first)
+    keys = ("rows", "sent_rows", "bad_rows", "bad_cells", "status", "unknown_columns")
+    assert tuple(out["trackLog-1.csv"][k] for k in keys) == (80, 78, 2, 2, "warning", [])
+    assert tuple(out["trackLog-2.csv"][k] for k in keys) == (60, 60, 0, 0, "success", ["mygaugex"])
+    assert tuple(out["trackLog-3.csv"][k] for k in keys) == (70, 0, 70, 70, "error", [])
+    aside = store.read("quarantine").filter("fileid = 1").orderBy("seq").collect()
+    assert [r["line"] for r in aside] == [lines[3], lines[7]] and store.read("quarantine").count() == 72
+    assert store.read("logs").count() == 138 and store.read("files").count() == 3
+    assert store.state()["metrics"] == {"rows": 210, "set_aside": 72, "bad_cells": 72}
+    # the report is stored: showing it reads no log
+    for path in logs.iterdir():
+        path.unlink()
+    assert report(first) == out and store.read("loadreport").count() == 3
+
+    for name in ("trackLog-1.csv",):
+        write(logs, name, lines)
+    keep = TripStore(spark, store.root + "-keep")
+    kept = report(load_logs(keep, str(logs), LoadOptions(bad_rows="keep")))["trackLog-1.csv"]
+    assert (kept["sent_rows"], kept["bad_rows"], kept["bad_cells"], kept["status"]) == (80, 2, 2, "warning")
+    assert keep.read("logs").filter("latitude is null").count() == 1 and keep.read("quarantine").count() == 0
+    with pytest.raises(ValueError):
+        load_logs(keep, str(logs), LoadOptions(bad_rows="x"))
+
+
+def test_equal_folder_names_in_two_roots(spark, tmp_path):
+    root = tmp_path / "old"
+    for top, day in (("a", 29), ("b", 28)):
+        folder = root / top / "1656526335000"
+        folder.mkdir(parents=True)
+        (folder / "profile.properties").write_text("\n".join(["#x", f"#Wed Jun {day} 18:12:15 GMT 2022" if day == 29 else "#Tue Jun 28 18:12:15 GMT 2022", *["k=v"] * 4]) + "\n")
+        write(folder, "trackLog.csv", [f"{top}1"], "head")
+    twin = root / "c" / "1656526335000"
+    twin.mkdir(parents=True)
+    (twin / "profile.properties").write_text((root / "a" / "1656526335000" / "profile.properties").read_text())
+    write(twin, "trackLog.csv", ["c1"], "head")
+    out = str(tmp_path / "moved")
+    got = {r["directory"].split("/")[-2]: r["status"] for r in transfer_legacy(spark, str(root), out).collect()}
+    assert got == {"a": "transferred", "b": "transferred", "c": "exists"}
+    moved = sorted((r["csvfile"], r["line"]) for r in spark.read.parquet(out).collect())
+    a, b = "trackLog-2022-Jun-29_18-12-15.csv", "trackLog-2022-Jun-28_18-12-15.csv"
+    assert moved == sorted([(a, "head"), (a, "a1"), (b, "head"), (b, "b1")])
