@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -124,6 +125,107 @@ def exact_join(points: DataFrame, places: DataFrame, lat: str, lon: str, place_l
     return points.join(places, (F.col(lat) == F.col(place_lat)) & (F.col(lon) == F.col(place_lon)), how)
 
 
+def _sums_within(lat: np.ndarray, lon: np.ndarray, values: list[np.ndarray], spans: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Per query the sums of ``values`` over the data whose rank by latitude and by longitude lies in its spans.
+
+    ``spans``: first and end rank by latitude, first and end rank by longitude. Data in the order of latitude are dealt out by the
+    bits of their longitude rank, highest first; every query follows its span of latitudes through the levels and, where its bound
+    has a one, takes the sum of the zeros. Time and memory are (data + queries) x log(data), however many data a query holds.
+    """
+    south, north, west, east = (s.astype(np.int64) for s in spans)
+    order = np.argsort(lat, kind="stable")
+    rank = np.empty(len(lon), np.int64)
+    rank[np.argsort(lon, kind="stable")] = np.arange(len(lon))
+    rank, values = rank[order], [v[order] for v in values]
+    bits = max(1, len(lon).bit_length())
+    sums = [np.zeros(len(south), np.int64) for _ in values]
+    first = {side: south.copy() for side in (1, -1)}
+    end = {side: np.maximum(north, south) for side in (1, -1)}
+    bound = {1: np.maximum(east, west), -1: west}  # data below east, less those below west
+    for bit in range(bits - 1, -1, -1):
+        one = (rank >> bit) & 1 == 1
+        zeros = np.concatenate(([0], np.cumsum(~one)))
+        below = [np.concatenate(([0], np.cumsum(np.where(one, 0, v)))) for v in values]
+        for side in (1, -1):
+            up = (bound[side] >> bit) & 1 == 1
+            a, b = first[side], end[side]
+            for out, prefix in zip(sums, below):
+                out[up] += side * (prefix[b] - prefix[a])[up]
+            first[side] = np.where(up, zeros[-1] + a - zeros[a], zeros[a])
+            end[side] = np.where(up, zeros[-1] + b - zeros[b], zeros[b])
+        move = np.concatenate((np.flatnonzero(~one), np.flatnonzero(one)))
+        rank, values = rank[move], [v[move] for v in values]
+    return sums
+
+
+TILE_ROWS = 500_000  # positions a task counts in at a time
+
+
+def range_sums(
+    queries: DataFrame, data: DataFrame, box: Box, sums: list[str], box_of_data: bool = False, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """``queries`` (``lat``, ``lon``, other columns) with the sums of the columns ``sums`` (long) of ``data`` (``lat``, ``lon``) in their box.
+
+    No pair is made. Data are combined by position and dealt to grid cells, queries to the nine cells around; each
+    cell is solved by sorting (``_sums_within``), and the parts of a query are added. Cells of more than ``tile_rows``
+    positions are cut into tiles by hash, which all queries of the cell visit, so tasks stay bounded. Bounds are those of
+    ``Box.matches`` around the query, or with ``box_of_data`` around the data, to the last bit. Rows without a position
+    get zeros.
+    """
+    for c in sums:
+        if c in queries.columns:
+            raise ValueError(f"queries have a column {c}")
+    spots = queries.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+    cy, cx = box.cell(F.col("lat"), F.col("lon"))
+    placed = data.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums])
+    placed = placed.withColumns({"_cy": cy, "_cx": cx})
+    tiles = placed.groupBy("_cy", "_cx").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
+    placed = durable(placed)
+    tiles = durable(tiles)
+    own = placed.join(tiles, ["_cy", "_cx"]).withColumn("_tile", F.pmod(F.xxhash64("lat", "lon"), F.col("_tiles")).cast("int"))
+    asked = _around(spots, cy, cx).join(tiles, ["_cy", "_cx"])
+    asked = asked.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    none = [F.lit(None).cast("long").alias(c) for c in sums]
+    rows = own.select("_cy", "_cx", "_tile", "lat", "lon", *sums).unionByName(asked.select("_cy", "_cx", "_tile", "lat", "lon", *none))
+    lat_tol, lon_tol = box.lat_tol, box.lon_tol
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        is_data = group[sums[0]].notna().to_numpy()
+        y, x = group["lat"].to_numpy(), group["lon"].to_numpy()
+
+        def span(values: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+            known, at = np.sort(values[is_data]), values[~is_data]
+            if box_of_data:
+                return np.searchsorted(known + tol, at, "left"), np.searchsorted(known - tol, at, "right")
+            return np.searchsorted(known, at - tol, "left"), np.searchsorted(known, at + tol, "right")
+
+        found = _sums_within(
+            y[is_data], x[is_data], [group[c][is_data].to_numpy().astype(np.int64) for c in sums], (*span(y, lat_tol), *span(x, lon_tol))
+        )
+        return pd.DataFrame({"lat": y[~is_data], "lon": x[~is_data], **dict(zip(sums, found))})
+
+    schema = "lat double, lon double, " + ", ".join(f"{c} long" for c in sums)
+    parts = rows.groupBy("_cy", "_cx", "_tile").applyInPandas(solve, schema)
+    totals = parts.groupBy(F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon")).agg(*[F.sum(c).alias(f"_q{c}") for c in sums])
+    joined = queries.join(totals, (F.col("lat") == F.col("_qlat")) & (F.col("lon") == F.col("_qlon")), "left")
+    return joined.select(*queries.columns, *[F.coalesce(f"_q{c}", F.lit(0)).alias(c) for c in sums])
+
+
+def box_counts(points: DataFrame, places: DataFrame, box: Box, lat: str, lon: str) -> DataFrame:
+    """``points`` with ``matches``, the places in their box, and ``place_id``, the place where there is one only. For wide boxes with
+    many places in each: no pair is made."""
+    named = points.withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
+    known = places.select(F.col("lat").cast("double"), F.col("lon").cast("double"), F.lit(1).cast("long").alias("_n"), F.col("place_id").cast("long").alias("_id"))
+    asked = named.select("_lat", "_lon").distinct().withColumnsRenamed({"_lat": "lat", "_lon": "lon"})
+    # numbers are added, so that they tell the place where there is one; 40 bits of them at a time, for sums that fit
+    low = F.col("_id").bitwiseAND(F.lit((1 << 40) - 1))
+    known = known.withColumns({"_low": low, "_high": F.shiftright("_id", 40)}).drop("_id")
+    found = range_sums(asked, known, box, ["_n", "_low", "_high"]).withColumnsRenamed({"lat": "_flat", "lon": "_flon"})
+    joined = named.join(found, (F.col("_lat") == F.col("_flat")) & (F.col("_lon") == F.col("_flon")), "left")
+    one = F.when(F.col("_n") == 1, F.shiftleft("_high", 40).bitwiseOR(F.col("_low")))
+    return joined.select(*points.columns, F.coalesce("_n", F.lit(0)).alias("matches"), one.alias("place_id"))
+
+
 # Places always come as (place_id, lat, lon, count, label); they are renamed here so that they can
 # be joined to points of any shape.
 def _named_places(places: DataFrame) -> DataFrame:
@@ -300,22 +402,31 @@ def assign_places(
         "_rank",
     ).select(key, "_rank", "_lat", "_lon")
     known = _named_places(places)
-    lonely = box_join(ranked, known, box, "_lat", "_lon", "_plat", "_plon", "left_anti")
+    if every_match:  # many places in a box: counted, not paired
+        near = durable(box_counts(ranked, places, box, "_lat", "_lon").withColumnsRenamed({"matches": "_known", "place_id": "_one_known"}))
+        lonely = near.filter("_known = 0").select(*ranked.columns)
+    else:
+        lonely = box_join(ranked, known, box, "_lat", "_lon", "_plat", "_plon", "left_anti")
     leaders = place_leaders(lonely, box)
     top = places.agg(F.max("place_id")).first()[0] or 0
-    opened = dense_ids(leaders, ["_rank"], "place_id", start=int(top) + 1)
-
-    candidates = known.select("place_id", "_plat", "_plon", F.lit(0).cast("long").alias("_since")).unionByName(
-        opened.select(
-            "place_id", F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon"), F.col("_rank").cast("long").alias("_since")
-        )
+    opened = durable(dense_ids(leaders, ["_rank"], "place_id", start=int(top) + 1))
+    candidates = opened.select(
+        "place_id", F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon"), F.col("_rank").cast("long").alias("_since")
     )
+    if every_match:
+        # a box holds few opened places: none of them lies in the box of an earlier one
+        points = near
+    else:
+        candidates = known.select("place_id", "_plat", "_plon", F.lit(0).cast("long").alias("_since")).unionByName(candidates)
+        points = ranked.withColumns({"_known": F.lit(0).cast("long"), "_one_known": F.lit(None).cast("long")})
     pairs = box_join(
-        ranked, candidates, box, "_lat", "_lon", "_plat", "_plon", "left",
+        points, candidates, box, "_lat", "_lon", "_plat", "_plon", "left",
         condition=F.col("_since") < F.col("_rank"),
     )
-    counted = pairs.groupBy(key, "_rank").agg(
-        F.count("place_id").alias("matches"), F.min("place_id").alias("_one")
+    counted = pairs.groupBy(key, "_rank", "_known", "_one_known").agg(
+        F.count("place_id").alias("_late"), F.min("place_id").alias("_one_late")
+    ).select(
+        key, "_rank", (F.col("_known") + F.col("_late")).alias("matches"), F.coalesce("_one_known", "_one_late").alias("_one")
     )
     fresh = opened.select("_rank", F.col("place_id").alias("_opened"))
     assignments = durable(
@@ -327,10 +438,15 @@ def assign_places(
         )
     )
     if every_match:
-        hits = pairs.filter(F.col("place_id").isNotNull()).groupBy("place_id")
+        of_known = range_sums(
+            places.select("place_id", "lat", "lon"),
+            ranked.select(F.col("_lat").cast("double").alias("lat"), F.col("_lon").cast("double").alias("lon"), F.lit(1).cast("long").alias("_visits")),
+            box, ["_visits"], box_of_data=True,
+        ).select("place_id", "_visits").filter("_visits > 0")
+        late = pairs.filter(F.col("place_id").isNotNull()).groupBy("place_id").agg(F.count(F.lit(1)).alias("_visits"))
+        visits = of_known.unionByName(late)
     else:
-        hits = assignments.filter(F.col("outcome") == "matched").groupBy("place_id")
-    visits = hits.agg(F.count(F.lit(1)).alias("_visits"))
+        visits = assignments.filter(F.col("outcome") == "matched").groupBy("place_id").agg(F.count(F.lit(1)).alias("_visits"))
     added = opened.select(
         "place_id",
         F.col("_lat").alias("lat"),

@@ -130,9 +130,100 @@ def _(spark, d):
     )
 
 
+@query("compacted_rows", f"with {LOGS} select fileid, count(*) as sent_rows from logs group by fileid")
+def _(spark, d):
+    store = filled_store(spark, d)
+    store.compact_logs(rows_per_file=5000)
+    return stats.rows_per_file(store.read("logs"), "fileid")
+
+
 ONE_TRIP = "where fileid = 3"
 
 
+@query(
+    "trip_of_store",
+    f"with {LOGS} select fileid, {', '.join(LOG_VALUES)}, epoch_us(gpstime) as row_time from logs {ONE_TRIP}",
+)
+def _(spark, d):
+    store = filled_store(spark, d)
+    store.compact_logs(rows_per_file=5000)
+    return store.read_trip(3).select("fileid", *LOG_VALUES, F.unix_micros("gpstime").alias("row_time"))
+
+
+# -- the load job: a trip per user, its month in a day ----------------------------------------------
+
+LOAD_HEADER = "GPS Time, Longitude, Latitude,Speed (OBD)(km/h),Strange Gauge(x)"
+DAY_US = 86_400_000_000
+LOADED = f"""trips as (select user_id, event_id, event_type, value,
+    user_id * {DAY_US} + (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 40 as us from events),
+cells as (select *, event_id % 17 = 0 as bad, printf('%.2f', value)::double as v, printf('%.2f', value * 2)::double as v2 from trips)"""
+
+
+def loaded_store(spark: SparkSession, d: str) -> tuple[TripStore, DataFrame]:
+    """A store after a load of one log per user, and the load's report. Some rows have a cell that is no number."""
+    number = lambda c: F.format_string("%.2f", c)
+    ev = events(spark, d)
+    base = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    us = F.col("user_id") * DAY_US + F.expr("(at - base) div 40")
+    ev = ev.withColumns({"at": F.unix_micros(F.col("ts").cast("timestamp")), "base": base}).withColumn("us", us)
+    time = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    speed = F.when(F.col("event_id") % 17 == 0, "n/a").when(F.col("event_type") == "error", "∞").otherwise(number(F.col("value")))
+    line = F.concat_ws(",", time, number(F.col("value")), number(F.col("value") * 2), speed, F.lit("7"))
+    heads = ev.select("user_id").distinct().select("user_id", F.lit(-1).cast("long").alias("event_id"), F.lit(LOAD_HEADER).alias("line"))
+    rows = ev.select("user_id", "event_id", line.alias("line")).unionByName(heads).withColumnRenamed("user_id", "user")
+    root = shared_folder(spark)
+    rows.repartition("user").sortWithinPartitions("user", "event_id").drop("event_id").write.partitionBy("user").text(root)
+    store = TripStore(spark, shared_folder(spark))
+    report = ingest.load_logs(store, root, ingest.LoadOptions(pattern="part-*", min_size=1, inclusive=True))
+    return store, report
+
+
+@query(
+    "load_report",
+    f"""with {LOADED} select user_id, count(*) as rows, 0 as dropped_rows, 0 as header_rows, null as reason, 0 as reasons,
+  count(*) filter (not bad) as sent_rows, count(*) filter (bad) as bad_rows, count(*) filter (bad) as bad_cells,
+  'strangegaugex' as unknown, case when count(*) filter (bad) = 0 then 'success' when count(*) filter (not bad) > 0 then 'warning' else 'error' end as status
+from cells group by user_id""",
+)
+def _(spark, d):
+    _, report = loaded_store(spark, d)
+    counts = ["rows", "dropped_rows", "header_rows", "reason", "reasons", "sent_rows", "bad_rows", "bad_cells", "status"]
+    return report.select(user_of("path"), *counts, F.array_join("unknown_columns", ",").alias("unknown"))
+
+
+@query(
+    "loaded_rows",
+    f"""with {LOADED} select us as row_time, v as longitude, v2 as latitude, case when event_type <> 'error' then v end as speedobdkmh
+from cells where not bad""",
+)
+def _(spark, d):
+    logs_ = loaded_store(spark, d)[0].read("logs")
+    return logs_.select(F.unix_micros("gpstime").alias("row_time"), "longitude", "latitude", "speedobdkmh")
+
+
+@query(
+    "loaded_files",
+    f"""with {LOADED}, ends as (select user_id, first(us order by event_id) as s, last(us order by event_id) as e, count(*) filter (not bad) as sent_rows
+  from cells group by user_id) select user_id, s as trip_start, e as trip_end, (e - s) / 1e6 as trip_duration, sent_rows from ends""",
+)
+def _(spark, d):
+    files = loaded_store(spark, d)[0].read("files")
+    start = F.unix_micros("trip_start")
+    return files.select(
+        F.floor(start / DAY_US).cast("long").alias("user_id"), start.alias("trip_start"), F.unix_micros("trip_end").alias("trip_end"),
+        "trip_duration", "sent_rows",
+    )
+
+
+@query(
+    "quarantined_lines",
+    f"""with {LOADED} select strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') || ',' || printf('%.2f', value) || ',' || printf('%.2f', value * 2)
+  || ',n/a,7' as line, 1 as bad_cells from cells where bad""",
+)
+def _(spark, d):
+    return loaded_store(spark, d)[0].read("quarantine").select("line", "bad_cells")
+
+
 @query("rows_of_trip", f"with {LOGS} select * exclude (gpstime), epoch_us(gpstime) as gpstime from logs {ONE_TRIP}")
 def _(spark, d):
     return views.trip_rows(logs(spark, d), "fileid", 3).withColumn("gpstime", F.unix_micros("gpstime"))

@@ -148,6 +148,21 @@ def supplier_places(spark: SparkSession, d: str, lat_scale: float = 1e3, lon_sca
     )
 
 
+def all_supplier_places(spark: SparkSession, d: str, lat_scale: float, lon_scale: float) -> DataFrame:
+    """Every supplier is a place."""
+    return table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("place_id"),
+        (F.col("s_nationkey") / F.lit(lat_scale)).alias("lat"),
+        (F.col("s_acctbal") / F.lit(lon_scale)).alias("lon"),
+        F.lit(1).cast("long").alias("count"),
+        F.col("s_name").alias("label"),
+    )
+
+
+ALL_PLACES_SQL = """pos as (select c_custkey, c_nationkey / 1e1 as lat, c_acctbal / 1e5 as lon from customer),
+places as (select s_suppkey as place_id, s_nationkey / 1e1 as lat, s_acctbal / 1e5 as lon, 1 as "count", s_name as label from supplier)"""
+
+
 def positions_sql(lat_scale: str = "1e3", lon_scale: str = "1e6") -> str:
     return f"""pos as (select c_custkey, c_nationkey / {lat_scale} as lat, c_acctbal / {lon_scale} as lon from customer),
 places as (select place_id, s_nationkey / {lat_scale} as lat, bal / {lon_scale} as lon, n as "count",
@@ -1434,10 +1449,10 @@ def _(spark, d):
     return places.count_exact_positions(trips, known, "lat", "lon", "c_custkey")
 
 
-def sequential_sql(box: places.Box, lat_scale: str, lon_scale: str, result: str) -> str:
+def sequential_sql(box: places.Box, lat_scale: str, lon_scale: str, result: str, positions: str | None = None) -> str:
     """The one-at-a-time rule as a recursion that carries the list of places."""
     near = box_sql(box)
-    return f"""with recursive {positions_sql(lat_scale, lon_scale)},
+    return f"""with recursive {positions or positions_sql(lat_scale, lon_scale)},
 trips as (select row_number() over (order by c_custkey) as i, * from pos),
 steps as (
   select 0::bigint as i, (select list({{'id': place_id, 'lat': lat, 'lon': lon}}) from places) as known,
@@ -1463,13 +1478,6 @@ def _(spark, d):
     )[0]
 
 
-@query("place_assignment_rounds", sequential_sql(places.LIVE_BOX, "1e3", "1e6", ASSIGNED))
-def _(spark, d):
-    return places.assign_places(
-        customer_positions(spark, d), supplier_places(spark, d), places.LIVE_BOX, "c_custkey", "lat", "lon", ["c_custkey"]
-    )[0]
-
-
 NEW_PLACES = """, opened as (select d.place_id, t.lat, t.lon from done d join trips t on t.c_custkey = d.c_custkey where outcome = 'new'),
 allp as (select place_id, lat, lon, "count", label from places union all select place_id, lat, lon, 1, null from opened)
 select p.place_id, p.lat, p.lon, p."count" + coalesce(v.n, 0) as "count", p.label from allp p left join ({0}) v on v.place_id = p.place_id"""
@@ -1493,10 +1501,23 @@ def _(spark, d):
     sequential_sql(
         places.REFRESH_BOX, "1e1", "1e5",
         NEW_PLACES.format("select h as place_id, count(*) as n from (select unnest(hits) as h from done) group by h"),
+        ALL_PLACES_SQL,
     ),
 )
 def _(spark, d):
     return places.assign_places(
-        customer_positions(spark, d, 1e1, 1e5), supplier_places(spark, d, 1e1, 1e5), places.REFRESH_BOX,
+        customer_positions(spark, d, 1e1, 1e5), all_supplier_places(spark, d, 1e1, 1e5), places.REFRESH_BOX,
         "c_custkey", "lat", "lon", ["c_custkey"], every_match=True,
     )[1]
+
+
+@query(
+    "box_counts_refresh",
+    f"""with {ALL_PLACES_SQL} select t.c_custkey, count(p.place_id) as matches,
+  case when count(p.place_id) = 1 then min(p.place_id) end as place_id
+from pos t left join places p on {box_sql(places.REFRESH_BOX)} group by t.c_custkey""",
+)
+def _(spark, d):
+    points = customer_positions(spark, d, 1e1, 1e5)
+    found = places.box_counts(points, all_supplier_places(spark, d, 1e1, 1e5), places.REFRESH_BOX, "lat", "lon")
+    return found.select("c_custkey", "matches", "place_id")

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from odolog.operators import places
 from odolog.operators.places import Box, assign_places, box_join, match_box, place_leaders, start_box
 
 
@@ -119,3 +122,57 @@ def test_absurd_positions(spark):
 def test_preset_tolerances():
     assert match_box(0.00002) == Box(0.0000510 + 0.00002, 0.0001221 + 0.00002)
     assert start_box() == Box(0.0001010 + 0.00004, 0.0001421 + 0.00004)
+
+
+def _near(box, p, q):
+    """Whether ``q`` lies in the box around ``p``."""
+    return q[0] is not None and p[0] is not None and p[0] - box.lat_tol <= q[0] <= p[0] + box.lat_tol and p[1] - box.lon_tol <= q[1] <= p[1] + box.lon_tol
+
+
+@pytest.mark.parametrize("tile_rows", [7, 500_000])
+@pytest.mark.parametrize("box_of_data", [False, True])
+def test_range_sums_against_brute_force(spark, tile_rows, box_of_data):
+    rng = np.random.default_rng(4)
+    box = places.Box(0.05, 0.05)
+    spots = lambda n: [(round(float(a), 3), round(float(b), 3)) for a, b in rng.uniform(-0.2, 0.2, (n, 2))]
+    asked = spots(120) + [(0.05, 0.05), (0.1, -0.05), (None, 0.0), (0.0, None), (80.0, 3.0)]
+    data = spots(200) + [(0.0, 0.0), (0.1, 0.1), (0.05, 0.1), (0.0, 0.0), (None, 0.1), (0.1, -0.1)]
+    queries = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "id long, lat double, lon double")
+    known = spark.createDataFrame([(*p, 1, i) for i, p in enumerate(data)], "lat double, lon double, n long, v long")
+    got = {r["id"]: (r["n"], r["v"]) for r in places.range_sums(queries, known, box, ["n", "v"], box_of_data, tile_rows).collect()}
+    for i, p in enumerate(asked):
+        inside = [k for k, q in enumerate(data) if None not in q and None not in p and (_near(box, q, p) if box_of_data else _near(box, p, q))]
+        assert got[i] == (len(inside), sum(inside)), p
+    assert places.range_sums(queries.limit(0), known, box, ["n"]).count() == 0
+    assert {r["n"] for r in places.range_sums(queries, known.limit(0), box, ["n"]).collect()} == {0}
+
+
+def test_many_places_in_one_box_make_no_pairs(spark):
+    """Thousands of places in the box of thousands of trips: no operator makes their pairs."""
+    n = 3000
+    trips = spark.range(n).select(F.col("id"), (F.col("id") % 977 / 1e5).alias("lat"), (F.col("id") % 991 / 1e5).alias("lon"))
+    known = spark.range(1, n + 1).select(
+        F.col("id").alias("place_id"), (F.col("id") % 967 / 1e5).alias("lat"), (F.col("id") % 983 / 1e5).alias("lon"),
+        F.lit(1).cast("long").alias("count"), F.lit(None).cast("string").alias("label"),
+    )
+    assigned, registry = places.assign_places(trips, known, places.REFRESH_BOX, "id", "lat", "lon", ["id"], every_match=True)
+    assert {(r["matches"], r["outcome"]) for r in assigned.collect()} == {(n, "ambiguous")}
+    assert {r["count"] for r in registry.collect()} == {n + 1} and registry.count() == n
+    counts = places.box_counts(trips, known, places.REFRESH_BOX, "lat", "lon")
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan()
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.length())]
+    assert 0 < most <= 20 * n
