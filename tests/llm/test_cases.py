@@ -178,20 +178,71 @@ def test_links_count_for_both_ends(spark):
     assert [got[6000 + i] for i in range(19)] == [2] * 3 + [1] * 13 + [2] * 3
 
 
-def test_blocks_reached_hold_all_partners():
+def test_exact_visits_hold_all_partners():
     x = planted(3000, 3000, 4, 16)
     index = multi_index.Index.fit(x, 12)
     cells, counts = np.unique(index.cells(x), return_counts=True)
     layout = multi_index.Layout(index, cells, counts, 100)
-    reached, own = layout.reached(x, 0.95), layout.own(x)
-    assert layout.n_blocks > 30 and not reached.all()
+    visits, own = layout.visits(x, None, 0.95), layout.own(x)
+    assert layout.n_blocks > 30 and sorted(np.bincount(layout.block)) and sum(map(len, visits)) < len(x) * len(cells)
     i, j = np.nonzero(x @ x.T >= 0.95)
-    assert len(i) >= 12_000 and reached[i, own[j]].all()
-    # each first codeword's part is what the walk takes in up to the same sum
-    a, b = index.least(x[:1])
-    sums = [a[0, u] + b[0, v] for u, v in multi_index.walk(a[0], b[0], 144)]
-    near = {u * 12 + v for (u, v), s in zip(multi_index.walk(a[0], b[0], 144), sums) if s <= 0.1 + 1e-7}
-    assert set(np.flatnonzero(reached[0])) == set(layout.block[np.isin(cells, list(near))])
+    assert len(i) >= 12_000 and all(own[b] in set(visits[a]) for a, b in zip(i[::7], j[::7]))
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_measured_recall(clusters):
+    """The cells visited hold the partners of vectors that were not in the sample, of clusters and of random vectors."""
+    rng = np.random.default_rng(6)
+    x = planted(12_000, 0, 8)
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 12_000)] + 0.6 * rng.normal(size=(12_000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = multi_index.Index.fit(x[:6000], 20)
+    n, share = multi_index.measured_visits(index, x[:6000], 0.95, 0.99)
+    assert share >= 0.99 and n < 300  # of 400 cells
+    cells, counts = np.unique(index.cells(x), return_counts=True)
+    layout = multi_index.Layout(index, cells, counts, 500)
+    fresh = x[6000:8000]
+    for k, part in enumerate((0.5, 0.2)):
+        partner = multi_index.made_partners(fresh, 0.951, np.full(len(fresh), part), 90 + k)
+        assert np.allclose((partner * fresh).sum(1), 0.951) and np.allclose(np.linalg.norm(partner, axis=1), 1)
+        there, back = layout.visits(fresh, n, 0.95), layout.visits(partner, n, 0.95)
+        own, other = layout.own(fresh), layout.place(index.cells(partner))
+        found = [(o in set(v)) or (h in set(w)) for v, o, w, h in zip(there, other, back, own) if o >= 0]
+        assert np.mean(found) >= 0.97
+
+
+def test_visits_grow_more_slowly_than_the_vectors():
+    """Four times the vectors, with cells in proportion: each is compared with about as many as before."""
+    compared = []
+    for n, k in ((4000, 11), (16_000, 22)):
+        rng = np.random.default_rng(6)
+        x = rng.normal(size=(60, 64))[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = multi_index.Index.fit(x[:4000], k)
+        cells, counts = np.unique(index.cells(x), return_counts=True)
+        layout = multi_index.Layout(index, cells, counts, 500)
+        visits = layout.visits(x[:1000], multi_index.measured_visits(index, x[:4000], 0.95, 0.99)[0], 0.95)
+        compared.append(np.mean([counts[v].sum() for v in visits]))
+    assert compared[1] < 2.5 * compared[0]
+
+
+def test_vectors_of_each_length_link(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 3.0]), (102, [2.0, 4.0, 6.1]), (103, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df).collect()}
+    assert [got[i] for i in (100, 101, 102, 103)] == [(2, 100), (2, 100), (2, 100), (0, 103)] and got[19][0] > 5
+    exact = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df, recall=1).collect()}
+    assert exact == got
+
+
+def test_nearest_cells_are_those_of_the_walk():
+    rng = np.random.default_rng(3)
+    a, b = rng.random((20, 9)), rng.random((20, 14))
+    for n in (1, 2, 7, 40, 126, 500):
+        got = multi_index.nearest_cells(a, b, n)
+        for k in range(20):
+            assert sorted(got[k]) == sorted(i * 14 + j for i, j in multi_index.walk(a[k], b[k], n))
 
 
 def test_walk_visits_the_nearest_cells_first():
