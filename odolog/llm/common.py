@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from odolog.session import durable
@@ -43,6 +44,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """(pyarrow file system, path) of a folder or file as Spark names it."""
+    from pyarrow.fs import FileSystem
+
+    scheme, colon, rest = uri.partition(":")
+    known = {"s3a": "s3", "s3n": "s3"}
+    try:
+        return FileSystem.from_uri(f"{known.get(scheme, scheme)}:{rest}" if colon else uri)
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives can be kept in file, hdfs, s3a and gs stores, not at {uri}") from error
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, compressed, and
     not lost with an executor. Used for wide rows; small ones are checkpointed (``durable``)."""

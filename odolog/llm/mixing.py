@@ -97,6 +97,8 @@ def plan(
     sources = durable(counted.groupBy("_source").agg(F.sum("_t").alias("t")))
     total = sources.agg(F.sum("t")).first()[0] or 0
     wanted = total if budget is None else budget
+    if max_repeat is not None:  # at natural shares every source is taken budget / total times, and no exponent takes the rarest less
+        wanted = min(wanted, int(total * max_repeat))
     alpha = exponent(sources, wanted, max_repeat, entropy)
     z = sources.filter("t > 0").agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(alpha)))).first()[0] or 1.0
     share = F.floor(F.pow(F.col("t").cast("double"), F.lit(alpha)) / F.lit(float(z)) * F.lit(float(wanted))).cast("long")
@@ -160,10 +162,15 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    count: Column | None = None,
 ) -> DataFrame:
-    """``docs``, a row per pass that takes it, with ``_mix`` (tokens, copy, block, mix_key)."""
+    """``docs``, a row per pass that takes it, with ``_mix`` (tokens, copy, block, mix_key).
+
+    ``budget`` is in tokens; one that ``max_repeat`` does not allow is lowered to what it does. ``count`` is the number of tokens of
+    a row, its words if not given."""
+    size = tokens(F.col(text)) if count is None else F.coalesce(count, F.lit(0)).cast("long")
     marked = docs.withColumns(
-        {"_mix_h": _hash(seed, F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))), "_mix_t": tokens(F.col(text))}
+        {"_mix_h": _hash(seed, F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))), "_mix_t": size}
     )
     counted = durable(marked.select(F.col(source).alias("_source"), F.col("_mix_h").alias("_h"), F.col("_mix_t").alias("_t")))
     found = plan(counted, max_repeat, entropy, budget, block_tokens, seed)

@@ -184,7 +184,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents: start, length, crc32 of the ids, tokens of the document, sequence, offset.
 
-    ``shares`` are the target proportions of the sources; sources it leaves out come last."""
+    ``shares`` are the target proportions of the sources; sources it leaves out come last. Of more than ``max_queues`` sources the
+    smallest form one queue, with their shares added."""
     ids = tokenised(docs, key, text, source, tokenizer, end_id)
     parts = ids.groupBy("queue", "part").agg(F.sum("tokens").alias("n"))
     names = parts.groupBy("queue").agg(F.sum("n").alias("n"))
@@ -200,6 +201,10 @@ def pack(
         )
         totals[last] = names.agg(F.sum("n")).first()[0] - sum(totals[q] for q in own)
     targets = shares if shares is not None else totals
+    if shares is not None and len(largest) == max_queues:  # the joint queue has the shares of all its sources
+        named = names.where(F.col("queue").isNull() | F.col("queue").isin([q for q in shares if q is not None])).collect()
+        joined = {r["queue"] for r in named} - set(own)
+        targets = {**shares, last: sum(share for q, share in shares.items() if q in joined)}
     queues = Queues.of(totals, targets, length, least)
     # place of each (part, source) in its queue
     queue_order = Window.partitionBy("_queue").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)

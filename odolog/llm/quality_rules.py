@@ -156,7 +156,8 @@ def failed_rule(text: Column, rules: list[Rule]) -> Column:
 def measure(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = 400) -> list[Measured]:
     """Cost and selectivity of each rule on at most ``sample_rows`` rows, best rule first."""
     rules = rules or RULES
-    sample = durable(docs.select(F.col(text).alias("text")).sample(0.2, seed=7).limit(sample_rows))
+    spread = F.xxhash64("text", F.monotonically_increasing_id())  # rows of all tasks, copies no more than other rows
+    sample = durable(docs.select(F.col(text).alias("text")).orderBy(spread).limit(sample_rows))
     column = F.col("text")
     seconds = []
     rejected = []

@@ -29,6 +29,8 @@ from odolog.session import durable
 
 _SPAN = 1 << 63  # tie-breakers are in [0, _SPAN)
 _LOWEST = -(1 << 63)  # where null keys go
+CELL_BYTES = 4 << 30  # a cell, which one task sorts, holds no more on average
+LEAST_CELLS = 8
 
 
 @dataclass
@@ -162,8 +164,11 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def plan(rows: DataFrame, shards: int, tolerance: float = 0.0, cells: int = 8, probes: int = 4) -> Plan:
-    """Splitters for durable ``rows`` (``_k``, ``_tie``, ``_size``)."""
+def plan(rows: DataFrame, shards: int, tolerance: float = 0.0, cells: int | None = None, probes: int = 4) -> Plan:
+    """Splitters for durable ``rows`` (``_k``, ``_tie``, ``_size``). Unless given, the cells of a shard follow its bytes."""
+    if cells is None:
+        total = rows.agg(F.sum("_size")).first()[0] or 0
+        cells = max(LEAST_CELLS, -(-total // (shards * CELL_BYTES)))
     positions, before = splitters(rows, shards * cells, tolerance, probes)
     starts = [0, *before]
     return Plan(positions, [starts[i] - starts[i - i % cells] for i in range(len(starts))], cells)
@@ -193,7 +198,7 @@ def write(docs: DataFrame, folder: str, shards: int = 40, key: str = "doc_id", t
     found = plan(durable(rows.select("_k", "_tie", "_size")), shards, **options)
     (
         rows.withColumn("_cell", found.cell())
-        .repartition(shards * found.cells, "_cell")
+        .repartitionByRange(shards * found.cells, "_cell", "_k", "_tie")
         .sortWithinPartitions("_cell", "_k", "_tie")
         .withColumn("shard", found.shard(F.col("_cell")))
         .drop("_cell", "_k", "_tie", "_size")

@@ -32,7 +32,7 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from odolog.llm.common import shared_folder
+from odolog.llm.common import file_system, shared_folder
 from odolog.session import durable
 
 INDEX = (
@@ -115,11 +115,10 @@ def _writer(folder: str, archive_bytes: int):
     schema = _arrow_schema(INDEX)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, base = FileSystem.from_uri(folder)
+        store, base = file_system(folder)
         store.create_dir(base, recursive=True)
         number, out, offset, path = 0, None, 0, ""
         for batch in batches:
@@ -180,8 +179,6 @@ def _reader(gap_bytes: int, read_bytes: int):
     schema = _arrow_schema(RECORDS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
         def ranges() -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
             """Runs of records close enough to be read at once: archive, start, end, parts."""
             path, start, end, parts = None, 0, 0, []
@@ -202,7 +199,7 @@ def _reader(gap_bytes: int, read_bytes: int):
             if path != opened:
                 if source is not None:
                     source.close()
-                store, name = FileSystem.from_uri(path)
+                store, name = file_system(path)
                 opened, source = path, store.open_input_file(name)
             chunk = source.read_at(end - start, start)
             for i in range(0, len(parts), 512):
@@ -214,9 +211,11 @@ def _reader(gap_bytes: int, read_bytes: int):
     return read
 
 
-def read(index: DataFrame, gap_bytes: int = 64 << 10, read_bytes: int = 4 << 20) -> DataFrame:
+def read(index: DataFrame, gap_bytes: int = 64 << 10, read_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the index rows given. Ranges less than ``gap_bytes`` apart are read together,
-    up to ``read_bytes`` at a time (more only for a single longer record)."""
+    up to ``read_bytes`` at a time (more only for a single longer record). A task reads about ``task_bytes``."""
     wanted = index.select("path", "offset", "length")
-    placed = wanted.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    placed = wanted.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return placed.mapInArrow(_reader(gap_bytes, read_bytes), RECORDS)

@@ -410,6 +410,23 @@ def test_mixing(docs):
     assert mixing.mix(docs, max_repeat=None).count() == N  # natural shares: each row once
 
 
+def test_mixing_keeps_the_limit_under_any_budget(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    out = mixing.mix(docs, budget=15_000, max_repeat=1.25, block_tokens=30)
+    assert out.count() <= 625 + 3 and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    counted = mixing.mix(docs, budget=600, max_repeat=None, count=F.lit(2), block_tokens=10)
+    assert {r["tokens"] for r in counted.select("_mix.tokens").collect()} == {2} and abs(counted.count() - 300) <= 30
+
+
+def test_pipeline_drops_repeated_rows(spark):
+    text = "It was a plain story of some people who lived by the sea and went out early every day to look for fish ."
+    rows = [(1, text), (1, text), (None, text + " a b c"), (None, text + " a b c"), (2, text), (3, "wholly other words " * 3 + text.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.distinct(spark, docs, "")
+    assert sorted((r["doc_id"] or 0) for r in left.collect()) in ([0, 1], [0, 1, 3])
+    assert left.where("doc_id is null").count() == 1 and left.where("doc_id = 1").count() == 1
+
+
 def test_mixing_budgets(spark):
     docs = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"),

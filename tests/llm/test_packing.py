@@ -122,3 +122,16 @@ def test_more_sources_than_queues(spark):
     )
     pieces = [r.asDict() for r in packing.pack(docs, tokenizer_path(), length=32, max_queues=5, least=2).collect()]
     check(pieces, {i: "some words here" for i in range(60)}, length=32)
+
+
+def test_joint_queue_has_the_shares_of_its_sources(spark):
+    """Four sources at a quarter each in three queues: the joint one gets half."""
+    rows = [(i, "word " * 40, f"s{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    shares = {f"s{k}": 0.25 for k in range(4)}
+    pieces = packing.pack(docs, tokenizer_path(), length=256, shares=shares, max_queues=3, least=8).collect()
+    early = [p for p in pieces if p["sequence_id"] < 15]
+    tokens = [sum(p["length"] for p in early if p["doc_id"] % 4 == k) for k in range(4)]
+    total = sum(tokens)
+    alone = sorted(t / total for t in tokens if abs(t / total - 0.25) < 0.03)
+    assert total == 15 * 256 and len(alone) >= 2 and abs(sum(alone[:2]) - 0.5) < 0.06
