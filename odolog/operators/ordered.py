@@ -6,11 +6,16 @@ A trip (or user, or supplier) may hold a large share of all rows, so a plain
 blocks of a text file. Windows run per (key, chunk); one small row per chunk then carries what the
 next chunk needs. The big rows are shuffled once, by (key, chunk).
 
+The rows of the chunks are carried on in two levels, too: they are range-sorted into blocks, scanned per (key, block), and only
+one row per key and block meets others of its key, so a key with millions of chunks lies in no task.
+
 A null key is a key like any other. ``chunk`` must never decrease along ``order``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from odolog.functions.joins import null_safe_join
@@ -43,10 +48,67 @@ def pick_chunk_seconds(df: DataFrame, keys: list[str], time: str, max_rows: int
     return seconds
 
 
+def chunk_of(df: DataFrame, keys: list[str], time: str, then: str, max_rows: int = 2_000_000) -> Column:
+    """Chunks of at most about ``max_rows`` rows for the order (``time``, ``then``): slices of time, and for rows without a time,
+    which come first, ranges of the numeric column ``then``. Those are cut where the fullest key has more than ``max_rows`` of them."""
+    seconds = pick_chunk_seconds(df, keys, time, max_rows)
+    untimed = df.filter(F.col(time).isNull())
+    fullest = untimed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).first()
+    slices = time_chunk(F.col(time), seconds)
+    if fullest is None or fullest["n"] <= max_rows:
+        return slices
+    n_cuts = min(10_000, -(-2 * fullest["n"] // max_rows))
+    same = [F.col(k).eqNullSafe(F.lit(fullest[k])) for k in keys]
+    of_key = untimed.filter(reduce(lambda a, b: a & b, same, F.lit(True)))
+    shares = [i / n_cuts for i in range(1, n_cuts)]
+    cuts = of_key.agg(F.percentile_approx(F.col(then).cast("double"), shares, 10 * n_cuts).alias("q")).first()["q"] or []
+    at = F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(then).cast("double"))
+    return F.coalesce(slices, F.lit(_NO_CHUNK) + F.when(F.col(then).isNull(), 0).otherwise(F.size(at) + 1))
+
+
 def _chunked(df: DataFrame, chunk: Column) -> DataFrame:
     return df.withColumn(_CHUNK, F.coalesce(chunk.cast("long"), F.lit(_NO_CHUNK)))
 
 
+def _in_blocks(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``edges`` (a row per key and chunk) with the block ``_block`` a chunk lies in: blocks follow each other in the order of the chunks
+    of a key and hold a task's share of all rows."""
+    return durable(edges.repartitionByRange(*keys, _CHUNK).withColumn("_block", F.spark_partition_id()))
+
+
+def _carried(
+    edges: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, back: bool = False
+) -> DataFrame:
+    """``edges`` with what comes before each chunk in its key: sums, and last values that are not null. ``back``: what comes after."""
+    sums, lasts = sums or {}, lasts or {}
+    helper = {f"_in_{n}": c for n, c in {**sums, **lasts}.items()}
+    rows = edges.withColumns(helper)
+
+    def ahead(partition: list[str], order: str):
+        return Window.partitionBy(*partition).orderBy(F.desc(order) if back else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
+
+    def scanned(names: dict, window, source: str) -> dict[str, Column]:
+        return {n: F.last(F.col(f"{source}{n}"), ignorenulls=True).over(window) for n in names}
+
+    inside, across = ahead([*keys, "_block"], _CHUNK), ahead(keys, "_block")
+    nearest = F.min if back else F.max
+    of_block = rows.groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("_chunks"),
+        *[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in sums],
+        *[nearest(F.when(F.col(f"_in_{n}").isNotNull(), F.struct(_CHUNK, f"_in_{n}")))[f"_in_{n}"].alias(f"_all_{n}") for n in lasts],
+    )
+    before = of_block.select(
+        *keys, "_block",
+        *[F.coalesce(F.sum(f"_all_{n}").over(across), F.lit(0)).alias(f"_far_{n}") for n in sums],
+        *[c.alias(f"_far_{n}") for n, c in scanned(lasts, across, "_all_").items()],
+    )
+    near = {f"_near_{n}": F.coalesce(F.sum(f"_in_{n}").over(inside), F.lit(0)) for n in sums}
+    near |= {f"_near_{n}": c for n, c in scanned(lasts, inside, "_in_").items()}
+    joined = null_safe_join(rows.withColumns(near), before, [*keys, "_block"])
+    found = {n: F.col(f"_near_{n}") + F.col(f"_far_{n}") for n in sums} | {n: F.coalesce(f"_near_{n}", f"_far_{n}") for n in lasts}
+    return joined.withColumns(found).drop(*helper, *near, *[f"_far_{n}" for n in [*sums, *lasts]])
+
+
 def row_numbers(
     df: DataFrame, keys: list[str], chunk: Column, order: list, name: str = "row_no", start: int = 1
 ) -> DataFrame:
@@ -54,12 +116,8 @@ def row_numbers(
     base = _chunked(df, chunk)
     group = [*keys, _CHUNK]
     local = base.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        base.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*group, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
+    counts = _in_blocks(base.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")), keys)
+    offsets = _carried(counts, keys, sums={"_offset": F.col("_rows")}).select(*group, "_offset")
     return (
         null_safe_join(local, offsets, group)
         .withColumn(name, F.col("_n") + F.col("_offset") + F.lit(start - 1))
@@ -84,10 +142,9 @@ def neighbours(df: DataFrame, keys: list[str], chunk: Column, order: list, colum
             F.first(F.when(last, F.col("_row")), ignorenulls=True).alias("_last"),
         )
     )
-    along = Window.partitionBy(*keys).orderBy(_CHUNK)
-    carried = edges.select(
-        *group, F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after")
-    )
+    edges = _in_blocks(edges, keys)
+    carried = _carried(_carried(edges, keys, lasts={"_before": F.col("_last")}), keys, lasts={"_after": F.col("_first")}, back=True)
+    carried = carried.select(*group, "_before", "_after")
     out = null_safe_join(local, carried, group).withColumns(
         {
             "_prev": F.coalesce("_prev", "_before"),
@@ -143,16 +200,12 @@ class MarkerRuns:
             F.sum("_gap").alias("_gaps"),
             F.count_if(inner_break).alias("_breaks"),
         )
-        before = (
-            Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        edges = edges.withColumn("_base", F.coalesce(F.sum("_markers").over(before), F.lit(0)))
+        edges = _carried(_in_blocks(edges, self.keys), self.keys, sums={"_base": F.col("_markers")})
         closing = F.when(
             F.col("_lv").isNotNull(),
             F.struct(F.col("_lv._t").alias("_t"), (F.col("_base") + F.col("_lv._m")).alias("_m")),
         )
-        edges = edges.withColumn("_closing", closing)
-        edges = edges.withColumn("_open", F.last("_closing", ignorenulls=True).over(before))
+        edges = _carried(edges, self.keys, lasts={"_open": closing})
         return edges.withColumn(
             "_gap",
             F.when(
@@ -181,18 +234,13 @@ class MarkerRuns:
         w = Window.partitionBy(*self.group).orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = self.rows.withColumn("_b", F.sum(is_break.cast("long")).over(w))
 
-        before = (
-            Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        )
         edges = self._chunk_edges(is_break).withColumn("_break0", is_break.cast("long"))
         sums = F.coalesce("_gaps", F.lit(0.0)) + F.coalesce(gap, F.lit(0.0))
-        carried = edges.select(
-            *self.group,
-            "_break0",
-            F.col("_fv._n").alias("_from"),
-            F.coalesce(F.sum(F.col("_breaks") + F.col("_break0")).over(before), F.lit(0)).alias("_offset"),
-            F.sum(sums).over(Window.partitionBy(*self.keys)).alias("_total"),
-        )
+        carried = _carried(edges, self.keys, sums={"_offset": F.col("_breaks") + F.col("_break0")})
+        carried = carried.select(*self.group, "_break0", F.col("_fv._n").alias("_from"), "_offset")
+        if mode == "total":
+            totals = edges.groupBy(*self.keys).agg(F.sum(sums).alias("_total"))
+            carried = null_safe_join(carried, totals, self.keys)
         joined = null_safe_join(rows.filter(~F.col("_marker")), carried, self.group)
         carried_break = F.when(F.col("_n") >= F.col("_from"), F.col("_break0")).otherwise(F.lit(0))
         number = F.col("_offset") + F.col("_b") + carried_break

@@ -143,3 +143,32 @@ def test_start_end_ignores_null_times_and_values(spark):
     df = spark.createDataFrame(rows, "k string, t long, lat double, lon double").withColumn("ts", F.timestamp_seconds("t"))
     got = {r["k"]: tuple(r)[1:] for r in stats.start_end_positions(df, "k", "ts", "lat", "lon").collect()}
     assert got == {"a": (3.0, 7.0, 4.0, None), "b": (None, None, None, None)}
+
+
+def test_a_key_of_many_chunks(spark):
+    """Every row is a chunk of its own; no window over the rows of the chunks is partitioned by the key alone."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("pos"), (F.col("id") % 1000 == 7).alias("marker"), F.timestamp_seconds("id").alias("ts"))
+    out = ordered.row_numbers(df, ["k"], F.col("pos"), ["pos"])
+    assert out.filter("row_no != pos + 1").count() == 0 and out.count() == n
+    near = ordered.neighbours(df, ["k"], F.col("pos"), ["pos"], ["pos"])
+    assert near.filter("prev_pos != pos - 1 or next_pos != pos + 1").count() == 0 and near.filter("prev_pos is null or next_pos is null").count() == 2
+    runs = MarkerRuns(df, ["k"], F.col("pos"), ["pos"], "ts", F.col("marker"))
+    assert runs.gaps().filter("gap_s = 2").count() == 100
+    assert runs.segments(1.0).agg(F.max("segment")).first()[0] == 100
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):
+        if "Window [" in line and "windowspecdefinition(k#" in line:
+            assert "_block" in line or "_chunk" in line
+
+
+def test_rows_without_a_time_are_cut_by_the_next_column(spark):
+    rows = [("hot", i, None if i % 10 else i) for i in range(3000)] + [("b", i, None) for i in range(20)] + [("b", None, None), ("c", 5, 100)]
+    df = spark.createDataFrame(rows, "k string, pos long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    chunk = ordered.chunk_of(df, ["k"], "ts", "pos", max_rows=200)
+    sizes = df.withColumn("c", chunk).groupBy("k", "c").count().agg(F.max("count")).first()[0]
+    assert sizes <= 300
+    got = {(r["k"], r["pos"]): r["row_no"] for r in ordered.row_numbers(df, ["k"], chunk, ["ts", "pos"]).collect()}
+    for key in ("hot", "b", "c"):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[1] is not None, r[1] or 0))
+        assert [got[key, r[1]] for r in mine] == list(range(1, len(mine) + 1))
