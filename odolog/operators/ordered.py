@@ -24,6 +24,7 @@ from odolog.session import durable
 _CHUNK = "_chunk"
 _NO_CHUNK = -(2**62)  # rows without a chunk value sort first, as nulls do
 CHUNK_SECONDS = [86_400, 3_600, 60, 1]
+FEW_CHUNKS = 200_000  # as many rows of chunks, which are counted, are scanned in one level
 
 
 def time_chunk(time: Column, seconds: int) -> Column:
@@ -72,7 +73,10 @@ def _chunked(df: DataFrame, chunk: Column) -> DataFrame:
 
 def _in_blocks(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``edges`` (a row per key and chunk) with the block ``_block`` a chunk lies in: blocks follow each other in the order of the chunks
-    of a key and hold a task's share of all rows."""
+    of a key and hold a task's share of all rows. Few rows, as counted, need no blocks and have no such column."""
+    edges = durable(edges)
+    if edges.count() <= FEW_CHUNKS:
+        return edges
     return durable(edges.repartitionByRange(*keys, _CHUNK).withColumn("_block", F.spark_partition_id()))
 
 
@@ -90,6 +94,10 @@ def _carried(
     def scanned(names: dict, window, source: str) -> dict[str, Column]:
         return {n: F.last(F.col(f"{source}{n}"), ignorenulls=True).over(window) for n in names}
 
+    if "_block" not in edges.columns:
+        along = ahead(keys, _CHUNK)
+        found = {n: F.coalesce(F.sum(f"_in_{n}").over(along), F.lit(0)) for n in sums} | scanned(lasts, along, "_in_")
+        return rows.withColumns(found).drop(*helper)
     inside, across = ahead([*keys, "_block"], _CHUNK), ahead(keys, "_block")
     nearest = F.min if back else F.max
     of_block = rows.groupBy(*keys, "_block").agg(

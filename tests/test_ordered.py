@@ -1,6 +1,7 @@
 """Chunked windows against plain loops, for every chunk size."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,10 +146,16 @@ def test_start_end_ignores_null_times_and_values(spark):
     assert got == {"a": (3.0, 7.0, 4.0, None), "b": (None, None, None, None)}
 
 
-def test_a_key_of_many_chunks(spark):
+@pytest.fixture(autouse=True, params=[0, 200_000], ids=["blocks", "one level"])
+def few_chunks(request, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW_CHUNKS", request.param)
+    return request.param
+
+
+def test_a_key_of_many_chunks(spark, few_chunks):
     """Every row is a chunk of its own; no window over the rows of the chunks is partitioned by the key alone."""
     n = 100_000
-    df = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("pos"), (F.col("id") % 1000 == 7).alias("marker"), F.timestamp_seconds("id").alias("ts"))
+    df = spark.range(n).select(F.floor(F.col("id") / n).alias("k"), F.col("id").alias("pos"), (F.col("id") % 1000 == 7).alias("marker"), F.timestamp_seconds("id").alias("ts"))
     out = ordered.row_numbers(df, ["k"], F.col("pos"), ["pos"])
     assert out.filter("row_no != pos + 1").count() == 0 and out.count() == n
     near = ordered.neighbours(df, ["k"], F.col("pos"), ["pos"], ["pos"])
@@ -156,10 +163,11 @@ def test_a_key_of_many_chunks(spark):
     runs = MarkerRuns(df, ["k"], F.col("pos"), ["pos"], "ts", F.col("marker"))
     assert runs.gaps().filter("gap_s = 2").count() == 100
     assert runs.segments(1.0).agg(F.max("segment")).first()[0] == 100
-    plan = near._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.split("\n"):
-        if "Window [" in line and "windowspecdefinition(k#" in line:
-            assert "_block" in line or "_chunk" in line
+    if few_chunks:
+        return
+    windows = [line for line in near._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert windows and any("_block#" in line for line in windows)
+    assert not any(re.search(r"\[k#\d+L?\], \[_chunk#", line) for line in windows)  # by key alone only over the rows of blocks
 
 
 def test_rows_without_a_time_are_cut_by_the_next_column(spark):
