@@ -156,8 +156,12 @@ def failed_rule(text: Column, rules: list[Rule]) -> Column:
 def measure(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = 400) -> list[Measured]:
     """Cost and selectivity of each rule on at most ``sample_rows`` rows, best rule first."""
     rules = rules or RULES
-    spread = F.xxhash64("text", F.monotonically_increasing_id())  # rows of all tasks, copies no more than other rows
-    sample = durable(docs.select(F.col(text).alias("text")).orderBy(spread).limit(sample_rows))
+    # rows of all tasks, copies no more than other rows; a threshold leaves about twice as many as wanted to choose from
+    span = 1 << 40
+    spread = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(span))
+    hashed = docs.select(F.col(text).alias("text")).withColumn("_h", spread)
+    below = min(span, 2 * sample_rows * span // max(1, docs.count()))
+    sample = durable(hashed.filter(F.col("_h") < below).orderBy("_h").limit(sample_rows).select("text"))
     column = F.col("text")
     seconds = []
     rejected = []
