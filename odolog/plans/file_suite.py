@@ -6,6 +6,8 @@ folder and read back by the operators themselves; stores are written there and r
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from odolog.operators import stats, views
@@ -13,7 +15,7 @@ from odolog.plans import ingest, statistics
 from odolog.plans.store import TripStore
 from odolog.plans.suite import LOG_VALUES, LOGS, ORACLES, QUERIES, SPEEDS, SPEEDS_SQL, events, logs, query, with_rounded
 from odolog.session import shared_folder
-from odolog.sources import files as sources
+from odolog.sources import files as sources, legacy
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -81,6 +83,82 @@ def _(spark, d):
     return spark.read.parquet(out).select(user_of("path"), "line")
 
 
+# -- the old folder layout: a folder per user below one of two roots, so that two have each name ------
+
+LEGACY = """firsts as (select user_id, min(ts) as first_ts from events group by user_id),
+trips as (select user_id, case when user_id % 2 = 0 then 'a' else 'b' end as root, printf('%013d', user_id // 2) as folder, user_id % 11 <> 0 as has_log,
+  case when user_id % 7 = 0 then null when user_id % 10 = 1 then timestamp '2024-01-01' else date_trunc('second', first_ts) end as t from firsts),
+named as (select *, case when t is not null then 'trackLog-' || strftime(t, '%Y-%b-%d_%H-%M-%S') || '.csv' end as csvfile from trips),
+ranked as (select *, row_number() over (partition by csvfile, has_log order by root, folder) = 1 and has_log and t is not null as hand_over from named)"""
+
+
+def render_legacy(spark: SparkSession, d: str) -> str:
+    """Writes ``<root>/<folder>/trackLog.csv`` and ``profile.properties``; returns the folder above the roots."""
+    root = re.sub("^file:/+", "file:///", shared_folder(spark))
+    ev = events(spark, d).select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    user = F.col("user_id")
+    folder = F.concat(F.when(user % 2 == 0, "/a/").otherwise("/b/"), F.lpad(F.floor(user / 2).cast("string"), 13, "0"))
+    line = F.concat_ws(",", "event_id", F.format_string("%.2f", "value"))
+    log_lines = ev.filter(user % 11 != 0).select(F.concat(folder, F.lit("/trackLog.csv")).alias("name"), F.col("event_id").alias("at"), line.alias("line"))
+    first = F.when(user % 10 == 1, F.lit("2024-01-01 00:00:00").cast("timestamp")).otherwise(F.col("first"))
+    stamp = F.when(user % 7 == 0, "yesterday").otherwise(F.date_format(first, "EEE MMM dd HH:mm:ss 'GMT' yyyy"))
+    text = F.array(F.lit("#profile"), F.concat(F.lit("#"), stamp), F.lit("name=x"), F.lit("fuel=1"), F.lit("cost=2"), F.lit("time=3"))
+    heads = ev.groupBy("user_id").agg(F.min("ts").alias("first")).select(
+        F.concat(folder, F.lit("/profile.properties")).alias("name"), F.posexplode(text).alias("at", "line")
+    )
+
+    def write(batches):
+        """Rows come sorted by name: one file is open at a time."""
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(root)
+        name, file = None, None
+        for rows in batches:
+            for part, lines in rows.groupby("name", sort=False)["line"]:
+                if part != name:
+                    if file is not None:
+                        file.close()
+                    store.create_dir((base + part).rsplit("/", 1)[0])
+                    name, file = part, store.open_output_stream(base + part)
+                file.write("".join(f"{x}\n" for x in lines).encode())
+        if file is not None:
+            file.close()
+        yield from ()
+
+    rows = log_lines.unionByName(heads.withColumn("at", F.col("at").cast("long")))
+    rows.repartition("name").sortWithinPartitions("name", "at").mapInPandas(write, "name string").count()
+    return root
+
+
+@query("legacy_trips", f"with {LEGACY} select root || '/' || folder as directory, folder, epoch_us(t) as tripdate, csvfile, has_log, hand_over from ranked")
+def _(spark, d):
+    trips = legacy.read_legacy_trips(spark, render_legacy(spark, d))
+    return trips.select(
+        F.substring_index("directory", "/", -2).alias("directory"), "folder", F.unix_micros("tripdate").alias("tripdate"), "csvfile",
+        F.col("log_path").isNotNull().alias("has_log"), "hand_over",
+    )
+
+
+@query(
+    "transferred_trips",
+    f"""with {LEGACY} select root || '/' || folder as directory, csvfile,
+  case when t is null then 'no date' when not has_log then 'no log' when not hand_over then 'exists' else 'transferred' end as status from ranked""",
+)
+def _(spark, d):
+    trips = ingest.transfer_legacy(spark, render_legacy(spark, d), shared_folder(spark))
+    return trips.select(F.substring_index("directory", "/", -2).alias("directory"), "csvfile", "status")
+
+
+@query(
+    "transferred_lines",
+    f"""with {LEGACY} select csvfile, event_id || ',' || printf('%.2f', value) as line from ranked join events using (user_id) where hand_over""",
+)
+def _(spark, d):
+    out = shared_folder(spark)
+    ingest.transfer_legacy(spark, render_legacy(spark, d), out)
+    return spark.read.parquet(out).select("csvfile", "line")
+
+
 def filled_store(spark: SparkSession, d: str) -> TripStore:
     """A store with the log rows, appended in two commits."""
     store = TripStore(spark, shared_folder(spark))

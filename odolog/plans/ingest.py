@@ -42,15 +42,20 @@ class LoadOptions:
     box: Box = LIVE_BOX
 
 
-def _new_lines(store: TripStore, root: str, batch: DataFrame, options: LoadOptions, n_files: int) -> DataFrame:
-    """Lines of the batch's files; few files are read by name, many by scanning ``root`` (the join
-    with the batch's layouts then leaves out the lines of other files)."""
-    if n_files <= BATCH_FILES:
-        paths = [r[0] for r in batch.select("location").collect()]
-        lines = sources.read_lines(store.spark, paths)
-    else:
-        lines = sources.read_lines(store.spark, root, options.pattern)
-    return lines
+def _lines_of(spark: SparkSession, root: str, pattern: str, batch: DataFrame, n_files: int) -> DataFrame:
+    """Lines of the files of ``batch``; few files are read by name, many by scanning ``root`` (the join
+    with what the batch knows of its files then leaves out the lines of others)."""
+    if n_files > BATCH_FILES:
+        return sources.read_lines(spark, root, pattern)
+    paths = [r[0] for r in batch.select("location").collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, block_start long, seq long, line string")
+    return sources.read_lines(spark, paths)
+
+
+def _of_files(lines: DataFrame, files: DataFrame, n_files: int, key: str = "path") -> DataFrame:
+    """Lines with the columns of ``files`` (one row per file). Up to ``BATCH_FILES`` are broadcast, so lines are not shuffled."""
+    return lines.join(F.broadcast(files) if n_files <= BATCH_FILES else files, key)
 
 
 def narrow_rows(lines: DataFrame, batch: DataFrame, options: LoadOptions, broadcast: bool = False) -> DataFrame:
@@ -163,7 +168,7 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
         if tables:
             store.commit(version, tables)
         return spark.createDataFrame([], TABLES["loadreport"]).select(report)
-    lines = _new_lines(store, root, batch, options, n_files)
+    lines = _lines_of(spark, root, options.pattern, batch, n_files)
     # one small layout row per file: up to this many are broadcast, so that lines are not shuffled
     broadcast = n_files <= BATCH_FILES
     counts, accepted, rejects = gate(stored(narrow_rows(lines, batch, options, broadcast)), batch, known)
@@ -249,20 +254,18 @@ def repair_report(lines: DataFrame, key: str = "path", line: str = "line") -> Da
     )
 
 
-def repaired_lines(lines: DataFrame, headers: DataFrame, key: str = "path", use_aliases: bool = False) -> DataFrame:
-    """Cleaned lines of undamaged files with canonical headers: (key, block_start, seq, line).
+def repaired_lines(
+    lines: DataFrame, headers: DataFrame, report: DataFrame, n_files: int, key: str = "path", use_aliases: bool = False
+) -> DataFrame:
+    """Cleaned lines of the files ``report`` finds undamaged, with canonical headers: (key, block_start, seq, line).
 
     Written as a table with its source file in a column; inputs are never overwritten.
     """
     rule = alias_name if use_aliases else canonical_name
     fixed = F.array_join(F.transform(F.split("header", ","), lambda label: rule(label)), ",")
-    damaged = quality.header_line_counts(lines, [key]).filter("damaged").select(key)
-    return (
-        lines.join(damaged, key, "left_anti")
-        .join(headers.select(key, "header", fixed.alias("_fixed")), key)
-        .withColumn("line", F.when(F.rtrim("line") == F.rtrim("header"), F.col("_fixed")).otherwise(clean_line(F.col("line"))))
-        .select(key, "block_start", "seq", "line")
-    )
+    whole = headers.join(report.filter("not damaged").select(key), key).select(key, F.rtrim("header").alias("_header"), fixed.alias("_fixed"))
+    line = F.when(F.rtrim("line") == F.col("_header"), F.col("_fixed")).otherwise(clean_line(F.col("line")))
+    return _of_files(lines, durable(whole), n_files, key).withColumn("line", line).select(key, "block_start", "seq", "line")
 
 
 def _written(spark: SparkSession, out: str, key: str) -> DataFrame:
@@ -273,14 +276,17 @@ def _written(spark: SparkSession, out: str, key: str) -> DataFrame:
 def repair_logs(spark: SparkSession, root: str, out: str, pattern: str = "trackLog-*.csv") -> DataFrame:
     """Append the repaired lines of the logs below ``root`` to the Parquet folder ``out``.
 
-    Files that ``out`` already holds are skipped, damaged files are only reported. Returns the
+    Files that ``out`` already holds are not opened, damaged files are only reported. The others are read twice, to decide and to
+    write, straight from the scan: what is decided is one small row per file. Returns the
     report (path, header_lines, damaged, lines, changed_lines, status) of the files looked at.
     """
     done = _written(spark, out, "path")
-    lines = sources.read_lines(spark, root, pattern).join(done, "path", "left_anti")
-    heads = sources.read_headers(spark, root, pattern).join(done, "path", "left_anti")
-    report = durable(repair_report(lines))
-    repaired_lines(lines, heads).write.mode("append").parquet(out)
+    listed = sources.list_files(spark, root, pattern, 1, inclusive=True).select("path", "location")
+    files = durable(listed.join(done, "path", "left_anti"))
+    n_files = files.count()
+    lines = _lines_of(spark, root, pattern, files, n_files)
+    report = durable(repair_report(_of_files(lines, files.select("path"), n_files)))
+    repaired_lines(lines, sources.first_lines(files), report, n_files).write.mode("append").parquet(out)
     return report
 
 
@@ -302,6 +308,8 @@ def transfer_legacy(spark: SparkSession, root: str, out: str) -> DataFrame:
         .select("folder", "directory", "tripdate", "csvfile", "log_path", "status")
     )
     moved = trips.filter(F.col("status") == "transferred").select(F.col("log_path").alias("path"), "csvfile")
-    lines = sources.read_lines(spark, root, "trackLog.csv").join(moved, "path")
+    files = durable(moved.join(sources.list_files(spark, root, "trackLog.csv", 0, inclusive=True).select("path", "location"), "path"))
+    n_files = files.count()
+    lines = _of_files(_lines_of(spark, root, "trackLog.csv", files, n_files), files.select("path", "csvfile"), n_files)
     lines.select("csvfile", "block_start", "seq", "line").write.mode("append").parquet(out)
     return trips

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from odolog.session import durable
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs in tasks is sent with them
+
 MIN_SIZE = 3000
 WHOLE_BYTES = 128 << 20  # files up to this size are hashed from one row, larger ones piece by piece, to the same hash
 READ_PATHS = 10_000  # new files read by name at a time
+HEAD_BYTES = 1 << 16  # read at a time to find a first line
+
 
 def list_files(spark: SparkSession, root: str, pattern: str, min_size: int = MIN_SIZE, inclusive: bool = False) -> DataFrame:
     """Files below ``root``: (path, location, csvfile, size, modified). Reads no content; size bounds are pushed into the listing.
@@ -48,24 +54,34 @@ def _hashed(files: DataFrame) -> DataFrame:
     )
 
 
-def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same for larger files, a megabyte at a time."""
-    import hashlib
+# Schemes of paths, and the stores that read them in ranges.
+STORES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+PACKED = r"\.(gz|bz2|zst|deflate|lz4|snappy)$"  # names of files that Spark unpacks as it reads lines
+
+
+def _open(path: str):
+    """A stream on a file of a store that can be read in ranges."""
     from urllib.parse import quote
 
     from pyarrow.fs import FileSystem
 
+    uri = quote(path, safe="%/:@!$&'()*+,;=~")  # Spark leaves letters beyond ASCII
+    scheme, _, rest = uri.partition(":")
+    if scheme not in STORES:
+        raise ValueError(f"files above {WHOLE_BYTES} bytes can be read from file, hdfs, s3a and gs stores only: {path}")
+    store, name = FileSystem.from_uri(f"{STORES[scheme]}:{rest}")
+    return store.open_input_stream(name)
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for larger files, a megabyte at a time."""
+    import hashlib
+
     for rows in batches:
         found, heads = [], []
         for path in rows["path"]:
-            uri = quote(path, safe="%/:@!$&'()*+,;=~")  # Spark leaves letters beyond ASCII
-            scheme, _, rest = uri.partition(":")
-            scheme = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "s3": "s3", "file": "file"}.get(scheme)
-            if scheme is None:
-                raise ValueError(f"files above {WHOLE_BYTES} bytes can be read from file, hdfs, s3a and gs stores only: {path}")
-            store, name = FileSystem.from_uri(f"{scheme}:{rest}")
             digest, head, whole = hashlib.md5(), b"", False
-            with store.open_input_stream(name) as file:
+            with _open(path) as file:
                 while block := file.read(1 << 20):
                     digest.update(block)
                     if not whole:
@@ -76,6 +92,24 @@ def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": rows["path"], "csvhash": found, "header": heads})
 
 
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First lines, as bytes, ended and freed of a byte order mark as Spark's line reader does it."""
+    for rows in batches:
+        heads = []
+        for path in rows["path"]:
+            head, start = bytearray(), 0
+            with _open(path) as file:
+                while block := file.read(HEAD_BYTES):
+                    head += block
+                    if any(end in block for end in (b"\n", b"\r")):
+                        break
+            if head.startswith(b"\xef\xbb\xbf"):
+                start = 3
+            line = bytes(head[start:])
+            heads.append(line[: min((i for i in (line.find(b"\n"), line.find(b"\r")) if i >= 0), default=len(line))])
+        yield pd.DataFrame({"path": rows["path"], "header": heads})
+
+
 def _in_batches(paths: DataFrame) -> Iterator[list[str]]:
     batch: list[str] = []
     for (path,) in paths.toLocalIterator():
@@ -147,11 +181,21 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     )
 
 
+def first_lines(files: DataFrame) -> DataFrame:
+    """First line of each of ``files`` (path, location): (path, header). Files are opened by range: no more is read of one than
+    ``HEAD_BYTES`` beyond its first line.
+
+    Packed files, and those of stores that have no ranged reads, are read by Spark as lines. Empty files have no line."""
+    ranged = F.split("path", ":")[0].isin(*STORES) & ~F.col("path").rlike(PACKED)
+    heads = files.filter(ranged).select("path").repartition("path").mapInPandas(_heads, "path string, header binary")
+    heads = heads.select("path", F.col("header").cast("string").alias("header"))
+    for paths in _in_batches(files.filter(~ranged).select("location")):
+        lines = read_lines(files.sparkSession, paths).filter(F.col("block_start") == 0)
+        heads = heads.unionByName(lines.groupBy("path").agg(F.min_by("line", "seq").alias("header")))
+    return heads
+
+
 def read_headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """First line of each file: (path, file, header). One row per file and task is shuffled."""
-    lines = read_lines(spark, root, pattern).filter(F.col("block_start") == 0)
-    return (
-        lines.groupBy("path")
-        .agg(F.min_by("line", "seq").alias("header"))
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "header")
-    )
+    """First line of each file: (path, file, header), from ranged reads (``first_lines``)."""
+    heads = first_lines(list_files(spark, root, pattern, 1, inclusive=True))
+    return heads.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "header")

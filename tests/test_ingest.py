@@ -6,7 +6,7 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
-from odolog.plans import statistics
+from odolog.plans import ingest, statistics
 from odolog.plans.ingest import LoadOptions, load_logs, repair_logs, transfer_legacy
 from odolog.plans.store import TripStore
 from odolog.sources import files as sources
@@ -253,6 +253,46 @@ def test_legacy_layout(spark, tmp_path):
     assert got["2"]["tripdate"] is None and got["3"]["tripdate"] is None
 
 
+def test_headers_are_read_by_range(spark, tmp_path, monkeypatch):
+    """The first lines are those of Spark's line reader; of a long file only its head is read."""
+    import gzip
+    import io
+
+    import pandas as pd
+
+    contents = {
+        "plain.csv": b"a,b\n1,2\n", "bom.csv": b"\xef\xbb\xbfa,b\n1\n", "crlf.csv": b"a,b\r\n1\r\n", "cr.csv": b"a,b\r1\r", "one.csv": b"a,b",
+        "blank.csv": b"\n1,2\n", "empty.csv": b"", "latin \u00e5%20[1].csv": b"l\xe4nge,b\n1\n", "wide.csv": b"x," * 100_000 + b"\n1\n",
+        "packed.csv.gz": gzip.compress(b"p,q\n1\n"),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"]: r["header"] for r in read_headers(spark, str(tmp_path), "*.csv*").select("path", F.col("header").cast("binary").alias("header")).collect()}
+    lines = read_lines(spark, str(tmp_path)).filter("block_start = 0").groupBy("path").agg(F.min_by("line", "seq").cast("binary").alias("header"))
+    assert got == {r["path"]: r["header"] for r in lines.collect()} and len(got) == len(contents) - 1
+
+    read = []
+
+    class Counted(io.BytesIO):
+        def read(self, n=-1):
+            block = super().read(n)
+            read.append(len(block))
+            return block
+
+    monkeypatch.setattr(sources, "_open", lambda path: Counted(b"a,b\n" + b"1,2\n" * 2_000_000))
+    (heads,) = sources._heads(iter([pd.DataFrame({"path": ["x", "y"]})]))
+    assert list(heads["header"]) == [b"a,b"] * 2 and sum(read) == 2 * sources.HEAD_BYTES
+
+
+def test_repaired_lines_are_not_shuffled(spark, logs):
+    write(logs, "trackLog-1.csv", ["a,-"], "GPS Time,x")
+    lines = read_lines(spark, str(logs))
+    fixed = ingest.repaired_lines(lines, read_headers(spark, str(logs)), ingest.repair_report(lines), 1)
+    plan = fixed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert [r["line"] for r in fixed.orderBy("seq").collect()] == ["gpstime,x", "a,0"]
+
+
 def test_parse_failures_do_not_raise(spark):
     from odolog.functions.times import parse_time
 
