@@ -12,7 +12,8 @@ NAIVE_PATTERNS = {
 }
 
 # Text length -> pattern of the times with a zone. The leading day name ("Wed ") is
-# cut off first, it carries no information and Spark does not parse it.
+# cut off first, it carries no information and Spark does not parse it. Zone names in texts of 30 have
+# five letters; no text of 36 characters fits its pattern, so these become null.
 ZONED_PATTERNS = {
     28: "MMM dd HH:mm:ss 'GMT' yyyy",
     30: "MMM dd HH:mm:ss z yyyy",

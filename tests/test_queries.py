@@ -30,3 +30,16 @@ def test_entry_runs(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name, key", [
+    ("top_trips", ["o_totalprice", "o_orderkey"]), ("limited_files", ["o_orderkey"]), ("sorted_files", ["csvfile"]), ("columns_by_count", ["count", "column"]),
+])
+def test_rows_come_in_order(spark, con, name, key):
+    """The SQL compares sets of rows; these queries also promise their order."""
+    descending = {"o_totalprice", "count"}
+    terms = ", ".join(f'"{c}" desc' if c in descending else f'"{c}"' for c in key)
+    columns = ", ".join(f'"{c}"' for c in key)
+    want = con.sql(f"select {columns} from ({ORACLES[name]}) order by {terms}").fetchall()
+    got = [tuple(r) for r in QUERIES[name](spark, SF).select(*key).collect()]
+    assert got == want and len(got) > 2
