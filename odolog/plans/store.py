@@ -25,6 +25,7 @@ from odolog.catalog import TABLES
 BUCKET = 100  # commit files of one folder, so that a reader lists few however many there are
 TRIP_FILES = 10_000  # a trip in more data files is read by a filtered scan of them all
 ROWS_PER_FILE = 1_000_000  # of compacted logs
+ROWS_PER_TASK = 250_000  # least that a task of the compaction sorts
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -162,13 +163,13 @@ class TripStore:
         """Rows written under a version that is not committed yet."""
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{self._folder(table, version)}")
 
-    def stage(self, table: str, df: DataFrame, version: int) -> None:
-        """Write rows under a version; they count once it is committed."""
+    def stage(self, table: str, df: DataFrame, version: int, rows_per_file: int = 0) -> None:
+        """Write rows under a version, if given at most so many to a file; they count once it is committed."""
         schema = TABLES[table]
         missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns}
         typed = df.withColumns(missing) if missing else df
         typed = typed.select([F.col(f.name).cast(f.dataType) for f in schema])
-        typed.write.mode("overwrite").parquet(f"{self.root}/{self._folder(table, version)}")
+        typed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{self.root}/{self._folder(table, version)}")
         if table == "logs":
             self.stage_index(self._folder(table, version), version)
 
@@ -203,8 +204,9 @@ class TripStore:
         order = ["fileid", "block_start", "seq"]
         version = self.version() + 1
         rows = self.read("logindex").agg(F.sum("rows")).first()[0] or 0
-        parts = max(1, math.ceil(rows / rows_per_file))
-        self.stage("logs", self.read("logs").repartitionByRange(parts, *order).sortWithinPartitions(*order), version)
+        # a task writes many small files in turn: the driver gets a sample of rows for each range
+        parts = max(1, math.ceil(rows / max(rows_per_file, ROWS_PER_TASK)))
+        self.stage("logs", self.read("logs").repartitionByRange(parts, *order).sortWithinPartitions(*order), version, rows_per_file)
         self.commit(version, {"logs": True})
 
     def reset(self, confirm: bool = False) -> None:
