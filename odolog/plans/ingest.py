@@ -42,20 +42,9 @@ class LoadOptions:
     box: Box = LIVE_BOX
 
 
-def _lines_of(spark: SparkSession, root: str, pattern: str, batch: DataFrame, n_files: int) -> DataFrame:
-    """Lines of the files of ``batch``; few files are read by name, many by scanning ``root`` (the join
-    with what the batch knows of its files then leaves out the lines of others)."""
-    if n_files > BATCH_FILES:
-        return sources.read_lines(spark, root, pattern)
-    paths = [r[0] for r in batch.select("location").collect()]
-    if not paths:
-        return spark.createDataFrame([], "path string, block_start long, seq long, line string")
-    return sources.read_lines(spark, paths)
-
-
 def _of_files(lines: DataFrame, files: DataFrame, n_files: int, key: str = "path") -> DataFrame:
-    """Lines with the columns of ``files`` (one row per file). Up to ``BATCH_FILES`` are broadcast, so lines are not shuffled."""
-    return lines.join(F.broadcast(files) if n_files <= BATCH_FILES else files, key)
+    """Lines with the columns of ``files`` (one row per file). Up to ``BATCH_FILES`` are broadcast, so lines are not shuffled; lines never are."""
+    return lines.join(F.broadcast(files) if n_files <= BATCH_FILES else files.hint("merge"), key)
 
 
 def narrow_rows(lines: DataFrame, batch: DataFrame, options: LoadOptions, broadcast: bool = False) -> DataFrame:
@@ -168,7 +157,7 @@ def load_logs(store: TripStore, root: str, options: LoadOptions = LoadOptions())
         if tables:
             store.commit(version, tables)
         return spark.createDataFrame([], TABLES["loadreport"]).select(report)
-    lines = _lines_of(spark, root, options.pattern, batch, n_files)
+    lines = sources.lines_of(batch)
     # one small layout row per file: up to this many are broadcast, so that lines are not shuffled
     broadcast = n_files <= BATCH_FILES
     counts, accepted, rejects = gate(stored(narrow_rows(lines, batch, options, broadcast)), batch, known)
@@ -281,10 +270,10 @@ def repair_logs(spark: SparkSession, root: str, out: str, pattern: str = "trackL
     report (path, header_lines, damaged, lines, changed_lines, status) of the files looked at.
     """
     done = _written(spark, out, "path")
-    listed = sources.list_files(spark, root, pattern, 1, inclusive=True).select("path", "location")
+    listed = sources.list_files(spark, root, pattern, 1, inclusive=True).select("path", "location", "size")
     files = durable(listed.join(done, "path", "left_anti"))
     n_files = files.count()
-    lines = _lines_of(spark, root, pattern, files, n_files)
+    lines = sources.lines_of(files)
     report = durable(repair_report(_of_files(lines, files.select("path"), n_files)))
     repaired_lines(lines, sources.first_lines(files), report, n_files).write.mode("append").parquet(out)
     return report
@@ -305,11 +294,10 @@ def transfer_legacy(spark: SparkSession, root: str, out: str) -> DataFrame:
             F.when(F.col("tripdate").isNull(), "no date").when(F.col("log_path").isNull(), "no log")
             .when(F.col("_done") | ~F.col("hand_over"), "exists").otherwise("transferred"),
         )
-        .select("folder", "directory", "tripdate", "csvfile", "log_path", "status")
+        .select("folder", "directory", "tripdate", "csvfile", "log_path", "log_location", "log_size", "status")
     )
-    moved = trips.filter(F.col("status") == "transferred").select(F.col("log_path").alias("path"), "csvfile")
-    files = durable(moved.join(sources.list_files(spark, root, "trackLog.csv", 0, inclusive=True).select("path", "location"), "path"))
-    n_files = files.count()
-    lines = _of_files(_lines_of(spark, root, "trackLog.csv", files, n_files), files.select("path", "csvfile"), n_files)
+    moved = trips.filter(F.col("status") == "transferred")
+    files = moved.select(F.col("log_path").alias("path"), F.col("log_location").alias("location"), F.col("log_size").alias("size"), "csvfile")
+    lines = _of_files(sources.lines_of(files), files.select("path", "csvfile"), files.count())
     lines.select("csvfile", "block_start", "seq", "line").write.mode("append").parquet(out)
-    return trips
+    return trips.drop("log_location", "log_size")

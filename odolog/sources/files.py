@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from odolog.session import durable
 
@@ -18,6 +19,9 @@ MIN_SIZE = 3000
 WHOLE_BYTES = 128 << 20  # files up to this size are hashed from one row, larger ones piece by piece, to the same hash
 READ_PATHS = 10_000  # new files read by name at a time
 HEAD_BYTES = 1 << 16  # read at a time to find a first line
+LINES_BYTES = 32 << 20  # files up to this size are cut into lines by one task that opens them by name
+TASK_FILES, TASK_BYTES = 500, 64 << 20  # of small files that a task opens by name
+BATCH_LINES = 10_000
 
 
 def list_files(spark: SparkSession, root: str, pattern: str, min_size: int = MIN_SIZE, inclusive: bool = False) -> DataFrame:
@@ -25,7 +29,11 @@ def list_files(spark: SparkSession, root: str, pattern: str, min_size: int = MIN
 
     ``path`` is the name ``read_lines`` gives the file's lines, ``location`` the path to read it by.
     """
-    return _listed(spark, root, pattern, min_size, inclusive).select(
+    return _described(_listed(spark, root, pattern, min_size, inclusive))
+
+
+def _described(listed: DataFrame) -> DataFrame:
+    return listed.select(
         F.col("_metadata.file_path").alias("path"),
         F.regexp_replace("path", r"([\[\]{}*?])", r"\\$1").alias("location"),
         F.element_at(F.split("path", "/"), -1).alias("csvfile"),
@@ -110,9 +118,53 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": rows["path"], "header": heads})
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole files, as bytes, ended and freed of a byte order mark as Spark's line reader does it."""
+    names = ["path", "block_start", "seq", "line"]
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with _open(path) as file:
+                text = file.read()
+            text = text.removeprefix(b"\xef\xbb\xbf").replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+            lines = text.split(b"\n")
+            if not lines[-1]:
+                lines.pop()
+            for at in range(0, len(lines), BATCH_LINES):
+                some = lines[at : at + BATCH_LINES]
+                n = len(some)
+                cells = [pa.repeat(path, n), pa.repeat(pa.scalar(0, pa.int64()), n), pa.array(range(at, at + n), pa.int64()), pa.array(some, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=names)
+
+
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contents of whole files."""
+    for rows in batches:
+        contents = []
+        for path in rows["path"]:
+            with _open(path) as file:
+                contents.append(file.read())
+        yield pd.DataFrame({"path": rows["path"], "content": contents})
+
+
+def _ranged() -> Column:
+    """Whether a file can be opened in a task by its ``path``, and read as it is."""
+    return F.split("path", ":")[0].isin(*STORES) & ~F.col("path").rlike(PACKED)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """``files`` (with ``size``) dealt to tasks of about ``TASK_FILES`` files or ``TASK_BYTES``, at least one per core."""
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(n // TASK_FILES, size // TASK_BYTES, min(n, files.sparkSession.sparkContext.defaultParallelism), 1)
+    return files.repartition(int(parts), "path")
+
+
 def _in_batches(paths: DataFrame) -> Iterator[list[str]]:
+    """Lists of ``READ_PATHS`` paths, of a job each, however many partitions the paths lie in."""
+    n = paths.count()
+    if n == 0:
+        return
     batch: list[str] = []
-    for (path,) in paths.toLocalIterator():
+    for (path,) in paths.repartition(-(-n // READ_PATHS)).toLocalIterator():
         batch.append(path)
         if len(batch) == READ_PATHS:
             yield batch
@@ -137,9 +189,10 @@ def discover(
     same size and time are not opened; the others are ``fresh``. Fresh files are read by name, ``READ_PATHS`` at a time, or all in one scan
     where they are most of the files. Any store Spark reads will do; files above ``WHOLE_BYTES`` need one of file, hdfs, s3a or gs.
     """
-    listed = list_files(spark, root, pattern, min_size, inclusive)
+    relation = _listed(spark, root, pattern, min_size, inclusive)  # lists the files once, for both uses
+    listed = _described(relation)
     if manifest is None:
-        fresh, content = listed, [_listed(spark, root, pattern, min_size, inclusive)]
+        fresh, content = listed, [relation]
     else:
         # the last entry of a path counts
         last = manifest.groupBy("path").agg(F.max_by(F.struct(*[c for c in manifest.columns if c != "path"]), "modified").alias("m"))
@@ -152,7 +205,7 @@ def discover(
         if n_fresh == 0:
             return unchanged
         if 2 * n_fresh >= seen.count():
-            content = [_listed(spark, root, pattern, min_size, inclusive)]
+            content = [relation]
         else:
             content = [_listed(spark, paths, pattern, min_size, inclusive) for paths in _in_batches(fresh.select("location"))]
     hashed = reduce(DataFrame.unionByName, [_hashed(c) for c in content])
@@ -181,15 +234,37 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     )
 
 
+def lines_of(files: DataFrame) -> DataFrame:
+    """Lines of each of ``files`` (path, location, size), as ``read_lines`` gives them; the files are not listed again.
+
+    They are opened by name in tasks. Files above ``LINES_BYTES``, packed ones, and those of stores that have no ranged reads are
+    read by Spark, ``READ_PATHS`` at a time."""
+    whole = _ranged() & (F.col("size") <= LINES_BYTES)
+    lines = _dealt(files.filter(whole).select("path", "size")).select("path").mapInArrow(_lines, "path string, block_start long, seq long, line binary")
+    lines = lines.withColumn("line", F.col("line").cast("string"))
+    for paths in _in_batches(files.filter(~whole).select("location")):
+        lines = lines.unionByName(read_lines(files.sparkSession, paths))
+    return lines
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """Whole text of each of ``files`` (path, location, size), which are small: (path, text). The files are not listed again."""
+    found = _dealt(files.filter(_ranged()).select("path", "size")).select("path").mapInPandas(_texts, "path string, content binary")
+    found = found.select("path", F.col("content").cast("string").alias("text"))
+    for paths in _in_batches(files.filter(~_ranged()).select("location")):
+        texts = files.sparkSession.read.text(paths, wholetext=True)
+        found = found.unionByName(texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return found
+
+
 def first_lines(files: DataFrame) -> DataFrame:
-    """First line of each of ``files`` (path, location): (path, header). Files are opened by range: no more is read of one than
+    """First line of each of ``files`` (path, location, size): (path, header). Files are opened by range: no more is read of one than
     ``HEAD_BYTES`` beyond its first line.
 
     Packed files, and those of stores that have no ranged reads, are read by Spark as lines. Empty files have no line."""
-    ranged = F.split("path", ":")[0].isin(*STORES) & ~F.col("path").rlike(PACKED)
-    heads = files.filter(ranged).select("path").repartition("path").mapInPandas(_heads, "path string, header binary")
+    heads = _dealt(files.filter(_ranged()).select("path", "size")).select("path").mapInPandas(_heads, "path string, header binary")
     heads = heads.select("path", F.col("header").cast("string").alias("header"))
-    for paths in _in_batches(files.filter(~ranged).select("location")):
+    for paths in _in_batches(files.filter(~_ranged()).select("location")):
         lines = read_lines(files.sparkSession, paths).filter(F.col("block_start") == 0)
         heads = heads.unionByName(lines.groupBy("path").agg(F.min_by("line", "seq").alias("header")))
     return heads
@@ -197,5 +272,5 @@ def first_lines(files: DataFrame) -> DataFrame:
 
 def read_headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """First line of each file: (path, file, header), from ranged reads (``first_lines``)."""
-    heads = first_lines(list_files(spark, root, pattern, 1, inclusive=True))
+    heads = first_lines(durable(list_files(spark, root, pattern, 1, inclusive=True)))
     return heads.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "header")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from odolog.functions.times import parse_time, trip_file_name
+from odolog.session import durable
+from odolog.sources import files as sources
 
-# The layout of the properties file.
+# The layout of the folders and of the properties file.
 PROPERTY_LINES = [6, 8]
 DATE_LENGTHS = [28, 34]
 FOLDER_LENGTH = 13
+PROFILE, LOG = "profile.properties", "trackLog.csv"
 
 
 def parse_profiles(profiles: DataFrame, text: str = "text") -> DataFrame:
@@ -31,29 +34,20 @@ def parse_profiles(profiles: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_legacy_trips(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, directory, tripdate, csvfile, log_path, hand_over) for each trip folder below ``root``.
+    """(folder, directory, tripdate, csvfile, log_path, log_location, log_size, hand_over) for each trip folder below ``root``.
 
     A log belongs to the properties in the same ``directory``; ``folder`` is its last name, which several may have.
     ``csvfile`` is the name of the log in the present layout. ``hand_over`` is false when the date
-    is unreadable, the log is missing, or an earlier directory already has that name.
+    is unreadable, the log is missing, or an earlier directory already has that name. The folders are listed once.
     """
     directory = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
     folder = F.regexp_extract("path", f"/([^/]{{{FOLDER_LENGTH}}})/[^/]+$", 1)
-    profiles = (
-        spark.read.option("pathGlobFilter", "profile.properties")
-        .text(root, wholetext=True, recursiveFileLookup=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .filter(folder != "")
-        .select(directory.alias("directory"), "text")
-    )
-    logs = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "trackLog.csv")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.col("_metadata.file_path").alias("path"))
-        .filter(folder != "")
-        .select(directory.alias("directory"), F.col("path").alias("log_path"))
+    listed = sources.list_files(spark, root, f"{{{PROFILE},{LOG}}}", 0, inclusive=True)
+    listed = durable(listed.filter(folder != "").withColumn("directory", directory))  # both kinds from one listing
+    texts = sources.texts_of(listed.filter(F.col("csvfile") == PROFILE))
+    profiles = texts.select(directory.alias("directory"), "text")
+    logs = listed.filter(F.col("csvfile") == LOG).select(
+        "directory", F.col("path").alias("log_path"), F.col("location").alias("log_location"), F.col("size").alias("log_size")
     )
     trips = logs.join(parse_profiles(profiles), "directory", "full_outer")
     first = (
@@ -62,6 +56,7 @@ def read_legacy_trips(spark: SparkSession, root: str) -> DataFrame:
         .agg(F.min("directory").alias("_first"))
     )
     return trips.join(first, "csvfile", "left").select(
-        F.element_at(F.split("directory", "/"), -1).alias("folder"), "directory", "tripdate", "csvfile", "log_path",
+        F.element_at(F.split("directory", "/"), -1).alias("folder"), "directory", "tripdate", "csvfile",
+        "log_path", "log_location", "log_size",
         F.coalesce(F.col("directory") == F.col("_first"), F.lit(False)).alias("hand_over"),
     )
