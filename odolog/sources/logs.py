@@ -35,12 +35,11 @@ def unknown_columns(headers: DataFrame, file: str = "csvfile", columns: list[str
     return named.filter(~F.array_contains(F.array(*known), F.col("column")) & (F.col("column") != ""))
 
 
-def widest_repeat(layout: DataFrame) -> int:
-    """Most columns of one file that share a canonical name. One number, from one row per file."""
-    repeats = layout.select("names", F.explode("names").alias("_name")).select(
-        F.size(F.filter("names", lambda x: x == F.col("_name"))).alias("n"), F.col("_name")
-    )
-    return repeats.filter(F.col("_name") != "").agg(F.max("n")).first()[0] or 1
+def column_repeats(layout: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Which of ``columns`` some file has, and most columns of one file that share the name. At most a row per column, from the distinct layouts."""
+    named = layout.select("names").distinct().select("names", F.explode(F.array_distinct("names")).alias("_name"))
+    shared = F.size(F.filter("names", lambda x: x == F.col("_name")))
+    return dict(map(tuple, named.filter(F.col("_name").isin(columns)).groupBy("_name").agg(F.max(shared)).collect()))
 
 
 def _positions(columns: list[str], nth: int) -> Column:
@@ -61,31 +60,33 @@ def parse_lines(
     keep: list[str],
     columns: list[str] | None = None,
     line: str = "line",
-    repeats: int | None = None,
     carry: tuple[str, ...] = (),
     broadcast: bool = False,
 ) -> DataFrame:
     """Raw text cells of each line by canonical column: (file, keep.., one text column each).
 
-    Missing columns are null, short lines are padded with null, extra fields are cut. When several
+    Missing columns are null (those that no file has are not looked for in the lines), short lines are padded with null, extra fields are cut. When several
     header columns share a canonical name the first one that holds a value counts. ``fields`` and
     ``width`` give the number of fields of the line and of its header. ``carry`` names columns of
     ``layout`` to add. With ``broadcast`` (for a layout table of checked size) lines are not shuffled.
     """
     columns = columns or LOG_COLUMNS
-    repeats = repeats or widest_repeat(layout)
+    repeats = column_repeats(layout, columns)
     places = layout.select(
         file,
         *carry,
         F.size("names").alias("width"),
-        *[_positions(columns, n).alias(f"_at{n}") for n in range(repeats)],
+        *[_positions(columns, n).alias(f"_at{n}") for n in range(max(repeats.values(), default=1))],
     )
-    cells = lines.join(F.broadcast(places) if broadcast else places, file).withColumn("_cells", F.split(line, ","))
+    # Spark takes lines that tasks read to be as small as the table of their files, and would broadcast them
+    cells = lines.join(F.broadcast(places) if broadcast else places.hint("merge"), file).withColumn("_cells", F.split(line, ","))
 
     # SQL text, as a hundred columns of nested Column objects would take seconds to build
-    def cell(i: int) -> str:
-        texts = [f"trim(get(_cells, get(_at{n}, {i})))" for n in range(repeats)]
-        if repeats == 1:
+    def cell(i: int, column: str) -> str:
+        if column not in repeats:
+            return "cast(null as string)"
+        texts = [f"trim(get(_cells, get(_at{n}, {i})))" for n in range(repeats[column])]
+        if len(texts) == 1:
             return texts[0]
         values = [f"nullif({_no_marker(t)}, '')" for t in texts]
         return f"coalesce({', '.join(values)}, {texts[0]})"
@@ -96,7 +97,7 @@ def parse_lines(
         *carry,
         F.size("_cells").alias("fields"),
         "width",
-        *[F.expr(cell(i)).alias(c) for i, c in enumerate(columns)],
+        *[F.expr(cell(i, c)).alias(c) for i, c in enumerate(columns)],
     )
 
 
