@@ -9,8 +9,12 @@ Shards hold the texts as 64-bit hashes of words, so a step neither splits nor de
 hash. Which phrases have reached the threshold is told to the tasks by a filter of bounded size (a Bloom filter,
 ``filter_bytes``). It only gains phrases; step ``t`` counts what both subphrases in the filter of step ``t`` activate,
 unless the filter of a cycle earlier did so already. A phrase let in by chance, by the filter or by equal hashes, is
-counted for one full cycle as well: chance can activate more, never less. A last scan of the texts counts the phrases
-of the last filter by their words, and only those counts are returned.
+counted for one full cycle as well: chance can activate more, never less.
+
+Collocations are ranked by those counts. The phrases are named by reading parts of the texts, each for the phrases that have
+not been met, so that few tasks return a phrase. A last scan then counts the ranked phrases and all their parts by their words, and
+only counts that it confirms are returned; otherwise every phrase of the last filter is counted by its words and ranked again.
+Counts of other phrases, which decide what is ranked, are by hash: a wrong one takes two phrases with equal 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ FILTER_BYTES = (1 << 16, 1 << 25)  # least and most of the filter that every tas
 BUFFER_WORDS = 1 << 21  # words a task counts at a time
 BLOCK_WORDS = 1 << 16  # words in a row of a shard
 SLICE_BYTES = 1 << 23
+PARTS = 64  # of the texts, by which phrases are named; a power of two
 LEAST_SCORES = 2000
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -98,15 +103,17 @@ def _filter_bits(h: Column) -> Column:
 
 def _deal(rows: DataFrame, longest: int) -> DataFrame:
     """``lang``, ``text``, ``shard`` as blocks of word hashes: ``shard``, ``words`` (little-endian) and ``own``, the number of
-    words at which phrases of this block begin; what follows them belongs to the next block of a long text."""
+    words at which phrases of this block begin; what follows them belongs to the next block of a long text. A row of
+    shard -1 has the number of a language's words in ``own`` and the language in ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, _Hashes] = {}
         held: defaultdict[int, list[np.ndarray]] = defaultdict(list)
         sizes: defaultdict[int, int] = defaultdict(int)
+        totals: defaultdict[str, int] = defaultdict(int)
 
-        def block(shard: int, words: np.ndarray, own: int) -> pa.RecordBatch:
-            cells = [pa.array([shard], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([own], pa.int32())]
+        def row(shard: int, words: bytes, own: int) -> pa.RecordBatch:
+            cells = [pa.array([shard], pa.int32()), pa.array([words], pa.binary()), pa.array([own], pa.int64())]
             return pa.RecordBatch.from_arrays(cells, names=["shard", "words", "own"])
 
         for batch in batches:
@@ -116,22 +123,26 @@ def _deal(rows: DataFrame, longest: int) -> DataFrame:
                         languages.clear()
                     languages[lang] = _Hashes(lang)
                 number = languages[lang]
+                totals[lang] += 0
                 for words in _words(text):
                     held[shard].append(np.fromiter((number[w] for w in words), np.uint64, len(words)))
+                    totals[lang] += int(np.count_nonzero(held[shard][-1]))
                     sizes[shard] += len(words)
                     if sizes[shard] >= 2 * BLOCK_WORDS:
                         all_words = np.concatenate(held[shard])
                         at = 0
                         while len(all_words) - at >= 2 * BLOCK_WORDS:
-                            yield block(shard, all_words[at : at + BLOCK_WORDS + longest - 1], BLOCK_WORDS)
+                            yield row(shard, all_words[at : at + BLOCK_WORDS + longest - 1].tobytes(), BLOCK_WORDS)
                             at += BLOCK_WORDS
                         held[shard], sizes[shard] = [all_words[at:]], len(all_words) - at
                 held[shard].append(np.zeros(1, np.uint64))
                 sizes[shard] += 1
         for shard, parts in held.items():
-            yield block(shard, np.concatenate(parts), sizes[shard])
+            yield row(shard, np.concatenate(parts).tobytes(), sizes[shard])
+        for lang, n in totals.items():
+            yield row(-1, lang.encode(), n)
 
-    return rows.select("lang", "text", "shard").mapInArrow(run, "shard int, words binary, own int")
+    return rows.select("lang", "text", "shard").mapInArrow(run, "shard int, words binary, own long")
 
 
 def _active_counts(
@@ -190,9 +201,10 @@ def _scan(shard: DataFrame, now: Broadcast, before: Broadcast, longest: int, wit
     return shard.select("words", "own").mapInArrow(run, "h long, c long")
 
 
-def _named(rows: DataFrame, known: Broadcast, longest: int) -> DataFrame:
-    """Counts of the phrases of ``known`` in ``rows`` (``lang``, ``text``), by ``lang``, ``length`` and ``phrase``; length 0 counts all words."""
-    names = ["lang", "length", "phrase", "c"]
+def _named(rows: DataFrame, known: Broadcast, longest: int, wanted: Broadcast | None = None) -> DataFrame:
+    """Counts of the phrases of ``known`` (a filter that has their parts as well) in ``rows`` (``lang``, ``text``), by ``lang``,
+    ``length`` and ``phrase``, with its hash ``h``; length 0 counts all words. With ``wanted`` only of the phrases in that one too."""
+    names = ["lang", "length", "phrase", "h", "c"]
 
     def counted(lang: str, texts: list[list[bytes]], last: bool) -> tuple[list[pa.RecordBatch], list[list[bytes]]]:
         """Counts in the texts held, and what must be kept as the beginning of the next ones."""
@@ -201,14 +213,14 @@ def _named(rows: DataFrame, known: Broadcast, longest: int) -> DataFrame:
         numbers: defaultdict = defaultdict(itertools.count().__next__)
         numbers[b"\xff"]
         a = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        hashes, phrases = _Hashes(lang), list(numbers)
-        h1 = np.fromiter((hashes[w] for w in phrases), np.uint64, len(phrases))
-        out = [pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int((a[:cut] > 0).sum())])], names=names)]
+        hashes, vocabulary = _Hashes(lang), list(numbers)
+        h1 = np.fromiter((hashes[w] for w in vocabulary), np.uint64, len(vocabulary))
+        n = pa.array([int((a[:cut] > 0).sum())])
+        out = [pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([0]), n], names=names)]
         often = _holds(known.value, h1)
         often[0] = False
         at = np.flatnonzero(often[a])
-        name, h = a, h1[a]
-        vocabulary = phrases
+        name, h, of = a, h1[a], h1
         for length in range(1, longest + 1):
             if length > 1:
                 at = at[:-1][at[1:] == at[:-1] + 1]
@@ -216,18 +228,21 @@ def _named(rows: DataFrame, known: Broadcast, longest: int) -> DataFrame:
                 again = _holds(known.value, hashed)
                 at, hashed = at[again], hashed[again]
                 _, first, inverse = np.unique(name[at] * len(vocabulary) + a[at + length - 1], return_index=True, return_inverse=True)
-                pairs = zip(name[at[first]].tolist(), a[at[first] + length - 1].tolist())
-                phrases = [phrases[p] + b" " + vocabulary[w] for p, w in pairs]
+                of, first = hashed[first], at[first]
                 name, h = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
                 name[at], h[at] = inverse, hashed
             if not len(at):
                 break
-            count = np.bincount(name[at[at < cut]], minlength=len(phrases))
+            count = np.bincount(name[at[at < cut]], minlength=len(of))
             seen = np.flatnonzero(count)
+            if wanted is not None:
+                seen = seen[_holds(wanted.value, of[seen])]
             for i in range(0, len(seen), 50_000):
                 some = seen[i : i + 50_000]
-                found = pa.array([phrases[j] for j in some.tolist()], pa.binary()).cast(pa.string())
-                cells = [pa.array([lang] * len(some)), pa.array([length] * len(some), pa.int32()), found, pa.array(count[some].astype(np.int64))]
+                phrases = [vocabulary[j] for j in some] if length == 1 else [b" ".join(words[j : j + length]) for j in first[some].tolist()]
+                found = pa.array(phrases, pa.binary()).cast(pa.string())
+                cells = [pa.array([lang] * len(some)), pa.array([length] * len(some), pa.int32()), found]
+                cells += [pa.array(of[some].view(np.int64)), pa.array(count[some].astype(np.int64))]
                 out.append(pa.RecordBatch.from_arrays(cells, names=names))
         return out, [words[cut:]]
 
@@ -253,7 +268,7 @@ def _named(rows: DataFrame, known: Broadcast, longest: int) -> DataFrame:
         for lang, texts in held.items():
             yield from counted(lang, texts, True)[0]
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, length int, phrase string, c long")
+    return rows.select("lang", "text").mapInArrow(run, "lang string, length int, phrase string, h long, c long")
 
 
 def _added(bloom: np.ndarray, hashes: DataFrame) -> np.ndarray:
@@ -265,32 +280,74 @@ def _added(bloom: np.ndarray, hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of the hashes ``h``, of 16 to 32 bits for each as far as ``FILTER_BYTES`` allows."""
+    size = min(FILTER_BYTES[1], max(FILTER_BYTES[0], 2 << hashes.count().bit_length()))
+    return _added(np.zeros(size // 8, np.uint64), hashes)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _names(rows: DataFrame, counts: DataFrame, known: Broadcast, longest: int) -> DataFrame:
+    """``counts`` (``h``, ``f``), whose hashes and those of all parts are in ``known``, with ``lang``, ``length`` and ``phrase``: a row for
+    each phrase met of a hash, should there be several.
+
+    The texts are read in ``PARTS`` parts, one, one, two, four and so on at a time, and each time for the phrases that have not
+    been met. A common phrase is met in few texts, a rare one in few of many, so a phrase is returned by few tasks at any size.
+    """
+    spark = rows.sparkSession
+    drawn = rows.withColumn("part", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(PARTS)))
+    unmet, met = counts, []
+    bounds = [0, *(1 << i for i in range(PARTS.bit_length()))]
+    # at last all texts, should the parts not be the same each time
+    for part in [*(drawn.where(F.col("part").between(a, b - 1)) for a, b in itertools.pairwise(bounds)), rows]:
+        if unmet.isEmpty():
+            break
+        wanted = spark.sparkContext.broadcast(_filter(unmet))
+        found = _named(part, known, longest, wanted).where("length > 0").groupBy("lang", "length", "phrase", "h").agg(F.lit(0))
+        met.append(stored(found.select("lang", "length", "phrase", "h").join(unmet, "h")))
+        unmet = stored(unmet.join(met[-1].select("h"), "h", "left_anti"))
+        wanted.destroy()
+    return reduce(DataFrame.unionByName, met) if met else counts.selectExpr("'' as lang", "1 as length", "'' as phrase", "h", "f")
+
+
 def frequent_phrases(
-    docs: DataFrame, *, least_count: int = LEAST_COUNT, longest: int = LONGEST, shards: int = SHARDS, filter_bytes: int | None = None
+    docs: DataFrame,
+    *,
+    least_count: int = LEAST_COUNT,
+    longest: int = LONGEST,
+    shards: int = SHARDS,
+    filter_bytes: int | None = None,
+    by_words: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least_count`` times in a language, as rows (``lang``, ``length``,
-    ``phrase``, ``f``), and the words of each language (``lang``, ``n``).
+    ``phrase``, its hash ``h``, ``f``), and the words of each language (``lang``, ``n``).
 
     ``docs``: ``text`` and ``lang``; other columns are not read. Texts are lower-cased (A-Z) and split into pieces at ``.,;:!?`` and
     line ends, pieces into words at blanks and tabs; a phrase lies within a piece. A null text is empty, a null
     language is ``und``; repeated rows count each; no rows give no phrases.
 
-    The texts are read twice, to write them as hashes by shard and for the last counts; each step reads one shard.
+    The texts are read twice, to write them as hashes by shard and for the last counts, by words; each step reads one shard. The
+    last counts come as a row for each phrase and buffer of ``BUFFER_WORDS``. Without ``by_words`` the counts are those of the steps, by
+    hash, and the texts are read only until each phrase has been met; if two of those met have one hash, all are counted by words.
     What is shuffled is a hash and a count per phrase and step. ``filter_bytes`` (a power of two) is what tasks and driver hold; unless given
     it follows the number of words within ``FILTER_BYTES``.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _rows(docs)
     shard = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     _deal(rows.withColumn("shard", shard), longest).write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards")
-    dealt = spark.read.schema("words binary, own int, shard int").parquet(f"{folder}/shards")
+    written = spark.read.schema("words binary, own long, shard int").parquet(f"{folder}/shards")
+    dealt = written.where("shard >= 0")
     if filter_bytes is None:
         n_words = dealt.agg(F.sum("own")).first()[0] or 0
         filter_bytes = min(FILTER_BYTES[1], max(FILTER_BYTES[0], 1 << (n_words // 64).bit_length()))
     bloom = np.zeros(filter_bytes // 8, np.uint64)
     filters = {0: spark.sparkContext.broadcast(bloom)}  # by step
-    state = None
+    state, counted = None, []
     last_new = -shards  # the last step after which a phrase was new in the filter
     step = 0
     reached = (F.col("c") >= least_count) & (F.col("old") < least_count)
@@ -302,7 +359,8 @@ def frequent_phrases(
             open_ = state.where(F.col("first") + shards > step)
             both = both.unionByName(open_.select("h", "c", F.col("c").alias("old"), "first"))
         sums = both.groupBy("h").agg(F.sum("c").alias("c"), F.sum("old").alias("old"), F.min("first").alias("first"))
-        state = stored(sums.where(reached | (F.col("first") + shards > step + 1)))
+        state = stored(sums.where((F.col("c") >= least_count) | (F.col("first") + shards > step + 1)))
+        counted.append(state.where((F.col("c") >= least_count) & (F.col("first") + shards <= step + 1)))
         more = _added(bloom, state.where(reached).select("h"))
         if not np.array_equal(more, bloom):
             last_new = step
@@ -311,11 +369,18 @@ def frequent_phrases(
             filters.pop(step - shards).destroy()
         step += 1
         filters[step] = spark.sparkContext.broadcast(bloom)
-    named = _named(rows, filters[step], longest).groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f"))
-    found = stored(named.where((F.col("f") >= least_count) | (F.col("length") == 0)))
+    totals = written.where("shard = -1").groupBy(F.col("words").cast("string").alias("lang")).agg(F.sum("own").alias("n"))
+    if not by_words:
+        counted.append(state.where((F.col("c") >= least_count) & (F.col("first") + shards > step)))
+        hashed = stored(reduce(DataFrame.unionByName, counted).select("h", F.col("c").alias("f")))
+        found = _names(rows, hashed, filters[step], longest)
+        by_words = {found.count(), found.select("h").distinct().count()} != {hashed.count()}
+    if by_words:
+        named = _named(rows, filters[step], longest).where("length > 0").groupBy("lang", "length", "phrase", "h").agg(F.sum("c").alias("f"))
+        found = stored(named.where(F.col("f") >= least_count))
     for sent in filters.values():
         sent.destroy()
-    return found.where("length > 0"), found.where("length = 0").select("lang", F.col("f").alias("n"))
+    return found.select("lang", "length", "phrase", "h", "f"), totals
 
 
 def _part(phrase: Column, start: Column | int, size: Column) -> Column:
@@ -328,8 +393,37 @@ def collocations(docs: DataFrame, *, top: int = LEAST_SCORES, **options: int) ->
     Of a phrase that occurs ``a`` times each cut into a first part (``l`` times) and a rest (``r`` times) scores
     ``floor(1000 * a * n / (l * r))``, exactly; the lowest counts, of equal ones the shortest first part. A phrase inside
     a longer one that occurs as often is dropped. Input and cases as in ``frequent_phrases``.
+
+    Phrases are ranked by their counts by hash. The counts of the ranked ones and of all their parts are then taken from the texts by
+    words; if any differs, all phrases are counted by words and ranked again.
     """
-    found, totals = frequent_phrases(docs, **options)
+    found, totals = frequent_phrases(docs, by_words=False, **options)
+    ranked = stored(_ranked(found, totals, top))
+    if _confirmed(_rows(docs), ranked, found, totals, options.get("longest", LONGEST)):
+        return ranked
+    return _ranked(*frequent_phrases(docs, **options), top)
+
+
+def _confirmed(rows: DataFrame, ranked: DataFrame, found: DataFrame, totals: DataFrame, longest: int) -> bool:
+    """Whether the counts in ``found`` of all parts of the phrases ``ranked``, and ``totals``, are those in the texts, by words."""
+    parts = F.split("phrase", " ")
+    spans = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda size: F.transform(F.sequence(F.lit(1), F.size(parts) - size + 1), lambda at: _part(parts, at, size)),
+        )
+    )
+    used = ranked.select("lang", F.explode(spans).alias("phrase")).distinct()
+    used = stored(used.join(found, ["lang", "phrase"], "left").select("lang", "length", "phrase", "h", "f"))
+    known = rows.sparkSession.sparkContext.broadcast(_filter(used.where("h is not null").select("h")))
+    counts = _named(rows, known, longest).groupBy("lang", "length", "phrase").agg(F.sum("c").alias("c"))
+    used = used.drop("h").unionByName(totals.select("lang", F.lit(0).alias("length"), F.lit("").alias("phrase"), F.col("n").alias("f")))
+    same = used.join(counts, ["lang", "length", "phrase"], "left").where(~F.col("f").eqNullSafe(F.col("c")) | F.col("f").isNull()).isEmpty()
+    known.destroy()
+    return same
+
+
+def _ranked(found: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     parts = F.split("phrase", " ")
     candidates = found.where("length > 1").select("lang", "phrase", "length", F.col("f").alias("a"))
     cut = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k"))

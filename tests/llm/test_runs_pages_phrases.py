@@ -242,6 +242,52 @@ def test_a_cycle_counts_each_occurrence_once(spark):
     assert {r["f"] for r in found.collect()} == {100} and found.count() == 7 * 15 and totals.first()["n"] == 3500
 
 
+def test_rows_of_named_phrases_do_not_grow_with_the_tasks(spark, monkeypatch):
+    """Each phrase is met in few parts of the texts; only the ranked ones are counted in all."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [("en", " ".join(rng.choice(vocabulary, 200))) for _ in range(400)]  # about 270 times each word
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(20)
+    rows, named = [], phrases._named
+
+    def counting(*args):
+        made = phrases.stored(named(*args))
+        rows.append(made.where("length > 0").count())
+        return made
+
+    monkeypatch.setattr(phrases, "_named", counting)
+    monkeypatch.setattr(phrases, "BUFFER_WORDS", 1 << 10)
+    assert phrases.collocations(docs, least_count=8, top=5).count() > 0
+    found = phrases.frequent_phrases(docs, least_count=8)[0].count()
+    assert found > 300 and sum(rows[:-1]) < 12 * found  # the last is that of frequent_phrases, in each of about 80 buffers
+    assert rows[-1] > 30 * found
+
+
+def test_phrases_with_equal_hashes(spark, texts, monkeypatch):
+    """Phrases that share a hash are found out, and counted by their words."""
+    mixed = phrases._mixed
+    monkeypatch.setattr(phrases, "_mixed", lambda left, right: mixed(left, right) & np.uint64(0xFF))
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    got = phrases.collocations(docs, least_count=8, shards=1)
+    assert sorted(map(tuple, got.collect())) == phrases_of(texts, 8)
+    found, _ = phrases.frequent_phrases(docs, least_count=8, shards=1, by_words=False)
+    assert found.count() > found.select("h").distinct().count()
+
+
+def test_wrong_counts_by_hash_are_not_returned(spark, texts, monkeypatch):
+    """Counts of the ranked phrases are compared with the texts."""
+    counted = phrases.frequent_phrases
+
+    def off(docs, by_words=True, **options):
+        found, totals = counted(docs, by_words=by_words, **options)
+        wrong = F.when((F.col("phrase") == "new york city") & ~F.lit(by_words), 1).otherwise(0)
+        return found.withColumn("f", F.col("f") + wrong), totals
+
+    monkeypatch.setattr(phrases, "frequent_phrases", off)
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, phrases.collocations(docs, least_count=8).collect())) == phrases_of(texts, 8)
+
+
 @pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_templates", "op13_collocations"])
 def test_columns(spark, name):
     want = {
