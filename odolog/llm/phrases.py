@@ -39,7 +39,7 @@ FILTER_BYTES = (1 << 16, 1 << 25)  # least and most of the filter that every tas
 BUFFER_WORDS = 1 << 21  # words a task counts at a time
 BLOCK_WORDS = 1 << 16  # words in a row of a shard
 SLICE_BYTES = 1 << 23
-PARTS = 64  # of the texts, by which phrases are named; a power of two
+PARTS = 64  # of the texts, by which phrases are named; a power of four
 LEAST_SCORES = 2000
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -294,13 +294,13 @@ def _names(rows: DataFrame, counts: DataFrame, known: Broadcast, longest: int) -
     """``counts`` (``h``, ``f``), whose hashes and those of all parts are in ``known``, with ``lang``, ``length`` and ``phrase``: a row for
     each phrase met of a hash, should there be several.
 
-    The texts are read in ``PARTS`` parts, one, one, two, four and so on at a time, and each time for the phrases that have not
+    The texts are read in ``PARTS`` parts, one, three, twelve and so on at a time, and each time for the phrases that have not
     been met. A common phrase is met in few texts, a rare one in few of many, so a phrase is returned by few tasks at any size.
     """
     spark = rows.sparkSession
     drawn = rows.withColumn("part", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(PARTS)))
     unmet, met = counts, []
-    bounds = [0, *(1 << i for i in range(PARTS.bit_length()))]
+    bounds = [0, *(1 << i for i in range(0, PARTS.bit_length(), 2))]
     # at last all texts, should the parts not be the same each time
     for part in [*(drawn.where(F.col("part").between(a, b - 1)) for a, b in itertools.pairwise(bounds)), rows]:
         if unmet.isEmpty():
