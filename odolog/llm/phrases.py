@@ -5,28 +5,32 @@ counted from the first step on. A longer phrase becomes active in the step after
 its last and without its first word) have reached the threshold, wherever the cycle stands then, and is
 counted for exactly one full cycle, so each of its occurrences counts once. Steps end when no phrase is active.
 
-Shards hold the texts as 64-bit hashes of words, so a step neither splits nor decodes text, and phrases are counted by
-hash. Which phrases have reached the threshold is told to the tasks by a filter of bounded size (a Bloom filter,
-``filter_bytes``). It only gains phrases; step ``t`` counts what both subphrases in the filter of step ``t`` activate,
-unless the filter of a cycle earlier did so already. A phrase let in by chance, by the filter or by equal hashes, is
-counted for one full cycle as well: chance can activate more, never less.
-
-Collocations are ranked by those counts. The phrases are named by reading parts of the texts, each for the phrases that have
-not been met, so that few tasks return a phrase. A last scan then counts the ranked phrases and all their parts by their words, and
-only counts that it confirms are returned; otherwise every phrase of the last filter is counted by its words and ranked again.
-Counts of other phrases, which decide what is ranked, are by hash: a wrong one takes two phrases with equal 64-bit hashes.
+The texts are read once. Shards hold them as 64-bit hashes of words, so no later step splits or decodes text; the different words of
+some megabytes of texts at a time are kept beside them. Phrases are counted by a hash of those. Which phrases have reached the threshold is
+told to the tasks by a filter of bounded size (a Bloom filter, ``filter_bytes``). It only gains phrases; step ``t`` counts what both
+subphrases in the filter of step ``t`` activate, unless the filter of a cycle earlier did so already. A phrase let in by chance, by the
+filter or by equal hashes, is counted for one full cycle as well: chance can activate more, never less.
+
+Collocations are ranked by those counts. The phrases, as hashes of their words, are found by reading parts of the shards, each for the
+phrases that have not been met, and their words likewise, so that few tasks return a phrase. A last scan then counts the ranked phrases
+and all their parts by their words, and only counts that it confirms are returned, if no other word of the texts has the hash of one of
+theirs; otherwise every phrase of the last filter is counted by its words and ranked again, with other hashes should words share one.
+Counts of other phrases, which decide what is ranked, are by hash: a wrong one takes two words or phrases with equal 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,44 +43,66 @@ FILTER_BYTES = (1 << 16, 1 << 25)  # least and most of the filter that every tas
 BUFFER_WORDS = 1 << 21  # words a task counts at a time
 BLOCK_WORDS = 1 << 16  # words in a row of a shard
 SLICE_BYTES = 1 << 23
-PARTS = 64  # of the texts, by which phrases are named; a power of four
+LONG_WORD = 64  # bytes; longer ones are hashed one by one
+PARTS = 64  # of the blocks, by which phrases are named; a power of four
 LEAST_SCORES = 2000
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes.maketrans(_UPPER + _ENDS, _UPPER.lower() + b"\xff" * len(_ENDS))  # \xff occurs in no UTF-8 text
+_TABLE = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"." * len(_ENDS) + b" ")
 
 
-def _words(text: str) -> Iterator[list[bytes]]:
-    """The words of a text in order, with ``\xff`` where a piece ends, some megabytes at a time."""
-    raw = text.encode().translate(_TABLE)
+def _slices(text: str) -> Iterator[bytes]:
+    """A text with words and ends of pieces (``.``) between blanks, some megabytes at a time."""
+    raw = text.encode().translate(_TABLE) + b"."
     at = 0
     while at < len(raw):
         end = at
         while True:  # not within a word, however long
             end = min(len(raw), end + SLICE_BYTES)
-            stop = max(raw.rfind(b" ", at, end), raw.rfind(b"\t", at, end), raw.rfind(b"\xff", at, end)) + 1
+            stop = max(raw.rfind(b" ", at, end), raw.rfind(b".", at, end)) + 1
             if end == len(raw) or stop > at:
                 break
         end = end if end == len(raw) else stop
-        yield raw[at:end].replace(b"\xff", b" \xff ").split()
+        yield raw[at:end].replace(b".", b" . ")
         at = end
 
 
-class _Hashes(dict):
-    """64-bit hash of each word of a language, computed once; 0 stands for the end of a piece only."""
+def _split(texts: list[bytes]) -> pa.ListArray:
+    """Words of each text in order."""
+    texts = pa.array([t.strip(b" ") or None for t in texts], pa.large_binary())
+    return pc.ascii_split_whitespace(texts.view(pa.large_string()))
 
-    def __init__(self, lang: str):
-        self.salt = hashlib.blake2b(lang.encode(), digest_size=16).digest()
-        self[b"\xff"] = 0
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.salt).digest(), "little") or 1
-        if len(self) > 1 << 20:
-            self.clear()
-            self[b"\xff"] = 0
-        self[word] = value
-        return value
+def _key(lang: str, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, key=str(seed).encode()).digest(), "little")
+
+
+def _hashes(words: pa.LargeStringArray, key: int) -> np.ndarray:
+    """64-bit hash of each word, eight bytes at a time, by a language's ``key``; 0 stands for the end of a piece only."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = bytes(words.buffers()[2] or b"")[: ends[-1]] + bytes(8)
+    eights = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))
+    start, size = ends[:-1], np.diff(ends)
+    h = np.uint64(key) + size.astype(np.uint64)
+    some = np.flatnonzero(size)
+    for i in range(0, LONG_WORD, 8):
+        some = some[size[some] > i]
+        if not len(some):
+            break
+        spare = np.maximum(0, 8 - (size[some] - i)).astype(np.uint64) * np.uint64(8)
+        x = (h[some] ^ (eights[start[some] + i] << spare)) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        h[some] = x ^ (x >> np.uint64(29))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(raw[start[i] : start[i] + size[i]], digest_size=8, key=key.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    h[h == 0] = 1
+    h[np.flatnonzero((size == 1) & (eights[start] & np.uint64(0xFF) == ord(".")))] = 0
+    return h
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -101,57 +127,92 @@ def _filter_bits(h: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places])
 
 
-def _deal(rows: DataFrame, longest: int) -> DataFrame:
+def _deal(rows: DataFrame, longest: int, seed: int) -> DataFrame:
     """``lang``, ``text``, ``shard`` as blocks of word hashes: ``shard``, ``words`` (little-endian) and ``own``, the number of
     words at which phrases of this block begin; what follows them belongs to the next block of a long text. A row of
-    shard -1 has the number of a language's words in ``own`` and the language in ``words``."""
+    shard -1 has the number of a language's words in ``own``, one of shard -2 different words of a language in ``words``, with
+    blanks between. ``part`` deals the rows at random into ``PARTS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages: dict[str, _Hashes] = {}
         held: defaultdict[int, list[np.ndarray]] = defaultdict(list)
         sizes: defaultdict[int, int] = defaultdict(int)
         totals: defaultdict[str, int] = defaultdict(int)
+        texts: defaultdict[str, defaultdict[int, list[bytes]]] = defaultdict(lambda: defaultdict(list))
+
+        def row(shard: int, words: bytes, own: int, lang: str | None = None) -> pa.RecordBatch:
+            cells = [pa.array([shard], pa.int32()), pa.array([zlib.crc32(words) % PARTS], pa.int32()), pa.array([lang], pa.string())]
+            cells += [pa.array([words], pa.binary()), pa.array([own], pa.int64())]
+            return pa.RecordBatch.from_arrays(cells, names=["shard", "part", "lang", "words", "own"])
+
+        def hashed() -> Iterator[pa.RecordBatch]:
+            for lang, by_shard in texts.items():
+                split = _split([b"".join(t) for t in by_shard.values()])
+                words = split.flatten().dictionary_encode()
+                hashes = _hashes(words.dictionary, _key(lang, seed))
+                if len(hashes):
+                    yield row(-2, " ".join(words.dictionary.to_pylist()).encode(), 0, lang)
+                hashes, at = hashes[words.indices.to_numpy()], 0
+                totals[lang] += int(np.count_nonzero(hashes))
+                for shard, n in zip(by_shard, pc.list_value_length(split).fill_null(0).to_pylist()):
+                    held[shard].append(hashes[at : at + n])
+                    sizes[shard] += n
+                    at += n
+                    if sizes[shard] >= 2 * BLOCK_WORDS:
+                        all_words, begin = np.concatenate(held[shard]), 0
+                        while len(all_words) - begin >= 2 * BLOCK_WORDS:
+                            yield row(shard, all_words[begin : begin + BLOCK_WORDS + longest - 1].tobytes(), BLOCK_WORDS)
+                            begin += BLOCK_WORDS
+                        held[shard], sizes[shard] = [all_words[begin:].copy()], len(all_words) - begin
+            texts.clear()
 
-        def row(shard: int, words: bytes, own: int) -> pa.RecordBatch:
-            cells = [pa.array([shard], pa.int32()), pa.array([words], pa.binary()), pa.array([own], pa.int64())]
-            return pa.RecordBatch.from_arrays(cells, names=["shard", "words", "own"])
-
+        size = 0
         for batch in batches:
             for lang, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang not in languages:
-                    if len(languages) >= 64:
-                        languages.clear()
-                    languages[lang] = _Hashes(lang)
-                number = languages[lang]
-                totals[lang] += 0
-                for words in _words(text):
-                    held[shard].append(np.fromiter((number[w] for w in words), np.uint64, len(words)))
-                    totals[lang] += int(np.count_nonzero(held[shard][-1]))
-                    sizes[shard] += len(words)
-                    if sizes[shard] >= 2 * BLOCK_WORDS:
-                        all_words = np.concatenate(held[shard])
-                        at = 0
-                        while len(all_words) - at >= 2 * BLOCK_WORDS:
-                            yield row(shard, all_words[at : at + BLOCK_WORDS + longest - 1].tobytes(), BLOCK_WORDS)
-                            at += BLOCK_WORDS
-                        held[shard], sizes[shard] = [all_words[at:]], len(all_words) - at
-                held[shard].append(np.zeros(1, np.uint64))
-                sizes[shard] += 1
+                cut = False
+                for part in _slices(text):
+                    texts[lang][shard].append(part)
+                    size += len(part)
+                    if size >= SLICE_BYTES:
+                        yield from hashed()
+                        size, cut = 0, True
+                if cut and size:  # what begins a long text is followed by its rest
+                    yield from hashed()
+                    size = 0
+        yield from hashed()
         for shard, parts in held.items():
             yield row(shard, np.concatenate(parts).tobytes(), sizes[shard])
         for lang, n in totals.items():
-            yield row(-1, lang.encode(), n)
+            yield row(-1, b"", n, lang)
+
+    return rows.select("lang", "text", "shard").mapInArrow(run, "shard int, part int, lang string, words binary, own long")
+
 
-    return rows.select("lang", "text", "shard").mapInArrow(run, "shard int, words binary, own long")
+@dataclass(frozen=True)
+class _Dealt:
+    """Texts as blocks of word hashes by shard, the number of words of each language, and the different words of parts of the texts."""
 
+    blocks: DataFrame
+    totals: DataFrame
+    vocabulary: DataFrame
+    seed: int
 
-def _active_counts(
-    words: np.ndarray, own: np.ndarray, now: np.ndarray, before: np.ndarray, longest: int, with_words: bool
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, counts) of the active phrases that begin at an ``own`` word, by length."""
+
+def _dealt(docs: DataFrame, shards: int, longest: int, seed: int = 0) -> _Dealt:
+    folder = f"{shared_folder(docs.sparkSession)}/shards"
+    shard = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    rows = _deal(_rows(docs).withColumn("shard", shard), longest, seed)
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    written = docs.sparkSession.read.schema("part int, lang string, words binary, own long, shard int").parquet(folder)
+    totals = written.where("shard = -1").groupBy("lang").agg(F.sum("own").alias("n"))
+    return _Dealt(written.where("shard >= 0"), totals, written.where("shard = -2"), seed)
+
+
+def _active(
+    words: np.ndarray, own: int, now: np.ndarray, before: np.ndarray, longest: int, with_words: bool
+) -> Iterator[np.ndarray]:
+    """Hashes of the active phrases that begin at the first ``own`` words of a block, by length."""
     at = np.flatnonzero(words)
-    if with_words:
-        yield np.unique(words[at[own[at]]], return_counts=True)
+    yield words[at[: np.searchsorted(at, own)]] if with_words else at[:0].view(np.uint64)
     h = words
     at = at[_holds(now, words[at])]  # where the phrase of the length before is frequent
     done = _holds(before, h[at])  # and was so a cycle ago
@@ -159,116 +220,106 @@ def _active_counts(
         follows = at[1:] == at[:-1] + 1
         complete = (done[1:] & done[:-1])[follows]
         at = at[:-1][follows]
-        full = np.zeros(len(words), np.uint64)
         hashes = _mixed(h[at], words[at + length - 1])
-        counted = hashes[~complete & own[at]]
-        if len(counted):
-            yield np.unique(counted, return_counts=True)
+        yield hashes[~complete & (at < own)]
+        if length == longest:
+            return
         again = _holds(now, hashes)
         at, hashes = at[again], hashes[again]
-        if not len(at) or length == longest:
-            return
         done = _holds(before, hashes)
-        full[at] = hashes
-        h = full
+        h = np.zeros(len(words), np.uint64)
+        h[at] = hashes
+
+
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Blocks (``words`` and ``own``), as many at a time as memory is bounded for."""
+    blocks, size = [], 0
+    for batch in batches:
+        for raw, n in zip(batch.column(0), batch.column(1).to_pylist()):
+            blocks.append((np.frombuffer(raw.as_buffer(), np.uint64).copy(), n))
+            size += len(blocks[-1][0])
+            if size > BUFFER_WORDS:
+                yield blocks
+                blocks, size = [], 0
+    if blocks:
+        yield blocks
 
 
 def _scan(shard: DataFrame, now: Broadcast, before: Broadcast, longest: int, with_words: bool) -> DataFrame:
     """Counts ``c`` of the active phrases in blocks of words by hash ``h``, summed as far as a task's memory is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = now.value, before.value
-        parts, owns, size = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for h, c in _active_counts(np.concatenate(parts), np.concatenate(owns), new, old, longest, with_words):
+        for blocks in _buffers(batches):
+            by_length = zip(*([*_active(words, own, now.value, before.value, longest, with_words)] for words, own in blocks))
+            for hashes in by_length:
+                h, c = np.unique(np.concatenate(hashes), return_counts=True)
                 for i in range(0, len(h), 1 << 17):
                     cells = [pa.array(h[i : i + (1 << 17)].view(np.int64)), pa.array(c[i : i + (1 << 17)].astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(cells, names=["h", "c"])
 
-        for batch in batches:
-            for raw, n in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = np.frombuffer(raw.as_buffer(), np.uint64)
-                parts += [words.copy(), np.zeros(1, np.uint64)]
-                owns.append(np.arange(len(words) + 1) < n)
-                size += len(words) + 1
-                if size > BUFFER_WORDS:
-                    yield from flush()
-                    parts, owns, size = [], [], 0
-        if parts:
-            yield from flush()
-
     return shard.select("words", "own").mapInArrow(run, "h long, c long")
 
 
-def _named(rows: DataFrame, known: Broadcast, longest: int, wanted: Broadcast | None = None) -> DataFrame:
-    """Counts of the phrases of ``known`` (a filter that has their parts as well) in ``rows`` (``lang``, ``text``), by ``lang``,
-    ``length`` and ``phrase``, with its hash ``h``; length 0 counts all words. With ``wanted`` only of the phrases in that one too."""
-    names = ["lang", "length", "phrase", "h", "c"]
-
-    def counted(lang: str, texts: list[list[bytes]], last: bool) -> tuple[list[pa.RecordBatch], list[list[bytes]]]:
-        """Counts in the texts held, and what must be kept as the beginning of the next ones."""
-        words = list(itertools.chain.from_iterable(texts))
-        cut = len(words) if last else max(0, len(words) - longest + 1)
-        numbers: defaultdict = defaultdict(itertools.count().__next__)
-        numbers[b"\xff"]
-        a = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        hashes, vocabulary = _Hashes(lang), list(numbers)
-        h1 = np.fromiter((hashes[w] for w in vocabulary), np.uint64, len(vocabulary))
-        n = pa.array([int((a[:cut] > 0).sum())])
-        out = [pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([0]), n], names=names)]
-        often = _holds(known.value, h1)
-        often[0] = False
-        at = np.flatnonzero(often[a])
-        name, h, of = a, h1[a], h1
+def _named(blocks: DataFrame, known: Broadcast, longest: int, wanted: Broadcast | None = None) -> DataFrame:
+    """Counts ``c`` of the phrases of ``known`` (a filter that has their parts as well) in ``blocks``, by the hashes of their words, ``w``,
+    with their ``length`` and hash ``h``. With ``wanted`` only of the phrases in that one too."""
+
+    def places(words: np.ndarray, own: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Where the phrases begin and their hashes, by length."""
+        at = np.flatnonzero(words)
+        hashed = words[at]
         for length in range(1, longest + 1):
-            if length > 1:
-                at = at[:-1][at[1:] == at[:-1] + 1]
-                hashed = _mixed(h[at], h1[a[at + length - 1]])
-                again = _holds(known.value, hashed)
-                at, hashed = at[again], hashed[again]
-                _, first, inverse = np.unique(name[at] * len(vocabulary) + a[at + length - 1], return_index=True, return_inverse=True)
-                of, first = hashed[first], at[first]
-                name, h = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
-                name[at], h[at] = inverse, hashed
-            if not len(at):
-                break
-            count = np.bincount(name[at[at < cut]], minlength=len(of))
-            seen = np.flatnonzero(count)
-            if wanted is not None:
-                seen = seen[_holds(wanted.value, of[seen])]
-            for i in range(0, len(seen), 50_000):
-                some = seen[i : i + 50_000]
-                phrases = [vocabulary[j] for j in some] if length == 1 else [b" ".join(words[j : j + length]) for j in first[some].tolist()]
-                found = pa.array(phrases, pa.binary()).cast(pa.string())
-                cells = [pa.array([lang] * len(some)), pa.array([length] * len(some), pa.int32()), found]
-                cells += [pa.array(of[some].view(np.int64)), pa.array(count[some].astype(np.int64))]
-                out.append(pa.RecordBatch.from_arrays(cells, names=names))
-        return out, [words[cut:]]
+            again = _holds(known.value, hashed)
+            at, hashed = at[again], hashed[again]
+            mine = np.searchsorted(at, own)
+            found = slice(mine) if wanted is None else np.flatnonzero(_holds(wanted.value, hashed[:mine]))
+            yield at[found], hashed[found]
+            h = np.zeros(len(words), np.uint64)
+            h[at] = hashed
+            at = at[:-1][at[1:] == at[:-1] + 1]
+            if length < longest:
+                hashed = _mixed(h[at], words[at + length])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _buffers(batches):
+            words = np.concatenate([w for w, _ in blocks])
+            begins = np.cumsum([0, *(len(w) for w, _ in blocks)])
+            by_length = zip(*([(at + begin, h) for at, h in places(*block)] for block, begin in zip(blocks, begins)))
+            for length, found in enumerate(by_length, 1):
+                at, key = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(key)
+                at, key = at[order], key[order]
+                first = np.ones(len(at), bool)  # of a run of the same words
+                first[1:] = key[1:] != key[:-1]
+                for i in range(length if length > 1 else 0):
+                    word = words[at + i]
+                    first[1:] |= word[1:] != word[:-1]
+                begin = np.flatnonzero(first)
+                c = np.diff(begin, append=len(at))
+                for i in range(0, len(begin), 50_000):
+                    part = begin[i : i + 50_000]
+                    spelled = words[at[part][:, None] + np.arange(length)].view(np.int64).ravel()
+                    cells = [pa.array(np.full(len(part), length, np.int32))]
+                    cells += [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * length), pa.array(spelled))]
+                    cells += [pa.array(key[part].view(np.int64)), pa.array(c[i : i + 50_000])]
+                    yield pa.RecordBatch.from_arrays(cells, names=["length", "w", "h", "c"])
+
+    return blocks.select("words", "own").mapInArrow(run, "length int, w array<bigint>, h long, c long")
+
+
+def _spelled(vocabulary: DataFrame, wanted: Broadcast, seed: int) -> DataFrame:
+    """``lang`` and ``word`` of the hashes ``h`` in the filter ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[list[bytes]]] = {}
-        size = 0
         for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                texts = held.setdefault(lang, [])
-                for words in _words(text):
-                    texts.append(words)
-                    size += len(words)
-                    if size > BUFFER_WORDS:
-                        for other in list(held):
-                            out, rest = counted(other, held[other], other != lang)
-                            yield from out
-                            if other == lang:
-                                held[other] = texts = rest
-                            else:
-                                del held[other]
-                        size = sum(map(len, texts))
-                texts.append([b"\xff"])
-        for lang, texts in held.items():
-            yield from counted(lang, texts, True)[0]
-
-    return rows.select("lang", "text").mapInArrow(run, "lang string, length int, phrase string, h long, c long")
+            for lang, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _split([raw]).flatten()
+                h = _hashes(words, _key(lang, seed))
+                some = np.flatnonzero(_holds(wanted.value, h) & (h > 0))
+                cells = [pa.array(h[some].view(np.int64)), pa.array([lang] * len(some), pa.string()), words.take(some).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(cells, names=["h", "lang", "word"])
+
+    return vocabulary.select("lang", "words").mapInArrow(run, "h long, lang string, word string").distinct()
 
 
 def _added(bloom: np.ndarray, hashes: DataFrame) -> np.ndarray:
@@ -290,27 +341,29 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _names(rows: DataFrame, counts: DataFrame, known: Broadcast, longest: int) -> DataFrame:
-    """``counts`` (``h``, ``f``), whose hashes and those of all parts are in ``known``, with ``lang``, ``length`` and ``phrase``: a row for
-    each phrase met of a hash, should there be several.
+def _met(rows: DataFrame, unmet: DataFrame, find: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """``unmet``, by hash ``h``, with what ``find`` returns of it from ``rows``: a row for each that was met of a hash.
 
-    The texts are read in ``PARTS`` parts, one, three, twelve and so on at a time, and each time for the phrases that have not
-    been met. A common phrase is met in few texts, a rare one in few of many, so a phrase is returned by few tasks at any size.
+    The rows are read in ``PARTS`` parts, one, three, twelve and so on at a time, and each time for what has not been met. Common words
+    and phrases are met in few rows, rare ones in few of many, so each is returned by few tasks at any size.
     """
-    spark = rows.sparkSession
-    drawn = rows.withColumn("part", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(PARTS)))
-    unmet, met = counts, []
-    bounds = [0, *(1 << i for i in range(0, PARTS.bit_length(), 2))]
-    # at last all texts, should the parts not be the same each time
-    for part in [*(drawn.where(F.col("part").between(a, b - 1)) for a, b in itertools.pairwise(bounds)), rows]:
+    met: list[DataFrame] = []
+    for a, b in itertools.pairwise([0, *(1 << i for i in range(0, PARTS.bit_length(), 2))]):
+        wanted = rows.sparkSession.sparkContext.broadcast(_filter(unmet))
+        met.append(stored(find(rows.where(F.col("part").between(a, b - 1)), wanted).join(unmet, "h")))
+        wanted.destroy()
+        unmet = stored(unmet.join(met[-1].select("h"), "h", "left_anti"))
         if unmet.isEmpty():
             break
-        wanted = spark.sparkContext.broadcast(_filter(unmet))
-        found = _named(part, known, longest, wanted).where("length > 0").groupBy("lang", "length", "phrase", "h").agg(F.lit(0))
-        met.append(stored(found.select("lang", "length", "phrase", "h").join(unmet, "h")))
-        unmet = stored(unmet.join(met[-1].select("h"), "h", "left_anti"))
-        wanted.destroy()
-    return reduce(DataFrame.unionByName, met) if met else counts.selectExpr("'' as lang", "1 as length", "'' as phrase", "h", "f")
+    return reduce(DataFrame.unionByName, met)
+
+
+def _phrased(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` (``w``, ``h``, ``f``) with ``lang``, ``length`` and ``phrase``, from ``words`` (``h``, ``lang``, ``word``)."""
+    each = found.select("w", "h", "f", F.posexplode("w").alias("i", "of"))
+    each = each.join(words.select(F.col("h").alias("of"), "lang", "word"), "of")
+    whole = each.groupBy("w", "h", "f").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("words"))
+    return whole.select("lang", F.size("w").alias("length"), F.concat_ws(" ", "words.word").alias("phrase"), "h", "f", "w")
 
 
 def frequent_phrases(
@@ -321,38 +374,38 @@ def frequent_phrases(
     shards: int = SHARDS,
     filter_bytes: int | None = None,
     by_words: bool = True,
+    dealt: _Dealt | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least_count`` times in a language, as rows (``lang``, ``length``,
-    ``phrase``, its hash ``h``, ``f``), and the words of each language (``lang``, ``n``).
+    ``phrase``, its hash ``h``, ``f``, the hashes of its words ``w``), and the words of each language (``lang``, ``n``).
 
     ``docs``: ``text`` and ``lang``; other columns are not read. Texts are lower-cased (A-Z) and split into pieces at ``.,;:!?`` and
     line ends, pieces into words at blanks and tabs; a phrase lies within a piece. A null text is empty, a null
     language is ``und``; repeated rows count each; no rows give no phrases.
 
-    The texts are read twice, to write them as hashes by shard and for the last counts, by words; each step reads one shard. The
-    last counts come as a row for each phrase and buffer of ``BUFFER_WORDS``. Without ``by_words`` the counts are those of the steps, by
-    hash, and the texts are read only until each phrase has been met; if two of those met have one hash, all are counted by words.
+    The texts are read once, to write them as hashes of words by shard (``dealt``, if that is done); each step reads one shard, and the last
+    counts, by words, all. Those come as a row for each phrase and buffer of ``BUFFER_WORDS``; if words in them share a hash, all
+    is done again with other hashes. Without ``by_words`` the counts are those of the steps, by hash of the phrase, and the shards
+    are read only until each phrase has been met; if phrases or words met share a hash, all are counted by words.
     What is shuffled is a hash and a count per phrase and step. ``filter_bytes`` (a power of two) is what tasks and driver hold; unless given
     it follows the number of words within ``FILTER_BYTES``.
     """
     spark = docs.sparkSession
-    folder = shared_folder(spark)
-    rows = _rows(docs)
-    shard = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    _deal(rows.withColumn("shard", shard), longest).write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards")
-    written = spark.read.schema("words binary, own long, shard int").parquet(f"{folder}/shards")
-    dealt = written.where("shard >= 0")
-    if filter_bytes is None:
-        n_words = dealt.agg(F.sum("own")).first()[0] or 0
-        filter_bytes = min(FILTER_BYTES[1], max(FILTER_BYTES[0], 1 << (n_words // 64).bit_length()))
-    bloom = np.zeros(filter_bytes // 8, np.uint64)
+    if dealt is None:
+        dealt = _dealt(docs, shards, longest)
+    blocks = dealt.blocks
+    size = filter_bytes
+    if size is None:
+        n_words = blocks.agg(F.sum("own")).first()[0] or 0
+        size = min(FILTER_BYTES[1], max(FILTER_BYTES[0], 1 << (n_words // 64).bit_length()))
+    bloom = np.zeros(size // 8, np.uint64)
     filters = {0: spark.sparkContext.broadcast(bloom)}  # by step
     state, counted = None, []
     last_new = -shards  # the last step after which a phrase was new in the filter
     step = 0
     reached = (F.col("c") >= least_count) & (F.col("old") < least_count)
     while step < shards or step - last_new <= shards:
-        part = dealt.where(F.col("shard") == step % shards)
+        part = blocks.where(F.col("shard") == step % shards)
         fresh = _scan(part, filters[step], filters[max(0, step - shards)], longest, step < shards)
         both = fresh.select("h", "c", F.lit(0).cast("long").alias("old"), F.lit(step).alias("first"))
         if state is not None:  # what may still be counted, and so far
@@ -369,18 +422,28 @@ def frequent_phrases(
             filters.pop(step - shards).destroy()
         step += 1
         filters[step] = spark.sparkContext.broadcast(bloom)
-    totals = written.where("shard = -1").groupBy(F.col("words").cast("string").alias("lang")).agg(F.sum("own").alias("n"))
     if not by_words:
         counted.append(state.where((F.col("c") >= least_count) & (F.col("first") + shards > step)))
         hashed = stored(reduce(DataFrame.unionByName, counted).select("h", F.col("c").alias("f")))
-        found = _names(rows, hashed, filters[step], longest)
-        by_words = {found.count(), found.select("h").distinct().count()} != {hashed.count()}
+        met = _met(blocks, hashed, lambda part, wanted: _named(part, filters[step], longest, wanted).select("h", "w").distinct())
+        by_words = {met.count(), met.select("h").distinct().count()} != {hashed.count()}
     if by_words:
-        named = _named(rows, filters[step], longest).where("length > 0").groupBy("lang", "length", "phrase", "h").agg(F.sum("c").alias("f"))
-        found = stored(named.where(F.col("f") >= least_count))
+        counts = _named(blocks, filters[step], longest).groupBy("w", "h").agg(F.sum("c").alias("f"))
+        met = stored(counts.where(F.col("f") >= least_count))
     for sent in filters.values():
         sent.destroy()
-    return found.select("lang", "length", "phrase", "h", "f"), totals
+    single = met.where(F.size("w") == 1).select("h")
+    if by_words:
+        wanted = spark.sparkContext.broadcast(_filter(single))
+        words = stored(_spelled(dealt.vocabulary, wanted, dealt.seed).join(single, "h"))
+        wanted.destroy()
+    else:
+        words = _met(dealt.vocabulary, single, lambda part, wanted: _spelled(part, wanted, dealt.seed))
+    if words.count() != words.select("h").distinct().count():
+        seed = dealt.seed + 1 if by_words else 0
+        options = {"least_count": least_count, "longest": longest, "shards": shards, "filter_bytes": filter_bytes}
+        return frequent_phrases(docs, **options, dealt=_dealt(docs, shards, longest, seed))
+    return stored(_phrased(met, words)), dealt.totals
 
 
 def _part(phrase: Column, start: Column | int, size: Column) -> Column:
@@ -394,18 +457,20 @@ def collocations(docs: DataFrame, *, top: int = LEAST_SCORES, **options: int) ->
     ``floor(1000 * a * n / (l * r))``, exactly; the lowest counts, of equal ones the shortest first part. A phrase inside
     a longer one that occurs as often is dropped. Input and cases as in ``frequent_phrases``.
 
-    Phrases are ranked by their counts by hash. The counts of the ranked ones and of all their parts are then taken from the texts by
-    words; if any differs, all phrases are counted by words and ranked again.
+    Phrases are ranked by their counts by hash. The counts of the ranked ones and of all their parts are then taken from the shards by
+    words; if any differs, or if words in them share a hash, all phrases are counted by words and ranked again.
     """
-    found, totals = frequent_phrases(docs, by_words=False, **options)
+    longest = options.get("longest", LONGEST)
+    dealt = _dealt(docs, options.get("shards", SHARDS), longest)
+    found, totals = frequent_phrases(docs, by_words=False, dealt=dealt, **options)
     ranked = stored(_ranked(found, totals, top))
-    if _confirmed(_rows(docs), ranked, found, totals, options.get("longest", LONGEST)):
+    if _confirmed(dealt, ranked, found, longest):
         return ranked
     return _ranked(*frequent_phrases(docs, **options), top)
 
 
-def _confirmed(rows: DataFrame, ranked: DataFrame, found: DataFrame, totals: DataFrame, longest: int) -> bool:
-    """Whether the counts in ``found`` of all parts of the phrases ``ranked``, and ``totals``, are those in the texts, by words."""
+def _confirmed(dealt: _Dealt, ranked: DataFrame, found: DataFrame, longest: int) -> bool:
+    """Whether the counts in ``found`` of all parts of the phrases ``ranked`` are those in the texts, by words."""
     parts = F.split("phrase", " ")
     spans = F.flatten(
         F.transform(
@@ -414,11 +479,14 @@ def _confirmed(rows: DataFrame, ranked: DataFrame, found: DataFrame, totals: Dat
         )
     )
     used = ranked.select("lang", F.explode(spans).alias("phrase")).distinct()
-    used = stored(used.join(found, ["lang", "phrase"], "left").select("lang", "length", "phrase", "h", "f"))
-    known = rows.sparkSession.sparkContext.broadcast(_filter(used.where("h is not null").select("h")))
-    counts = _named(rows, known, longest).groupBy("lang", "length", "phrase").agg(F.sum("c").alias("c"))
-    used = used.drop("h").unionByName(totals.select("lang", F.lit(0).alias("length"), F.lit("").alias("phrase"), F.col("n").alias("f")))
-    same = used.join(counts, ["lang", "length", "phrase"], "left").where(~F.col("f").eqNullSafe(F.col("c")) | F.col("f").isNull()).isEmpty()
+    used = stored(used.join(found, ["lang", "phrase"], "left").select("lang", "length", "phrase", "h", "f", "w"))
+    known = ranked.sparkSession.sparkContext.broadcast(_filter(used.where("h is not null").select("h")))
+    counts = _named(dealt.blocks, known, longest).groupBy("w").agg(F.sum("c").alias("c"))
+    same = used.join(counts, "w", "left").where(~F.col("f").eqNullSafe(F.col("c")) | F.col("f").isNull()).isEmpty()
+    if same:  # and whether no other words share their hashes
+        words = used.where("length = 1").select("h", F.struct("lang", F.col("phrase").alias("word")).alias("one"))
+        all_words = _spelled(dealt.vocabulary, known, dealt.seed).select("h", F.struct("lang", "word").alias("other"))
+        same = all_words.join(words, "h").where("one != other").isEmpty()
     known.destroy()
     return same
 

@@ -288,6 +288,53 @@ def test_wrong_counts_by_hash_are_not_returned(spark, texts, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(docs, least_count=8).collect())) == phrases_of(texts, 8)
 
 
+def test_texts_are_read_once_for_phrases(spark, texts):
+    """Naming and confirming work on the hashed shards; no later step splits the texts again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(texts, 3).map(seen), "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(docs, least_count=8).collect())) == phrases_of(texts, 8)
+    assert read.value == len(texts)
+
+
+def test_words_with_equal_hashes(spark, texts, monkeypatch):
+    """Words that share a hash are found out, and all is done again with other hashes."""
+    key, hashes = phrases._key, phrases._hashes
+    monkeypatch.setattr(phrases, "_key", lambda lang, seed: key(lang, seed) if seed else 1)
+
+    def few(words, key):
+        h = hashes(words, key)
+        return np.where((key == 1) & (h > 0), h % np.uint64(8) + np.uint64(1), h)
+
+    monkeypatch.setattr(phrases, "_hashes", few)
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, phrases.collocations(docs, least_count=8).collect())) == phrases_of(texts, 8)
+
+
+def test_odd_words_of_phrases(spark, monkeypatch):
+    """Long words, words of odd characters, and texts cut within blanks."""
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 8)
+    odd = ["\x00", "a\x00", "a\x00\x00", "\x1c\x1d", "\x85", "\u00a0x", "\u3000", "é" * 40, "é" * 40 + "x", "z" * 64, "z" * 65, "z" * 200, "\U0001f600", "-"]
+    rows = [("en", " ".join(odd) + " " * 30 + "\t\t" + " \t".join(odd[::-1])), ("de", " " * 40), ("", "  ".join(odd) + ". . "), ("en", "  b  ")] * 9
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    want = phrases_of(rows, 8)
+    assert len(want) > 10 and sorted(map(tuple, phrases.collocations(docs, least_count=8).collect())) == want
+
+
+def test_hashes_of_words():
+    """A hash follows from the word and the language alone, wherever the word stands."""
+    rng = np.random.default_rng(5)
+    words = sorted({"w" * int(n) + str(i) for i, n in enumerate(rng.integers(0, 90, 3000))})
+    h = phrases._hashes(phrases._split([" ".join(words).encode()]).flatten(), phrases._key("en", 0))
+    again = phrases._hashes(phrases._split([" . ".join(words[::-1]).encode()]).flatten(), phrases._key("en", 0))
+    assert len(set(h.tolist())) == len(words) and (again[::2] == h[::-1]).all() and not again[1::2].any()
+    assert not set(h.tolist()) & set(phrases._hashes(phrases._split([" ".join(words).encode()]).flatten(), phrases._key("de", 0)).tolist())
+
+
 @pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_templates", "op13_collocations"])
 def test_columns(spark, name):
     want = {
