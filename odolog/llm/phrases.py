@@ -26,7 +26,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ LONGEST = 5
 LEAST_COUNT = 100
 SHARDS = 2
 FILTER_BYTES = (1 << 16, 1 << 25)  # least and most of the filter that every task holds twice; no size changes the result
-BUFFER_WORDS = 1 << 21  # words a task counts at a time
-BLOCK_WORDS = 1 << 16  # words in a row of a shard
+BUFFER_WORDS = 1 << 20  # words a task counts at a time
+BLOCK_WORDS = 1 << 15  # words in a row of a shard
+GROUP_ROWS = 32  # rows of shards that a task holds at a time, as a reader decodes a row group at once
+BATCH_BYTES = 1 << 23  # sent to Python at a time
 SLICE_BYTES = 1 << 23
 LONG_WORD = 64  # bytes; longer ones are hashed one by one
 PARTS = 64  # of the blocks, by which phrases are named; a power of four
@@ -52,6 +54,23 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"." * len(_ENDS) + b" ")
 
 
+def _in_small_batches(made: Callable) -> Callable:
+    """``made`` with rows sent to Python some megabytes at a time: both sides hold a batch, and Java doubles its buffers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @wraps(made)
+    def run(docs: DataFrame, **options):
+        conf = docs.sparkSession.conf
+        before = conf.get(name, None)
+        conf.set(name, str(BATCH_BYTES))
+        try:
+            return made(docs, **options)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
+
+    return run
+
+
 def _slices(text: str) -> Iterator[bytes]:
     """A text with words and ends of pieces (``.``) between blanks, some megabytes at a time."""
     raw = text.encode().translate(_TABLE) + b"."
@@ -144,13 +163,20 @@ def _deal(rows: DataFrame, longest: int, seed: int) -> DataFrame:
             cells += [pa.array([words], pa.binary()), pa.array([own], pa.int64())]
             return pa.RecordBatch.from_arrays(cells, names=["shard", "part", "lang", "words", "own"])
 
+        def blocks(shard: int, least: int) -> Iterator[pa.RecordBatch]:
+            words, begin = np.concatenate(held[shard]), 0
+            while len(words) - begin >= least:
+                yield row(shard, words[begin : begin + BLOCK_WORDS + longest - 1].tobytes(), BLOCK_WORDS)
+                begin += BLOCK_WORDS
+            held[shard], sizes[shard] = [words[begin:].copy()], len(words) - begin
+
         def hashed() -> Iterator[pa.RecordBatch]:
             for lang, by_shard in texts.items():
                 split = _split([b"".join(t) for t in by_shard.values()])
                 words = split.flatten().dictionary_encode()
                 hashes = _hashes(words.dictionary, _key(lang, seed))
-                if len(hashes):
-                    yield row(-2, " ".join(words.dictionary.to_pylist()).encode(), 0, lang)
+                for i in range(0, len(hashes), BLOCK_WORDS):
+                    yield row(-2, " ".join(words.dictionary[i : i + BLOCK_WORDS].to_pylist()).encode(), 0, lang)
                 hashes, at = hashes[words.indices.to_numpy()], 0
                 totals[lang] += int(np.count_nonzero(hashes))
                 for shard, n in zip(by_shard, pc.list_value_length(split).fill_null(0).to_pylist()):
@@ -158,11 +184,7 @@ def _deal(rows: DataFrame, longest: int, seed: int) -> DataFrame:
                     sizes[shard] += n
                     at += n
                     if sizes[shard] >= 2 * BLOCK_WORDS:
-                        all_words, begin = np.concatenate(held[shard]), 0
-                        while len(all_words) - begin >= 2 * BLOCK_WORDS:
-                            yield row(shard, all_words[begin : begin + BLOCK_WORDS + longest - 1].tobytes(), BLOCK_WORDS)
-                            begin += BLOCK_WORDS
-                        held[shard], sizes[shard] = [all_words[begin:].copy()], len(all_words) - begin
+                        yield from blocks(shard, 2 * BLOCK_WORDS)
             texts.clear()
 
         size = 0
@@ -179,8 +201,9 @@ def _deal(rows: DataFrame, longest: int, seed: int) -> DataFrame:
                     yield from hashed()
                     size = 0
         yield from hashed()
-        for shard, parts in held.items():
-            yield row(shard, np.concatenate(parts).tobytes(), sizes[shard])
+        for shard in held:
+            yield from blocks(shard, BLOCK_WORDS + 1)
+            yield row(shard, held[shard][0].tobytes(), sizes[shard])
         for lang, n in totals.items():
             yield row(-1, b"", n, lang)
 
@@ -201,7 +224,7 @@ def _dealt(docs: DataFrame, shards: int, longest: int, seed: int = 0) -> _Dealt:
     folder = f"{shared_folder(docs.sparkSession)}/shards"
     shard = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     rows = _deal(_rows(docs).withColumn("shard", shard), longest, seed)
-    rows.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    rows.write.option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_ROWS).partitionBy("shard").parquet(folder)
     written = docs.sparkSession.read.schema("part int, lang string, words binary, own long, shard int").parquet(folder)
     totals = written.where("shard = -1").groupBy("lang").agg(F.sum("own").alias("n"))
     return _Dealt(written.where("shard >= 0"), totals, written.where("shard = -2"), seed)
@@ -213,96 +236,137 @@ def _active(
     """Hashes of the active phrases that begin at the first ``own`` words of a block, by length."""
     at = np.flatnonzero(words)
     yield words[at[: np.searchsorted(at, own)]] if with_words else at[:0].view(np.uint64)
-    h = words
-    at = at[_holds(now, words[at])]  # where the phrase of the length before is frequent
-    done = _holds(before, h[at])  # and was so a cycle ago
+    hashes = words[at]
     for length in range(2, longest + 1):
-        follows = at[1:] == at[:-1] + 1
-        complete = (done[1:] & done[:-1])[follows]
-        at = at[:-1][follows]
-        hashes = _mixed(h[at], words[at + length - 1])
-        yield hashes[~complete & (at < own)]
-        if length == longest:
-            return
         again = _holds(now, hashes)
-        at, hashes = at[again], hashes[again]
-        done = _holds(before, hashes)
-        h = np.zeros(len(words), np.uint64)
-        h[at] = hashes
+        at, hashes = at[again], hashes[again]  # where the phrase of the length before is frequent
+        done = _holds(before, hashes)  # and was so a cycle ago
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+        complete = done[1:][follows] & done[:-1][follows]
+        at = at[follows]
+        hashes = _mixed(hashes[follows], words[at + length - 1])
+        yield hashes[~complete & (at < own)]
 
 
-def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, int]]]:
-    """Blocks (``words`` and ``own``), as many at a time as memory is bounded for."""
-    blocks, size = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    """``words`` and ``own``."""
     for batch in batches:
         for raw, n in zip(batch.column(0), batch.column(1).to_pylist()):
-            blocks.append((np.frombuffer(raw.as_buffer(), np.uint64).copy(), n))
-            size += len(blocks[-1][0])
-            if size > BUFFER_WORDS:
-                yield blocks
-                blocks, size = [], 0
-    if blocks:
-        yield blocks
+            yield np.frombuffer(raw.as_buffer(), np.uint64), n
+
+
+def _starts(n: int, columns: Iterator[np.ndarray]) -> np.ndarray:
+    """Where runs of equal values begin in columns of ``n``, which are looked at one by one."""
+    first = np.zeros(n, bool)
+    first[:1] = True
+    for x in columns:
+        first[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(first)
+
+
+def _counted(
+    batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np.ndarray, longest: int, with_words: bool
+) -> Iterator[pa.RecordBatch]:
+    """Of blocks only the hashes of active phrases are held, until ``BUFFER_WORDS`` words are read."""
+    held: list[list[np.ndarray]] = [[] for _ in range(longest)]
+    size = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        for hashes in held:
+            if not hashes:
+                continue
+            h = np.concatenate(hashes)
+            hashes.clear()
+            h.sort()
+            begin = _starts(len(h), [h])
+            for i in range(0, len(begin), 1 << 17):
+                part = begin[i : i + (1 << 17)]
+                c = np.diff(part, append=begin[i + len(part)] if i + len(part) < len(begin) else len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    for words, own in _blocks(batches):
+        for hashes, more in zip(held, _active(words, own, now, before, longest, with_words)):
+            hashes.append(more)
+        size += len(words)
+        if size > BUFFER_WORDS:
+            yield from summed()
+            size = 0
+    yield from summed()
 
 
 def _scan(shard: DataFrame, now: Broadcast, before: Broadcast, longest: int, with_words: bool) -> DataFrame:
     """Counts ``c`` of the active phrases in blocks of words by hash ``h``, summed as far as a task's memory is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _buffers(batches):
-            by_length = zip(*([*_active(words, own, now.value, before.value, longest, with_words)] for words, own in blocks))
-            for hashes in by_length:
-                h, c = np.unique(np.concatenate(hashes), return_counts=True)
-                for i in range(0, len(h), 1 << 17):
-                    cells = [pa.array(h[i : i + (1 << 17)].view(np.int64)), pa.array(c[i : i + (1 << 17)].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cells, names=["h", "c"])
+        yield from _counted(batches, now.value, before.value, longest, with_words)
 
     return shard.select("words", "own").mapInArrow(run, "h long, c long")
 
 
+def _places(
+    words: np.ndarray, own: int, begin: int, known: np.ndarray, longest: int, wanted: np.ndarray | None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where the phrases of ``known`` begin in a block, from ``begin`` on, and their hashes, by length."""
+    at = np.flatnonzero(words)
+    hashed = words[at]
+    for length in range(1, longest + 1):
+        again = _holds(known, hashed)
+        at, hashed = at[again], hashed[again]
+        mine = np.searchsorted(at, own)
+        found = slice(mine) if wanted is None else np.flatnonzero(_holds(wanted, hashed[:mine]))
+        yield at[found] + begin, hashed[found]
+        if length < longest:
+            follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at = at[follows]
+            hashed = _mixed(hashed[follows], words[at + length])
+
+
+def _words_of(
+    batches: Iterator[pa.RecordBatch], known: np.ndarray, longest: int, wanted: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
+    """Of ``BUFFER_WORDS`` words at a time the phrases are counted length by length, so one length is held."""
+    blocks: list[tuple[np.ndarray, int]] = []
+    size = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([w for w, _ in blocks])
+        begins = np.cumsum([0, *(len(w) for w, _ in blocks)]).tolist()
+        owns = [own for _, own in blocks]
+        blocks.clear()
+        each = [_places(words[a:b], own, a, known, longest, wanted) for (a, b), own in zip(itertools.pairwise(begins), owns)]
+        for length in range(1, longest + 1):
+            at, key = (np.concatenate(x) for x in zip(*map(next, each)))
+            order = np.argsort(key)
+            at = at[order]
+            key = key[order]
+            del order
+            begin = _starts(len(key), itertools.chain([key], (words[at + i] for i in range(length if length > 1 else 0))))
+            for i in range(0, len(begin), 50_000):
+                part = begin[i : i + 50_000]
+                c = np.diff(part, append=begin[i + len(part)] if i + len(part) < len(begin) else len(at))
+                spelled = words[at[part][:, None] + np.arange(length)].view(np.int64).ravel()
+                cells = [pa.array(np.full(len(part), length, np.int32))]
+                cells += [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * length), pa.array(spelled))]
+                cells += [pa.array(key[part].view(np.int64)), pa.array(c)]
+                yield pa.RecordBatch.from_arrays(cells, names=["length", "w", "h", "c"])
+            del at, key, begin
+
+    for words, own in _blocks(batches):
+        blocks.append((words.copy(), own))  # apart from the batch
+        size += len(words)
+        if size > BUFFER_WORDS:
+            yield from summed()
+            size = 0
+    if blocks:
+        yield from summed()
+
+
 def _named(blocks: DataFrame, known: Broadcast, longest: int, wanted: Broadcast | None = None) -> DataFrame:
     """Counts ``c`` of the phrases of ``known`` (a filter that has their parts as well) in ``blocks``, by the hashes of their words, ``w``,
     with their ``length`` and hash ``h``. With ``wanted`` only of the phrases in that one too."""
 
-    def places(words: np.ndarray, own: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Where the phrases begin and their hashes, by length."""
-        at = np.flatnonzero(words)
-        hashed = words[at]
-        for length in range(1, longest + 1):
-            again = _holds(known.value, hashed)
-            at, hashed = at[again], hashed[again]
-            mine = np.searchsorted(at, own)
-            found = slice(mine) if wanted is None else np.flatnonzero(_holds(wanted.value, hashed[:mine]))
-            yield at[found], hashed[found]
-            h = np.zeros(len(words), np.uint64)
-            h[at] = hashed
-            at = at[:-1][at[1:] == at[:-1] + 1]
-            if length < longest:
-                hashed = _mixed(h[at], words[at + length])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _buffers(batches):
-            words = np.concatenate([w for w, _ in blocks])
-            begins = np.cumsum([0, *(len(w) for w, _ in blocks)])
-            by_length = zip(*([(at + begin, h) for at, h in places(*block)] for block, begin in zip(blocks, begins)))
-            for length, found in enumerate(by_length, 1):
-                at, key = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(key)
-                at, key = at[order], key[order]
-                first = np.ones(len(at), bool)  # of a run of the same words
-                first[1:] = key[1:] != key[:-1]
-                for i in range(length if length > 1 else 0):
-                    word = words[at + i]
-                    first[1:] |= word[1:] != word[:-1]
-                begin = np.flatnonzero(first)
-                c = np.diff(begin, append=len(at))
-                for i in range(0, len(begin), 50_000):
-                    part = begin[i : i + 50_000]
-                    spelled = words[at[part][:, None] + np.arange(length)].view(np.int64).ravel()
-                    cells = [pa.array(np.full(len(part), length, np.int32))]
-                    cells += [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * length), pa.array(spelled))]
-                    cells += [pa.array(key[part].view(np.int64)), pa.array(c[i : i + 50_000])]
-                    yield pa.RecordBatch.from_arrays(cells, names=["length", "w", "h", "c"])
+        yield from _words_of(batches, known.value, longest, wanted and wanted.value)
 
     return blocks.select("words", "own").mapInArrow(run, "length int, w array<bigint>, h long, c long")
 
@@ -366,6 +430,7 @@ def _phrased(found: DataFrame, words: DataFrame) -> DataFrame:
     return whole.select("lang", F.size("w").alias("length"), F.concat_ws(" ", "words.word").alias("phrase"), "h", "f", "w")
 
 
+@_in_small_batches
 def frequent_phrases(
     docs: DataFrame,
     *,
@@ -450,6 +515,7 @@ def _part(phrase: Column, start: Column | int, size: Column) -> Column:
     return F.concat_ws(" ", F.slice(phrase, start, size))
 
 
+@_in_small_batches
 def collocations(docs: DataFrame, *, top: int = LEAST_SCORES, **options: int) -> DataFrame:
     """The first ``top`` phrases of each language by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 

@@ -2,11 +2,15 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +339,64 @@ def test_hashes_of_words():
     assert not set(h.tolist()) & set(phrases._hashes(phrases._split([" ".join(words).encode()]).flatten(), phrases._key("de", 0)).tolist())
 
 
+@pytest.mark.parametrize("counted", ["by hash", "by words"])
+def test_memory_of_scans_of_phrases(counted):
+    """A task holds some tens of megabytes, however many words it reads and however many are counted."""
+
+    class Frame:  # returns the function that tasks run
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    every, none = Sent(np.full(1 << 10, 2**64 - 1, np.uint64)), Sent(np.zeros(1 << 10, np.uint64))
+    run = phrases._scan(Frame(), every, none, 5, True) if counted == "by hash" else phrases._named(Frame(), every, 5)
+    n = phrases.BLOCK_WORDS
+    rng = np.random.default_rng(2)
+    words = (rng.integers(1, 2**63, n, np.uint64).tobytes() for _ in range(0, 3_000_000, n))
+    batches = (pa.record_batch({"words": [w], "own": [n - 4]}) for w in words)
+    tracemalloc.start()
+    rows = sum(batch.num_rows for batch in run(batches))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 14_000_000 and most < 100 << 20
+
+
+def test_rows_of_shards_are_small(spark):
+    """Readers decode a row group at a time, and rows of half a megabyte are too large for a region of Java's heap."""
+    text = " ".join(f"w{i}" for i in range(2_000_000))
+    dealt = phrases._dealt(spark.createDataFrame([("en", text)], "lang string, text string"), 1, 5)
+    assert dealt.totals.first()["n"] == 2_000_000 == dealt.blocks.agg(F.sum("own")).first()[0] - 1  # the end of the piece
+    assert dealt.vocabulary.agg(F.sum(F.size(F.split("words", " ")))).first()[0] == 2_000_001
+    sizes = dealt.blocks.unionByName(dealt.vocabulary).select(F.octet_length("words").alias("b"))
+    assert sizes.agg(F.max("b")).first()[0] < 400_000
+    groups = []
+    for file in dealt.blocks.inputFiles():
+        meta = pq.ParquetFile(urlparse(file).path).metadata
+        groups += [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert max(groups) < 10_000_000 and sum(groups) > 15_000_000
+
+
+def test_batches_of_phrases_are_small(spark, texts, monkeypatch):
+    """Rows are sent to Python some megabytes at a time; the session's setting is left as it was."""
+    name, scan, seen = "spark.sql.execution.arrow.maxBytesPerBatch", phrases._scan, []
+    before = spark.conf.get(name)
+
+    def noted(*args):
+        seen.append(spark.conf.get(name))
+        return scan(*args)
+
+    monkeypatch.setattr(phrases, "_scan", noted)
+    found, _ = phrases.frequent_phrases(spark.createDataFrame(texts, "lang string, text string"), least_count=8)
+    assert found.count() and len(seen) > 1 and {int(x.rstrip("b")) for x in seen} == {1 << 23}
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_templates", "op13_collocations"])
 def test_columns(spark, name):
     want = {
